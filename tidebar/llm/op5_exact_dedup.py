@@ -41,7 +41,8 @@ SELECT doc_id,
 FROM t
 """
 
-_RUN = "node int, digest binary, n_bytes long, keep_id long, keep_row long, n long"
+#: A null identifier is 0 with no_id 1, so that pandas keeps the longs.
+_RUN = "node int, digest binary, n_bytes long, no_id int, keep_id long, keep_row long, n long"
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,8 +73,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _run(df: DataFrame) -> DataFrame:
     """Sort by Spark's external sort within each partition, then merge equal entries."""
-    order = ["node", "digest", "n_bytes", F.col("keep_id").asc_nulls_last(), "keep_row"]
-    return df.sortWithinPartitions(*order).mapInPandas(_merge, _RUN)
+    return df.sortWithinPartitions("node", "digest", "n_bytes", "no_id", "keep_id", "keep_row").mapInPandas(_merge, _RUN)
 
 
 def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +92,15 @@ def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def merged_runs(rows: DataFrame, nodes: int, fan_in: int = FAN_IN) -> DataFrame:
     """One entry per distinct text: digest, n_bytes, keep_id, keep_row, n."""
-    run = _run(rows.select("node", "digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n")))
+    run = _run(
+        rows.select(
+            "node", "digest", "n_bytes",
+            F.col("doc_id").isNull().cast("int").alias("no_id"),
+            F.coalesce("doc_id", F.lit(0)).alias("keep_id"),
+            F.col("row").alias("keep_row"),
+            F.lit(1).cast("long").alias("n"),
+        )
+    )
     # which of the nodes a digest ends at: its first four bytes, uniform by construction
     target = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     step = 1
@@ -101,7 +109,7 @@ def merged_runs(rows: DataFrame, nodes: int, fan_in: int = FAN_IN) -> DataFrame:
         run = run.withColumn("node", (F.col("node") - (F.floor(F.col("node") / step) % fan_in) * step + digit * step).cast("int"))
         run = _run(run.repartition(nodes, "node"))
         step *= fan_in
-    return run.select("digest", "n_bytes", "keep_id", "keep_row", "n")
+    return run.select("digest", "n_bytes", F.when(F.col("no_id") == 0, F.col("keep_id")).alias("keep_id"), "keep_row", "n")
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
