@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of the numbered operators, in their order.
-MODULES = ("op2_packing", "op3_bpe", "op5_exact_dedup")
+MODULES = ("op2_packing", "op3_bpe", "op4_sharding", "op5_exact_dedup")
 
 
 def queries() -> dict:
