@@ -63,3 +63,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``doc_id`` and ``text`` (null: empty) only, whatever else ``df`` has."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``df`` whose identifier and text are in ``kept`` (doc_id, text_key), all columns.
+
+    ``text_key`` is xxhash64 of the text, null counting as empty. ``once``: of repeated rows (same
+    identifier and text) one stays.
+    """
+    own = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    whole = df.withColumn("_own_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = whole.join(own, (F.col("_own_key") == F.col("_kept_key")) & whole[id_col].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    if not once:
+        return out.select(df.columns)
+    # rows that are repeated are few or many; only they are dealt out by their key
+    counts = whole.groupBy("_own_key", F.col(id_col).alias("_rep_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_own_key", "_rep_id")
+    counts = saved(counts, "repeated")
+    if counts.isEmpty():
+        return out.select(df.columns)
+    same = (out["_own_key"] == counts["_own_key"]) & out[id_col].eqNullSafe(counts["_rep_id"])
+    single = out.join(counts, same, "left_anti").select(df.columns)
+    repeated = out.join(counts, same, "left_semi").dropDuplicates([id_col, "_own_key"]).select(df.columns)
+    return single.unionByName(repeated)

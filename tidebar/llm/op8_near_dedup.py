@@ -5,12 +5,13 @@
 2. Bands of the signature make buckets. A bucket of n nodes gives n - 1 candidates: a star from its
    smallest node. Candidates are confirmed on full sets.
 3. Components of the confirmed links. A bucket that still holds several components may hide a link
-   that its star could not see. In small buckets every pair of nodes from different components is
-   confirmed too. Larger ones are refined instead of enumerated: a bucket is split by each of its
-   nodes' other bands, which linked nodes share often and others hardly ever; its parts are treated
-   as buckets in turn. This repeats until no bucket has anything untried.
+   that its star could not see. Its largest component apart, every node of it is then a star's
+   centre too, which sees all the bucket's nodes of other components. A bucket with more than
+   ``centres`` such nodes is refined instead: it is split by its nodes' later bands, which linked
+   nodes share often and others hardly ever, and its parts are treated as buckets in turn.
 
-The bands find a pair at the threshold with a probability of 1 - (1 - 0.8**5)**32, over 0.999997.
+So a bucket of n nodes gives at most ``centres`` * n candidates. The bands find a pair at the threshold
+with a probability of 1 - (1 - 0.8**5)**32, over 0.999997.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ WORDS = 4
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BANDS, ROWS = 32, 5
-#: Nodes of a bucket up to which its untried pairs are confirmed one by one.
-SMALL = 16
-#: Rounds of refinement; each adds a band's five minima to what a bucket's nodes share.
-DEPTH = 5
+#: Nodes outside a bucket's largest component up to which each becomes a centre.
+CENTRES = 32
+#: Rounds of refinement; the parts that remain after the last have fifteen minima in common.
+DEPTH = 2
 
 _SKETCH = "doc_id long, row long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>"
 
@@ -88,13 +89,32 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """Only keys of several nodes: most have one and end here."""
+    many = buckets.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select("key")
+    return buckets.join(many, "key")
+
+
 def _stars(buckets: DataFrame) -> DataFrame:
-    """A candidate from each bucket's smallest node to each other one. buckets: key, node."""
-    heads = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n_")).where("n_ > 1").select("key", "a")
+    """A candidate from each bucket's smallest node to each other one. buckets: key, node, band."""
+    heads = buckets.groupBy("key").agg(F.min("node").alias("a"))
     return buckets.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def _more_stars(buckets: DataFrame, roots: DataFrame, tried: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+    """(untried candidates of buckets with several components, the buckets that have too many centres)."""
+    held = buckets.join(roots, "node", "left").select("key", "node", "band", F.coalesce("root", "node").alias("root"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("n_"))
+    mixed = parts.groupBy("key").agg(F.sum("n_").alias("all_"), F.max(F.struct("n_", "root")).alias("top_"), F.count("*").alias("parts_")).where("parts_ > 1")
+    mixed = mixed.select("key", F.col("top_.root").alias("largest"), (F.col("all_") - F.col("top_.n_")).alias("rest"))
+    held = saved(held.join(mixed, "key"), "mixed")
+    few = held.where(F.col("rest") <= centres)
+    heads = few.where("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    pairs = few.join(heads, "key").where("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    return saved(pairs.join(tried, ["a", "b"], "left_anti"), "untried"), held.where(F.col("rest") > centres).select("key", "node", "band")
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, centres: int = CENTRES) -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id, kept, and text_key, row_kept.
 
     Letters A-Z are lower-cased; words are parted by space and \\x09 to \\x0D. Null and empty texts
@@ -124,32 +144,24 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
         return full.sortWithinPartitions("a").mapInArrow(_confirm(words, percent), "a long, b long")
 
-    base = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
-    many = base.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select("key")
-    buckets = saved(base.join(many, "key"), "buckets")  # most keys are of one node and end here
-    pairs = saved(_stars(buckets), "pairs")
-    tried = pairs
-    links = saved(confirmed(pairs), "links")
+    bands_of = nodes.select("node", F.posexplode("bands").alias("band", "own"))
+    base = bands_of.select("node", "band", F.xxhash64("band", "own").alias("key"))
+    buckets = saved(_shared(base), "buckets")
+    tried = saved(_stars(buckets), "stars")
+    links = saved(confirmed(tried), "links")
     roots = saved(components(links), "roots")
     for depth in range(DEPTH + 1):
-        held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = held.groupBy("key").agg(F.count("*").alias("n_"), F.min("root").alias("lo_"), F.max("root").alias("hi_")).where("lo_ <> hi_").select("key", "n_")
-        held = saved(held.join(mixed, "key"), "mixed")
-        few = held.where(F.col("n_") <= (small if depth < DEPTH else 1 << 40))
-        other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        untried = few.select("key", F.col("node").alias("a"), "root").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct()
-        untried = saved(untried.join(tried, ["a", "b"], "left_anti"), "untried")
-        more = confirmed(untried)
-        tried = tried.unionByName(untried)
-        links = saved(links.unionByName(more), "links")
-        roots = saved(components(links), "roots")
-        large = held.where(f"n_ > {small}").select("key", "node")
-        if depth == DEPTH or large.isEmpty():
+        untried, buckets = _more_stars(buckets, roots, tried, centres if depth < DEPTH else 1 << 60)
+        if not untried.isEmpty():
+            tried = tried.unionByName(untried)
+            more = saved(confirmed(untried), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                roots = saved(components(links), "roots")
+        if depth == DEPTH or buckets.isEmpty():
             break
-        # split each large bucket by its nodes' bands
-        finer = large.join(nodes.select("node", F.posexplode("bands").alias("band", "own")), "node").select("node", F.xxhash64("key", "band", "own").alias("key"))
-        many = finer.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select("key")
-        buckets = saved(finer.join(many, "key").distinct(), "buckets")
+        finer = buckets.withColumnRenamed("band", "last").join(bands_of, "node").where("band > last")
+        buckets = saved(_shared(finer.select("node", "band", F.xxhash64("key", "band", "own").alias("key"))), "buckets")
     # the smallest document of every component, then back to all rows by their sets
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best"))
