@@ -10,7 +10,7 @@ from tests.llm.test_op9_op10 import corpus  # noqa: E402
 
 def test_stages_take_effect(spark, tmp_path):
     docs, labels = corpus(400, seed=9)
-    docs += [(10_000 + i, docs[i][1] + " ", "en") for i in (3, 7)] + [(20_000, docs[9][1] + " and one more word", "en")]
+    docs += [(10_000 + i, docs[i][1].replace(" ", "\t ", 1), "en") for i in (3, 7)] + [(20_000, docs[9][1] + " and one more word", "en")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
