@@ -10,6 +10,11 @@
    ``centres`` such nodes is refined instead: it is split by its nodes' later bands, which linked
    nodes share often and others hardly ever, and its parts are treated as buckets in turn.
 
+Candidates that cannot be links are not confirmed: sizes too different; Jaccard distances to the
+bucket's first star that differ by more than a link's distance (it is a metric); and signatures of one
+bit per bin that agree in fewer bins than a link ever would (six standard deviations below; only for
+sets that have more shingles than there are bins).
+
 So a bucket of n nodes gives at most ``centres`` * n candidates. The bands find a pair at the threshold
 with a probability of 1 - (1 - 0.8**5)**32, over 0.999997.
 """
@@ -23,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import saved, table
+from tidebar.llm.common import drop_saved, saved, table
 from tidebar.llm.components import components
-from tidebar.llm.shingles import band_keys, fingerprint, shingle_sets, signatures
+from tidebar.llm.shingles import band_keys, fingerprint, low_bits, shingle_sets, signatures
 
 QUERY = "op8_near_dedup"
 ORACLE_SQL = None  # too slow in SQL on whole tables; tests compare with brute force
@@ -39,7 +44,7 @@ CENTRES = 32
 #: Rounds of refinement; the parts that remain after the last have fifteen minima in common.
 DEPTH = 2
 
-_SKETCH = "doc_id long, row long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>"
+_SKETCH = "doc_id long, row long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>, bits array<long>"
 
 
 def _sketch(words: int, bands: int, rows: int):
@@ -49,50 +54,50 @@ def _sketch(words: int, bands: int, rows: int):
                 part = batch.slice(at, 256)
                 sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], words)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), bands), np.int64)
+                keys, bits = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), -(-bands * rows // 64)), np.int64)
                 if full:
-                    keys[full] = band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows)
+                    sig = signatures([sets[i] for i in full], bands * rows)
+                    keys[full], bits[full] = band_keys(sig, bands, rows), low_bits(sig)
                 marks = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("row"), part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
+                        *[pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys, bits)],
                     ],
-                    names=["doc_id", "row", "text_key", "n_shingles", "key_a", "key_b", "bands"],
+                    names=["doc_id", "row", "text_key", "n_shingles", "key_a", "key_b", "bands", "bits"],
                 )
 
     return run
 
 
-def _confirm(words: int, percent: int):
-    """Candidate rows with both texts to those whose full sets are similar enough."""
+def _confirm(words: int):
+    """Candidate rows with both texts to the similarity of their full sets, as intersection over union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            heads, texts = a.to_pylist(), batch.column("text_b").to_pylist()
+            heads, texts = batch.column("a").to_pylist(), batch.column("text_b").to_pylist()
             sets: list[np.ndarray] = []
             for at in range(0, len(texts), 256):
                 sets += shingle_sets([t.encode() for t in texts[at : at + 256]], words)
-            ok = []
+            both, either = [], []
             for i, s in enumerate(sets):
                 if heads[i] != last:
                     last, last_set = heads[i], shingle_sets([batch.column("text_a")[i].as_py().encode()], words)[0]
-                both = len(np.intersect1d(last_set, s, assume_unique=True))
-                ok.append(100 * both >= percent * (len(last_set) + len(s) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+                both.append(len(np.intersect1d(last_set, s, assume_unique=True)))
+                either.append(len(last_set) + len(s) - both[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
     return run
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """Only keys of several nodes: most have one and end here."""
-    many = buckets.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select("key")
-    return buckets.join(many, "key")
+    """Only keys of several nodes: most have one and end here. One shuffle serves both uses."""
+    dealt = buckets.repartition("key")
+    many = dealt.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select("key")
+    return dealt.join(many, "key")
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
@@ -101,16 +106,20 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _more_stars(buckets: DataFrame, roots: DataFrame, tried: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+def _more_stars(buckets: DataFrame, roots: DataFrame, tried: DataFrame, marks: DataFrame, centres: int, percent: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
     """(untried candidates of buckets with several components, the buckets that have too many centres)."""
     held = buckets.join(roots, "node", "left").select("key", "node", "band", F.coalesce("root", "node").alias("root"))
-    parts = held.groupBy("key", "root").agg(F.count("*").alias("n_"))
-    mixed = parts.groupBy("key").agg(F.sum("n_").alias("all_"), F.max(F.struct("n_", "root")).alias("top_"), F.count("*").alias("parts_")).where("parts_ > 1")
-    mixed = mixed.select("key", F.col("top_.root").alias("largest"), (F.col("all_") - F.col("top_.n_")).alias("rest"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("n_"), F.min("node").alias("head_"))
+    mixed = parts.groupBy("key").agg(F.sum("n_").alias("all_"), F.max(F.struct("n_", "root")).alias("top_"), F.min("head_").alias("head"), F.count("*").alias("parts_")).where("parts_ > 1")
+    mixed = mixed.select("key", "head", F.col("top_.root").alias("largest"), (F.col("all_") - F.col("top_.n_")).alias("rest"))
     held = saved(held.join(mixed, "key"), "mixed")
-    few = held.where(F.col("rest") <= centres)
-    heads = few.where("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    pairs = few.join(heads, "key").where("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    few = held.where(F.col("rest") <= centres).join(marks, "node")
+    few = few.join(tried.select(F.col("a").alias("head"), F.col("b").alias("node"), "score"), ["head", "node"], "left").withColumn("score", F.when(F.col("head") == F.col("node"), 1.0).otherwise(F.col("score")))
+    heads = few.where("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("score").alias("score_a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
+    far = " + ".join(f"bit_count(bits[{i}] ^ bits_a[{i}])" for i in range(-(-BANDS * ROWS // 64)))
+    can = f"""root <> root_a AND 100 * least(n_shingles, n_a) >= {percent} * greatest(n_shingles, n_a) AND (least(n_shingles, n_a) < {BANDS * ROWS} OR {far} <= {most_bits})
+        AND (score IS NULL OR score_a IS NULL OR abs(score - score_a) <= {1 - percent / 100} + 1e-9)"""
+    pairs = few.join(heads, "key").where(can).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     return saved(pairs.join(tried, ["a", "b"], "left_anti"), "untried"), held.where(F.col("rest") > centres).select("key", "node", "band")
 
 
@@ -129,39 +138,46 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     named = docs.where("n_shingles > 0")
     # one node for each distinct set; its number is a row's, its text the row's of the smallest doc_id
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_key")).alias("first")
-    nodes = named.groupBy("n_shingles", "key_a", "key_b").agg(first, F.any_value("bands").alias("bands"))
-    nodes = saved(nodes.select(F.col("first.row").alias("node"), "first.doc_id", "first.text_key", "n_shingles", "key_a", "key_b", "bands"), "nodes")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose sets are similar; only texts of candidates are moved."""
-        sizes = nodes.select("node", "n_shingles")
-        pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-        pairs = saved(pairs, "candidates")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(ends, "node").select("node", F.col("doc_id").alias("id_"), F.col("text_key").alias("text_key_"))
-        texts = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))).select("node", "text")
-        texts = saved(texts.dropDuplicates(["node"]), "texts")
+    nodes = named.groupBy("n_shingles", "key_a", "key_b").agg(first)
+    nodes = saved(nodes.select(F.col("first.row").alias("node"), "first.doc_id", "first.text_key", "n_shingles", "key_a", "key_b"), "nodes")
+    own = named.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "n_shingles", "bits")
+    buckets = saved(_shared(own.select("node", F.posexplode("bands").alias("band", "own")).select("node", "band", F.xxhash64("band", "own").alias("key"))), "buckets")
+    # from here on only nodes that share a band with another one matter
+    near = saved(own.join(buckets.select("node").distinct(), "node", "left_semi"), "near")
+    bands_of, marks = near.select("node", F.posexplode("bands").alias("band", "own")), near.select("node", "n_shingles", "bits")
+    wanted = nodes.join(near.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("text_key").alias("text_key_"))
+    texts = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))).select("node", "text")
+    texts = saved(texts.dropDuplicates(["node"]), "texts")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the similarity of their full sets and whether it makes a link."""
         full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        return full.sortWithinPartitions("a").mapInArrow(_confirm(words, percent), "a long, b long")
-
-    bands_of = nodes.select("node", F.posexplode("bands").alias("band", "own"))
-    base = bands_of.select("node", "band", F.xxhash64("band", "own").alias("key"))
-    buckets = saved(_shared(base), "buckets")
-    tried = saved(_stars(buckets), "stars")
-    links = saved(confirmed(tried), "links")
+        found = full.sortWithinPartitions("a").mapInArrow(_confirm(words), "a long, b long, both long, either long")
+        return saved(found.select("a", "b", (F.col("both") / F.col("either")).alias("score"), (100 * F.col("both") >= percent * F.col("either")).alias("link")), "scored")
+
+    # bins of a link agree with probability 0.9 in their lowest bit
+    n_bins, agree = bands * rows, (1 + percent / 100) / 2
+    most_bits = int(n_bins * (1 - agree) + 6 * (n_bins * agree * (1 - agree)) ** 0.5) + 1
+    tried = scored(_stars(buckets))
+    links = tried.where("link").select("a", "b")
     roots = saved(components(links), "roots")
+    scratch = [buckets, near, texts, tried]
     for depth in range(DEPTH + 1):
-        untried, buckets = _more_stars(buckets, roots, tried, centres if depth < DEPTH else 1 << 60)
+        untried, buckets = _more_stars(buckets, roots, tried, marks, centres if depth < DEPTH else 1 << 60, percent, most_bits)
         if not untried.isEmpty():
-            tried = tried.unionByName(untried)
-            more = saved(confirmed(untried), "links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
+            more = scored(untried)
+            scratch += [untried, more]
+            tried = tried.unionByName(more)
+            if not more.where("link").isEmpty():
+                links = links.unionByName(more.where("link").select("a", "b"))
                 roots = saved(components(links), "roots")
         if depth == DEPTH or buckets.isEmpty():
             break
         finer = buckets.withColumnRenamed("band", "last").join(bands_of, "node").where("band > last")
         buckets = saved(_shared(finer.select("node", "band", F.xxhash64("key", "band", "own").alias("key"))), "buckets")
+        scratch.append(buckets)
+    for done in scratch:
+        drop_saved(done)
     # the smallest document of every component, then back to all rows by their sets
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best"))
