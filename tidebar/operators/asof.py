@@ -65,6 +65,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], poin
 def prefix_nearest(bars: DataFrame, levels: DataFrame, keys: list[str], time: str, value: str, known: str, price: str, level_id: str, below: bool, out: str, bits: int = 26) -> DataFrame:
     """Each bar with the nearest level price below (or above) its value among levels known by its time.
 
+    A bar is known by its key and time.
+
     The levels of a key, ranked by when they are known, that a bar may see are a prefix. Every prefix
     is a union of at most ``bits`` aligned power-of-two blocks, those of the set bits of its length,
     and every level lies in one block per bit. So bars and levels meet in blocks by an equi-key, and a
@@ -74,10 +76,9 @@ def prefix_nearest(bars: DataFrame, levels: DataFrame, keys: list[str], time: st
     pos = levels.select(*keys, F.col(known).alias("_t"), F.col(price).alias("_p"), rank.alias("_pos"))
     last = pos.groupBy(*keys, F.col("_t")).agg((F.max("_pos") + 1).alias("_k"))
     seen = asof_join(bars, last, keys, time, "_t", ["_k"])
-    seen = seen.withColumn("_row", F.monotonically_increasing_id())
     sizes = F.sequence(F.lit(0), F.lit(bits))
     set_bits = F.filter(sizes, lambda x: F.call_function("shiftright", F.col("_k"), x).bitwiseAND(1) == 1)
-    parts = seen.where("_k > 0").select(*keys, "_row", F.col(value).alias("_c"), F.explode(set_bits).alias("_x"), "_k").withColumn("_blk", F.expr("shiftright(_k, _x) - 1"))
+    parts = seen.where("_k > 0").select(*keys, F.col(time).alias("_row"), F.col(value).alias("_c"), F.explode(set_bits).alias("_x"), "_k").withColumn("_blk", F.expr("shiftright(_k, _x) - 1"))
     most = pos.groupBy(*keys).agg(F.max("_pos").alias("_m"))
     # a block is asked for only if it lies within the number of levels
     blocks = pos.join(most, keys).select(*keys, "_p", "_pos", "_m", F.explode(F.filter(sizes, lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x) <= F.col("_m") + 1)).alias("_x")).withColumn("_blk", F.expr("shiftright(_pos, _x)"))
@@ -85,8 +86,8 @@ def prefix_nearest(bars: DataFrame, levels: DataFrame, keys: list[str], time: st
     both = both.unionByName(parts.select(*keys, "_x", "_blk", F.col("_c").alias("_o"), F.lit(None).cast("double").alias("_lv"), F.lit(1).alias("_bar"), "_row"))
     w = Window.partitionBy(*keys, "_x", "_blk").orderBy(F.col("_o") if below else F.desc("_o"), "_bar")
     near = (F.max("_lv") if below else F.min("_lv")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hits = both.withColumn("_near", near).where("_bar = 1").groupBy("_row").agg((F.max("_near") if below else F.min("_near")).alias(out))
-    return seen.join(hits, "_row", "left").select(*bars.columns, out)
+    hits = both.withColumn("_near", near).where("_bar = 1").groupBy(*keys, F.col("_row").alias(time)).agg((F.max("_near") if below else F.min("_near")).alias(out))
+    return seen.join(hits, [*keys, time], "left").select(*bars.columns, out)
 
 
 def first_touch(orders: DataFrame, bars: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("market", "structure")
+MODULES = ("market", "structure", "trades")
 
 
 def load() -> tuple[dict, dict]:

@@ -13,7 +13,7 @@ from tidebar.timeframes import STEP_MS, normalize_timeframe
 
 HOUR = STEP_MS["1h"]
 OHLCV = "open, high, low, close, volume"
-NOW = F.lit(NOW_MS)
+NOW = NOW_MS
 
 
 def _resampled(base: str, out: str, timeframe: str, offset: int = 0) -> str:
@@ -63,7 +63,7 @@ def _(spark, d):
 
 @register("ag05_freshness", f"WITH {bars_sql()} SELECT source, symbol, timeframe, count(*) AS bars, min(ts_ms) AS min_ts_ms, max(ts_ms) AS max_ts_ms, ({NOW_MS} - max(ts_ms)) / 1000.0::DOUBLE AS lag_s, ({NOW_MS} - max(ts_ms)) > 2.5 * {HOUR} AS stale FROM bars GROUP BY source, symbol, timeframe")
 def _(spark, d):
-    return series.freshness(bars(spark, d), NOW)
+    return series.freshness(bars(spark, d), F.lit(NOW))
 
 
 _FROM = 1_704_067_200_000
@@ -73,7 +73,7 @@ _FROM = 1_704_067_200_000
 SELECT source, symbol, timeframe, CASE WHEN lo > {_FROM} + 900000 THEN 'restart' WHEN {NOW_MS} - hi <= 1800000 THEN 'skip' ELSE 'append' END AS action,
  CASE WHEN lo > {_FROM} + 900000 THEN {_FROM} WHEN {NOW_MS} - hi > 1800000 THEN hi - 2700000 END AS start_ms FROM c""")
 def _(spark, d):
-    return series.ingest_plan(bars(spark, d, "15m"), NOW, F.lit(_FROM))
+    return series.ingest_plan(bars(spark, d, "15m"), F.lit(NOW), F.lit(_FROM))
 
 
 @register("ag07_daily_last", f"""WITH {bars_sql()}, x AS (SELECT source, symbol, (ts_ms // 86400000) * 86400000 AS day, last(close ORDER BY ts_ms) AS v FROM bars GROUP BY ALL)
@@ -176,7 +176,7 @@ SELECT coalesce(l.symbol, r.symbol) AS symbol, CASE WHEN l.symbol IS NULL THEN '
  WHEN abs(l.high - r.high) > 1e-9 THEN 'high_mismatch' WHEN abs(l.low - r.low) > 1e-9 THEN 'low_mismatch' WHEN abs(l.close - r.close) > 1e-9 THEN 'close_mismatch' ELSE 'ok' END AS reason FROM l FULL JOIN r ON l.symbol = r.symbol""")
 def _(spark, d):
     t = ticks(spark, d)
-    return series.compare_tips(tick_bars(t, "1h").where("symbol <> 'error' OR true"), tick_bars(t.where("seq % 2 = 0"), "1h"), NOW, ["timeframe", "symbol"]).drop("timeframe")
+    return series.compare_tips(tick_bars(t, "1h").where("symbol <> 'error' OR true"), tick_bars(t.where("seq % 2 = 0"), "1h"), F.lit(NOW), ["timeframe", "symbol"]).drop("timeframe")
 
 
 @register("jn14_compare_history", f"""WITH {bars_sql()}, {_EVEN}, j AS (SELECT coalesce(l.symbol, r.symbol) AS symbol, coalesce(l.ts_ms, r.ts_ms) AS ts_ms, l.symbol IS NOT NULL AND r.symbol IS NOT NULL AS both_, l.symbol AS ls, r.symbol AS rs,

@@ -60,20 +60,20 @@ def more_bars(name: str, timeframe: str, where: str = "true") -> str:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    entry = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    entry = F.col("l_extendedprice") / F.col("l_quantity")
     return j.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"), F.col("l_suppkey").alias("account"), F.col("l_returnflag").alias("symbol"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("trade_id"), F.col("l_suppkey").alias("account"), F.col("l_returnflag").alias("symbol"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("side"),
         _ms(o, "o_orderdate").alias("entry_ts_ms"), F.greatest(_ms(li, "l_shipdate"), _ms(o, "o_orderdate")).alias("exit_ts_ms"),
         entry.alias("entry_price"), F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")), 2).alias("pnl"), F.col("o_orderpriority").alias("reason"),
+        (F.round(F.col("l_extendedprice") * 100).cast("long") * F.round((F.col("l_discount") - F.col("l_tax")) * 100).cast("long") / F.lit(10000.0)).alias("pnl"), F.col("o_orderpriority").alias("reason"),
     )
 
 
 TRADES = """trades AS (
-  SELECT l_orderkey * 10 + l_linenumber AS trade_id, l_suppkey AS account, l_returnflag AS symbol, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS side,
+  SELECT (l_orderkey * 10 + l_linenumber) * 10000000000 + l_partkey * 10000 + l_suppkey AS trade_id, l_suppkey AS account, l_returnflag AS symbol, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS side,
          epoch_ms(o_orderdate) AS entry_ts_ms, greatest(epoch_ms(l_shipdate), epoch_ms(o_orderdate)) AS exit_ts_ms,
-         round(l_extendedprice / l_quantity, 4) AS entry_price, l_quantity AS qty, round(l_extendedprice * (l_discount - l_tax), 2) AS pnl, o_orderpriority AS reason
+         l_extendedprice / l_quantity AS entry_price, l_quantity AS qty, round(l_extendedprice * 100)::BIGINT * round((l_discount - l_tax) * 100)::BIGINT / 10000.0::DOUBLE AS pnl, o_orderpriority AS reason
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 

@@ -10,8 +10,11 @@ KEY = ["source", "symbol", "timeframe"]
 BAR_VALUES = ["open", "high", "low", "close", "volume"]
 
 
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType()}
+
+
 def _struct(**fields: str) -> T.StructType:
-    return T.StructType([T.StructField(k, T.DataType.fromDDL(v)) for k, v in fields.items()])
+    return T.StructType([T.StructField(k, _TYPES[v]) for k, v in fields.items()])
 
 
 BARS = _struct(source="string", symbol="string", timeframe="string", ts_ms="long", open="double", high="double", low="double", close="double", volume="double")
