@@ -63,8 +63,8 @@ def family_rows(seed=5):
 def test_matches_brute_force(spark):
     rows = family_rows()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int").repartition(5)
-    for centres in (32, 1):  # 1: the refinement has to find what the stars miss
-        out = near_groups(df, centres=centres).collect()
+    for block in (512, 3):  # 3: families are cut into blocks
+        out = near_groups(df, block=block).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(brute(rows))
         assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 

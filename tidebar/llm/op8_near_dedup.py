@@ -5,18 +5,12 @@
 2. Bands of the signature make buckets. A bucket of n nodes gives n - 1 candidates: a star from its
    smallest node. Candidates are confirmed on full sets.
 3. Components of the confirmed links. A bucket that still holds several components may hide a link
-   that its star could not see. Its largest component apart, every node of it is then a star's
-   centre too, which sees all the bucket's nodes of other components. A bucket with more than
-   ``centres`` such nodes is refined instead: it is split by its nodes' later bands, which linked
-   nodes share often and others hardly ever, and its parts are treated as buckets in turn.
-
-Candidates that cannot be links are not confirmed: sizes too different; Jaccard distances to the
-bucket's first star that differ by more than a link's distance (it is a metric); and signatures of one
-bit per bin that agree in fewer bins than a link ever would (six standard deviations below; only for
-sets that have more shingles than there are bins).
-
-So a bucket of n nodes gives at most ``centres`` * n candidates. The bands find a pair at the threshold
-with a probability of 1 - (1 - 0.8**5)**32, over 0.999997.
+   that its star could not see. All nodes of such buckets whose largest component is the same one form
+   a family. Within a family every node outside that component is compared with every node of
+   another component, by counting common shingles over an inverted index. Families are cut into
+   blocks of a bounded size, and only links leave a block, never pairs.
+
+The bands find a pair at the threshold with a probability of 1 - (1 - 0.8**5)**32, over 0.999997.
 """
 
 from __future__ import annotations
@@ -30,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import drop_saved, saved, table
 from tidebar.llm.components import components
-from tidebar.llm.shingles import band_keys, fingerprint, low_bits, shingle_sets, signatures
+from tidebar.llm.shingles import band_keys, fingerprint, shingle_sets, signatures
 
 QUERY = "op8_near_dedup"
 ORACLE_SQL = None  # too slow in SQL on whole tables; tests compare with brute force
@@ -39,12 +33,10 @@ WORDS = 4
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BANDS, ROWS = 32, 5
-#: Nodes outside a bucket's largest component up to which each becomes a centre.
-CENTRES = 32
-#: Rounds of refinement; the parts that remain after the last have fifteen minima in common.
-DEPTH = 2
+#: Nodes of a block of a family.
+BLOCK = 512
 
-_SKETCH = "doc_id long, row long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>, bits array<long>"
+_SKETCH = "doc_id long, row long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>"
 
 
 def _sketch(words: int, bands: int, rows: int):
@@ -54,26 +46,25 @@ def _sketch(words: int, bands: int, rows: int):
                 part = batch.slice(at, 256)
                 sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], words)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys, bits = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), -(-bands * rows // 64)), np.int64)
+                keys = np.zeros((len(sets), bands), np.int64)
                 if full:
-                    sig = signatures([sets[i] for i in full], bands * rows)
-                    keys[full], bits[full] = band_keys(sig, bands, rows), low_bits(sig)
+                    keys[full] = band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows)
                 marks = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("row"), part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                        *[pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys, bits)],
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "row", "text_key", "n_shingles", "key_a", "key_b", "bands", "bits"],
+                    names=["doc_id", "row", "text_key", "n_shingles", "key_a", "key_b", "bands"],
                 )
 
     return run
 
 
-def _confirm(words: int):
-    """Candidate rows with both texts to the similarity of their full sets, as intersection over union."""
+def _confirm(words: int, percent: int):
+    """Candidate rows with both texts to those whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -82,17 +73,68 @@ def _confirm(words: int):
             sets: list[np.ndarray] = []
             for at in range(0, len(texts), 256):
                 sets += shingle_sets([t.encode() for t in texts[at : at + 256]], words)
-            both, either = [], []
+            ok = []
             for i, s in enumerate(sets):
                 if heads[i] != last:
                     last, last_set = heads[i], shingle_sets([batch.column("text_a")[i].as_py().encode()], words)[0]
-                both.append(len(np.intersect1d(last_set, s, assume_unique=True)))
-                either.append(len(last_set) + len(s) - both[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+                both = len(np.intersect1d(last_set, s, assume_unique=True))
+                ok.append(100 * both >= percent * (len(last_set) + len(s) - both))
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def _block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between (node, root, set) entries of different roots, by an inverted index over ``right``."""
+    sizes = np.array([len(s) for _, _, s in right])
+    roots = np.array([r for _, r, _ in right])
+    shingles = np.concatenate([s for _, _, s in right])
+    owners = np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owners = shingles[order], owners[order]
+    out = []
+    for node, root, s in left:
+        lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+        n = hi - lo
+        # places of all postings of the set's shingles
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(owners[at], minlength=len(right))
+        for k in np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (roots != root)).tolist():
+            out.append((node, right[k][0]))
+    return out
+
+
+def _family_links(words: int, percent: int):
+    """Rows (g, lb, rb, side, node, root, text), ordered by block and side, to the blocks' links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+        for batch in _and_end(batches):
+            rows = [] if batch is None else zip(*(batch.column(c).to_pylist() for c in ("g", "lb", "rb", "side", "node", "root")), shingle_sets([t.encode() for t in batch.column("text").to_pylist()], words), strict=True)
+            found: list[tuple[int, int]] = []
+            for g, lb, rb, side, node, root, s in rows:
+                if (g, lb, rb) != now:
+                    if sides[0] and sides[1]:
+                        found += _block_links(*sides, percent)
+                    now, sides = (g, lb, rb), ([], [])
+                sides[side].append((node, root, s))
+            if batch is None and sides[0] and sides[1]:
+                found += _block_links(*sides, percent)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _and_end(batches: Iterator) -> Iterator:
+    """The batches in parts of 256 rows, then None."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+    yield None
+
+
 def _shared(buckets: DataFrame) -> DataFrame:
     """Only keys of several nodes: most have one and end here. One shuffle serves both uses."""
     dealt = buckets.repartition("key")
@@ -101,29 +143,31 @@ def _shared(buckets: DataFrame) -> DataFrame:
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
-    """A candidate from each bucket's smallest node to each other one. buckets: key, node, band."""
+    """A candidate from each bucket's smallest node to each other one. buckets: key, node."""
     heads = buckets.groupBy("key").agg(F.min("node").alias("a"))
     return buckets.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _more_stars(buckets: DataFrame, roots: DataFrame, tried: DataFrame, marks: DataFrame, centres: int, percent: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(untried candidates of buckets with several components, the buckets that have too many centres)."""
-    held = buckets.join(roots, "node", "left").select("key", "node", "band", F.coalesce("root", "node").alias("root"))
-    parts = held.groupBy("key", "root").agg(F.count("*").alias("n_"), F.min("node").alias("head_"))
-    mixed = parts.groupBy("key").agg(F.sum("n_").alias("all_"), F.max(F.struct("n_", "root")).alias("top_"), F.min("head_").alias("head"), F.count("*").alias("parts_")).where("parts_ > 1")
-    mixed = mixed.select("key", "head", F.col("top_.root").alias("largest"), (F.col("all_") - F.col("top_.n_")).alias("rest"))
-    held = saved(held.join(mixed, "key"), "mixed")
-    few = held.where(F.col("rest") <= centres).join(marks, "node")
-    few = few.join(tried.select(F.col("a").alias("head"), F.col("b").alias("node"), "score"), ["head", "node"], "left").withColumn("score", F.when(F.col("head") == F.col("node"), 1.0).otherwise(F.col("score")))
-    heads = few.where("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("score").alias("score_a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
-    far = " + ".join(f"bit_count(bits[{i}] ^ bits_a[{i}])" for i in range(-(-BANDS * ROWS // 64)))
-    can = f"""root <> root_a AND 100 * least(n_shingles, n_a) >= {percent} * greatest(n_shingles, n_a) AND (least(n_shingles, n_a) < {BANDS * ROWS} OR {far} <= {most_bits})
-        AND (score IS NULL OR score_a IS NULL OR abs(score - score_a) <= {1 - percent / 100} + 1e-9)"""
-    pairs = few.join(heads, "key").where(can).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    return saved(pairs.join(tried, ["a", "b"], "left_anti"), "untried"), held.where(F.col("rest") > centres).select("key", "node", "band")
-
-
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, centres: int = CENTRES) -> DataFrame:
+def _families(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(g, node, root): nodes of buckets with several components, by the root of the bucket's largest one."""
+    held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("n_"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n_", "root")).alias("top_"), F.count("*").alias("parts_")).where("parts_ > 1").select("key", F.col("top_.root").alias("g"))
+    return held.join(mixed, "key").select("g", "node", "root").distinct()
+
+
+def _blocks(family: DataFrame, block: int) -> DataFrame:
+    """Each family dealt into blocks: side 0 has the nodes outside its component g, side 1 all of them."""
+    sizes = family.groupBy("g").agg(F.ceil(F.count_if(F.col("root") != F.col("g")) / block).alias("n_l"), F.ceil(F.count("*") / block).alias("n_r"))
+    f = family.join(sizes, "g").where("n_l > 0")
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = f.where("root <> g").select("g", own(F.col("n_l")).alias("lb"), every("n_r").alias("rb"), F.lit(0).alias("side"), "node", "root")
+    right = f.select("g", every("n_l").alias("lb"), own(F.col("n_r")).alias("rb"), F.lit(1).alias("side"), "node", "root")
+    return left.unionByName(right)
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id, kept, and text_key, row_kept.
 
     Letters A-Z are lower-cased; words are parted by space and \\x09 to \\x0D. Null and empty texts
@@ -140,44 +184,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_key")).alias("first")
     nodes = named.groupBy("n_shingles", "key_a", "key_b").agg(first)
     nodes = saved(nodes.select(F.col("first.row").alias("node"), "first.doc_id", "first.text_key", "n_shingles", "key_a", "key_b"), "nodes")
-    own = named.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "n_shingles", "bits")
-    buckets = saved(_shared(own.select("node", F.posexplode("bands").alias("band", "own")).select("node", "band", F.xxhash64("band", "own").alias("key"))), "buckets")
+    own = named.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "own"))
+    buckets = saved(_shared(own.select("node", F.xxhash64("band", "own").alias("key"))), "buckets")
     # from here on only nodes that share a band with another one matter
-    near = saved(own.join(buckets.select("node").distinct(), "node", "left_semi"), "near")
-    bands_of, marks = near.select("node", F.posexplode("bands").alias("band", "own")), near.select("node", "n_shingles", "bits")
-    wanted = nodes.join(near.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("text_key").alias("text_key_"))
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("text_key").alias("text_key_"))
     texts = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))).select("node", "text")
     texts = saved(texts.dropDuplicates(["node"]), "texts")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the similarity of their full sets and whether it makes a link."""
-        full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        found = full.sortWithinPartitions("a").mapInArrow(_confirm(words), "a long, b long, both long, either long")
-        return saved(found.select("a", "b", (F.col("both") / F.col("either")).alias("score"), (100 * F.col("both") >= percent * F.col("either")).alias("link")), "scored")
-
-    # bins of a link agree with probability 0.9 in their lowest bit
-    n_bins, agree = bands * rows, (1 + percent / 100) / 2
-    most_bits = int(n_bins * (1 - agree) + 6 * (n_bins * agree * (1 - agree)) ** 0.5) + 1
-    tried = scored(_stars(buckets))
-    links = tried.where("link").select("a", "b")
+    full = _stars(buckets).join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    links = saved(full.sortWithinPartitions("a").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
     roots = saved(components(links), "roots")
-    scratch = [buckets, near, texts, tried]
-    for depth in range(DEPTH + 1):
-        untried, buckets = _more_stars(buckets, roots, tried, marks, centres if depth < DEPTH else 1 << 60, percent, most_bits)
-        if not untried.isEmpty():
-            more = scored(untried)
-            scratch += [untried, more]
-            tried = tried.unionByName(more)
-            if not more.where("link").isEmpty():
-                links = links.unionByName(more.where("link").select("a", "b"))
-                roots = saved(components(links), "roots")
-        if depth == DEPTH or buckets.isEmpty():
-            break
-        finer = buckets.withColumnRenamed("band", "last").join(bands_of, "node").where("band > last")
-        buckets = saved(_shared(finer.select("node", "band", F.xxhash64("key", "band", "own").alias("key"))), "buckets")
-        scratch.append(buckets)
-    for done in scratch:
-        drop_saved(done)
+    blocks = _blocks(saved(_families(buckets, roots), "families"), block)
+    place = ["g", "lb", "rb"]
+    dealt = blocks.join(texts, "node").repartition(*place).sortWithinPartitions(*place, "side")
+    more = saved(dealt.select(*place, "side", "node", "root", "text").mapInArrow(_family_links(words, percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        roots = saved(components(links.unionByName(more)), "roots")
+    drop_saved(buckets)
+    drop_saved(texts)
     # the smallest document of every component, then back to all rows by their sets
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best"))

@@ -144,10 +144,3 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     cut = sig[:, : bands * rows].reshape(len(sig), bands, rows)
     return mix((mix(cut) * weights).sum(axis=2, dtype=np.uint64) + weights[:, 0]).view(np.int64)
 
-
-def low_bits(sig: np.ndarray) -> np.ndarray:
-    """One bit of every bin, packed into 64-bit numbers; unused bits are 0."""
-    bits = (mix(sig) & np.uint64(1)).astype(np.uint8)
-    pad = -bits.shape[1] % 64
-    packed = np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1)
-    return packed.view(">i8").astype(np.int64)
