@@ -11,3 +11,139 @@ def forward_returns(df: DataFrame, horizons: list[int], keys: list[str], digits:
     w = Window.partitionBy(*keys).orderBy("ts_ms")
     r = lambda c: F.round(c, digits) if digits is not None else c
     return df.select(*keys, "ts_ms", *[r(F.lead("close", h).over(w) / F.col("close") - 1).alias(f"fwd_{h}") for h in horizons])
+
+
+def _numbers(df: DataFrame, keys: list[str]) -> list[str]:
+    return [c for c, t in df.dtypes if c not in keys and t in ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")]
+
+
+def frame_diff(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str] | None = None, both_ways: bool = True) -> DataFrame:
+    """Per column: largest absolute difference and rows where only one side is null (``both_ways``) or only the left one."""
+    cols = columns or [c for c in _numbers(left, keys) if c in right.columns]
+    long = lambda d, n: d.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, "column", n)
+    j = long(left, "a").join(long(right, "b"), [*keys, "column"])
+    one = (F.col("a").isNull() != F.col("b").isNull()) if both_ways else (F.col("a").isNull() & F.col("b").isNotNull())
+    return j.groupBy("column").agg(F.coalesce(F.max(F.abs(F.col("a") - F.col("b"))), F.lit(0.0)).alias("max_diff"), F.count_if(one).alias("null_mismatch"))
+
+
+def _finding(df: DataFrame, check: str, severity, message) -> DataFrame:
+    return df.select(F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "column", (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+
+def _ranked(bars: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Bars with their place in time over all, and how many there are."""
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("ts_ms")
+        out = bars.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    else:
+        out = bars.withColumn("_i", F.row_number().over(Window.orderBy("ts_ms"))).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    return out
+
+
+def prefix_invariance(bars: DataFrame, build, keys: list[str], cuts: tuple[float, ...] = (0.7, 0.81, 0.92), compare: int = 50, tol: float = 1e-9) -> DataFrame:
+    """Columns whose last values before a cut change when the bars after it are taken away."""
+    ranked = _ranked(bars, keys)
+    whole = build(bars)
+    worst = None
+    for cut in cuts:
+        upto = ranked.where(F.col("_i") <= F.floor(F.col("_n") * cut))
+        tail = upto.where(F.col("_i") > F.floor(F.col("_n") * cut) - compare).select(*keys, "ts_ms")
+        part = build(upto.drop("_i", "_n")).join(tail, [*keys, "ts_ms"], "left_semi")
+        d = frame_diff(part, whole, [*keys, "ts_ms"], both_ways=False).unionByName(frame_diff(part, whole, [*keys, "ts_ms"]).withColumn("null_mismatch", F.lit(0).cast("long")))
+        worst = d if worst is None else worst.unionByName(d)
+    bad = worst.groupBy("column").agg(F.max("max_diff").alias("d"), F.max("null_mismatch").alias("n")).where((F.col("d") > tol) | (F.col("n") > 0))
+    return _finding(bad, "prefix_invariance", "HARD", "changes when later bars are removed")
+
+
+def future_mutation(bars: DataFrame, build, keys: list[str], cut: float = 0.8, tol: float = 1e-9) -> DataFrame:
+    """Columns whose past changes when prices after the cut are multiplied by ten."""
+    ranked = _ranked(bars, keys)
+    past = ranked.where(F.col("_i") <= F.floor(F.col("_n") * cut)).select(*keys, "ts_ms")
+    later, x10 = F.col("_i") > F.floor(F.col("_n") * cut), F.col("close") * 10
+    mutated = ranked.withColumns({c: F.when(later, x10).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}).drop("_i", "_n")
+    d = frame_diff(build(bars).join(past, [*keys, "ts_ms"], "left_semi"), build(mutated), [*keys, "ts_ms"])
+    return _finding(d.where((F.col("max_diff") > tol) | (F.col("null_mismatch") > 0)), "future_mutation", "HARD", "past changes with the future")
+
+
+def responsiveness(bars: DataFrame, build, keys: list[str], tip: int = 40, tol: float = 1e-12) -> DataFrame:
+    """Columns that stay as they are when the last bars' path of returns is turned around; all of them: the builder is frozen."""
+    ranked = _ranked(bars, keys)
+    w = Window.partitionBy(*keys).orderBy("_i")
+    r = ranked.withColumn("_tip", F.col("_i") > F.col("_n") - tip).withColumn("_r", F.log(F.col("close") / F.lag("close").over(w)))
+    back = r.where("_tip").select(*keys, (2 * F.col("_n") - tip + 1 - F.col("_i")).alias("_i"), F.col("_r").alias("_rr"))
+    base = r.where(F.col("_i") == F.col("_n") - tip).select(*keys, F.col("close").alias("_base"))
+    new = r.join(back, [*keys, "_i"], "left").join(base, keys, "left") if keys else r.join(back, "_i", "left").crossJoin(F.broadcast(base))
+    moved = F.col("_base") * F.exp(F.sum(F.coalesce("_rr", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    scale = F.when(F.col("_tip"), moved / F.col("close")).otherwise(1.0)
+    new = new.withColumn("_scale", scale).withColumns({c: F.col(c) * F.col("_scale") for c in ("open", "high", "low", "close")}).select(*bars.columns)
+    tips_ = r.where("_tip").select(*keys, "ts_ms")
+    d = frame_diff(build(bars).join(tips_, [*keys, "ts_ms"], "left_semi"), build(new), [*keys, "ts_ms"])
+    stuck = d.withColumn("_stuck", (F.col("max_diff") <= tol) & (F.col("null_mismatch") == 0))
+    n = stuck.agg(F.count("*").alias("_all"), F.count_if("_stuck").alias("_bad"))
+    out = stuck.crossJoin(F.broadcast(n)).where("_stuck")
+    severity = F.when(F.col("_bad") == F.col("_all"), "HARD").otherwise("ADVISORY")
+    return _finding(out.where((F.col("_bad") == F.col("_all")) | (F.col("_bad") >= F.greatest(F.lit(3), F.col("_all") * 0.5))), "responsiveness", severity, "does not move with the last bars")
+
+
+def streaming_tip(batch: DataFrame, stream: DataFrame, keys: list[str], tol: float = 1e-9) -> DataFrame:
+    """Columns that a bar-by-bar run and a batch run give differently at the last common bar."""
+    last = batch.groupBy(*keys).agg(F.max("ts_ms").alias("ts_ms"))
+    d = frame_diff(batch.join(last, [*keys, "ts_ms"], "left_semi"), stream, [*keys, "ts_ms"])
+    return _finding(d.where((F.col("max_diff") > tol) | (F.col("null_mismatch") > 0)), "streaming_tip", "HARD", "stream and batch disagree")
+
+
+def forward_correlation(features: DataFrame, bars: DataFrame, keys: list[str], horizons: list[int], hard: float = 0.5, advisory: float = 0.2, least_rows: int = 100, least_finite: int = 50, check: str = "forward_corr") -> DataFrame:
+    """Per column its strongest correlation with a forward return, and how bad that is."""
+    fwd = forward_returns(bars, horizons, keys)
+    cols = _numbers(features, [*keys, "ts_ms"])
+    names = [f"fwd_{h}" for h in horizons]
+    x = features.select(*keys, "ts_ms", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([*keys, "ts_ms"], cols, "column", "x")
+    y = fwd.unpivot([*keys, "ts_ms"], names, "horizon", "y")
+    ok = F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y")
+    g = x.join(y, [*keys, "ts_ms"]).groupBy("column", "horizon").agg(F.count("*").alias("_all"), F.count_if(ok).alias("n"), F.corr(F.when(ok, F.col("x")), F.when(ok, F.col("y"))).alias("corr"), F.stddev_samp(F.when(ok, F.col("x"))).alias("_sd"))
+    g = g.where((F.col("_all") >= least_rows) & (F.col("n") >= least_finite) & (F.col("_sd") >= 1e-15) & F.col("corr").isNotNull())
+    top = g.groupBy("column").agg(F.max_by(F.struct("horizon", "corr", "n"), F.struct(F.abs("corr"), "horizon")).alias("t")).select("column", "t.*")
+    level = F.when(F.abs("corr") >= hard, "HARD").when(F.abs("corr") >= advisory, "ADVISORY")
+    return top.withColumn("severity", level).withColumn("check", F.lit(check))
+
+
+#: Parts of names that a feature known in time would not bear.
+HARD_TOKENS = ("future", "forward", "fwd_", "_fwd", "lookahead", "look_ahead", "next_", "_next", "target", "label", "outcome", "y_true", "leak")
+ADVISORY_PATTERN = r"(?i)(lead|ahead|tomorrow|t\+\d)"
+
+
+def name_scan(names: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Findings on column names (column)."""
+    hard = F.lit(False)
+    for t in (*HARD_TOKENS, *extra):
+        hard = hard | F.lower("column").contains(t.lower())
+    level = F.when(hard, "HARD").when(F.col("column").rlike(ADVISORY_PATTERN), "ADVISORY")
+    return _finding(names.withColumn("_l", level).where("_l IS NOT NULL"), "name_scan", F.col("_l"), "the name tells of the future")
+
+
+def split_geometry(train: DataFrame, test: DataFrame, min_gap_ms: int) -> DataFrame:
+    """One finding: empty, overlap, order, gap, or OK (advisory)."""
+    t, s = train.agg(F.count("*").alias("n1"), F.max("ts_ms").alias("hi1")), test.agg(F.count("*").alias("n2"), F.min("ts_ms").alias("lo2"))
+    both = train.select("ts_ms").intersect(test.select("ts_ms")).agg(F.count("*").alias("common"))
+    one = t.crossJoin(s).crossJoin(both)  # three rows of one
+    message = F.when((F.col("n1") == 0) | (F.col("n2") == 0), "empty").when(F.col("common") > 0, "overlap").when(F.col("hi1") >= F.col("lo2"), "order").when(F.col("lo2") - F.col("hi1") < min_gap_ms, "gap").otherwise("ok")
+    return one.select(F.lit("split_geometry").alias("check"), F.when(message == "ok", "ADVISORY").otherwise("HARD").alias("severity"), F.lit("*").alias("column"), message.alias("message"), "common")
+
+
+def audit(bars: DataFrame, build, keys: list[str], horizons: list[int]) -> DataFrame:
+    """All checks' findings (check, severity, column, message); none HARD: no leakage was found."""
+    features = build(bars)
+    spark = bars.sparkSession
+    names = spark.createDataFrame([(c,) for c in features.columns if c not in (*keys, "ts_ms")], "column string")
+    out = prefix_invariance(bars, build, keys)
+    for part in (future_mutation(bars, build, keys), responsiveness(bars, build, keys), name_scan(names)):
+        out = out.unionByName(part)
+    corr = forward_correlation(features, bars, keys, horizons).where("severity IS NOT NULL")
+    return out.unionByName(_finding(corr, "forward_corr", F.col("severity"), F.concat(F.lit("correlates with "), F.col("horizon"))))
+
+
+def refuse(columns: list[str], registry: DataFrame) -> None:
+    """Fail if one of the columns is in the registry."""
+    bad = [r["column"] for r in registry.where(F.col("column").isin(columns)).select("column").limit(20).collect()]
+    if bad:
+        raise ValueError(f"features with leakage potential: {sorted(bad)}")

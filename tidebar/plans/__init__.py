@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("market", "structure", "trades", "orders", "outcomes")
+MODULES = ("market", "structure", "trades", "orders", "outcomes", "leaks")
 
 
 def load() -> tuple[dict, dict]:
