@@ -27,14 +27,14 @@ from tidebar.llm.common import saved, table
 QUERY = "op1_ann"
 ORACLE_SQL = None  # approximate; tests measure recall against brute force
 
-PROJECTIONS = 48
+PROJECTIONS = 80
 #: Width of the windows at radius 1, and the share of arrays in which a vector must collide. A vector
 #: at the radius collides in an array with probability 0.826 (a normal variable within 1.36).
 WIDTH, THRESHOLD = 2.72, 0.80
 #: First radius and factor of virtual rehashing; distances are at most 2.
-RADIUS, FACTOR = 0.5, 1.2
+RADIUS, FACTOR = 0.7, 1.15
 #: Share of a block whose verification ends a query before the radius is reached.
-VERIFIED = 0.02
+VERIFIED = 0.3
 #: Rows and queries of a block.
 BLOCK, QUERY_BLOCK = 16384, 1024
 NEAREST = 20
@@ -51,9 +51,10 @@ class Block:
         self.unit = np.column_stack([unit, rest])
         self.lines = np.random.Generator(np.random.PCG64(7)).standard_normal((self.unit.shape[1], projections))
         at = self.unit @ self.lines
-        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(at, axis=0, kind="stable").T.copy()  # of the width that counting takes without a copy
         self.sorted = np.take_along_axis(at, self.order.T, axis=0).T.copy()
         self.longest = longest
+        self.short = self.vectors.astype(np.float32)
 
     def search(self, vectors: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (ids, inner products) of the nearest found, nearest first; ties to the smaller id."""
@@ -67,11 +68,13 @@ class Block:
         hi = lo.copy()
         hits = np.zeros((len(vectors), n), np.int16)
         rows = [np.zeros(0, np.int64) for _ in vectors]
-        products = [np.zeros(0) for _ in vectors]
+        products = [np.zeros(0, np.float32) for _ in vectors]  # they order; scores are made anew
+        short = vectors.astype(np.float32)
         active = list(range(len(vectors)))
         radius = RADIUS
         while active and radius <= 2 * FACTOR:
             half = WIDTH / 2 * radius
+            near = (1 - radius * radius / 2) * lengths * self.longest  # inner products within the radius
             a = np.column_stack([np.searchsorted(s, at[active, j] - half, "left") for j, s in enumerate(self.sorted)])
             b = np.column_stack([np.searchsorted(s, at[active, j] + half, "right") for j, s in enumerate(self.sorted)])
             going = []
@@ -80,15 +83,13 @@ class Block:
                 new = np.concatenate([part for o, a_, l_, h_, b_ in ends for part in (o[a_:l_], o[h_:b_])])
                 before = hits[q]
                 now = before + np.bincount(new, minlength=n).astype(np.int16)
+                fresh = np.flatnonzero((now >= need) & (before < need))
                 lo[q], hi[q], hits[q] = a[i], b[i], now
-                fresh = np.flatnonzero((now >= need) & ((before < need) | (radius == RADIUS)))
                 fresh = fresh[self.ids[fresh] != own[q]]
                 if len(fresh):
                     rows[q] = np.concatenate([rows[q], fresh])
-                    products[q] = np.concatenate([products[q], (self.vectors[fresh] * vectors[q]).sum(axis=1)])
-                # inner products of vectors within the radius of the query
-                near = 1 - radius * radius / 2
-                if (products[q] >= near * lengths[q] * self.longest).sum() < k and len(rows[q]) < min(enough, others[q]):
+                    products[q] = np.concatenate([products[q], self.short[fresh] @ short[q]])
+                if (products[q] >= near[q]).sum() < k and len(rows[q]) < min(enough, others[q]):
                     going.append(q)
             active = going
             radius *= FACTOR
@@ -96,9 +97,13 @@ class Block:
         for q in range(len(vectors)):
             if len(rows[q]) < min(k, others[q]):  # fewer collisions than asked for: verify all
                 rows[q] = np.flatnonzero(self.ids != own[q])
-                products[q] = (self.vectors[rows[q]] * vectors[q]).sum(axis=1)
-            best = np.lexsort((self.ids[rows[q]], -products[q]))[:k]
-            out.append((self.ids[rows[q][best]], products[q][best]))
+                products[q] = self.short[rows[q]] @ short[q]
+            if len(rows[q]) > k:  # all that rounding could put among the nearest, ties too
+                least = np.partition(products[q], -k)[-k] - 1e-5 * lengths[q] * self.longest
+                rows[q] = rows[q][products[q] >= least]
+            score = (self.vectors[rows[q]] * vectors[q]).sum(axis=1)
+            best = np.lexsort((self.ids[rows[q]], -score))[:k]
+            out.append((self.ids[rows[q][best]], score[best]))
         return out
 
 
