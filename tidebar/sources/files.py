@@ -16,9 +16,9 @@ TIMEFRAME_IN_NAME = r"(?i)(?:^|[^0-9a-z])(1m|5m|15m|1h|4h|1d|1w)(?:[^0-9a-z]|$)"
 
 
 def _csv(spark: SparkSession, paths: str | list[str], n: int) -> DataFrame:
-    """Rows of at least ``n`` text columns c0, c1, ..., with their file."""
+    """Rows of at least ``n`` text columns c0, c1, ..., with their file and place."""
     schema = ", ".join(f"c{i} string" for i in range(n))
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").csv(paths).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"))
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").csv(paths).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("place"))
 
 
 def kline_csv(rows: DataFrame, seq: Column | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def kline_csv(rows: DataFrame, seq: Column | None = None) -> DataFrame:
     ts = F.col("c0").try_cast("long")
     ts = F.when(ts > 100_000_000_000_000, F.floor(ts / 1000)).otherwise(ts)
     out = rows.where(F.col("c0").rlike("^[0-9]")).select(
-        *[c for c in rows.columns if not c.startswith("c")], ts.cast("long").alias("ts_ms"), *[safe_double(F.col(f"c{i}")).alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)], (seq if seq is not None else F.monotonically_increasing_id()).alias("_seq"),
+        *[c for c in rows.columns if c not in {f"c{i}" for i in range(6)}], ts.cast("long").alias("ts_ms"), *[safe_double(F.col(f"c{i}")).alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)], (seq if seq is not None else F.monotonically_increasing_id()).alias("_seq"),
     )
     out = out.dropna(subset=["ts_ms", "open", "high", "low", "close"])
     keys = [c for c in out.columns if c in ("symbol", "timeframe", "source")]
@@ -34,7 +34,7 @@ def kline_csv(rows: DataFrame, seq: Column | None = None) -> DataFrame:
 
 
 def read_klines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return kline_csv(_csv(spark, paths, 6))
+    return kline_csv(_csv(spark, paths, 6), F.col("place")).drop("place")
 
 
 def read_kline_archive(spark: SparkSession, monthly: list[str], daily: list[str], tail: DataFrame | None, start_ms: int, end_ms: int) -> DataFrame:
@@ -60,7 +60,7 @@ def by_header(rows: DataFrame, wanted: dict[str, tuple[str, ...]], n: int, key:
     values = F.array(*[F.col(f"c{i}") for i in range(n)])
     out = rows.where(~is_head).withColumn("_v", values).join(heads, key)
     pick = lambda names: F.coalesce(*[F.try_element_at("_v", F.nullif(F.array_position("_h", a.lower()), F.lit(0)).cast("int")) for a in names])
-    return out.select(key, "file", *[pick(names).alias(c) for c, names in wanted.items()])
+    return out.select(key, "file", "place", *[pick(names).alias(c) for c, names in wanted.items()])
 
 
 OI_ALIASES = {"time": ("create_time", "timestamp", "time"), "oi": ("sum_open_interest", "open_interest", "oi"), "oi_usd": ("sum_open_interest_value", "open_interest_value", "oi_usd"), "ls_ratio": ("count_long_short_ratio", "long_short_ratio"), "taker_ratio": ("sum_taker_long_short_vol_ratio", "taker_ratio")}
@@ -73,7 +73,7 @@ def any_time(c: Column) -> Column:
 
 def read_open_interest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     out = by_header(_csv(spark, paths, 8), OI_ALIASES, 8)
-    out = out.select(any_time(F.col("time")).alias("ts_ms"), *[safe_double(F.col(c)).alias(c) for c in OI_ALIASES if c != "time"], F.monotonically_increasing_id().alias("_seq"))
+    out = out.select(any_time(F.col("time")).alias("ts_ms"), *[safe_double(F.col(c)).alias(c) for c in OI_ALIASES if c != "time"], F.col("place").alias("_seq"))
     return last_per_key(out.where("ts_ms IS NOT NULL AND oi IS NOT NULL"), ["ts_ms"], "_seq").drop("_seq")
 
 
