@@ -36,7 +36,7 @@ ENTRIES, CONTRAST = 400, 8.0
 #: Characters of a word's beginnings.
 STEMS = range(4, 11)
 #: Gains kept by a worker process.
-GAINS_KEPT = 400_000
+GAINS_KEPT = 200_000
 EDGES = ".,;:!?#$%&*|\"'()[]{}<>-_"
 #: What starts every window: known to both dictionaries, so that a block is never stored raw.
 PRIMER = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ=+<>[]{}@^~_/"
@@ -138,8 +138,8 @@ def _measure(toxic: bytes, ordinary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _gains.setdefault((toxic, ordinary), Gains(toxic, ordinary))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 words = [words_of(t) for t in part.column("text").to_pylist()]
                 gain = own.of(set().union(*words))
                 found = [features(np.fromiter(map(gain.__getitem__, w), np.int64, len(w))) for w in words]

@@ -33,7 +33,9 @@ FAN_IN = 32
 #: Id that ends every document.
 END_ID = 1
 #: Encoded words that one Python worker keeps; beyond this a new table starts and the one before is kept.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
+#: Texts whose words are held at a time.
+TEXTS = 200
 
 #: What the vocabulary file's pre-tokeniser matches, for lower-cased Latin-1 text.
 LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -169,16 +171,18 @@ def _pack(path: str, window: int, most: int, end_id: int):
         encode = encoder(path).encode
         space = OpenWindows(window, most, part << 36)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    length = min(window, n - start)
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    at, offset = (space.new_id(), 0) if length == window else space.place(length)
-                    rows.append((doc_id, start, length, crc, n, at, offset, 0))
-            yield _frame(rows, part)
+            for first in range(0, batch.num_rows, TEXTS):
+                rows: list[tuple] = []
+                some = batch.slice(first, TEXTS)
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, window):
+                        length = min(window, n - start)
+                        crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                        at, offset = (space.new_id(), 0) if length == window else space.place(length)
+                        rows.append((doc_id, start, length, crc, n, at, offset, 0))
+                yield _frame(rows, part)
         # the windows still open: their pieces are already written, so only levels are told
         yield _frame([(None, -1, 0, 0, 0, s, 0, int(f)) for s, f in zip(space.ids, space.fill, strict=True)], part)
 
