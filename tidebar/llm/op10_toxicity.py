@@ -41,6 +41,9 @@ EDGES = ".,;:!?#$%&*|\"'()[]{}<>-_"
 #: What starts every window: known to both dictionaries, so that a block is never stored raw.
 PRIMER = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ=+<>[]{}@^~_/"
 LEVELS = np.arange(1, 11)
+#: The same for the share of a window that its gain is, in tenths: a whole word of the dictionary saves most of itself.
+SHARES = np.arange(1, 9)
+_WIDTH = 3 + 2 * len(LEVELS) + 2 * len(SHARES)
 
 
 def words_of(text: str) -> list[str]:
@@ -105,9 +108,10 @@ class Gains:
 
         params = zstd.ZstdCompressionParameters(window_log=17, hash_log=12, chain_log=12, search_log=4, min_match=4, target_length=32, strategy=zstd.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0, write_checksum=0)
         self.sides = [zstd.ZstdCompressor(compression_params=params, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT)) for d in (ordinary, toxic)]
-        self.kept: dict[str, int] = {}
+        self.kept: dict[str, tuple[int, int]] = {}
 
-    def of(self, windows: set[str]) -> dict[str, int]:
+    def of(self, windows: set[str]) -> dict[str, tuple[int, int]]:
+        """Each window's (gain, gain in tenths of the window)."""
         new = list(windows.difference(self.kept))
         if len(self.kept) + len(new) > GAINS_KEPT:
             self.kept = {w: self.kept[w] for w in windows if w in self.kept}
@@ -118,18 +122,19 @@ class Gains:
             for side in self.sides:
                 out = side.multi_compress_to_buffer(data)
                 sizes.append([len(out[i]) for i in range(len(out))])
-            self.kept.update(zip(part, (a - b for a, b in zip(*sizes, strict=True)), strict=True))
+            self.kept.update((w, (a - b, 10 * (a - b) // (len(d) - len(PRIMER)))) for w, d, a, b in zip(part, data, *sizes, strict=True))
         return self.kept
 
 
 _gains: dict[tuple[bytes, bytes], Gains] = {}
 
 
-def features(gain: np.ndarray) -> list[float]:
+def features(found: np.ndarray) -> list[float]:
     """What the score sees of a document: its windows' gains; an empty one has none."""
-    if not len(gain):
-        return [0.0] * (3 + 2 * len(LEVELS))
-    at_least = np.array([(gain >= k).sum() for k in LEVELS], float)
+    if not len(found):
+        return [0.0] * _WIDTH
+    gain, share = found[:, 0], found[:, 1]
+    at_least = np.array([(gain >= k).sum() for k in LEVELS] + [(share >= k).sum() for k in SHARES], float)
     top = np.sort(np.partition(gain, -min(3, len(gain)))[-3:])
     return [float(top.mean()), float(top[-1]), float(np.log(len(gain))), *np.log1p(at_least), *np.sqrt(at_least / len(gain))]
 
@@ -142,7 +147,7 @@ def _measure(toxic: bytes, ordinary: bytes):
                 part = batch.slice(at, 200)
                 words = [words_of(t) for t in part.column("text").to_pylist()]
                 gain = own.of(set().union(*words))
-                found = [features(np.fromiter(map(gain.__getitem__, w), np.int64, len(w))) for w in words]
+                found = [features(np.array([gain[x] for x in w], np.int64).reshape(-1, 2)) for w in words]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "text_key", "x"])
 
     return run
@@ -182,7 +187,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = {r["y"]: r["n"] for r in unseen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     learn = unseen if counts.get(1, 0) >= 200 and counts.get(0, 0) >= 200 else known
     rows = found.join(F.broadcast(_some(learn, CALIBRATION_DOCS)), "doc_id").dropDuplicates(["text_key"]).select("x", "y").toPandas()  # bounded, a few numbers each
-    x = np.array(rows["x"].tolist(), float).reshape(-1, 3 + 2 * len(LEVELS))
+    x = np.array(rows["x"].tolist(), float).reshape(-1, _WIDTH)
     if len(x):
         model = logistic(x, rows["y"].to_numpy(float), ridge=1.0)
     else:
