@@ -60,6 +60,21 @@ def merge_registry(old: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def replace_series(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """New rows, and old rows of the series that ``new`` does not have."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def migrate(df: DataFrame, constants: dict[str, dict[str, object]], by: str = "source") -> DataFrame:
+    """Missing columns of a store's older rows, filled with what is known of their source."""
+    for column, values in constants.items():
+        fill: Column = F.lit(None)
+        for source, v in values.items():
+            fill = F.when(F.col(by) == source, F.lit(v)).otherwise(fill)
+        df = df.withColumn(column, F.coalesce(F.col(column), fill) if column in df.columns else fill)
+    return df
+
+
 class Store:
     """A Parquet folder partitioned by its series key, with keyed writes."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import series
 from tidebar.plans.registry import register
-from tidebar.plans.views import TICKS, bars, bars_sql, read, ticks
+from tidebar.plans.views import TICKS, bars, bars_sql, more_bars, read, ticks
 from tidebar.sources import files
 
 _OHLCV = "open, high, low, close, volume"
@@ -113,3 +113,62 @@ def _(spark, d):
     u = F.col("user_id") % 3
     lines = read(spark, d, "events").select(F.col("event_type").alias("k"), F.col("event_id").alias("place"), F.floor(F.col("event_id") / 2).alias("ts_ms"), F.when(u == 0, "DECIDE").when(u == 1, "DATA_UNSAFE").otherwise("idle").alias("line"))
     return files.last_clean(lines, "k")
+
+
+@register("src03_tolerant_scan", "SELECT 'x' AS symbol, 0::BIGINT AS ts_ms WHERE false")
+def _(spark, d):
+    """A store that was never written reads as an empty frame of its schema."""
+    from tidebar.operators.upsert import Store
+    from tidebar.schemas import BARS, KEY
+    from tidebar.scratch import scratch_path
+
+    return Store(spark, scratch_path(spark, "nothing"), KEY, BARS).scan(symbol="click").select("symbol", "ts_ms")
+
+
+@register("src06_archive_merge", f"WITH {bars_sql('1h', 'm', 'seq % 2 = 0')}, {more_bars('dd', '1h', 'seq % 3 = 0')}, u AS (SELECT *, 0 AS p FROM m UNION ALL SELECT *, 1 AS p FROM dd) SELECT symbol, ts_ms, {_OHLCV} FROM u WHERE ts_ms BETWEEN 1704500000000 AND 1706000000000 QUALIFY row_number() OVER (PARTITION BY symbol, ts_ms ORDER BY p DESC) = 1")
+def _(spark, d):
+    from tidebar.plans.views import tick_bars
+
+    t = ticks(spark, d)
+    out = series.priority_union(tick_bars(t.where("seq % 2 = 0"), "1h"), tick_bars(t.where("seq % 3 = 0"), "1h"))
+    return series.drop_junk(out).where("ts_ms BETWEEN 1704500000000 AND 1706000000000").select("symbol", "ts_ms", *_OHLCV.split(", "))
+
+
+def _with_headers(t, heads: dict[str, list[str]], cells: list):
+    """Text rows of a file per symbol, its header first."""
+    n = len(cells)
+    name = F.concat(F.lit("x_"), "symbol", F.when(F.col("symbol") == "click", "_4h").otherwise(""), F.lit(".csv"))
+    body = t.select(name.alias("file"), name.alias("file_path"), (F.col("seq") + 1).alias("place"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    head = t.select("symbol").distinct().select(name.alias("file"), name.alias("file_path"), F.lit(0).cast("long").alias("place"), *[F.when(F.col("symbol") < "m", heads["a"][i]).otherwise(heads["b"][i]).alias(f"c{i}") for i in range(n)])
+    return body.unionByName(head)
+
+
+@register("src07_open_interest_csv", f"WITH {TICKS} SELECT 'x_' || symbol || CASE WHEN symbol = 'click' THEN '_4h' ELSE '' END || '.csv' AS file, ts_ms, price AS oi, price * 2 AS oi_usd FROM ticks WHERE seq % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY symbol, ts_ms ORDER BY seq DESC) = 1")
+def _(spark, d):
+    p = F.col("price")
+    rows = _with_headers(ticks(spark, d), {"a": ["create_time", "sum_open_interest", "sum_open_interest_value"], "b": ["timestamp", "open_interest", "open_interest_value"]}, [F.col("ts_ms").cast("string"), F.when(F.col("seq") % 5 == 0, "bad").otherwise(p.cast("string")), (p * 2).cast("string")])
+    return files.open_interest_rows(rows, 3).select("file", "ts_ms", "oi", "oi_usd")
+
+
+@register("src08_src09_chart_exports", f"WITH {TICKS} SELECT CASE WHEN symbol = 'click' THEN '4h' ELSE '1d' END AS timeframe, (ts_ms // 1000) * 1000 AS ts_ms, CASE WHEN symbol < 'm' THEN price + 1 ELSE price END AS open, price AS close, count(*) AS n FROM ticks GROUP BY ALL")
+def _(spark, d):
+    p, s = F.col("price"), F.floor(F.col("ts_ms") / 1000).cast("string")
+    rows = _with_headers(ticks(spark, d), {"a": ["Time", "Open", "Close"], "b": ["date", "note", "VALUE"]}, [s, (p + 1).cast("string"), p.cast("string")])
+    return files.chart_rows(rows, 3).groupBy("timeframe", "ts_ms", "open", "close").agg(F.count("*").alias("n"))
+
+
+@register("src10_daily_values", "SELECT epoch_us(o_orderdate) // 1000 AS ts_ms, round(sum(round(o_totalprice * 100)::BIGINT) / 100.0::DOUBLE, 2) AS total, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1")
+def _(spark, d):
+    o = read(spark, d, "orders")
+    v = F.when(F.col("o_orderkey") % 4 == 0, ".").otherwise(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))
+    rows = o.select(F.lit("f").alias("file"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c0"), v.alias("c1"))
+    return files.daily_rows(rows).groupBy("ts_ms").agg(F.round(F.sum(F.col("close").cast("long")) / 100.0, 2).alias("total"), F.count("*").alias("n"))
+
+
+@register("src19_srt08_run_listing", "SELECT l_suppkey % 7 AS strategy_id, l_suppkey AS run_id, count(*) AS trades, max(epoch_us(l_shipdate) // 1000) AS newest_ms FROM lineitem WHERE l_suppkey % 7 = 3 GROUP BY ALL ORDER BY newest_ms DESC, run_id LIMIT 50")
+def _(spark, d):
+    from tidebar.functions.scalar import utc_ms
+
+    runs = read(spark, d, "lineitem")
+    out = runs.where("l_suppkey % 7 = 3").groupBy((F.col("l_suppkey") % 7).alias("strategy_id"), F.col("l_suppkey").alias("run_id")).agg(F.count("*").alias("trades"), F.max(utc_ms(F.col("l_shipdate"))).alias("newest_ms"))
+    return out.orderBy(F.desc("newest_ms"), "run_id").limit(50)

@@ -128,3 +128,43 @@ def _(spark, d):
 def _(spark, d):
     e = read(spark, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.max("user_id").alias("bars"))
     return e.select("symbol", F.explode(F.array(F.lit("1h"), F.lit("4h"))).alias("timeframe"), "bars").dropDuplicates(["symbol", "timeframe"])
+
+
+@register("snk04_replace_series", f"WITH {bars_sql('1h', 'even', 'seq % 2 = 0')}, {_ODD} SELECT symbol, ts_ms, close FROM odd WHERE symbol < 'm' UNION ALL SELECT symbol, ts_ms, close FROM even WHERE symbol NOT IN (SELECT symbol FROM odd WHERE symbol < 'm')")
+def _(spark, d):
+    old, new = _two(spark, d)
+    return up.replace_series(old, new.where("symbol < 'm'"), ["source", "symbol", "timeframe"]).select("symbol", "ts_ms", "close")
+
+
+@register("snk05_snk13_snapshot", f"WITH {bars_sql()} SELECT source, symbol, timeframe, count(*) AS bars, min(ts_ms) AS min_ts_ms, max(ts_ms) AS max_ts_ms FROM bars GROUP BY ALL")
+def _(spark, d):
+    """A snapshot table written over by the next one, and read back."""
+    from tidebar.scratch import scratch_path
+
+    path = scratch_path(spark, "snapshot")
+    for part in (bars(spark, d).where("symbol < 'm'"), bars(spark, d)):
+        series.coverage(part).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("snk11_snk12_run_store", f"WITH {TRADES} SELECT account % 5 AS strategy_id, account AS run_id, count(*) AS trades, round(sum(pnl), 4) AS pnl FROM trades GROUP BY ALL")
+def _(spark, d):
+    """Trades kept by strategy and run; the catalog is a summary of them."""
+    from tidebar.scratch import scratch_path
+
+    path = scratch_path(spark, "runs")
+    t = trades(spark, d).withColumn("strategy_id", F.col("account") % 5).withColumnRenamed("account", "run_id")
+    t.repartition("strategy_id").write.partitionBy("strategy_id").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("strategy_id").cast("long").alias("strategy_id"), "run_id").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 4).alias("pnl"))
+
+
+@register("snk16_migrate", f"WITH {bars_sql()} SELECT symbol, ts_ms, 'mark' AS price_type, CASE WHEN symbol < 'm' THEN 'a' END AS venue FROM bars")
+def _(spark, d):
+    b = bars(spark, d).select(F.when(F.col("symbol") < "m", "one").otherwise("two").alias("source"), "symbol", "ts_ms")
+    return up.migrate(b, {"price_type": {"one": "mark", "two": "mark"}, "venue": {"one": "a"}}).select("symbol", "ts_ms", "price_type", "venue")
+
+
+@register("snk17_stale_instruments", f"WITH {TICKS} SELECT symbol, max(ts_ms) AS retrieved_at_ms, 1706700000000 - max(ts_ms) > 100000000 AS stale FROM ticks GROUP BY symbol")
+def _(spark, d):
+    latest = up.latest_events(ticks(spark, d).select("symbol", F.col("ts_ms").alias("retrieved_at_ms")), ["symbol"], "retrieved_at_ms")
+    return latest.withColumn("stale", 1_706_700_000_000 - F.col("retrieved_at_ms") > 100_000_000)

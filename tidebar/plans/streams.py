@@ -56,3 +56,45 @@ def _(spark, d):
     w = t.groupBy(F.col("user_id").alias("key")).agg(F.min("ts_ms").alias("want_from"), F.max("ts_ms").alias("want_to"))
     h = t.where("seq % 3 = 0").groupBy(F.col("user_id").alias("key")).agg(F.min("ts_ms").alias("have_from"), F.max("ts_ms").alias("have_to"))
     return sb.uncovered(w, h, 7_200_000)
+
+
+@register("st02_st03_upsert_stream", f"WITH {TICKS} SELECT symbol, ts_ms, price AS close FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, ts_ms ORDER BY seq) = 1")
+def _(spark, d):
+    """The event file as a stream of closed frames that keeps a store; what the store holds afterwards."""
+    from tidebar.functions.scalar import utc_ms
+    from tidebar.operators.upsert import Store
+    from tidebar.plans.views import read
+    from tidebar.schemas import LIVE_BARS
+    from tidebar.scratch import scratch_path
+
+    e = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    p = F.col("value").cast("string")
+    frame = F.concat(F.lit('{"e":"kline","k":{"t":'), utc_ms(F.col("ts")), F.lit(',"s":"'), "event_type", F.lit('","i":"1h","o":"1","h":"2","l":"0.5","c":"'), p, F.lit('","v":"3","x":true}}'))
+    extra = {"quote_volume": "double", "trades": "long", "taker_buy_base": "double", "taker_buy_quote": "double"}
+    frames = sb.closed_frames(e.select(frame.alias("value"))).select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra.items()])
+    store = Store(spark, scratch_path(spark, "live"), ["exchange", "symbol", "timeframe"], LIVE_BARS)
+    sb.upsert_stream(frames, store, scratch_path(spark, "cp"), ["open", "high", "low", "close", "volume", *extra], list(extra)).start().awaitTermination()
+    return store.read().select("symbol", "ts_ms", "close")
+
+
+@register("st09_online_resample", f"WITH {bars_sql()}, w AS (SELECT max(ts_ms) - 600000 AS wm FROM ticks) SELECT symbol, ts_ms, open, high, low, close, volume FROM bars, w WHERE ts_ms + {H} <= wm")
+def _(spark, d):
+    """Hourly bars of the event stream, as far as the watermark has closed them."""
+    from tidebar.plans.views import read
+    from tidebar.scratch import scratch_path
+
+    e = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    t = e.select(F.col("event_type").alias("symbol"), F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"))
+    out = scratch_path(spark, "hours")
+    sb.online_resample(t, "ts", "1 hour", "10 minutes", ["symbol"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("st06_allowed", f"WITH {TICKS}, l AS (SELECT symbol, user_id, seq FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, user_id ORDER BY seq DESC) = 1) SELECT symbol, user_id::VARCHAR AS timeframe, seq % 4 = 0 AS allow FROM l")
+def _(spark, d):
+    from tidebar.operators.upsert import flags
+
+    t = ticks(spark, d).select(F.lit("x").alias("exchange"), "symbol", F.col("user_id").cast("string").alias("timeframe"), "seq")
+    key = ["exchange", "symbol", "timeframe"]
+    log = t.select(*key, "seq", F.when(F.col("seq") % 4 != 0, "set").otherwise("clear").alias("action"), F.lit("r").alias("reason"))
+    return sb.allowed(t.select(*key).distinct(), flags(log, key), None).select("symbol", "timeframe", "allow")

@@ -72,9 +72,13 @@ def any_time(c: Column) -> Column:
 
 
 def read_open_interest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    out = by_header(_csv(spark, paths, 8), OI_ALIASES, 8)
-    out = out.select(any_time(F.col("time")).alias("ts_ms"), *[safe_double(F.col(c)).alias(c) for c in OI_ALIASES if c != "time"], F.col("place").alias("_seq"))
-    return last_per_key(out.where("ts_ms IS NOT NULL AND oi IS NOT NULL"), ["ts_ms"], "_seq").drop("_seq")
+    return open_interest_rows(_csv(spark, paths, 8), 8)
+
+
+def open_interest_rows(rows: DataFrame, n: int) -> DataFrame:
+    out = by_header(rows, OI_ALIASES, n)
+    out = out.select("file", any_time(F.col("time")).alias("ts_ms"), *[safe_double(F.col(c)).alias(c) for c in OI_ALIASES if c != "time"], F.col("place").alias("_seq"))
+    return last_per_key(out.where("ts_ms IS NOT NULL AND oi IS NOT NULL"), ["file", "ts_ms"], "_seq").drop("_seq")
 
 
 CHART_ALIASES = {"time": ("time", "date", "datetime", "timestamp"), "open": ("open",), "high": ("high",), "low": ("low",), "close": ("close", "price", "value"), "volume": ("volume",)}
@@ -82,18 +86,26 @@ CHART_ALIASES = {"time": ("time", "date", "datetime", "timestamp"), "open": ("op
 
 def read_chart_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Chart exports; the timeframe is in the file name (else 1d); open, high and low default to the close."""
-    out = by_header(_csv(spark, paths, 8), CHART_ALIASES, 8)
+    return chart_rows(_csv(spark, paths, 8), 8)
+
+
+def chart_rows(rows: DataFrame, n: int) -> DataFrame:
+    out = by_header(rows, CHART_ALIASES, n)
     raw = any_time(F.col("time"))
     ts = F.when(raw < 10_000_000_000, raw * 1000).otherwise(raw)
     close = safe_double(F.col("close"))
     tf = F.lower(F.regexp_extract("file", TIMEFRAME_IN_NAME, 1))
-    return out.select(F.when(tf == "", "1d").otherwise(tf).alias("timeframe"), ts.alias("ts_ms"), *[F.coalesce(safe_double(F.col(c)), close).alias(c) for c in ("open", "high", "low")], close.alias("close"), F.coalesce(safe_double(F.col("volume")), F.lit(0.0)).alias("volume")).where("ts_ms IS NOT NULL AND close IS NOT NULL")
+    return out.select("file", F.when(tf == "", "1d").otherwise(tf).alias("timeframe"), ts.alias("ts_ms"), *[F.coalesce(safe_double(F.col(c)), close).alias(c) for c in ("open", "high", "low")], close.alias("close"), F.coalesce(safe_double(F.col("volume")), F.lit(0.0)).alias("volume")).where("ts_ms IS NOT NULL AND close IS NOT NULL")
 
 
 def read_daily_values(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Two columns, date and value, a dot where it is missing, as flat bars."""
-    rows = _csv(spark, paths, 2).select(epoch_ms(F.col("c0")).alias("ts_ms"), safe_double(F.nullif("c1", F.lit("."))).alias("v"))
-    return rows.where("ts_ms IS NOT NULL AND v IS NOT NULL").select("ts_ms", *[F.col("v").alias(c) for c in ("open", "high", "low", "close")], F.lit(0.0).alias("volume"))
+    return daily_rows(_csv(spark, paths, 2)).drop("file")
+
+
+def daily_rows(rows: DataFrame) -> DataFrame:
+    rows = rows.select("file", epoch_ms(F.col("c0")).alias("ts_ms"), safe_double(F.nullif("c1", F.lit("."))).alias("v"))
+    return rows.where("ts_ms IS NOT NULL AND v IS NOT NULL").select("file", "ts_ms", *[F.col("v").alias(c) for c in ("open", "high", "low", "close")], F.lit(0.0).alias("volume"))
 
 
 def kline_pages(pages: DataFrame, body: str = "body", path: str = "$", quote_at: int = 7, trades_at: int | None = 8) -> DataFrame:
