@@ -3,28 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset, as in a local test, a temporary folder of this machine is used.
-    """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = getattr(spark.sparkContext, "_tidebar_scratch", None)
-    if made is None:
-        made = spark.sparkContext._tidebar_scratch = tempfile.mkdtemp(prefix="spark-")
-    return f"file://{made}"
+from tidebar.scratch import scratch_path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -42,7 +25,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: an executor that is lost later costs no recomputation of ``df``, and
     what several later plans read is computed once.
     """
-    path = f"{scratch_dir(df.sparkSession)}/tidebar-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     atexit.register(_delete, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
