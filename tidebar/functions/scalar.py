@@ -87,7 +87,9 @@ def round_grid(value: Column, grid: Column, how: str = "floor") -> Column:
     n = value / grid
     eps = F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(n))
     k = {"floor": F.floor(n + eps), "ceil": F.ceil(n - eps), "nearest": F.round(n)}[how]
-    return F.when(grid > 0, F.format_string("%.11e", k.cast("double") * grid).cast("double")).otherwise(value)
+    v = k.cast("double") * grid
+    scale = F.pow(F.lit(10.0), 11 - F.floor(F.log10(F.abs(v))))
+    return F.when(~(grid > 0), value).when(v == 0, v).otherwise(F.rint(v * scale) / scale)
 
 
 def json_number(v: Column) -> Column:

@@ -39,36 +39,42 @@ def normalise_order(df: DataFrame, max_risk: float | None = None, buffer: float
     anything is rounded.
     """
     c = F.col
-    least = min_executable(c("min_qty"), c("min_notional"), c("price"), c("qty_step")) * max(1.0, buffer)
     risk = F.abs(c("price") - c("stop_price"))
     capped = F.lit(max_risk is not None) & c("stop_price").isNotNull() & (risk > 0)
     cash = c("equity") * F.lit(max_risk or 0.0)
-    floor = round_grid(c("raw_qty"), c("qty_step"))
-    most = round_grid(cash / risk, c("qty_step"))
-    qty = F.when(capped & (floor > most), most).otherwise(floor)
+    # each quantity on the grid is a column of its own, so that its expression is evaluated once
+    out = df.withColumns({
+        "_least": min_executable(c("min_qty"), c("min_notional"), c("price"), c("qty_step")) * max(1.0, buffer),
+        "_floor": round_grid(c("raw_qty"), c("qty_step")),
+        "_most": round_grid(cash / risk, c("qty_step")),
+    })
+    out = out.withColumn("_qty", F.when(capped & (c("_floor") > c("_most")), c("_most")).otherwise(c("_floor")))
     bad = c("raw_qty").isNull() | F.isnan("raw_qty") | (F.abs("raw_qty") == float("inf")) | (c("raw_qty") <= 0)
     skip = (
         F.when(bad, "qty_rounds_to_zero")
-        .when(capped & (least * risk > cash + 1e-12), "min_qty_exceeds_risk_cap")
-        .when(floor <= 0, "qty_rounds_to_zero")
-        .when(qty < c("min_qty") - 1e-12, "below_min_qty")
-        .when(qty > c("max_qty"), "above_max_qty")
-        .when(qty * c("price") < c("min_notional") - 1e-12, "below_min_notional")
+        .when(capped & (c("_least") * risk > cash + 1e-12), "min_qty_exceeds_risk_cap")
+        .when(c("_floor") <= 0, "qty_rounds_to_zero")
+        .when(c("_qty") < c("min_qty") - 1e-12, "below_min_qty")
+        .when(c("_qty") > c("max_qty"), "above_max_qty")
+        .when(c("_qty") * c("price") < c("min_notional") - 1e-12, "below_min_notional")
     )
-    return df.withColumn("skip", skip).withColumn("qty", F.when(skip.isNull(), qty).otherwise(0.0))
+    out = out.withColumn("skip", skip)
+    return out.withColumn("qty", F.when(c("skip").isNull(), c("_qty")).otherwise(0.0)).drop("_least", "_floor", "_most", "_qty")
 
 
 def split_legs(df: DataFrame, fractions: list[float]) -> DataFrame:
     """Adds ``legs``, parts of ``qty`` on the step grid of which the last takes the rest, and ``problem``."""
     step, qty = F.col("qty_step"), F.col("qty")
-    parts = [round_grid(qty * f, step) for f in fractions[:-1]]
+    names = [f"_l{i}" for i in range(len(fractions) - 1)]
+    out = df.withColumns({n: round_grid(qty * f, step) for n, f in zip(names, fractions[:-1], strict=True)}) if names else df
     used = F.lit(0.0)
-    for x in parts:
-        used = used + x
-    last = round_grid(qty - used, step)
-    rest = qty - used - last
-    last = F.when(rest > step * 0.5, round_grid(last + rest, step)).otherwise(last)
-    out = df.withColumn("legs", F.array(*parts, last))
+    for n in names:
+        used = used + F.col(n)
+    out = out.withColumn("_rest", qty - used)
+    out = out.withColumn("_last", round_grid(F.col("_rest"), step))
+    more = F.col("_rest") - F.col("_last")
+    last = F.when(more > step * 0.5, round_grid(F.col("_rest"), step)).otherwise(F.col("_last"))
+    out = out.withColumn("legs", F.array(*map(F.col, names), last)).drop(*names, "_rest", "_last")
     zero, small = F.exists("legs", lambda x: x <= 0), F.exists("legs", lambda x: x < F.col("min_qty") - 1e-12)
     return out.withColumn("problem", F.when(zero, "rounds_to_zero").when(small, "below_min_qty"))
 
