@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tidebar.llm.op9_quality import fit, moments, quality_scores, statistics
-from tidebar.llm.op10_toxicity import toxicity_scores
+from tidebar.llm.op10_toxicity import dictionaries, toxicity_scores
 
 
 def corpus(n=600, seed=2):
@@ -56,3 +56,12 @@ def test_moments_are_sums(spark):
     inverse = [np.linalg.inv(f @ f.T) for f in model.factors]
     want = [model.constants[1] - 0.5 * (v - model.centres[1]) @ inverse[1] @ (v - model.centres[1]) - model.constants[0] + 0.5 * (v - model.centres[0]) @ inverse[0] @ (v - model.centres[0]) for v in z]
     assert np.allclose(model.log_ratio(x), want)
+
+
+def test_words_of_long_ordinary_texts_do_not_hide_toxic_ones(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(400)]
+    toxic = [(" ".join(rng.choices(vocab, k=40) + ["pathetic"] * 3),) for _ in range(60)]
+    ordinary = [(" ".join(rng.choices(vocab, k=3000) + ["pathetic"] * (i % 2)),) for i in range(60)]  # half of them hold it, once in 3000 words
+    found = dictionaries(spark.createDataFrame(toxic, "text string"), spark.createDataFrame(ordinary, "text string"))
+    assert b" pathetic" in found[0] and b" pathetic" not in found[1]

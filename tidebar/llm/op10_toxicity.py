@@ -1,8 +1,10 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
 One dictionary is made of toxic text, the other of ordinary text. Most of a toxic document is
-ordinary, so what goes into the toxic dictionary are the word beginnings that toxic documents hold
-far oftener than ordinary ones; the ordinary dictionary holds ordinary documents' usual words. A
+ordinary, so what goes into the toxic dictionary are the word beginnings that stand far oftener among
+the words of toxic documents than among those of ordinary ones (a long ordinary document holds many by
+chance, so occurrences are held against all words, not documents against documents). How much oftener
+is decided on labelled documents held out. The ordinary dictionary holds ordinary documents' usual words. A
 document is cut into windows of one word each. Every window is compressed with either dictionary,
 and the difference of the compressed lengths is its gain. How many windows reach which gain is
 turned into a score by thresholds calibrated on labelled documents that the dictionaries have not
@@ -31,8 +33,11 @@ ORACLE_SQL = None  # a fitted classifier; tests hold it against held-out labels
 TOXIC_DOCS, ORDINARY_DOCS = 3000, 12000
 #: Labelled documents that calibrate the thresholds, at most.
 CALIBRATION_DOCS = 60_000
-#: Entries of a dictionary, and how many times oftener toxic documents must hold a toxic one.
-ENTRIES, CONTRAST = 400, 8.0
+#: Entries of a dictionary, and how many times oftener a toxic one must stand in toxic text: what is taken
+#: where labels are too few to choose, and what is tried on held-out labels.
+ENTRIES, CONTRAST, CONTRASTS = 400, 8.0, (4.0, 8.0, 16.0, 32.0)
+#: Toxic and ordinary held-out documents, at least, for choosing the contrast.
+LEAST_HELD = 30
 #: Characters of a word's beginnings.
 STEMS = range(4, 11)
 #: Gains kept by a worker process.
@@ -50,54 +55,110 @@ def words_of(text: str) -> list[str]:
     return [w.strip(EDGES) or w for w in text.lower().split()]
 
 
-def stems_of(text: str) -> set[str]:
-    out = set()
-    for w in set(words_of(text)):
-        out.add(w)
-        out.update(w[:k] for k in STEMS if len(w) > k)
-    return {s for s in out if len(s) >= STEMS.start}
+def stems_of(word: str) -> list[str]:
+    """A word's beginnings, itself among them."""
+    return [word[:k] for k in STEMS if len(word) > k] + [word] * (len(word) >= STEMS.start)
 
 
 def _toxic_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per stem the texts that hold it and its occurrences; the empty stem counts all words."""
     seen: Counter[str] = Counter()
+    times: Counter[str] = Counter({"": 0})
     for batch in batches:
         for t in batch.column("text").to_pylist():
-            seen.update(stems_of(t))
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["stem", "n"])
+            own: Counter[str] = Counter()
+            for w, n in Counter(words_of(t)).items():
+                times[""] += n
+                for s in stems_of(w):
+                    own[s] += n
+            seen.update(own.keys())
+            times.update(own)
+    yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array([seen[s] for s in times], pa.int64()), pa.array(list(times.values()), pa.int64())], names=["stem", "n", "times"])
 
 
 def _ordinary_stems(wanted: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stems: Counter[str] = Counter()
+        stems: Counter[str] = Counter({"": 0})
         words: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                stems.update(stems_of(t) & wanted)
-                words.update(w for w in set(words_of(t)) if len(w) >= 5)
+                own = Counter(words_of(t))
+                words.update(w for w in own if len(w) >= 5)
+                for w, n in own.items():
+                    stems[""] += n
+                    for s in stems_of(w):
+                        if s in wanted:
+                            stems[s] += n
         top = words.most_common(5 * ENTRIES)  # a word among all documents' most frequent is among some task's
         yield pa.RecordBatch.from_arrays([pa.array([*stems, *(w for w, _ in top)], pa.string()), pa.array([*stems.values(), *(n for _, n in top)], pa.int64()), pa.array([True] * len(stems) + [False] * len(top))], names=["stem", "n", "asked"])
 
     return run
 
 
-def dictionaries(toxic: DataFrame, ordinary: DataFrame) -> tuple[bytes, bytes]:
+class Counts:
+    """What bounded samples of toxic and ordinary documents with distinct texts say of stems."""
+
+    def __init__(self, toxic: DataFrame, ordinary: DataFrame) -> None:
+        n1 = toxic.count()
+        seen = toxic.select("text").mapInArrow(_toxic_stems, "stem string, n long, times long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+        seen = seen.where((F.col("n") >= max(3, n1 // 200)) | (F.col("stem") == "")).orderBy(F.col("stem") != "", F.desc("n"), "stem").limit(20_001).collect()
+        times = {r["stem"]: r["times"] for r in seen}
+        words1 = times.pop("", 0)
+        self.texts = {r["stem"]: r["n"] for r in seen if r["stem"]}
+        rows = ordinary.select("text").mapInArrow(_ordinary_stems(frozenset(times)), "stem string, n long, asked boolean").groupBy("stem", "asked").agg(F.sum("n").alias("n"))
+        co = {r["stem"]: r["n"] for r in rows.where("asked").collect()}
+        self.usual = [r["stem"] for r in rows.where("NOT asked").orderBy(F.desc("n"), "stem").limit(5 * ENTRIES).collect()]
+        words0 = co.pop("", 0)
+        self.contrast = {s: (n + 0.5) / (words1 + 1) / ((co.get(s, 0) + 0.5) / (words0 + 1)) for s, n in times.items()}
+
+    def dictionaries(self, least: float) -> tuple[bytes, bytes]:
+        """Contents of the toxic and of the ordinary dictionary."""
+        ct, contrast = self.texts, self.contrast
+        chosen: list[str] = []
+        stands: dict[str, int] = {}  # of every beginning of those chosen, the most texts that one of them is in
+        for s in sorted((s for s in ct if contrast[s] > least), key=lambda s: (-len(s), -ct[s], s)):
+            if stands.get(s, 0) < 0.9 * ct[s]:  # else a longer one stands for it
+                chosen.append(s)
+                for k in range(STEMS.start, len(s) + 1):
+                    stands[s[:k]] = max(stands.get(s[:k], 0), ct[s])
+        chosen = sorted(chosen, key=lambda s: (-ct[s] * np.log(contrast[s]), s))[:ENTRIES]
+        plain = [w for w in self.usual if contrast.get(w, 0.0) < 2][: max(1, len(chosen))]
+        spell = lambda ws: b"".join(b" " + w.encode() for w in reversed(ws)) + b" " + PRIMER  # noqa: E731  the best ones last, where offsets are short
+        return spell(chosen), spell(plain)
+
+
+def dictionaries(toxic: DataFrame, ordinary: DataFrame, least: float = CONTRAST) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary, from bounded samples with distinct texts."""
-    n1, n0 = toxic.count(), ordinary.count()
-    least = max(3, n1 // 200)
-    seen = toxic.select("text").mapInArrow(_toxic_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    ct = {r["stem"]: r["n"] for r in seen.orderBy(F.desc("n"), "stem").limit(20_000).collect()}
-    rows = ordinary.select("text").mapInArrow(_ordinary_stems(frozenset(ct)), "stem string, n long, asked boolean").groupBy("stem", "asked").agg(F.sum("n").alias("n"))
-    co = {r["stem"]: r["n"] for r in rows.where("asked").collect()}
-    usual = [r["stem"] for r in rows.where("NOT asked").orderBy(F.desc("n"), "stem").limit(5 * ENTRIES).collect()]
-    contrast = {s: (n + 0.5) / (n1 + 1) / ((co.get(s, 0) + 0.5) / (n0 + 1)) for s, n in ct.items()}
-    chosen: list[str] = []
-    for s in sorted((s for s in ct if contrast[s] > CONTRAST), key=lambda s: (-len(s), -ct[s], s)):
-        if not any(k.startswith(s) and ct[k] >= 0.9 * ct[s] for k in chosen):  # a longer one stands for it
-            chosen.append(s)
-    chosen = sorted(chosen, key=lambda s: (-ct[s] * np.log(contrast[s]), s))[:ENTRIES]
-    plain = [w for w in usual if contrast.get(w, 0.0) < 2][: max(1, len(chosen))]
-    spell = lambda ws: b"".join(b" " + w.encode() for w in reversed(ws)) + b" " + PRIMER  # noqa: E731  the best ones last, where offsets are short
-    return spell(chosen), spell(plain)
+    return Counts(toxic, ordinary).dictionaries(least)
+
+
+def _loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss of a score fitted on one half of the rows and tried on the other, both ways."""
+    half, out = np.arange(len(y)) % 2 == 0, 0.0
+    for fit in (half, ~half):
+        mean, scale, w = logistic(x[fit], y[fit], ridge=1.0)
+        p = np.clip(sigmoid(w[0] + (x[~fit] - mean) / scale @ w[1:]), 1e-9, 1 - 1e-9)
+        out -= float(np.where(y[~fit] == 1, np.log(p), np.log(1 - p)).sum())
+    return out / len(y)
+
+
+def held_out_contrast(sample: DataFrame) -> float:
+    """The contrast whose dictionaries, made from two thirds of the sample (doc_id, text_key, text, y), score the rest best."""
+    held = F.pmod("text_key", F.lit(3)) == 0
+    numbers = {r["y"]: r["n"] for r in sample.where(held).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if min(numbers.get(0, 0), numbers.get(1, 0)) < LEAST_HELD:
+        return CONTRAST
+    counts = Counts(sample.where(~held & (F.col("y") == 1)), sample.where(~held & (F.col("y") == 0)))
+    asked = {c: counts.dictionaries(c) for c in CONTRASTS}
+    rows = sample.where(held)
+    labels = rows.select("text_key", "y").toPandas().set_index("text_key")["y"]  # bounded, as the sample is
+    best: dict[float, float] = {}
+    for c, pair in asked.items():
+        same = next((k for k in best if asked[k] == pair), None)
+        if same is None:
+            found = rows.mapInArrow(_measure(*pair), "doc_id long, text_key long, x array<double>").select("text_key", "x").toPandas().sort_values("text_key")
+            best[c] = _loss(np.array(found["x"].tolist(), float), labels.loc[found["text_key"]].to_numpy(float))
+    return min(best, key=lambda c: (best[c], c))
 
 
 class Gains:
@@ -180,8 +241,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = saved(learnable(labels, "toxic", lambda c: fold(c, 5) != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
     # both are bounded samples of identifiers, so they are broadcast
     chosen = saved(_some(known.where("y = 1"), TOXIC_DOCS).unionByName(_some(known.where("y = 0"), ORDINARY_DOCS)), "sample")
-    sample = saved(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text_key"]).select("text", "y"), "sampled")
-    toxic, ordinary = dictionaries(sample.where("y = 1"), sample.where("y = 0"))
+    sample = saved(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text_key"]).select("doc_id", "text_key", "text", "y"), "sampled")
+    toxic, ordinary = dictionaries(sample.where("y = 1"), sample.where("y = 0"), held_out_contrast(sample))
     found = saved(docs.mapInArrow(_measure(toxic, ordinary), "doc_id long, text_key long, x array<double>"), "gains")
     unseen = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     counts = {r["y"]: r["n"] for r in unseen.groupBy("y").agg(F.count("*").alias("n")).collect()}
