@@ -31,3 +31,23 @@ def test_recall_and_ties(spark):
     assert got[2010] == [2020]
     assert got[1000][:5] == want[1000][:5]
     assert nearest(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_recall_with_spread_norms_and_an_outlier(spark):
+    rng = np.random.default_rng(11)
+    unit = rng.standard_normal((4000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    spread = unit * np.exp(0.5 * rng.standard_normal(4000))[:, None]
+    outlier = unit.copy()
+    outlier[17] *= 10
+    for vectors in (spread, outlier):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+        got = {}
+        for r in nearest(df, F.col("vec_id") % 80 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = []
+        for q in range(0, 4000, 80):
+            products = vectors @ vectors[q]
+            products[q] = -np.inf
+            recall.append(len(got[q] & set(np.argsort(-products)[:20].tolist())) / 20)
+        assert np.mean(recall) >= 0.95 and min(recall) >= 0.7, (np.mean(recall), min(recall))

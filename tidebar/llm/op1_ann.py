@@ -4,12 +4,15 @@ Each of ``projections`` random lines has the vectors of a block in one sorted ar
 window around its own projection in every array; virtual rehashing widens all windows by the same
 factor, and only the newly covered ends of the arrays are read. A vector that lies in the window of
 enough arrays (the collision threshold) is verified on the original vectors. A query is done when as
-many verified vectors as asked for lie within the radius that the windows stand for, or a set share of the block has been verified.
+many verified vectors as asked for lie within the last radius but one: under windows a step wider, nearly all that are as
+near have collided in enough arrays. Where a set share of the block has been
+verified and that is not so, lines do not tell its vectors apart, and all the rest is verified: the answer is exact.
 
 Largest inner product becomes smallest distance by one more component: vectors are divided by the
-largest norm and filled up to length 1, queries are normalised.
+largest norm of their block and filled up to length 1, queries are normalised.
 
-Rows are dealt out by a hash into blocks of a bounded size, queries into blocks likewise; a task
+Blocks hold vectors of one range of norms, so that a long vector does not flatten the others. Rows of
+a range are dealt out by a hash into blocks of a bounded size, queries into blocks likewise; a task
 holds one block of each. Blocks return their best per query, and those are merged.
 """
 
@@ -33,8 +36,10 @@ PROJECTIONS = 80
 WIDTH, THRESHOLD = 2.72, 0.80
 #: First radius and factor of virtual rehashing; distances are at most 2.
 RADIUS, FACTOR = 0.7, 1.15
-#: Share of a block whose verification ends a query before the radius is reached.
+#: Share of a block after which the rest is verified too.
 VERIFIED = 0.3
+#: Norms of a block differ by this factor at most; ranges end at so many factors above and below 1.
+NORMS, RANGES = 1.25, 3500
 #: Rows and queries of a block.
 BLOCK, QUERY_BLOCK = 16384, 1024
 NEAREST = 20
@@ -43,9 +48,10 @@ NEAREST = 20
 class Block:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        longest = float(np.sqrt((self.vectors * self.vectors).sum(axis=1)).max()) or 1.0
         unit = self.vectors / longest
         rest = np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))
         self.unit = np.column_stack([unit, rest])
@@ -74,7 +80,7 @@ class Block:
         radius = RADIUS
         while active and radius <= 2 * FACTOR:
             half = WIDTH / 2 * radius
-            near = (1 - radius * radius / 2) * lengths * self.longest  # inner products within the radius
+            near = (1 - (radius / FACTOR) ** 2 / 2) * lengths * self.longest  # inner products within the last radius but one
             a = np.column_stack([np.searchsorted(s, at[active, j] - half, "left") for j, s in enumerate(self.sorted)])
             b = np.column_stack([np.searchsorted(s, at[active, j] + half, "right") for j, s in enumerate(self.sorted)])
             going = []
@@ -89,15 +95,18 @@ class Block:
                 if len(fresh):
                     rows[q] = np.concatenate([rows[q], fresh])
                     products[q] = np.concatenate([products[q], self.short[fresh] @ short[q]])
-                if (products[q] >= near[q]).sum() < k and len(rows[q]) < min(enough, others[q]):
+                if (products[q] >= near[q]).sum() >= k:
+                    continue
+                if len(rows[q]) < min(enough, others[q]):
                     going.append(q)
+                else:
+                    self._all(q, own, rows, products, short)
             active = going
             radius *= FACTOR
+        for q in active:  # the radius was not reached
+            self._all(q, own, rows, products, short)
         out = []
         for q in range(len(vectors)):
-            if len(rows[q]) < min(k, others[q]):  # fewer collisions than asked for: verify all
-                rows[q] = np.flatnonzero(self.ids != own[q])
-                products[q] = self.short[rows[q]] @ short[q]
             if len(rows[q]) > k:  # all that rounding could put among the nearest, ties too
                 least = np.partition(products[q], -k)[-k] - 1e-5 * lengths[q] * self.longest
                 rows[q] = rows[q][products[q] >= least]
@@ -106,12 +115,16 @@ class Block:
             out.append((self.ids[rows[q][best]], score[best]))
         return out
 
+    def _all(self, q: int, own: np.ndarray, rows: list[np.ndarray], products: list[np.ndarray], short: np.ndarray) -> None:
+        rows[q] = np.flatnonzero(self.ids != own[q])
+        products[q] = self.short[rows[q]] @ short[q]
 
-def _search_blocks(longest: float, projections: int, k: int):
+
+def _search_blocks(projections: int, k: int):
     def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            block = Block(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(float), longest, projections)
+            block = Block(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(float), projections)
             own = queries["vec_id"].to_numpy()
             for at in range(0, len(own), 256):
                 part = own[at : at + 256]
@@ -136,14 +149,21 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = saved(rows.withColumn("norm", norm), "vectors")
-    n, asked, longest = rows.agg(F.count("*"), F.count_if("asks"), F.max("norm")).first()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked // query_block))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    base = rows.select("vec_id", "v", F.size("v").alias("dim"), deal(blocks).alias("block"), every(query_blocks).alias("query_block"))
-    queries = rows.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "v", F.size("v").alias("dim"), deal(query_blocks).alias("query_block"), every(blocks).alias("block"))
+    place = F.coalesce(F.round(F.log("norm") / math.log(NORMS)), F.lit(-RANGES))
+    ranged = rows.withColumn("range", F.least(F.greatest(place, F.lit(-RANGES)), F.lit(RANGES)).cast("int"))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).orderBy("range").collect()
+    asked, blocks, first, parts = sum(r["asked"] for r in counts), 0, {}, {}
+    for r in counts:
+        first[r["range"]], parts[r["range"]] = blocks, -(-r["n"] // block)
+        blocks += parts[r["range"]]
+    query_blocks = max(1, -(-asked // query_block))
+    told = lambda of: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("range")] if of else F.lit(1)
+    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), parts).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    base = ranged.select("vec_id", "v", F.size("v").alias("dim"), (told(first) + deal(told(parts))).alias("block"), every(query_blocks).alias("query_block"))
+    queries = rows.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "v", F.size("v").alias("dim"), deal(F.lit(query_blocks)).alias("query_block"), every(blocks).alias("block"))
     keys = ["block", "query_block", "dim"]
-    found = base.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(_search_blocks(longest or 1.0, projections, k), "query_id long, vec_id long, score double")
+    found = base.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(_search_blocks(projections, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
