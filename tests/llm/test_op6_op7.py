@@ -2,7 +2,7 @@ import json
 import random
 
 from tidebar.llm.op6_chat import format_chat
-from tidebar.llm.op7_licenses import CONTAINED, TEMPLATES, plain, scan_licenses
+from tidebar.llm.op7_licenses import CONTAINED, SIBLINGS, TEMPLATES, plain, scan_licenses
 
 
 def call(i, name="get", **arguments):
@@ -74,3 +74,16 @@ def test_planted_notices_are_found(spark):
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string").repartition(3)).collect()
     assert {(r.doc_id, r.license) for r in got} == want
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_siblings_are_told_apart(spark):
+    rows, want = [], set()
+    for name, notice in sorted((TEMPLATES | SIBLINGS).items()):
+        rows += [(len(rows), notice), (len(rows) + 1, "some words before it stand here " + notice + " and some words after it")]
+        names = {name, "Apache-2.0-line"} if name == "Apache-2.0" else {name}  # that notice begins with the line
+        want |= {(len(rows) - i, n) for i in (1, 2) for n in names}
+    rows.append((900, TEMPLATES["GPL-3.0"] + " " + SIBLINGS["GPL-2.0"]))
+    rows.append((901, TEMPLATES["GPL-3.0-line"].replace("3", "9")))
+    want |= {(900, "GPL-3.0"), (900, "GPL-2.0")}
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == want

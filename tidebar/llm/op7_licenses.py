@@ -5,7 +5,9 @@ for each template length: ``WIDER`` times the template's shingles long, a step o
 A passage that holds a template lies within one of these windows, whose Jaccard similarity with it is
 then at least 1 / (WIDER + 1/8), about 0.73; at containment 0.8 it is at least 0.5, and 40 bands of two
 minima retrieve it with a probability of 1 - (1 - 0.25)**40, over 0.99998. A retrieved window is
-verified exactly: at least ``CONTAINED`` of the template's shingles stand in it. Templates of one
+verified exactly: at least ``CONTAINED`` of the template's shingles stand in it. Templates that share many shingles (versions of a license,
+two and three clauses) are siblings: a window holds a template only if it holds some of what sets it
+apart from each sibling (the version, the third clause), and no smaller share than of what sets the sibling apart. Templates of one
 shingle are windows of one shingle, where a band is the shingle itself.
 
 A band of a window equals a template's only if both of its minima are shingles of templates, so
@@ -40,13 +42,24 @@ TEMPLATES = {
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+#: Notices that share most of their shingles with one of those, and others that are as usual.
+SIBLINGS = {
+    "GPL-2.0-line": 'This work is licensed under the GNU General Public License, version 2.',
+    "GPL-2.0": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.',
+    "LGPL-2.1": 'This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.',
+    "LGPL-3.0": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.',
+    "AGPL-3.0": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "MPL-2.0": 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.',
+}
+
 
 def plain(text: str) -> bytes:
     """Punctuation is no part of words here: letters, digits, dots within numbers and hyphens are kept."""
@@ -70,6 +83,12 @@ class Index:
         self.words = words
         self.names = sorted(templates)
         self.sets = dict(zip(self.names, shingle_sets([plain(templates[n]) for n in self.names], words), strict=True))
+        #: for each template, what sets it apart from each sibling and the sibling from it
+        self.apart: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in self.names}
+        for n, own in self.sets.items():
+            for m, other in self.sets.items():
+                if m != n and 2 * len(np.intersect1d(own, other, assume_unique=True)) >= min(len(own), len(other)) > 0:
+                    self.apart[n].append((np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)))
         self.known = np.unique(np.concatenate([*self.sets.values(), np.zeros(0, np.uint64)]))
         self.seeds = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
         self.by_length: dict[int, dict[tuple[int, int], set[str]]] = {}
@@ -83,6 +102,15 @@ class Index:
         low = mix(shingles[:, None] * self.seeds).min(axis=0).reshape(BANDS, ROWS)
         return (low[:, 0] * self.seeds[0] + low[:, 1] * self.seeds[1]).tolist()
 
+    def told(self, name: str, window: np.ndarray) -> bool:
+        """Whether the window holds what sets the template apart from its siblings."""
+        for own, other in self.apart[name]:
+            mine = float(np.isin(own, window).mean()) if len(own) else 1.0
+            theirs = float(np.isin(other, window).mean()) if len(other) else 0.0
+            if mine == 0 or mine < theirs:
+                return False
+        return True
+
     def scan(self, shingles: np.ndarray) -> list[tuple[str, float, int]]:
         """(template, best containment, first shingle of that window) of a text's shingles in order."""
         at = np.flatnonzero(np.isin(shingles, self.known))
@@ -99,7 +127,7 @@ class Index:
                 asked = {n for b, key in enumerate(self.bands(window)) for n in bands.get((b, key), ())}
                 for n in asked:
                     share = len(np.intersect1d(window, self.sets[n], assume_unique=True)) / length
-                    if share >= CONTAINED and share > best.get(n, (0.0, 0))[0]:
+                    if share >= CONTAINED and share > best.get(n, (0.0, 0))[0] and self.told(n, window):
                         best[n] = (share, first)
         return [(n, *best[n]) for n in sorted(best)]
 
@@ -141,7 +169,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hold a template the fullest is told, the first of equals.
     """
     docs = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_scan(templates or TEMPLATES, words), "doc_id long, license string, containment double, first_word long")
+    return docs.mapInArrow(_scan(templates or TEMPLATES | SIBLINGS, words), "doc_id long, license string, containment double, first_word long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
