@@ -170,5 +170,5 @@ def _(spark, d):
     from tidebar.functions.scalar import utc_ms
 
     runs = read(spark, d, "lineitem")
-    out = runs.where("l_suppkey % 7 = 3").groupBy((F.col("l_suppkey") % 7).alias("strategy_id"), F.col("l_suppkey").alias("run_id")).agg(F.count("*").alias("trades"), F.max(utc_ms(F.col("l_shipdate"))).alias("newest_ms"))
-    return out.orderBy(F.desc("newest_ms"), "run_id").limit(50)
+    out = runs.groupBy((F.col("l_suppkey") % 7).alias("strategy_id"), F.col("l_suppkey").alias("run_id")).agg(F.count("*").alias("trades"), F.max(utc_ms(F.col("l_shipdate"))).alias("newest_ms"))
+    return out.orderBy(F.desc("newest_ms"), "run_id")

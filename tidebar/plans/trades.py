@@ -281,7 +281,7 @@ def _(spark, d):
 
 @register("srt09_positions_by_pnl", f"WITH {TRADES} SELECT trade_id, account, pnl FROM trades ORDER BY abs(pnl) DESC, trade_id LIMIT 200")
 def _(spark, d):
-    return trades(spark, d).orderBy(F.abs("pnl").desc(), "trade_id").limit(200).select("trade_id", "account", "pnl")
+    return trades(spark, d).orderBy(F.abs("pnl").desc(), "trade_id").select("trade_id", "account", "pnl")
 
 
 @register("srt10_recent_trades", f"WITH {TRADES} SELECT trade_id, account, exit_ts_ms FROM trades ORDER BY exit_ts_ms DESC, trade_id DESC LIMIT 10")
@@ -311,6 +311,6 @@ def _(spark, d):
 
     t = eq(spark, d)
     days = t.select((F.floor(F.col("entry_ts_ms") / 86_400_000) * 86_400_000).cast("long").alias("ts_ms")).distinct()
-    # a timeline for each of a few accounts: days and accounts are dimensions
-    grid = t.where("account < 5").select("account").distinct().join(days, how="cross")
+    # a timeline for every account: days and accounts are dimensions
+    grid = t.select("account").distinct().join(F.broadcast(days), how="cross")
     return asof_join(grid, t, ["account"], "ts_ms", "exit_ts_ms", ["equity"], "trade_id").select("account", "ts_ms", F.round(F.coalesce("equity", F.lit(0.0)), 4).alias("equity"))
