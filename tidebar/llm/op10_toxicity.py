@@ -3,12 +3,16 @@
 One dictionary is made of toxic text, the other of ordinary text. Most of a toxic document is
 ordinary, so what goes into the toxic dictionary are the word beginnings that stand far oftener among
 the words of toxic documents than among those of ordinary ones (a long ordinary document holds many by
-chance, so occurrences are held against all words, not documents against documents). How much oftener
-is decided on labelled documents held out. The ordinary dictionary holds ordinary documents' usual words. A
-document is cut into windows of one word each. Every window is compressed with either dictionary,
-and the difference of the compressed lengths is its gain. How many windows reach which gain is
-turned into a score by thresholds calibrated on labelled documents that the dictionaries have not
-seen, where there are enough.
+chance, so occurrences are held against all words, not documents against documents). The ordinary
+dictionary holds ordinary documents' usual words. A document is cut into windows of one word each.
+Every window is compressed with either dictionary, and the difference of the compressed lengths is its
+gain. How many windows reach which gain is turned into a score by calibrated thresholds.
+
+Calibration is cross-fitted and the same at every size: dictionaries made from one half of the labelled
+sample measure the other half, both ways. The contrast whose measurements part the classes best is
+taken, the score is fitted on them, and the dictionaries that score documents are then made from the
+whole sample. The share of toxic documents among all labels that may be learned from corrects the
+score for a sample in which they are commoner.
 
 Windows repeat: every distinct one is compressed once and its gain is kept in a bounded table.
 """
@@ -23,21 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import id_and_text, saved, table
+from tidebar.llm.common import drop_saved, id_and_text, saved, table
 from tidebar.llm.labels import fold, learnable, logistic, sigmoid
 
 QUERY = "op10_toxicity"
 ORACLE_SQL = None  # a fitted classifier; tests hold it against held-out labels
 
-#: Labelled documents that the dictionaries are made from, at most, per class.
+#: Labelled documents that the dictionaries and the thresholds are made from, at most, per class.
 TOXIC_DOCS, ORDINARY_DOCS = 3000, 12000
-#: Labelled documents that calibrate the thresholds, at most.
-CALIBRATION_DOCS = 60_000
-#: Entries of a dictionary, and how many times oftener a toxic one must stand in toxic text: what is taken
-#: where labels are too few to choose, and what is tried on held-out labels.
-ENTRIES, CONTRAST, CONTRASTS = 400, 8.0, (4.0, 8.0, 16.0, 32.0)
-#: Toxic and ordinary held-out documents, at least, for choosing the contrast.
-LEAST_HELD = 30
+#: Entries of a dictionary.
+ENTRIES = 400
+#: How many times oftener a toxic entry must stand in toxic text: what is tried on the labelled sample.
+CONTRASTS = (4.0, 8.0, 16.0, 32.0)
 #: Characters of a word's beginnings.
 STEMS = range(4, 11)
 #: Gains kept by a worker process.
@@ -45,6 +46,8 @@ GAINS_KEPT = 200_000
 EDGES = ".,;:!?#$%&*|\"'()[]{}<>-_"
 #: What starts every window: known to both dictionaries, so that a block is never stored raw.
 PRIMER = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ=+<>[]{}@^~_/"
+#: What ends every window: zstandard looks for no match that starts in a block's last eight bytes.
+TAIL = b"~^@=+<>;"
 LEVELS = np.arange(1, 11)
 #: The same for the share of a window that its gain is, in tenths: a whole word of the dictionary saves most of itself.
 SHARES = np.arange(1, 9)
@@ -89,8 +92,7 @@ def _ordinary_stems(wanted: frozenset[str]):
                     for s in stems_of(w):
                         if s in wanted:
                             stems[s] += n
-        top = words.most_common(5 * ENTRIES)  # a word among all documents' most frequent is among some task's
-        yield pa.RecordBatch.from_arrays([pa.array([*stems, *(w for w, _ in top)], pa.string()), pa.array([*stems.values(), *(n for _, n in top)], pa.int64()), pa.array([True] * len(stems) + [False] * len(top))], names=["stem", "n", "asked"])
+        yield pa.RecordBatch.from_arrays([pa.array([*stems, *words], pa.string()), pa.array([*stems.values(), *words.values()], pa.int64()), pa.array([True] * len(stems) + [False] * len(words))], names=["stem", "n", "asked"])
 
     return run
 
@@ -98,16 +100,18 @@ def _ordinary_stems(wanted: frozenset[str]):
 class Counts:
     """What bounded samples of toxic and ordinary documents with distinct texts say of stems."""
 
-    def __init__(self, toxic: DataFrame, ordinary: DataFrame) -> None:
-        n1 = toxic.count()
+    def __init__(self, toxic: DataFrame, ordinary: DataFrame, entries: int = ENTRIES) -> None:
+        n1, self.entries = toxic.count(), entries
         seen = toxic.select("text").mapInArrow(_toxic_stems, "stem string, n long, times long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
-        seen = seen.where((F.col("n") >= max(3, n1 // 200)) | (F.col("stem") == "")).orderBy(F.col("stem") != "", F.desc("n"), "stem").limit(20_001).collect()
+        # stems of a bounded sample, each in at least every 200th of its texts
+        seen = seen.where((F.col("n") >= max(3, n1 // 200)) | (F.col("stem") == "")).collect()
         times = {r["stem"]: r["times"] for r in seen}
         words1 = times.pop("", 0)
         self.texts = {r["stem"]: r["n"] for r in seen if r["stem"]}
-        rows = ordinary.select("text").mapInArrow(_ordinary_stems(frozenset(times)), "stem string, n long, asked boolean").groupBy("stem", "asked").agg(F.sum("n").alias("n"))
+        rows = saved(ordinary.select("text").mapInArrow(_ordinary_stems(frozenset(times)), "stem string, n long, asked boolean").groupBy("stem", "asked").agg(F.sum("n").alias("n")), "stems")
         co = {r["stem"]: r["n"] for r in rows.where("asked").collect()}
-        self.usual = [r["stem"] for r in rows.where("NOT asked").orderBy(F.desc("n"), "stem").limit(5 * ENTRIES).collect()]
+        self.usual = [r["stem"] for r in rows.where("NOT asked").orderBy(F.desc("n"), "stem").limit(5 * entries).collect()]
+        drop_saved(rows)
         words0 = co.pop("", 0)
         self.contrast = {s: (n + 0.5) / (words1 + 1) / ((co.get(s, 0) + 0.5) / (words0 + 1)) for s, n in times.items()}
 
@@ -121,15 +125,15 @@ class Counts:
                 chosen.append(s)
                 for k in range(STEMS.start, len(s) + 1):
                     stands[s[:k]] = max(stands.get(s[:k], 0), ct[s])
-        chosen = sorted(chosen, key=lambda s: (-ct[s] * np.log(contrast[s]), s))[:ENTRIES]
+        chosen = sorted(chosen, key=lambda s: (-ct[s] * np.log(contrast[s]), s))[: self.entries]
         plain = [w for w in self.usual if contrast.get(w, 0.0) < 2][: max(1, len(chosen))]
         spell = lambda ws: b"".join(b" " + w.encode() for w in reversed(ws)) + b" " + PRIMER  # noqa: E731  the best ones last, where offsets are short
         return spell(chosen), spell(plain)
 
 
-def dictionaries(toxic: DataFrame, ordinary: DataFrame, least: float = CONTRAST) -> tuple[bytes, bytes]:
+def dictionaries(toxic: DataFrame, ordinary: DataFrame, least: float, entries: int = ENTRIES) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary, from bounded samples with distinct texts."""
-    return Counts(toxic, ordinary).dictionaries(least)
+    return Counts(toxic, ordinary, entries).dictionaries(least)
 
 
 def _loss(x: np.ndarray, y: np.ndarray) -> float:
@@ -142,23 +146,34 @@ def _loss(x: np.ndarray, y: np.ndarray) -> float:
     return out / len(y)
 
 
-def held_out_contrast(sample: DataFrame) -> float:
-    """The contrast whose dictionaries, made from two thirds of the sample (doc_id, text_key, text, y), score the rest best."""
-    held = F.pmod("text_key", F.lit(3)) == 0
-    numbers = {r["y"]: r["n"] for r in sample.where(held).groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if min(numbers.get(0, 0), numbers.get(1, 0)) < LEAST_HELD:
-        return CONTRAST
-    counts = Counts(sample.where(~held & (F.col("y") == 1)), sample.where(~held & (F.col("y") == 0)))
-    asked = {c: counts.dictionaries(c) for c in CONTRASTS}
-    rows = sample.where(held)
-    labels = rows.select("text_key", "y").toPandas().set_index("text_key")["y"]  # bounded, as the sample is
-    best: dict[float, float] = {}
-    for c, pair in asked.items():
-        same = next((k for k in best if asked[k] == pair), None)
-        if same is None:
-            found = rows.mapInArrow(_measure(*pair), "doc_id long, text_key long, x array<double>").select("text_key", "x").toPandas().sort_values("text_key")
-            best[c] = _loss(np.array(found["x"].tolist(), float), labels.loc[found["text_key"]].to_numpy(float))
-    return min(best, key=lambda c: (best[c], c))
+def calibrated(sample: DataFrame, share: float, entries: int = ENTRIES) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(contrast, fitted score) by cross-fitting over a bounded sample (doc_id, text_key, text, y).
+
+    ``share``: the share of toxic documents that the score is to expect.
+    """
+    half = F.pmod(F.xxhash64("text_key"), F.lit(2))
+    y: list[float] = []
+    x: dict[float, list] = {c: [] for c in CONTRASTS}
+    for k in (0, 1):
+        rest, own = sample.where(half != k), sample.where(half == k)
+        counts = Counts(rest.where("y = 1"), rest.where("y = 0"), entries)
+        pairs = {c: counts.dictionaries(c) for c in CONTRASTS}
+        distinct = list(dict.fromkeys(pairs.values()))
+        found = own.mapInArrow(_measure(distinct, "y"), "text_key long, y int, x array<array<double>>")
+        rows = sorted(tuple(r) for r in found.collect())  # a bounded sample, a few numbers each
+        y += [r[1] for r in rows]
+        for c in CONTRASTS:
+            x[c] += [r[2][distinct.index(pairs[c])] for r in rows]
+    labels = np.array(y, float)
+    if not len(labels):
+        return CONTRASTS[0], (np.zeros(_WIDTH), np.ones(_WIDTH), np.zeros(_WIDTH + 1))
+    tables = {c: np.array(v, float) for c, v in x.items()}
+    best = min(CONTRASTS, key=lambda c: (_loss(tables[c], labels), c))
+    mean, scale, w = logistic(tables[best], labels, ridge=1.0)
+    odds = lambda p: np.log(p / (1 - p)) if 0 < p < 1 else 0.0
+    if 0 < labels.mean() < 1:
+        w[0] += odds(share) - odds(float(labels.mean()))
+    return best, (mean, scale, w)
 
 
 class Gains:
@@ -178,12 +193,12 @@ class Gains:
             self.kept = {w: self.kept[w] for w in windows if w in self.kept}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            data = [PRIMER + b" " + w.encode() + b" " for w in part]
+            data = [PRIMER + b" " + w.encode() + b" " + TAIL for w in part]
             sizes = []
             for side in self.sides:
                 out = side.multi_compress_to_buffer(data)
                 sizes.append([len(out[i]) for i in range(len(out))])
-            self.kept.update((w, (a - b, 10 * (a - b) // (len(d) - len(PRIMER)))) for w, d, a, b in zip(part, data, *sizes, strict=True))
+            self.kept.update((w, (a - b, 10 * (a - b) // (len(d) - len(PRIMER) - len(TAIL)))) for w, d, a, b in zip(part, data, *sizes, strict=True))
         return self.kept
 
 
@@ -200,26 +215,34 @@ def features(found: np.ndarray) -> list[float]:
     return [float(top.mean()), float(top[-1]), float(np.log(len(gain))), *np.log1p(at_least), *np.sqrt(at_least / len(gain))]
 
 
-def _measure(toxic: bytes, ordinary: bytes):
+def _measure(pairs: list[tuple[bytes, bytes]], other: str):
+    """Rows (text_key, ``other``, text) to (text_key, ``other``, x): a document's features under every pair of dictionaries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _gains.setdefault((toxic, ordinary), Gains(toxic, ordinary))
+        own = [_gains.setdefault(pair, Gains(*pair)) for pair in pairs]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 words = [words_of(t) for t in part.column("text").to_pylist()]
-                gain = own.of(set().union(*words))
-                found = [features(np.array([gain[x] for x in w], np.int64).reshape(-1, 2)) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "text_key", "x"])
+                distinct = set().union(*words)
+                by_pair = []
+                for gains in own:
+                    gain = gains.of(distinct)
+                    by_pair.append([features(np.array([gain[x] for x in w], np.int64).reshape(-1, 2)) for w in words])
+                x = pa.array(list(map(list, zip(*by_pair, strict=True))), pa.list_(pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([part.column("text_key"), part.column(other), x], names=["text_key", other, "x"])
 
     return run
 
 
-def _score(mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+def _score(pair: tuple[bytes, bytes], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+    measure = _measure([pair], "doc_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(mean))
+        for found in measure(batches):
+            x = np.array([r[0] for r in found.column("x").to_pylist()], float).reshape(-1, len(mean))
             p = sigmoid(weights[0] + (x - mean) / scale @ weights[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(p)], names=["doc_id", "text_key", "score"])
+            yield pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("text_key"), pa.array(p)], names=["doc_id", "text_key", "score"])
 
     return run
 
@@ -229,32 +252,27 @@ def _some(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, held_out, score, predicted, text_key.
+def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, entries: int = ENTRIES) -> DataFrame:
+    """Per row of ``df``: doc_id, held_out, score, predicted, kept (not predicted toxic), text_key.
 
-    Labels are learned only from documents whose crc32(doc_id as text) mod 5 is not 0. Null and empty
+    Labels are learned only from documents whose crc32(doc_id as text) mod 5 is not 0; at most
+    ``toxic_docs`` and ``ordinary_docs`` of them, chosen by a hash, are looked at. Null and empty
     texts have no windows and get the score of that. Rows without identifier are scored, never
-    learned from; repeated rows get equal scores. With labels of one class only, its share decides.
-    An empty table gives no rows. Columns other than identifier and text are not read.
+    learned from; repeated rows get equal scores; of several labels of one document the largest
+    counts. With labels of one class only, its share decides. An empty table gives no rows. Columns
+    other than identifier and text are not read.
     """
     docs = id_and_text(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     known = saved(learnable(labels, "toxic", lambda c: fold(c, 5) != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
+    share = known.agg(F.avg("y")).first()[0] or 0.0
     # both are bounded samples of identifiers, so they are broadcast
-    chosen = saved(_some(known.where("y = 1"), TOXIC_DOCS).unionByName(_some(known.where("y = 0"), ORDINARY_DOCS)), "sample")
-    sample = saved(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text_key"]).select("doc_id", "text_key", "text", "y"), "sampled")
-    toxic, ordinary = dictionaries(sample.where("y = 1"), sample.where("y = 0"), held_out_contrast(sample))
-    found = saved(docs.mapInArrow(_measure(toxic, ordinary), "doc_id long, text_key long, x array<double>"), "gains")
-    unseen = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
-    counts = {r["y"]: r["n"] for r in unseen.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    learn = unseen if counts.get(1, 0) >= 200 and counts.get(0, 0) >= 200 else known
-    rows = found.join(F.broadcast(_some(learn, CALIBRATION_DOCS)), "doc_id").dropDuplicates(["text_key"]).select("x", "y").toPandas()  # bounded, a few numbers each
-    x = np.array(rows["x"].tolist(), float).reshape(-1, _WIDTH)
-    if len(x):
-        model = logistic(x, rows["y"].to_numpy(float), ridge=1.0)
-    else:
-        model = (np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1] + 1))
-    out = found.mapInArrow(_score(*model), "doc_id long, text_key long, score double")
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_key")
+    chosen = saved(_some(known.where("y = 1"), toxic_docs).unionByName(_some(known.where("y = 0"), ordinary_docs)), "sample")
+    sample = saved(docs.join(F.broadcast(chosen), "doc_id").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("y").alias("y")), "sampled")
+    contrast, model = calibrated(sample, share, entries)
+    pair = dictionaries(sample.where("y = 1"), sample.where("y = 0"), contrast, entries)
+    out = docs.mapInArrow(_score(pair, *model), "doc_id long, text_key long, score double")
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", predicted.alias("predicted"), (predicted == 0).alias("kept"), "text_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
