@@ -5,10 +5,10 @@ text is work for many tasks. Every chunk is pre-tokenised alone, from its own st
 looks only at what follows a position, so two runs over the same text that share one boundary share
 all that follow; where the boundaries of a chunk's end and of the next one's start first coincide
 inside the overlap, the runs have resynchronised and the text is cut there. The pieces between
-the cuts are encoded in parallel and their ids are joined in order. A text in which two chunks never
-coincide (one pre-token longer than the overlap) is encoded whole instead.
+the cuts are encoded in parallel; their ids are joined in order and decoded. A text in which two chunks
+never coincide (one pre-token longer than the overlap) is encoded whole instead.
 
-Texts of at most ``chunk`` characters are one piece and are encoded where they are read.
+A text of at most ``chunk`` characters is a single chunk: it is its own only piece and moves nowhere.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ QUERY = "op3_bpe"
 ORACLE_SQL = None  # byte-pair merges are beyond SQL; tests compare with whole-text encoding
 
 #: Characters of a chunk, and by how many the next chunk is overlapped.
-CHUNK = 1 << 18
-OVERLAP = 1 << 12
+CHUNK = 1 << 13
+OVERLAP = 1 << 9
 #: Matches that end closer than this to a chunk's end may depend on what follows.
 MARGIN = 16
 
@@ -128,8 +128,30 @@ def _encode_pieces(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("k"), pa.array(list(map(packed, ids)), pa.binary()), pa.array(list(map(own.decode, ids)), pa.binary())], names=["doc_id", "row", "k", "ids", "decoded"])
+            ids = [packed(own.encode(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("k"), pa.array(ids, pa.binary())], names=["doc_id", "row", "k", "ids"])
+
+    return run
+
+
+def _joined(path: str, pattern: str):
+    """Rows (doc_id, parts) of one text's pieces, in order, to its result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            n, a, b = [], [], []
+            for parts in batch.column("parts"):
+                count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for part in parts:
+                    data = part["ids"].as_py()
+                    count += len(data) // 4
+                    ids.update(data)
+                    decoded.update(own.decode(np.frombuffer(data, "<u4").tolist()))
+                n.append(count)
+                a.append(ids.hexdigest())
+                b.append(decoded.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -144,7 +166,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     path, pattern = ranks or ranks_path(), pattern or default_pattern()
     docs = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     short = docs.where(F.length("text") <= chunk).mapInArrow(_digests(path, pattern), _OUT)
-    # very long texts only: numbered once and written, so that every later plan sees the same rows
+    # longer texts: numbered once and written, so that every later plan sees the same rows
     long = saved(docs.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long")
     last = F.floor((F.length("text") - 1) / chunk)
     chunks = long.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
@@ -159,21 +181,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     at = F.coalesce("from", F.lit(0)) - F.col("k") * chunk
     upto = F.when(F.col("ends"), F.length("text")).otherwise(F.col("cut") - F.col("k") * chunk)
     pieces = chunks.join(spans, ["row", "k"]).select("doc_id", "row", "k", F.substring("text", (at + 1).cast("int"), (upto - at).cast("int")).alias("text"))
-    joined = (
-        pieces.mapInArrow(_encode_pieces(path, pattern), "doc_id long, row long, k long, ids binary, decoded binary")
-        .groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids", "decoded"))).alias("parts"))
-        .select("doc_id", _concat("ids").alias("ids"), _concat("decoded").alias("decoded"))
-        .select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    )
+    parts = pieces.mapInArrow(_encode_pieces(path, pattern), "doc_id long, row long, k long, ids binary").groupBy("row")
+    parts = parts.agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    joined = parts.select("doc_id", "parts").mapInArrow(_joined(path, pattern), _OUT)
     whole = long.join(lost, "row", "left_semi").select("doc_id", "text").mapInArrow(_digests(path, pattern), _OUT)
     return short.unionByName(joined).unionByName(whole)
 
 
-def _concat(field: str):
-    """The parts' bytes joined in order: one text's ids, no more than the text itself."""
-    return F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p[field])), ""))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
