@@ -87,3 +87,29 @@ def test_siblings_are_told_apart(spark):
     want |= {(900, "GPL-3.0"), (900, "GPL-2.0")}
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.license) for r in got} == want
+
+
+def test_long_conversations_and_texts_and_white_space(spark):
+    rows = [(1, t, "user", "x" * 200_000 if t == 300 else f"m{t}") for t in range(700)] + [(1, None, "user", "last"), (2, 0, "assistant", "\n\t  " + call("a", city="B")), (2, 1, "tool", "  " + result("a"))]
+    out = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), {"get": {"city": "string"}}).collect()
+    one = sorted((r for r in out if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.position for r in one] == list(range(701)) and [r.turn for r in one] == [*range(700), None]
+    assert len(json.loads(one[300].line)["content"]) == 200_000
+    assert sorted((r.kind, r.call_id, r.problem) for r in out if r.conv_id == 2) == [("call", "a", None), ("result", "a", None)]
+
+
+def test_query_reaches_calls_results_and_problems(spark):
+    from tidebar.llm.op6_chat import query
+
+    out = query(spark, "/root/testdata/sf0.01").collect()
+    assert {r.kind for r in out} == {"message", "call", "result"}
+    assert {"call without result", "result without call", "repeated call identifier", "unknown tool", "argument chars is no integer"} <= {r.problem for r in out}
+    at = {(r.conv_id, r.kind, r.call_id, r.problem): r.position for r in out}
+    waits = 0
+    for r in out:
+        if r.kind == "call" and "$result" in r.line:
+            need = json.loads(json.loads(r.line)["arguments"])["of"]["$result"]
+            answers = [p for (c, kind, i, _), p in at.items() if (c, kind, i) == (r.conv_id, "result", need)]
+            waits += len(answers)
+            assert all(p < r.position for p in answers)
+    assert waits > 5

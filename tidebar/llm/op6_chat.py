@@ -14,31 +14,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import saved, table
+from tidebar.llm.common import drop_saved, saved, table
 
 QUERY = "op6_chat_format"
 
 #: Argument types of a tool's schema, by how canonical JSON of such a value looks.
 TYPES = {"string": '^"', "number": r"^-?\d", "integer": r"^-?\d+$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\["}
 
+#: Tools and argument types that ``query`` validates against.
+SCHEMAS = {"measure": {"chars": "integer"}, "count": {"of": "integer?", "words": "integer"}}
+#: Turns of a conversation that are numbered in one task.
+TURNS = 256
+
 ORACLE_SQL = r"""
-WITH m AS (
-  SELECT *, CASE WHEN role = 'assistant' AND text LIKE '{%' AND json_valid(text) THEN json_extract(text, '$.tool_call') END AS call,
-         CASE WHEN role = 'tool' AND text LIKE '{%' AND json_valid(text) THEN json_extract_string(text, '$.tool_call_id') END AS answers
+WITH a AS (
+  SELECT DISTINCT conv_id, turn, text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL
+), b AS (
+  SELECT *, 'c' || turn AS id, CASE WHEN n % 17 = 0 THEN 'forget' WHEN n % 3 = 0 THEN 'count' ELSE 'measure' END AS name,
+         n % 17 <> 0 AND n % 3 = 0 AND n % 2 = 0 AS asks
+  FROM a
+), c AS (
+  SELECT b.*, b.asks AND later.turn IS NOT NULL AS waits,
+         CASE WHEN b.asks THEN '{"of":{"$result":"c' || (b.turn + 2) || '"},"words":' || (b.n // 6) || '}'
+              WHEN b.name = 'count' THEN '{"words":' || (b.n // 6) || '}'
+              WHEN b.n % 5 = 0 THEN '{"chars":"' || b.n || '"}' ELSE '{"chars":' || b.n || '}' END AS arguments
+  FROM b LEFT JOIN (SELECT DISTINCT conv_id, turn FROM b) AS later ON later.conv_id = b.conv_id AND later.turn = b.turn + 2
+), d AS (
+  SELECT *, min(CASE WHEN NOT waits THEN turn END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last
+  FROM c
+), rows_ AS (
+  SELECT conv_id, turn, role, text, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS problem, turn AS at_, 0 AS step,
+         '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS line
   FROM conversations
+  UNION ALL
+  SELECT conv_id, turn, 'assistant', CASE WHEN n % 7 = 0 THEN '  ' ELSE '' END || '{"tool_call":{"id":"' || id || '","name":"' || name || '","arguments":' || arguments || '}}', 'call', id,
+         CASE WHEN n % 11 = 0 OR n % 13 = 0 THEN 'call without result' WHEN name = 'forget' THEN 'unknown tool' WHEN name = 'measure' AND n % 5 = 0 THEN 'argument chars is no integer' END,
+         last, last - turn,
+         '{"arguments":' || CAST(to_json(arguments) AS VARCHAR) || ',"id":"' || id || '","name":"' || name || '","role":"assistant"}'
+  FROM d
+  UNION ALL
+  SELECT conv_id, turn + 1, 'assistant', '{"tool_call":{"id":"' || id || '","name":"measure","arguments":{"chars":' || (n + 1) || '}}}', 'call', id, 'repeated call identifier', turn + 1, 0,
+         '{"arguments":"{\"chars\":' || (n + 1) || '}","id":"' || id || '","name":"measure","role":"assistant"}'
+  FROM d WHERE n % 19 = 0
+  UNION ALL
+  SELECT conv_id, turn, 'tool', '{"tool_call_id":"' || CASE WHEN n % 13 = 0 THEN 'x' ELSE 'c' END || turn || '","content":"' || n || '"}', 'result', CASE WHEN n % 13 = 0 THEN 'x' ELSE 'c' END || turn,
+         CASE WHEN n % 13 = 0 THEN 'result without call' END, CASE WHEN n % 13 = 0 THEN turn ELSE last END, CASE WHEN n % 13 = 0 THEN 0 ELSE last - turn + 1 END,
+         '{"content":"' || n || '","role":"tool","tool_call_id":"' || CASE WHEN n % 13 = 0 THEN 'x' ELSE 'c' END || turn || '"}'
+  FROM d WHERE n % 11 <> 0
 )
-SELECT conv_id,
-       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) - 1 AS position,
-       turn, CASE WHEN call IS NOT NULL THEN 'call' WHEN answers IS NOT NULL THEN 'result' ELSE 'message' END AS kind,
-       CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS problem,
-       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS line
-FROM m
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY at_ NULLS LAST, step, turn NULLS LAST, role NULLS LAST, text NULLS LAST) - 1 AS position, turn, kind, call_id, problem, line
+FROM rows_
 """
 
 
 def _parsed(text: Column) -> Column:
-    """The text as canonical JSON if it is an object; else null."""
-    return F.when(text.startswith("{"), F.to_json(F.try_parse_json(text)))
+    """The text as canonical JSON if it is an object, white space before it or not; else null."""
+    return F.when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), F.to_json(F.try_parse_json(text)))
 
 
 def _problem(name: Column, arguments: Column, schemas: dict[str, dict[str, str]]) -> Column:
@@ -66,7 +97,8 @@ def format_chat(df: DataFrame, schemas: dict[str, dict[str, str]] | None = None)
     Null turns come last, and ties are ordered by role and text; null text is JSON null. A repeated
     call identifier links to its first call and is a problem, as are results without call, calls
     without result, and calls that wait for one another (these keep their turns). Repeated rows stay.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read. A conversation may be of any length:
+    positions are numbered within ranges of turns and moved up by the counts of earlier ranges.
     """
     m = df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", F.when(F.col("role").isin("assistant", "tool"), _parsed(F.col("text"))).alias("doc"))
     m = m.withColumn("call", F.when(F.col("role") == "assistant", F.get_json_object("doc", "$.tool_call")))
@@ -76,8 +108,13 @@ def format_chat(df: DataFrame, schemas: dict[str, dict[str, str]] | None = None)
     tools = saved(m.where("kind <> 'message'").withColumn("row", F.monotonically_increasing_id()), "tools")
     linked = _linked(tools, schemas)
     all_ = plain.unionByName(linked)
-    order = Window.partitionBy("conv_id").orderBy(F.col("at").asc_nulls_last(), "step", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
-    return all_.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("position"), "turn", "kind", "call_id", "problem", "line")
+    all_ = all_.withColumn("range_", F.floor(F.col("at") / TURNS))
+    counts = all_.groupBy("conv_id", "range_").agg(F.count("*").alias("n_"))
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("range_").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("conv_id").alias("c_"), F.col("range_").alias("r_"), F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
+    placed = all_.join(counts, F.col("conv_id").eqNullSafe(F.col("c_")) & F.col("range_").eqNullSafe(F.col("r_")))
+    order = Window.partitionBy("conv_id", "range_").orderBy(F.col("at").asc_nulls_last(), "step", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
+    return placed.select("conv_id", (F.col("before_") + F.row_number().over(order) - 1).cast("long").alias("position"), "turn", "kind", "call_id", "problem", "line")
 
 
 def _line(**fields: Column) -> Column:
@@ -107,6 +144,7 @@ def _linked(tools: DataFrame, schemas: dict[str, dict[str, str]] | None) -> Data
         moved = moved.select("conv_id", "call_id", F.col("now.at").alias("at"), F.col("now.step").alias("step"), stuck.alias("stuck"))
         new = saved(moved, "at")  # what still moves after the longest chain is a cycle or waits for one
         settled = new.exceptAll(at).isEmpty()
+        drop_saved(at)
         at = new
         if settled:
             break
@@ -135,5 +173,32 @@ def _linked(tools: DataFrame, schemas: dict[str, dict[str, str]] | None) -> Data
     return call_rows.unionByName(result_rows)
 
 
+def stated_calls(df: DataFrame) -> DataFrame:
+    """Calls and results that the assistants' messages of ``df`` state, as rows (conv_id, turn, role, text).
+
+    The supplied conversations hold none, so every assistant's message states one, all of it derived
+    from its turn and its text's length: a call of ``measure`` or ``count`` (of ``forget``, which no
+    schema knows, where 17 divides the length), its number as a string (where 5 divides it), the
+    next message's result as an argument, white space before it, an identifier used again a turn
+    later (19), no result (11) or a result that names another call (13).
+    """
+    a = df.where("role = 'assistant' AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    div = lambda k: F.col("n") % k == 0
+    name = F.when(div(17), "forget").when(div(3), "count").otherwise("measure")
+    number = F.col("n").cast("string")
+    words = F.floor(F.col("n") / 6).cast("string")
+    asked = F.concat(F.lit('{"of":{"$result":"c'), F.col("turn") + 2, F.lit('"},"words":'), words, F.lit("}"))
+    chars = F.concat(F.lit('{"chars":'), F.when(div(5), F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number), F.lit("}"))
+    arguments = F.when((name == "count") & div(2), asked).when(name == "count", F.concat(F.lit('{"words":'), words, F.lit("}"))).otherwise(chars)
+    call = lambda name, arguments: F.concat(F.lit('{"tool_call":{"id":"c'), F.col("turn"), F.lit('","name":"'), name, F.lit('","arguments":'), arguments, F.lit("}}"))
+    first = F.concat(F.when(div(7), "  ").otherwise(""), call(name, arguments))
+    again = call(F.lit("measure"), F.concat(F.lit('{"chars":'), F.col("n") + 1, F.lit("}")))
+    result = F.concat(F.lit('{"tool_call_id":"'), F.when(div(13), "x").otherwise("c"), F.col("turn"), F.lit('","content":"'), number, F.lit('"}'))
+    row = lambda turn, role, text: F.struct(turn.alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+    stated = F.array(row(F.col("turn"), "assistant", first), F.when(div(19), row(F.col("turn") + 1, "assistant", again)), F.when(~div(11), row(F.col("turn"), "tool", result)))
+    return a.select("conv_id", F.explode(F.array_compact(stated)).alias("row")).select("conv_id", "row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(table(spark, sf_dir, "conversations"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return format_chat(said.unionByName(stated_calls(said)), SCHEMAS)
