@@ -60,6 +60,8 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         top = max(ranks.values()) + 1
+        #: How ids travel between tasks: in two bytes where the vocabulary allows it.
+        self.kind = "<u2" if top <= 1 << 16 else "<u4"
         self.spelled: list[bytes] = [b""] * top
         for token, rank in ranks.items():
             self.spelled[rank] = token
@@ -86,8 +88,8 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _known[path, pattern]
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def packed(ids: list[int], kind: str = "<u4") -> bytes:
+    return np.asarray(ids, kind).tobytes()
 
 
 def _digests(path: str, pattern: str):
@@ -107,19 +109,17 @@ def _digests(path: str, pattern: str):
 
 
 def _boundaries(path: str, pattern: str, chunk: int, overlap: int):
-    """Chunk rows to the boundaries, as places in the text, in the overlap before and after."""
+    """Chunk rows to the boundaries in the overlap before and after, counted from where the later chunk starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             head, tail = [], []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at = k * chunk
-                last = len(text) - MARGIN
-                found = own.ends(text, 1, last)
-                head.append([at + e for e in found if e <= overlap - MARGIN] if k else [])
-                tail.append([at + e for e in found if e > chunk])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["row", "k", "head", "tail"])
+                found = own.ends(text, 1, len(text) - MARGIN)
+                head.append([e for e in found if e <= overlap - MARGIN] if k else [])
+                tail.append([e - chunk for e in found if e > chunk])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["row", "k", "head", "tail"])
 
     return run
 
@@ -128,7 +128,7 @@ def _encode_pieces(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [packed(own.encode(t)) for t in batch.column("text").to_pylist()]
+            ids = [packed(own.encode(t), own.kind) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("k"), pa.array(ids, pa.binary())], names=["doc_id", "row", "k", "ids"])
 
     return run
@@ -144,10 +144,10 @@ def _joined(path: str, pattern: str):
             for parts in batch.column("parts"):
                 count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
                 for part in parts:
-                    data = part["ids"].as_py()
-                    count += len(data) // 4
-                    ids.update(data)
-                    decoded.update(own.decode(np.frombuffer(data, "<u4").tolist()))
+                    found = np.frombuffer(part["ids"].as_py(), own.kind)
+                    count += len(found)
+                    ids.update(found.astype("<u4").tobytes())
+                    decoded.update(own.decode(found.tolist()))
                 n.append(count)
                 a.append(ids.hexdigest())
                 b.append(decoded.hexdigest())
@@ -170,16 +170,16 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     long = saved(docs.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long")
     last = F.floor((F.length("text") - 1) / chunk)
     chunks = long.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    chunks = chunks.select("doc_id", "row", "k", F.expr(f"substring(text, int(k * {chunk}) + 1, {chunk + overlap})").alias("text")).repartition(F.col("row"), F.col("k"))
-    found = saved(chunks.select("row", "k", "text").mapInArrow(_boundaries(path, pattern, chunk, overlap), "row long, k long, head array<long>, tail array<long>"), "boundaries")
+    chunks = chunks.select("doc_id", "row", "k", F.expr(f"substring(text, int(k * {chunk}) + 1, {chunk + overlap})").alias("text"))
+    found = saved(chunks.select("row", "k", "text").mapInArrow(_boundaries(path, pattern, chunk, overlap), "row long, k long, head array<int>, tail array<int>"), "boundaries")
     # where chunk k and the next one agree first; null after the last chunk
     after = found.select("row", (F.col("k") - 1).alias("k"), F.col("head").alias("next"))
     cuts = found.join(after, ["row", "k"], "left").select("row", "k", F.col("next").isNull().alias("ends"), F.array_min(F.array_intersect("tail", "next")).alias("cut"))
     lost = cuts.where(F.col("cut").isNull() & ~F.col("ends")).select("row").distinct()
     starts = cuts.select("row", (F.col("k") + 1).alias("k"), F.col("cut").alias("from"))
     spans = cuts.join(lost, "row", "left_anti").join(starts, ["row", "k"], "left")
-    at = F.coalesce("from", F.lit(0)) - F.col("k") * chunk
-    upto = F.when(F.col("ends"), F.length("text")).otherwise(F.col("cut") - F.col("k") * chunk)
+    at = F.coalesce("from", F.lit(0))
+    upto = F.when(F.col("ends"), F.length("text")).otherwise(F.col("cut") + chunk)
     pieces = chunks.join(spans, ["row", "k"]).select("doc_id", "row", "k", F.substring("text", (at + 1).cast("int"), (upto - at).cast("int")).alias("text"))
     parts = pieces.mapInArrow(_encode_pieces(path, pattern), "doc_id long, row long, k long, ids binary").groupBy("row")
     parts = parts.agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
