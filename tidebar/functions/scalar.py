@@ -111,6 +111,10 @@ def cost_share(slippage: Column, taker: Column) -> Column:
 
 
 def exit_bucket(reason: Column) -> Column:
-    """tp, sl or other, after the entry-bar suffix is cut off."""
-    plain = F.regexp_replace(reason, "_entry_bar$", "")
-    return F.when(plain.isin("target", "take_profit"), "tp").when(plain.isin("stop", "stop_loss", "trailing_stop", "liquidation"), "sl").otherwise("other")
+    """tp, sl or other, after the entry-bar suffix is cut off.
+
+    What starts with target or tp is tp; any other reason that names a stop is sl; all else,
+    liquidation, null and empty reasons too, is other.
+    """
+    plain = F.lower(F.trim(F.regexp_replace(reason, "_entry_bar$", "")))
+    return F.when(plain.startswith("target") | plain.startswith("tp"), "tp").when(plain.contains("stop"), "sl").otherwise("other")

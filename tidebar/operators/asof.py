@@ -62,26 +62,30 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], poin
     return p.join(i, [*keys, "_bucket"]).where(inside).drop("_bucket")
 
 
-def prefix_nearest(bars: DataFrame, levels: DataFrame, keys: list[str], time: str, value: str, known: str, price: str, level_id: str, below: bool, out: str, bits: int = 26) -> DataFrame:
+def prefix_nearest(bars: DataFrame, levels: DataFrame, keys: list[str], time: str, value: str, known: str, price: str, level_id: str, below: bool, out: str, count: str | None = None) -> DataFrame:
     """Each bar with the nearest level price below (or above) its value among levels known by its time.
 
-    A bar is known by its key and time.
+    A bar is known by its key and time. ``count`` names a column of ``bars`` that already tells how many
+    levels are known by then.
 
     The levels of a key, ranked by when they are known, that a bar may see are a prefix. Every prefix
-    is a union of at most ``bits`` aligned power-of-two blocks, those of the set bits of its length,
+    is a union of aligned power-of-two blocks, those of the set bits of its length,
     and every level lies in one block per bit. So bars and levels meet in blocks by an equi-key, and a
     running maximum (or minimum) by price inside a block finds the nearest one: O((n + m) log m).
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(known, level_id)) - 1
     pos = levels.select(*keys, F.col(known).alias("_t"), F.col(price).alias("_p"), rank.alias("_pos"))
-    last = pos.groupBy(*keys, F.col("_t")).agg((F.max("_pos") + 1).alias("_k"))
-    seen = asof_join(bars, last, keys, time, "_t", ["_k"])
-    sizes = F.sequence(F.lit(0), F.lit(bits))
-    set_bits = F.filter(sizes, lambda x: F.call_function("shiftright", F.col("_k"), x).bitwiseAND(1) == 1)
+    if count:
+        seen = bars.withColumn("_k", F.col(count).cast("long"))
+    else:
+        last = pos.groupBy(*keys, F.col("_t")).agg((F.max("_pos") + 1).alias("_k"))
+        seen = asof_join(bars, last, keys, time, "_t", ["_k"])
+    bits = lambda n: F.sequence(F.lit(0), F.length(F.bin(n)) - 1)  # noqa: E731  the binary places of a number
+    set_bits = F.filter(bits(F.col("_k")), lambda x: F.call_function("shiftright", F.col("_k"), x).bitwiseAND(1) == 1)
     parts = seen.where("_k > 0").select(*keys, F.col(time).alias("_row"), F.col(value).alias("_c"), F.explode(set_bits).alias("_x"), "_k").withColumn("_blk", F.expr("shiftright(_k, _x) - 1"))
     most = pos.groupBy(*keys).agg(F.max("_pos").alias("_m"))
     # a block is asked for only if it lies within the number of levels
-    blocks = pos.join(most, keys).select(*keys, "_p", "_pos", "_m", F.explode(F.filter(sizes, lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x) <= F.col("_m") + 1)).alias("_x")).withColumn("_blk", F.expr("shiftright(_pos, _x)"))
+    blocks = pos.join(most, keys).select(*keys, "_p", "_pos", "_m", F.explode(bits(F.col("_m") + 1)).alias("_x")).withColumn("_blk", F.expr("shiftright(_pos, _x)"))
     both = blocks.select(*keys, "_x", "_blk", F.col("_p").alias("_o"), F.col("_p").alias("_lv"), F.lit(0).alias("_bar"), F.lit(None).cast("long").alias("_row"))
     both = both.unionByName(parts.select(*keys, "_x", "_blk", F.col("_c").alias("_o"), F.lit(None).cast("double").alias("_lv"), F.lit(1).alias("_bar"), "_row"))
     w = Window.partitionBy(*keys, "_x", "_blk").orderBy(F.col("_o") if below else F.desc("_o"), "_bar")

@@ -1,7 +1,7 @@
 """Causal price structure: swings, labels, bias, legs, levels and the feature matrix per bar.
 
-Every step is a window on the series key, so one shuffle of the bars serves them all; what becomes
-known later than its own time carries the time from which it is known.
+Every step is a window on the series key; what becomes known later than its own time carries the time
+from which it is known.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.scalar import RATIOS, RETRACEMENTS, fib_column, fib_price, nearest_ratio, retracement
 from tidebar.operators.asof import asof_join, prefix_nearest
 from tidebar.schemas import KEY
+from tidebar.scratch import written
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str] = KEY) -> DataFrame:
@@ -63,10 +64,13 @@ def levels(found: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return found.select(*keys, F.col("swing_id").alias("level_id"), F.when(F.col("kind") == "high", "resistance").otherwise("support").alias("kind"), "price", F.col("pivot_ts_ms").alias("origin_ts_ms"), "confirm_ts_ms")
 
 
-def nearest_levels(bars: DataFrame, lv: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Nearest confirmed support at or below and resistance at or above the close, with distances."""
-    out = prefix_nearest(bars, lv.where("kind = 'support'"), keys, "ts_ms", "close", "confirm_ts_ms", "price", "level_id", True, "nearest_support")
-    out = prefix_nearest(out, lv.where("kind = 'resistance'"), keys, "ts_ms", "close", "confirm_ts_ms", "price", "level_id", False, "nearest_resistance")
+def nearest_levels(bars: DataFrame, lv: DataFrame, keys: list[str] = KEY, counts: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """Nearest confirmed support at or below and resistance at or above the close, with distances.
+
+    ``counts``: columns of ``bars`` with the numbers of supports and of resistances known by then, if it has them.
+    """
+    out = prefix_nearest(bars, lv.where("kind = 'support'"), keys, "ts_ms", "close", "confirm_ts_ms", "price", "level_id", True, "nearest_support", counts[0])
+    out = prefix_nearest(out, lv.where("kind = 'resistance'"), keys, "ts_ms", "close", "confirm_ts_ms", "price", "level_id", False, "nearest_resistance", counts[1])
     c = F.nullif(F.col("close"), F.lit(0.0))
     return out.withColumn("dist_support_pct", (F.col("close") - F.col("nearest_support")) / c).withColumn("dist_resistance_pct", (F.col("nearest_resistance") - F.col("close")) / c)
 
@@ -102,10 +106,34 @@ def last_retracement(bars: DataFrame, made: DataFrame, keys: list[str] = KEY) ->
 
 
 def bar_features(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str] = KEY) -> DataFrame:
-    """The causal feature matrix: what was known of the structure at every bar."""
-    found = swings(bars, left, right, keys)
-    events = label_events(found, keys)
+    """The causal feature matrix: what was known of the structure at every bar.
+
+    Swings with their labels are written once. Bars and everything that becomes known are put into
+    one union, and a single window gives every bar the last of each and the numbers of known levels.
+    """
+    events = written(label_events(swings(bars, left, right, keys), keys), "events")
     made = legs(events, keys)
-    out = bars.select(*keys, "ts_ms", "close")
-    out = last_retracement(last_leg(last_label(last_swings(out, found, keys), events, keys), made, keys), made, keys)
-    return nearest_levels(out, levels(found, keys), keys)
+    high = F.col("kind") == "high"
+    price = F.struct(F.col("price"), F.col("pivot_ts_ms").alias("ts"))
+    leg = F.struct(F.col("direction"), F.col("leg_kind"), F.col("length_pct"), F.col("start_price"), F.col("end_price"))
+    row = lambda time, seq, *columns: [*keys, F.col(time).alias("ts_ms"), F.lit(0).alias("_bar"), F.col(seq).cast("long").alias("_seq"), *columns]
+    known = events.select(*row("confirm_ts_ms", "swing_id", F.when(high, price).alias("_sh"), F.when(~high, price).alias("_sl"), F.struct("label", "bias").alias("_label")))
+    known = known.unionByName(made.select(*row("known_ts_ms", "leg_id", leg.alias("_leg"))), allowMissingColumns=True)
+    shown = made.where("retrace_known_ms IS NOT NULL")
+    known = known.unionByName(shown.select(*row("retrace_known_ms", "leg_id", F.struct("retrace_pct", "fib_label").alias("_retrace"))), allowMissingColumns=True)
+    every = known.unionByName(bars.select(*keys, "ts_ms", F.lit(1).alias("_bar"), "close"), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("ts_ms", "_bar", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(c, True).over(upto).alias(c) for c in ("_sh", "_sl", "_label", "_leg", "_retrace")]
+    counts = [F.count("_sl").over(upto).alias("_supports"), F.count("_sh").over(upto).alias("_resistances")]
+    at = every.select(*keys, "ts_ms", "close", "_bar", *last, *counts).where("_bar = 1")
+    c = F.col("close")
+    price = {r: fib_price(F.col("_leg.start_price"), F.col("_leg.end_price"), r) for r in RATIOS}
+    out = at.select(
+        *keys, "ts_ms", "close",
+        *[x for n in ("sh", "sl") for x in (F.col(f"_{n}.price").alias(f"last_{n}_price"), F.col(f"_{n}.ts").alias(f"last_{n}_ts_ms"), ((c - F.col(f"_{n}.price")) / c).alias(f"dist_last_{n}_pct"))],
+        F.col("_label.label").alias("last_structure_label"), F.coalesce("_label.bias", F.lit(0)).alias("structure_bias"),
+        F.col("_leg.direction").alias("last_leg_dir"), F.col("_leg.leg_kind").alias("last_leg_kind"), F.col("_leg.length_pct").alias("last_leg_len_pct"),
+        *[p.alias(fib_column(r)) for r, p in price.items()], *[((price[r] - c) / c).alias(f"dist_{fib_column(r)}_pct") for r in RETRACEMENTS],
+        F.col("_retrace.retrace_pct").alias("last_retrace_pct"), F.col("_retrace.fib_label").alias("last_retrace_fib"), "_supports", "_resistances",
+    )
+    return nearest_levels(out, levels(events, keys), keys, ("_supports", "_resistances")).drop("_supports", "_resistances")

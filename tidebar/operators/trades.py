@@ -6,6 +6,8 @@ the account or series; ``order`` must be total.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +80,14 @@ def sharpe(df: DataFrame, keys: list[str], days: float = 365.0) -> DataFrame:
     return out.select(*keys, "n", raw.alias("sharpe"), (raw * F.sqrt(F.lit(days))).alias("sharpe_annual"), sortino.alias("sortino"), F.when(F.col("n") >= 2, F.col("_s") * F.sqrt(F.lit(days))).alias("volatility"))
 
 
-def hac_sharpe(df: DataFrame, keys: list[str], order: str = "day_ms", days: float = 365.0, most: int = 40) -> DataFrame:
+def hac_sharpe(df: DataFrame, keys: list[str], order: str = "day_ms", days: float = 365.0) -> DataFrame:
     """Sharpe with the Bartlett-weighted long-run deviation; lag 4 * (n / 100) ** (2 / 9), at least 1.
 
-    The lag grows as n to the power 2/9, so lagged columns are few; ``most`` of them reach n = 3 million.
+    The lag grows as n to the power 2/9, so lagged columns are few: as many as the longest series needs,
+    whose length is counted first.
     """
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    most = max(1, math.floor(4 * (longest / 100.0) ** (2.0 / 9.0)) + 1)  # one more, whatever the rounding
     w, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
     c = df.select(*keys, order, "r", (F.col("r") - F.avg("r").over(whole)).alias("_x"), F.count("*").over(whole).alias("_n"))
     lags = F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("_n") / 100.0, 2.0 / 9.0)))

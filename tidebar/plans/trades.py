@@ -86,7 +86,7 @@ _LAGS = "\n UNION ALL ".join(f"SELECT account, {k} AS k, x * lag(x, {k}) OVER (P
  v AS (SELECT b.*, (g0 + coalesce(g, 0)) / n AS v FROM b LEFT JOIN g ON b.account = g.account)
 SELECT account, n, lag_ AS lag, round(CASE WHEN n >= 2 AND v > 0 THEN m / sqrt(v) END, 6) AS sharpe_hac, round(CASE WHEN n >= 2 AND v > 0 THEN m / sqrt(v) * sqrt(365.0::DOUBLE) END, 6) AS sharpe_hac_annual FROM v""")
 def _(spark, d):
-    return _r(tr.hac_sharpe(tr.daily_returns(_daily(spark, d), A), A, most=12), 6)
+    return _r(tr.hac_sharpe(tr.daily_returns(_daily(spark, d), A), A), 6)
 
 
 _W = "(wins / n::DOUBLE)"
@@ -124,12 +124,19 @@ def _(spark, d):
     return _r(trades(spark, d).groupBy("reason").agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl")), 4)
 
 
-_REASON = "CASE trade_id % 4 WHEN 0 THEN 'target_entry_bar' WHEN 1 THEN 'stop' WHEN 2 THEN 'liquidation_entry_bar' ELSE 'max_hold' END"
+#: Reasons of exits and their buckets, as the operator's rule states them one by one.
+_REASONS = [
+    ("target", "tp"), ("target_entry_bar", "tp"), ("target_2", "tp"), ("TP1", "tp"), ("stop", "sl"), ("stop_entry_bar", "sl"), ("trailing_stop", "sl"), ("break_even_stop", "sl"), ("emergency_stop", "sl"),
+    ("liquidation", "other"), ("liquidation_entry_bar", "other"), ("max_hold", "other"), ("end_of_data", "other"), ("signal_exit", "other"), ("", "other"), (None, "other"),
+]
+_TOLD = ", ".join(f"({i}, {'NULL' if r is None else repr(r)}, '{b}')" for i, (r, b) in enumerate(_REASONS))
 
 
-@register("pf17_exit_buckets", f"WITH {TRADES} SELECT CASE trade_id % 4 WHEN 0 THEN 'tp' WHEN 3 THEN 'other' ELSE 'sl' END AS bucket, count(*) AS n FROM trades GROUP BY 1")
+@register("pf17_exit_buckets", f"WITH {TRADES}, r(i, reason, bucket) AS (VALUES {_TOLD}) SELECT r.reason, r.bucket, count(*) AS n, round(sum(pnl), 4) AS pnl FROM trades JOIN r ON r.i = trade_id % {len(_REASONS)} GROUP BY ALL")
 def _(spark, d):
-    return trades(spark, d).select(S.exit_bucket(F.expr(_REASON)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    told = F.element_at(F.array(*map(F.lit, (r for r, _ in _REASONS))), (F.col("trade_id") % len(_REASONS) + 1).cast("int"))
+    t = trades(spark, d).select(told.alias("reason"), "pnl")
+    return _r(t.groupBy("reason", S.exit_bucket(F.col("reason")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl")), 4)
 
 
 _CONC = f"""{TRADES}, e0 AS (SELECT account, entry_ts_ms AS ts, 1 AS delta, (side > 0)::INT AS l FROM trades UNION ALL SELECT account, CASE WHEN exit_ts_ms <= entry_ts_ms THEN entry_ts_ms + 1 ELSE exit_ts_ms END, -1, (side > 0)::INT FROM trades),
