@@ -163,9 +163,9 @@ def test_leaks_are_caught(spark):
 
     b = wavy(spark).withColumn("volume", F.lit(1.0))
     w = Window.partitionBy("symbol").orderBy("ts_ms")
-    leaky = lambda x: x.select("symbol", "ts_ms", F.lead("close").over(w).alias("future_close"), (F.col("close") / F.lag("close").over(w) - 1).alias("ret_1"))
+    leaky = lambda x: x.select("symbol", "ts_ms", F.lead("close").over(w).alias("target_close"), (F.col("close") / F.lag("close").over(w) - 1).alias("ret_1"))
     found = {(r.check, r.column) for r in leakage.audit(b, leaky, ["symbol"], [1]).collect() if r.severity == "HARD"}
-    assert {("prefix_invariance", "future_close"), ("future_mutation", "future_close"), ("name_scan", "future_close")} <= found
+    assert {("prefix_invariance", "target_close"), ("future_mutation", "target_close"), ("name_scan", "target_close"), ("streaming_tip", "*")} <= found
     assert not any(c == "ret_1" for k, c in found if k != "forward_corr")
     with pytest.raises(ValueError, match="future_close"):
         leakage.refuse(["future_close", "ret_1"], spark.createDataFrame([("future_close",)], "column string"))

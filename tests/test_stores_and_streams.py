@@ -1,3 +1,4 @@
+import itertools
 import json
 
 from pyspark.sql import functions as F
@@ -32,8 +33,11 @@ def test_coalescing_upsert(spark, tmp_path):
     assert [(r.ts_ms, r.oi, r.ls_ratio) for r in store.scan().collect()] == [(1, 11.0, 0.5), (2, 12.0, None)]
 
 
+_sent = itertools.count()
+
+
 def frame(t, close, closed=True):
-    return json.dumps({"e": "kline", "k": {"t": t, "s": "X", "i": "1h", "o": "1", "h": "2", "l": "0.5", "c": str(close), "v": "3", "x": closed}})
+    return json.dumps({"e": "kline", "E": next(_sent), "k": {"t": t, "s": "X", "i": "1h", "o": "1", "h": "2", "l": "0.5", "c": str(close), "v": "3", "x": closed}})
 
 
 def test_stream_keeps_a_store(spark, tmp_path):
@@ -43,9 +47,10 @@ def test_stream_keeps_a_store(spark, tmp_path):
     values = ["open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote"]
 
     def run():
-        frames = closed_frames(spark.readStream.text(f"file://{tmp_path}/in"))
+        lines = spark.readStream.text(f"file://{tmp_path}/in").withColumn("arrival", F.get_json_object("value", "$.E").cast("long"))
+        frames = closed_frames(lines, keep=("arrival",))
         full = frames.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("quote_volume", "double"), ("trades", "long"), ("taker_buy_base", "double"), ("taker_buy_quote", "double"))])
-        upsert_stream(full, store, f"file://{tmp_path}/cp", values, values[5:]).start().awaitTermination()
+        upsert_stream(full, store, f"file://{tmp_path}/cp", values, values[5:], "arrival").start().awaitTermination()
 
     run()
     first = {r.ts_ms: (r.close, r.updated_at_ms) for r in store.read().collect()}
@@ -55,6 +60,33 @@ def test_stream_keeps_a_store(spark, tmp_path):
     second = {r.ts_ms: (r.close, r.updated_at_ms) for r in store.read().collect()}
     assert {t: c for t, (c, _) in second.items()} == {1: 5.5, 2: 6.0, 4: 8.0}
     assert second[2] == first[2] and second[1][1] > first[1][1]
+    (tmp_path / "in/c.txt").write_text("\n".join([frame(1, 5), frame(1, 6), frame(2, 7), frame(2, 8), frame(2, 6), frame(2, 8)]))
+    run()
+    assert {r.ts_ms: r.close for r in store.read().collect()} == {1: 6.0, 2: 8.0, 4: 8.0}
+
+
+def test_a_key_repeated_in_a_batch_gives_one_row(spark):
+    from tidebar.operators.upsert import change_detecting, coalescing
+
+    old = spark.createDataFrame([(1, 5.0, 1)], "k long, v double, at long")
+    new = spark.createDataFrame([(1, 6.0, 1), (1, 5.0, 2), (2, None, 4), (2, 9.0, 3)], "k long, v double, seq long")
+    now = F.lit(7).cast("long")
+    assert sorted(map(tuple, change_detecting(old, new, ["k"], ["v"], [], "at", now, "seq").collect())) == [(1, 5.0, 1), (2, None, 7)]
+    assert change_detecting(old, new.drop("seq"), ["k"], ["v"], [], "at", now).count() == 2
+    two = new.withColumn("w", F.col("v"))
+    assert sorted((r.k, r.v, r.w) for r in coalescing(old.withColumn("w", F.lit(1.0)), two, ["k"], ["v"], ["w"], "seq").collect()) == [(1, 5.0, 5.0), (2, None, 9.0)]
+
+
+def test_a_batch_reads_only_its_series_folders_and_purge_empties_them(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/pruned", KEY, BARS)
+    rows = [("s", x, "1h", t, 1.0, 1.0, 1.0, float(t), 1.0) for x in ("A", "B", "C") for t in (1, 2)]
+    store.write(spark.createDataFrame(rows, BARS))
+    plan = store._touched(spark.createDataFrame(rows[:1], BARS))._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters:") :].split("\n")[0]
+    assert "A" in filters and "symbol" in filters.split("PushedFilters")[0]
+    gone = store.purge((F.col("symbol") == "B") | (F.col("ts_ms") == 2)).collect()
+    assert {(r.symbol, r.deleted) for r in gone} == {("A", 1), ("B", 2), ("C", 1)}
+    assert sorted((r.symbol, r.ts_ms) for r in store.read().collect()) == [("A", 1), ("C", 1)]
 
 
 def test_online_resample_equals_batch(spark, tmp_path):

@@ -107,9 +107,46 @@ def forward_correlation(features: DataFrame, bars: DataFrame, keys: list[str], h
     return top.withColumn("severity", level).withColumn("check", F.lit(check))
 
 
-#: Parts of names that a feature known in time would not bear.
-HARD_TOKENS = ("future", "forward", "fwd_", "_fwd", "lookahead", "look_ahead", "next_", "_next", "target", "label", "outcome", "y_true", "leak")
-ADVISORY_PATTERN = r"(?i)(lead|ahead|tomorrow|t\+\d)"
+#: Parts of names that labels and outcomes bear, and a pattern of names that look ahead.
+HARD_TOKENS = ("net_return", "gross_return", "is_win", "outcome", "tp_touch", "sl_touch", "holding_ms", "trade_id", "label_", "_label", "target_", "y_true", "y_hat")
+ADVISORY_PATTERN = r"(?i)(future|fwd_|forward_|lookahead|look_ahead|next_ret|ret_fwd)"
+
+#: Columns of the feature matrix and the record whose known time they must wait for.
+PUBLICATION_RULES = {
+    "last_sh_price": "swing_high", "last_sl_price": "swing_low", "dist_last_sh_pct": "swing_high", "dist_last_sl_pct": "swing_low",
+    "nearest_support": "level", "nearest_resistance": "level", "dist_support_pct": "level", "dist_resistance_pct": "level",
+    "structure_bias": "event", "last_structure_label": "event",
+    "last_leg_dir": "leg", "last_leg_kind": "leg", "last_leg_len_pct": "leg",
+    "last_retrace_pct": "successor_leg", "last_retrace_fib": "successor_leg", "fib_0000": "leg", "fib_1000": "leg",
+}
+
+
+def known_times(events: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, record, known_ms): from when each kind of record is known for the first time."""
+    first = lambda df, record, time: df.groupBy(*keys).agg(F.min(time).alias("known_ms")).select(*keys, F.lit(record).alias("record"), "known_ms")
+    out = first(events, "event", "confirm_ts_ms").unionByName(first(events, "level", "confirm_ts_ms"))
+    for kind in ("high", "low"):
+        out = out.unionByName(first(events.where(F.col("kind") == kind), f"swing_{kind}", "confirm_ts_ms"))
+    return out.unionByName(first(made, "leg", "known_ts_ms")).unionByName(first(made.where("retrace_pct IS NOT NULL"), "successor_leg", "retrace_known_ms"))
+
+
+def publication(features: DataFrame, known: DataFrame, keys: list[str], rules: dict[str, str] = PUBLICATION_RULES) -> DataFrame:
+    """Per series and ruled column: its first visible time against its record's first known time, and a verdict.
+
+    missing: the feature table has no such column. early: a value other than null (of the bias, other
+    than 0) stands before its record is known; a record that never becomes known makes any value early. ok: else.
+    """
+    there = [c for c in rules if c in features.columns]
+    shown = lambda c: (F.col(c) != 0) if c == "structure_bias" else F.col(c).isNotNull()
+    first = features.groupBy(*keys).agg(*[F.min(F.when(shown(c), F.col("ts_ms"))).alias(c) for c in there])
+    spark = features.sparkSession
+    told = spark.createDataFrame(list(rules.items()), "column string, record string")
+    series = features.select(*keys).distinct()
+    seen = first.unpivot(keys, there, "column", "visible_ms") if there else series.select(*keys, F.lit("").alias("column"), F.lit(None).cast("long").alias("visible_ms"))
+    every = series.join(F.broadcast(told))  # the rules are a fixed short list
+    out = every.join(seen, [*keys, "column"], "left").join(known, [*keys, "record"], "left")
+    verdict = F.when(~F.col("column").isin(there), "missing").when(F.col("visible_ms").isNotNull() & (F.col("known_ms").isNull() | (F.col("visible_ms") < F.col("known_ms"))), "early").otherwise("ok")
+    return out.select(*keys, "column", "record", "visible_ms", "known_ms", verdict.alias("verdict"))
 
 
 def name_scan(names: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -118,32 +155,49 @@ def name_scan(names: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     for t in (*HARD_TOKENS, *extra):
         hard = hard | F.lower("column").contains(t.lower())
     level = F.when(hard, "HARD").when(F.col("column").rlike(ADVISORY_PATTERN), "ADVISORY")
-    return _finding(names.withColumn("_l", level).where("_l IS NOT NULL"), "name_scan", F.col("_l"), "the name tells of the future")
+    message = F.when(F.col("_l") == "HARD", "the name is a label's or an outcome's").otherwise("the name looks ahead")
+    return _finding(names.withColumn("_l", level).where("_l IS NOT NULL"), "name_scan", F.col("_l"), message)
 
 
-def split_geometry(train: DataFrame, test: DataFrame, min_gap_ms: int) -> DataFrame:
-    """One finding: empty, overlap, order, gap, or OK (advisory)."""
+def split_geometry(train: DataFrame, test: DataFrame, min_gap_ms: int, same_source: bool = False) -> DataFrame:
+    """One finding: same source, empty, overlap, order, gap, or OK (advisory)."""
     t, s = train.agg(F.count("*").alias("n1"), F.max("ts_ms").alias("hi1")), test.agg(F.count("*").alias("n2"), F.min("ts_ms").alias("lo2"))
     both = train.select("ts_ms").intersect(test.select("ts_ms")).agg(F.count("*").alias("common"))
     one = t.crossJoin(s).crossJoin(both)  # three rows of one
-    message = F.when((F.col("n1") == 0) | (F.col("n2") == 0), "empty").when(F.col("common") > 0, "overlap").when(F.col("hi1") >= F.col("lo2"), "order").when(F.col("lo2") - F.col("hi1") < min_gap_ms, "gap").otherwise("ok")
+    message = F.when(F.lit(same_source), "same source").when((F.col("n1") == 0) | (F.col("n2") == 0), "empty").when(F.col("common") > 0, "overlap").when(F.col("hi1") >= F.col("lo2"), "order").when(F.col("lo2") - F.col("hi1") < min_gap_ms, "gap").otherwise("ok")
     return one.select(F.lit("split_geometry").alias("check"), F.when(message == "ok", "ADVISORY").otherwise("HARD").alias("severity"), F.lit("*").alias("column"), message.alias("message"), "common")
 
 
-def audit(bars: DataFrame, build, keys: list[str], horizons: list[int]) -> DataFrame:
-    """All checks' findings (check, severity, column, message); none HARD: no leakage was found."""
+def audit(bars: DataFrame, build, keys: list[str], horizons: list[int], stream: DataFrame | None = None, train: DataFrame | None = None, test: DataFrame | None = None, min_gap_ms: int = 0) -> DataFrame:
+    """All checks' findings (check, severity, column, message); none HARD: no leakage was found.
+
+    ``stream`` holds the features of a bar-by-bar run, ``train`` and ``test`` the times of a split. A check that lacks
+    its input is itself a finding: HARD for the streaming tip, which decides, ADVISORY for the split.
+    """
     features = build(bars)
     spark = bars.sparkSession
     names = spark.createDataFrame([(c,) for c in features.columns if c not in (*keys, "ts_ms")], "column string")
     out = prefix_invariance(bars, build, keys)
     for part in (future_mutation(bars, build, keys), responsiveness(bars, build, keys), name_scan(names)):
         out = out.unionByName(part)
-    corr = forward_correlation(features, bars, keys, horizons).where("severity IS NOT NULL")
-    return out.unionByName(_finding(corr, "forward_corr", F.col("severity"), F.concat(F.lit("correlates with "), F.col("horizon"))))
+    for check, bounds in (("forward_corr", (0.5, 0.2, 100, 50)), ("near_label", (0.95, 0.8, 80, 50))):
+        corr = forward_correlation(features, bars, keys, horizons, *bounds, check).where("severity IS NOT NULL")
+        out = out.unionByName(_finding(corr, check, F.col("severity"), F.concat(F.lit("correlates with "), F.col("horizon"))))
+    skipped = lambda check, severity: spark.createDataFrame([(check, severity, "*", "the check was skipped")], out.schema)
+    out = out.unionByName(streaming_tip(features, stream, keys) if stream is not None else skipped("streaming_tip", "HARD"))
+    if train is None or test is None:
+        return out.unionByName(skipped("split_geometry", "ADVISORY"))
+    return out.unionByName(split_geometry(train, test, min_gap_ms).drop("common"))
+
+
+def marked(columns: DataFrame, registry: DataFrame) -> DataFrame:
+    """``columns`` (column) with ``refused`` and the registry's reasons: those with leakage potential."""
+    known = registry.groupBy("column").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
+    return columns.join(known, "column", "left").withColumn("refused", F.col("reasons").isNotNull())
 
 
 def refuse(columns: list[str], registry: DataFrame) -> None:
-    """Fail if one of the columns is in the registry."""
-    bad = [r["column"] for r in registry.where(F.col("column").isin(columns)).select("column").limit(20).collect()]
+    """Fail if one of the columns is in the registry; all of those are named."""
+    bad = [r["column"] for r in registry.where(F.col("column").isin(columns)).select("column").distinct().collect()]
     if bad:
         raise ValueError(f"features with leakage potential: {sorted(bad)}")

@@ -3,10 +3,18 @@ batch touches, settles each key, and overwrites just these partitions."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators.series import last_per_key
+from tidebar.scratch import written
+
+#: Series of a batch that are looked up by a folder filter; more are joined.
+PRUNED = 200
+#: Time that one task writes of a series: 400 days.
+FILE_MS = 400 * 86_400_000
 
 
 def overwrite(old: DataFrame, new: DataFrame, pk: list[str], seq: str | None = None) -> DataFrame:
@@ -16,8 +24,18 @@ def overwrite(old: DataFrame, new: DataFrame, pk: list[str], seq: str | None = N
     return last_per_key(both, pk, "_new", "_seq").drop("_new", "_seq")
 
 
-def change_detecting(old: DataFrame, new: DataFrame, pk: list[str], values: list[str], optional: list[str], stamp: str, now: Column) -> DataFrame:
-    """New values by key; ``stamp`` moves only where a value differs. Nulls of ``optional`` columns equal -1."""
+def settled(new: DataFrame, pk: list[str], values: list[str], seq: str | None) -> DataFrame:
+    """One row per key of a batch: the last in ``seq``, or without it the one with the largest values."""
+    order = [F.col(seq)] if seq else []
+    return last_per_key(new, pk, *order, F.struct(*values))
+
+
+def change_detecting(old: DataFrame, new: DataFrame, pk: list[str], values: list[str], optional: list[str], stamp: str, now: Column, seq: str | None = None) -> DataFrame:
+    """New values by key; ``stamp`` moves only where a value differs. Nulls of ``optional`` columns equal -1.
+
+    A key that the batch repeats gives one row, the last in ``seq``.
+    """
+    new = settled(new, pk, values, seq)
     o, n = old.select(*pk, F.struct(*values, stamp).alias("o")), new.select(*pk, F.struct(*values).alias("n"))
     same = F.lit(True)
     for v in values:
@@ -28,8 +46,14 @@ def change_detecting(old: DataFrame, new: DataFrame, pk: list[str], values: list
     return j.select(*pk, *[F.when(keep, F.col(f"o.{v}")).otherwise(F.col(f"n.{v}")).alias(v) for v in values], F.when(keep, F.col(f"o.{stamp}")).otherwise(now).alias(stamp))
 
 
-def coalescing(old: DataFrame, new: DataFrame, pk: list[str], replaced: list[str], kept: list[str]) -> DataFrame:
-    """``replaced`` columns take the new value, null too; ``kept`` ones the new value unless it is null."""
+def coalescing(old: DataFrame, new: DataFrame, pk: list[str], replaced: list[str], kept: list[str], seq: str | None = None) -> DataFrame:
+    """``replaced`` columns take the new value, null too; ``kept`` ones the new value unless it is null.
+
+    A key that the batch repeats is settled in the order of ``seq``: the last value, or the last that is no null.
+    """
+    by = F.struct(*([seq] if seq else []), *replaced, *kept)
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), by))
+    new = new.groupBy(*pk).agg(F.max_by(F.struct(*replaced), by).alias("_last"), *[last(c).alias(c) for c in kept]).select(*pk, "_last.*", *kept)
     o, n = old.select(*pk, F.struct(*replaced, *kept).alias("o")), new.select(*pk, F.struct(*replaced, *kept).alias("n"))
     j = o.join(n, pk, "full_outer")
     return j.select(*pk, *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in replaced], *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in kept])
@@ -100,23 +124,56 @@ class Store:
         return out.orderBy(*self.key, "ts_ms")
 
     def _touched(self, batch: DataFrame) -> DataFrame:
-        return self.read().join(batch.select(*self.key).distinct(), self.key, "left_semi")
+        """The store's rows of the batch's series. Few series prune folders by a filter; many are joined."""
+        series = batch.select(*self.key).distinct()
+        few = series.limit(PRUNED + 1).collect()
+        if not few or len(few) > PRUNED:
+            return self.read().join(series, self.key, "left_semi")
+        wanted = F.lit(False)
+        for row in few:
+            own = F.lit(True)
+            for k in self.key:
+                own = own & F.col(k).eqNullSafe(F.lit(row[k]))
+            wanted = wanted | own
+        return self.read().where(wanted)
 
     def write(self, rows: DataFrame) -> None:
-        """Overwrite the partitions that ``rows`` has. It is written aside first, as it may come from here."""
-        aside = f"{self.path}.aside"
-        rows.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(aside)
+        """Overwrite the partitions that ``rows`` has. It is written aside first, as it may come from here.
+
+        A series goes to files by blocks of time, so that a long one is many tasks' work. Folders are
+        swapped by Spark's writer one by one: one writer at a time, and a reader meanwhile may see
+        some of the batch's series new and others old.
+        """
+        aside = f"{self.path}.aside-{uuid.uuid4().hex}"
+        rows.select(*[f.name for f in self.schema.fields]).write.parquet(aside)
         out = self.spark.read.schema(self.schema).parquet(aside)
-        out.repartition(*self.key).sortWithinPartitions(*self.key, "ts_ms").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.key).parquet(self.path)
+        dealt = out.repartition(*self.key, F.floor(F.col("ts_ms") / FILE_MS)).sortWithinPartitions(*self.key, "ts_ms")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.key).parquet(self.path)
+        self._delete(aside)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def purge(self, gone: Column) -> DataFrame:
+        """Delete the rows for which ``gone`` holds; rows deleted per series. Series without rows lose their folder."""
+        where = F.coalesce(gone, F.lit(False))
+        counts = written(self.read().groupBy(*self.key).agg(F.count_if(where).alias("deleted"), F.count_if(~where).alias("left")).where("deleted > 0"), "purged")
+        left = self.read().join(counts.where("left > 0").select(*self.key), self.key, "left_semi").where(~where)
+        if not counts.where("left > 0").isEmpty():
+            self.write(left)
+        for row in counts.where("left = 0").select(*self.key).toLocalIterator():  # folder names
+            self._delete(self.path + "".join(f"/{k}={row[k]}" for k in self.key))
+        return counts.select(*self.key, "deleted")
 
     def upsert(self, batch: DataFrame, seq: str | None = None) -> None:
         self.write(overwrite(self._touched(batch), batch.drop(*(set(batch.columns) - {f.name for f in self.schema.fields} - {seq})), [*self.key, "ts_ms"], seq).select(*[f.name for f in self.schema.fields]))
 
-    def upsert_changed(self, batch: DataFrame, values: list[str], optional: list[str], stamp: str, now: Column) -> None:
-        self.write(change_detecting(self._touched(batch), batch, [*self.key, "ts_ms"], values, optional, stamp, now))
+    def upsert_changed(self, batch: DataFrame, values: list[str], optional: list[str], stamp: str, now: Column, seq: str | None = None) -> None:
+        self.write(change_detecting(self._touched(batch), batch, [*self.key, "ts_ms"], values, optional, stamp, now, seq))
 
-    def upsert_coalescing(self, batch: DataFrame, replaced: list[str], kept: list[str]) -> None:
-        self.write(coalescing(self._touched(batch), batch, [*self.key, "ts_ms"], replaced, kept))
+    def upsert_coalescing(self, batch: DataFrame, replaced: list[str], kept: list[str], seq: str | None = None) -> None:
+        self.write(coalescing(self._touched(batch), batch, [*self.key, "ts_ms"], replaced, kept, seq))
 
 
 def latest_events(df: DataFrame, pk: list[str], at: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import leakage as lk
 from tidebar.plans.registry import register
-from tidebar.plans.views import bars, bars_sql
+from tidebar.plans.structure import _LG
+from tidebar.plans.views import TICKS, bars, bars_sql, ticks
 
 K = ["symbol"]
 
@@ -24,12 +25,38 @@ def _b(spark, d):
     return bars(spark, d).select("symbol", "ts_ms", "open", "high", "low", "close", "volume")
 
 
-@register("lk01_prefix_invariance", f"WITH {_F}, x AS (SELECT DISTINCT 'centred' AS c UNION SELECT 'future_close') SELECT 'prefix_invariance' AS \"check\", 'HARD' AS severity, c AS \"column\", 'changes when later bars are removed' AS message FROM x WHERE (SELECT count(*) FROM f) > 0")
+_COLUMNS = ("ret_1", "sma_6", "future_close", "centred")
+
+
+def _features_sql(source: str) -> str:
+    return f"""(SELECT symbol, ts_ms, close / lag(close) OVER w - 1 AS ret_1, avg(close) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS sma_6, lead(close) OVER w AS future_close, avg(close) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS centred
+ FROM ({source}) WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms))"""
+
+
+def _changed_sql(check: str, message: str, ctes: list[tuple[str, str, str]]) -> str:
+    """Columns of which some value of (part, whole, where) differs; tolerance above rounding."""
+    parts = [
+        f"SELECT '{c}' AS c FROM {part} a JOIN {whole} z USING (symbol, ts_ms) WHERE ({where}) AND (abs(a.{c} - z.{c}) > 1e-6 OR (a.{c} IS NULL) <> (z.{c} IS NULL))"
+        for part, whole, where in ctes for c in _COLUMNS
+    ]
+    return f"""SELECT DISTINCT '{check}' AS "check", 'HARD' AS severity, c AS "column", '{message}' AS message FROM ({' UNION ALL '.join(parts)})"""
+
+
+_B = f"""{bars_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), whole AS {_features_sql('SELECT * FROM b')}"""
+_CUTS = (0.7, 0.81, 0.92)
+_PREFIXES = ", ".join(f"p{k} AS {_features_sql(f'SELECT * FROM b WHERE i <= floor(n * {c}::DOUBLE)')}" for k, c in enumerate(_CUTS))
+_TAIL = "(symbol, ts_ms) IN (SELECT (symbol, ts_ms) FROM b WHERE i > floor(n * {c}::DOUBLE) - 50)"
+
+
+@register("lk01_prefix_invariance", f"WITH {_B}, {_PREFIXES} " + _changed_sql("prefix_invariance", "changes when later bars are removed", [(f"p{k}", "whole", _TAIL.format(c=c)) for k, c in enumerate(_CUTS)]))
 def _(spark, d):
     return lk.prefix_invariance(_b(spark, d), features, K)
 
 
-@register("lk02_future_mutation", f"WITH {_F}, x AS (SELECT DISTINCT 'centred' AS c UNION SELECT 'future_close') SELECT 'future_mutation' AS \"check\", 'HARD' AS severity, c AS \"column\", 'past changes with the future' AS message FROM x WHERE (SELECT count(*) FROM f) > 0")
+_MUTATED = _features_sql("SELECT symbol, ts_ms, CASE WHEN i > floor(n * 0.8::DOUBLE) THEN close * 10 ELSE close END AS close FROM b")
+
+
+@register("lk02_future_mutation", f"WITH {_B}, m AS {_MUTATED} " + _changed_sql("future_mutation", "past changes with the future", [("m", "whole", "(symbol, ts_ms) IN (SELECT (symbol, ts_ms) FROM b WHERE i <= floor(n * 0.8::DOUBLE))")]))
 def _(spark, d):
     return lk.future_mutation(_b(spark, d), features, K)
 
@@ -73,29 +100,57 @@ def _(spark, d):
     return lk.forward_correlation(features(b).select("symbol", "ts_ms", "ret_1", "future_close"), b, K, [1, 3], 0.95, 0.8, 80, 50, "near_label").withColumn("corr", F.round("corr", 6))
 
 
-@register("lk07_name_scan", "SELECT 'name_scan' AS \"check\", CASE WHEN n LIKE '%future%' OR n LIKE '%next_%' ESCAPE '!' AND contains(n, 'next_') THEN 'HARD' ELSE 'ADVISORY' END AS severity, n AS \"column\", 'the name tells of the future' AS message FROM (SELECT DISTINCT CASE user_id % 4 WHEN 0 THEN 'future_' WHEN 1 THEN 'next_' WHEN 2 THEN 'lead_' ELSE 'sma_' END || event_type AS n FROM events) WHERE n NOT LIKE 'sma%'")
+#: Beginnings of names, and what the scan must say of them.
+_NAMES = [("net_return", "HARD"), ("is_win_", "HARD"), ("TP_touch_", "HARD"), ("my_label_", "HARD"), ("target_", "HARD"), ("y_hat_", "HARD"), ("future_", "ADVISORY"), ("Fwd_", "ADVISORY"), ("lookahead", "ADVISORY"), ("next_ret_", "ADVISORY"), ("next_", None), ("lead_", None), ("sma_", None)]
+_NAMED = ", ".join(f"({i}, '{n}', {'NULL' if s is None else repr(s)})" for i, (n, s) in enumerate(_NAMES))
+
+
+@register("lk07_name_scan", f"""WITH p(i, name, severity) AS (VALUES {_NAMED}) SELECT DISTINCT 'name_scan' AS "check", severity, name || event_type AS "column", CASE severity WHEN 'HARD' THEN 'the name is a label''s or an outcome''s' ELSE 'the name looks ahead' END AS message
+FROM events JOIN p ON i = user_id % {len(_NAMES)} WHERE severity IS NOT NULL""")
 def _(spark, d):
     from tidebar.plans.views import read
 
-    k = F.col("user_id") % 4
-    n = F.concat(F.when(k == 0, "future_").when(k == 1, "next_").when(k == 2, "lead_").otherwise("sma_"), F.col("event_type"))
-    return lk.name_scan(read(spark, d, "events").select(n.alias("column")).distinct())
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in _NAMES]), (F.col("user_id") % len(_NAMES) + 1).cast("int"))
+    return lk.name_scan(read(spark, d, "events").select(F.concat(name, "event_type").alias("column")).distinct())
 
 
-@register("lk08_split_geometry", f"WITH {bars_sql()} SELECT 'split_geometry' AS \"check\", 'HARD' AS severity, '*' AS \"column\", 'gap' AS message, 0::BIGINT AS common FROM (SELECT count(*) AS n FROM bars) WHERE n > 0")
+@register("lk08_split_geometry", f"""WITH {bars_sql()}, c(cut, least) AS (SELECT 1705276800000, 86400000 UNION ALL SELECT 1705276800000, 0 UNION ALL SELECT 0, 0), t AS (SELECT cut, least, count(*) FILTER (WHERE ts_ms < cut) AS n1, count(*) FILTER (WHERE ts_ms >= cut) AS n2, max(ts_ms) FILTER (WHERE ts_ms < cut) AS hi, min(ts_ms) FILTER (WHERE ts_ms >= cut) AS lo FROM bars, c GROUP BY ALL),
+ r AS (SELECT CASE WHEN n1 = 0 OR n2 = 0 THEN 'empty' WHEN hi >= lo THEN 'order' WHEN lo - hi < least THEN 'gap' ELSE 'ok' END AS message, 0::BIGINT AS common FROM t
+  UNION ALL SELECT 'overlap', count(DISTINCT ts_ms) FROM bars WHERE ts_ms < 1705276800000)
+SELECT 'split_geometry' AS "check", CASE message WHEN 'ok' THEN 'ADVISORY' ELSE 'HARD' END AS severity, '*' AS "column", message, common FROM r""")
 def _(spark, d):
+    """Four splits of the bars: too near, far enough, an empty side, and one that shares its times."""
     b, at = _b(spark, d), 1_705_276_800_000
-    return lk.split_geometry(b.where(F.col("ts_ms") < at), b.where(F.col("ts_ms") >= at), 86_400_000)
+    early, late = b.where(F.col("ts_ms") < at), b.where(F.col("ts_ms") >= at)
+    out = lk.split_geometry(early, late, 86_400_000).unionByName(lk.split_geometry(early, late, 0))
+    return out.unionByName(lk.split_geometry(b.where("ts_ms < 0"), b, 0)).unionByName(lk.split_geometry(b, early, 0))
+
+
+@register("lk10_registry_gate", f"""WITH {TICKS}, reg AS (SELECT symbol AS c, list_sort(list(DISTINCT 'r' || (user_id % 3))) AS reasons FROM ticks WHERE seq % 2 = 0 AND symbol < 'm' GROUP BY symbol)
+SELECT DISTINCT symbol AS "column", reg.c IS NOT NULL AS refused, array_to_string(reasons, ',') AS reasons FROM ticks LEFT JOIN reg ON reg.c = symbol""")
+def _(spark, d):
+    t = ticks(spark, d)
+    registry = t.where("seq % 2 = 0 AND symbol < 'm'").groupBy(F.col("symbol").alias("column")).agg(F.collect_set(F.concat(F.lit("r"), F.col("user_id") % 3)).alias("reasons"))
+    return lk.marked(t.select(F.col("symbol").alias("column")).distinct(), registry).select("column", "refused", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("lk09_audit")
 def _(spark, d):
-    return lk.audit(_b(spark, d), features, K, [1, 3])
+    """The whole battery on features of which two look ahead; the bar-by-bar run agrees, the split lacks its gap."""
+    b, at = _b(spark, d), 1_705_276_800_000
+    return lk.audit(b, features, K, [1, 3], features(b), b.where(F.col("ts_ms") < at), b.where(F.col("ts_ms") >= at), 86_400_000)
+
+
+_RULES = ", ".join(f"('{c}', '{r}')" for c, r in lk.PUBLICATION_RULES.items())
 
 
-@register("lk11_publication_rules")
+@register("lk11_publication_rules", f"""WITH {_LG}, p("column", record) AS (VALUES {_RULES}), k AS (SELECT symbol, 'swing_' || kind AS record, min(confirm_ts_ms) AS known_ms FROM events_ GROUP BY ALL UNION ALL SELECT symbol, 'event', min(confirm_ts_ms) FROM events_ GROUP BY symbol UNION ALL SELECT symbol, 'level', min(confirm_ts_ms) FROM events_ GROUP BY symbol
+  UNION ALL SELECT symbol, 'leg', min(known_ts_ms) FROM legs GROUP BY symbol UNION ALL SELECT symbol, 'successor_leg', min(retrace_known_ms) FROM legs WHERE retrace_pct IS NOT NULL GROUP BY symbol)
+SELECT s.symbol, p."column", p.record, k.known_ms, 'ok' AS verdict FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN p LEFT JOIN k ON k.symbol = s.symbol AND k.record = p.record""")
 def _(spark, d):
-    """Bar features under prefix cuts: a finding would be a value shown before its rule's time."""
-    from tidebar.operators.structure import bar_features
+    """Every ruled column of the bar features against the first time at which its record is known."""
+    from tidebar.operators import structure as st
 
-    return lk.prefix_invariance(_b(spark, d).drop("volume"), lambda b: bar_features(b, keys=K), K, cuts=(0.8,))
+    b = _b(spark, d).drop("volume")
+    events = st.label_events(st.swings(b, keys=K), K)
+    return lk.publication(st.bar_features(b, keys=K), lk.known_times(events, st.legs(events, K), K), K).drop("visible_ms")

@@ -26,8 +26,11 @@ def _(spark, d):
 @register("snk02_change_detecting", f"""WITH {bars_sql('1h', 'even', 'seq % 2 = 0')}, {_ODD}, j AS (SELECT coalesce(e.symbol, o.symbol) AS symbol, coalesce(e.ts_ms, o.ts_ms) AS ts_ms, e.close AS ec, o.close AS oc, e.high AS eh, o.high AS oh, e.symbol AS es, o.symbol AS os FROM even e FULL JOIN odd o ON e.symbol = o.symbol AND e.ts_ms = o.ts_ms)
 SELECT symbol, ts_ms, CASE WHEN os IS NULL THEN eh ELSE oh END AS high, CASE WHEN os IS NULL THEN ec ELSE oc END AS close, CASE WHEN os IS NULL OR (es IS NOT NULL AND ec = oc AND eh = oh) THEN 1 ELSE 2 END::BIGINT AS updated FROM j""")
 def _(spark, d):
+    """Every key comes twice in the batch, first with a wrong value that the later row corrects."""
     old, new = _two(spark, d)
-    return up.change_detecting(old.withColumn("updated", F.lit(1).cast("long")), new, ["symbol", "ts_ms"], ["high", "close"], ["high"], "updated", F.lit(2).cast("long"))
+    wrong = new.withColumns({"high": F.col("high") + 100, "close": F.col("close") + 100, "seq": F.lit(1)})
+    batch = new.withColumn("seq", F.lit(2)).unionByName(wrong)
+    return up.change_detecting(old.withColumn("updated", F.lit(1).cast("long")), batch, ["symbol", "ts_ms"], ["high", "close"], ["high"], "updated", F.lit(2).cast("long"), "seq")
 
 
 @register("snk03_coalescing", f"""WITH {bars_sql('1h', 'even', 'seq % 2 = 0')}, {_ODD}, o AS (SELECT symbol, ts_ms, CASE WHEN volume > 1 THEN close END AS oi, CASE WHEN volume > 1 THEN high END AS ls FROM odd)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.plans.registry import register
-from tidebar.plans.views import NOW_MS, TICKS, bars, bars_sql, ticks
+from tidebar.plans.views import NOW_MS, TICKS, bars, bars_sql, more_bars, tick_bars, ticks
 from tidebar.streaming import bars as sb
 
 H = 3_600_000
@@ -58,9 +58,16 @@ def _(spark, d):
     return sb.uncovered(w, h, 7_200_000)
 
 
-@register("st02_st03_upsert_stream", f"WITH {TICKS} SELECT symbol, ts_ms, price AS close FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, ts_ms ORDER BY seq) = 1")
+_EXTRA = {"quote_volume": "double", "trades": "long", "taker_buy_base": "double", "taker_buy_quote": "double"}
+_VALUES = ["open", "high", "low", "close", "volume", *_EXTRA]
+
+
+@register("st02_upsert_stream", f"WITH {TICKS}, sent AS (SELECT symbol, ts_ms, price, 2 * seq AS arrival FROM ticks UNION ALL SELECT symbol, ts_ms, price + 1, 2 * seq + 1 FROM ticks WHERE seq % 3 = 0) SELECT symbol, ts_ms, arg_max(price, arrival) AS close FROM sent GROUP BY symbol, ts_ms")
 def _(spark, d):
-    """The event file as a stream of closed frames that keeps a store; what the store holds afterwards."""
+    """The event file as a stream of closed frames that keeps a store; what the store holds afterwards.
+
+    Every third event is sent a second time with a corrected price, in the same batch.
+    """
     from tidebar.functions.scalar import utc_ms
     from tidebar.operators.upsert import Store
     from tidebar.plans.views import read
@@ -68,12 +75,32 @@ def _(spark, d):
     from tidebar.scratch import scratch_path
 
     e = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    p = F.col("value").cast("string")
+    again = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
+    e = e.withColumn("later", F.explode(again)).withColumn("arrival", 2 * F.col("event_id") + F.col("later"))
+    p = (F.col("value") + F.col("later")).cast("string")
     frame = F.concat(F.lit('{"e":"kline","k":{"t":'), utc_ms(F.col("ts")), F.lit(',"s":"'), "event_type", F.lit('","i":"1h","o":"1","h":"2","l":"0.5","c":"'), p, F.lit('","v":"3","x":true}}'))
-    extra = {"quote_volume": "double", "trades": "long", "taker_buy_base": "double", "taker_buy_quote": "double"}
-    frames = sb.closed_frames(e.select(frame.alias("value"))).select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra.items()])
+    frames = sb.closed_frames(e.select(frame.alias("value"), "arrival"), keep=("arrival",)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in _EXTRA.items()])
     store = Store(spark, scratch_path(spark, "live"), ["exchange", "symbol", "timeframe"], LIVE_BARS)
-    sb.upsert_stream(frames, store, scratch_path(spark, "cp"), ["open", "high", "low", "close", "volume", *extra], list(extra)).start().awaitTermination()
+    sb.upsert_stream(frames, store, scratch_path(spark, "cp"), _VALUES, list(_EXTRA), "arrival").start().awaitTermination()
+    return store.read().select("symbol", "ts_ms", "close")
+
+
+@register("st03_refresh_tips", f"""WITH {bars_sql('1h', 'even', 'seq % 2 = 0')}, {more_bars('every', '1h')}, tips AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC) <= 5),
+ j AS (SELECT coalesce(e.symbol, t.symbol) AS symbol, coalesce(e.ts_ms, t.ts_ms) AS ts_ms, CASE WHEN t.symbol IS NULL THEN e.close ELSE t.close END AS close FROM even e FULL JOIN tips t ON e.symbol = t.symbol AND e.ts_ms = t.ts_ms)
+SELECT symbol, ts_ms, close FROM j WHERE ts_ms + {H} <= (SELECT max(ts_ms) FROM every) + {H} - 1""")
+def _(spark, d):
+    """A store of bars from every other event; the five newest bars of all events are merged, and what still forms goes."""
+    from tidebar.operators.upsert import Store
+    from tidebar.schemas import LIVE_BARS, conform
+    from tidebar.scratch import scratch_path
+
+    t = ticks(spark, d)
+    live = lambda b: conform(b.withColumnRenamed("source", "exchange").withColumn("updated_at_ms", F.lit(1)), LIVE_BARS)
+    store = Store(spark, scratch_path(spark, "tips"), ["exchange", "symbol", "timeframe"], LIVE_BARS)
+    store.write(live(tick_bars(t.where("seq % 2 = 0"), "1h")))
+    polled = live(tick_bars(t, "1h"))
+    now = polled.agg(F.max("ts_ms")).first()[0] + H - 1
+    sb.refresh_tips(store, polled, _VALUES, list(_EXTRA), now)
     return store.read().select("symbol", "ts_ms", "close")
 
 

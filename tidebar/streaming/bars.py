@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import clock_skew, expected_closed_open, safe_double, skew_limit
 from tidebar.timeframes import step_ms
 
 
-def closed_frames(frames: DataFrame, body: str = "value") -> DataFrame:
-    """Closed bars of kline frames of two venues; acknowledgements, forming bars and what is no JSON go."""
+def closed_frames(frames: DataFrame, body: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Closed bars of kline frames of two venues; acknowledgements, forming bars and what is no JSON go.
+
+    ``keep``: columns of ``frames`` that stay beside the bars, such as the order of arrival.
+    """
     one = "struct<e:string,k:struct<t:bigint,s:string,i:string,o:string,h:string,l:string,c:string,v:string,x:boolean>>"
     two = "struct<topic:string,data:array<struct<start:bigint,interval:string,open:string,high:string,low:string,close:string,volume:string,confirm:boolean>>>"
     a, b = F.from_json(body, one), F.from_json(body, two)
     first = F.when(a["k"]["x"], F.array(F.struct(F.lit("a").alias("exchange"), a["k"]["s"].alias("symbol"), a["k"]["i"].alias("timeframe"), a["k"]["t"].alias("ts_ms"), *[safe_double(a["k"][k]).alias(n) for k, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)])))
     closed = F.filter(b["data"], lambda x: F.coalesce(x["confirm"], F.lit(False)))
     second = F.transform(closed, lambda x: F.struct(F.lit("b").alias("exchange"), F.element_at(F.split(b["topic"], r"\."), -1).alias("symbol"), x["interval"].alias("timeframe"), x["start"].alias("ts_ms"), *[safe_double(x[n]).alias(n) for n in ("open", "high", "low", "close", "volume")]))
-    return frames.select(F.explode(F.coalesce(first, second)).alias("r")).select("r.*")
+    return frames.select(*keep, F.explode(F.coalesce(first, second)).alias("r")).select(*keep, "r.*")
+
 
+def upsert_stream(stream: DataFrame, store, checkpoint: str, values: list[str], optional: list[str], arrival: str, stamp: str = "updated_at_ms"):
+    """A query that keeps the store up to date with closed bars; a repeated batch changes nothing.
 
-def upsert_stream(stream: DataFrame, store, checkpoint: str, values: list[str], optional: list[str], stamp: str = "updated_at_ms"):
-    """A query that keeps the store up to date with closed bars; a repeated batch changes nothing."""
+    ``arrival`` orders the frames: of several of one bar the last one wins, within a batch as between batches.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            last = batch.dropDuplicates([*store.key, "ts_ms"])
-            store.upsert_changed(last, values, optional, stamp, F.unix_millis(F.current_timestamp()))
+            store.upsert_changed(batch, values, optional, stamp, F.unix_millis(F.current_timestamp()), arrival)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def refresh_tips(store, polled: DataFrame, values: list[str], optional: list[str], now_ms: int, newest: int = 5, stamp: str = "updated_at_ms") -> DataFrame:
+    """Merge the ``newest`` polled bars of every series into the store, then delete bars that still form; the deleted per series."""
+    last = Window.partitionBy(*store.key).orderBy(F.desc("ts_ms"))
+    tips = polled.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= newest).drop("_n")
+    store.upsert_changed(tips, values, optional, stamp, F.lit(now_ms).cast("long"))
+    return store.purge(F.col("ts_ms") + step_ms(F.col("timeframe")) > F.lit(now_ms))
+
+
 def online_resample(stream: DataFrame, time: str, length: str, watermark: str, keys: list[str], start: str | None = None) -> DataFrame:
     """Bars of a larger step, emitted once the watermark has passed their end."""
     at = F.window(time, length, length, start) if start else F.window(time, length)
