@@ -34,3 +34,12 @@ def test_drop_keeps_columns_and_one_row(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", "k"), (0, "a ", "k"), (2, None, "k"), (None, "z", None)], key=str)
     assert drop_copies(df.where("false")).count() == 0 and exact_groups(df.where("false")).count() == 0
+
+
+def test_rounds_end_at_one_entry_whatever_the_plan_above(spark):
+    df = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 37 AS STRING) AS text")
+    shuffled = df.join(df.selectExpr("doc_id", "text AS other"), "doc_id").groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text")
+    for source in (shuffled, shuffled.repartition(23), shuffled.orderBy("text")):
+        out = exact_groups(source, fan_in=2).collect()
+        assert len(out) == 400 and sum(r.kept for r in out) == 37
+        assert all(r.keep_id == r.doc_id % 37 for r in out)

@@ -16,8 +16,8 @@ def sets_of(text, k=4):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)])
 
 
-def brute(rows):
-    sets = [sets_of(t) for _, t in rows]
+def brute(rows, k=4):
+    sets = [sets_of(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -83,3 +83,10 @@ def test_set_sizes_are_exact():
     texts = ["".join(rng.choice("ab \n\tA\x0bé") for _ in range(rng.randint(0, 400))) for _ in range(300)] + ["word " * 900_000]
     for t, s in zip(texts, shingle_sets([t.encode() for t in texts], 4), strict=True):
         assert len(s) == len(sets_of(t)) and (np.diff(s.astype(object)) > 0).all()
+
+
+def test_blocks_are_bounded_by_shingles(spark):
+    rows = family_rows(7)
+    want = sorted((i, c) for i, _, c in brute(rows))
+    got = sorted((r.doc_id, r.component_id) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=1000, shingles=300).collect())
+    assert got == want

@@ -238,7 +238,7 @@ def pack(
     pieces = saved(id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_pack(path, window, open_windows, end_id), _PIECES), "pieces")
     levels = pieces.where("start = -1").select("sequence_id", "fill", "group")
     moves: list[DataFrame] = []
-    groups = max(1, df.rdd.getNumPartitions())
+    groups = (pieces.agg(F.max("group")).first()[0] or 0) + 1  # one for each partition that wrote pieces
     while groups > 1:
         groups = -(-groups // fan_in)
         step = saved(

@@ -112,6 +112,11 @@ def merged_runs(rows: DataFrame, nodes: int, fan_in: int = FAN_IN) -> DataFrame:
     return run.select("digest", "n_bytes", F.when(F.col("no_id") == 0, F.col("keep_id")).alias("keep_id"), "keep_row", "n")
 
 
+def _nodes(rows: DataFrame) -> int:
+    """Nodes that the written rows come from: one for each partition that wrote them."""
+    return (rows.agg(F.max("node")).first()[0] or 0) + 1
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """Per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -120,8 +125,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text): exactly one is kept. An empty table gives no rows. Other columns are not read.
     """
     rows = digest_rows(df, id_col, text_col)
-    nodes = max(1, df.rdd.getNumPartitions())
-    kept = merged_runs(rows, nodes, fan_in)
+    kept = merged_runs(rows, _nodes(rows), fan_in)
     # a large group of copies makes a hot key here: adaptive execution splits it on the row side
     return rows.join(kept, ["digest", "n_bytes"]).select(
         "doc_id",
@@ -135,7 +139,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; of repeated rows one stays."""
     rows = digest_rows(df, id_col, text_col)
-    kept = merged_runs(rows, max(1, df.rdd.getNumPartitions()), fan_in)
+    kept = merged_runs(rows, _nodes(rows), fan_in)
     own = saved(
         rows.join(kept, ["digest", "n_bytes"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).agg(F.count("*").alias("_same")),
         "kept",

@@ -33,8 +33,8 @@ WORDS = 4
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BANDS, ROWS = 32, 5
-#: Nodes of a block of a family.
-BLOCK = 512
+#: Nodes of a block of a family, and shingles of all its nodes.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _SKETCH = "doc_id long, row long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>"
 
@@ -156,9 +156,12 @@ def _families(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return held.join(mixed, "key").select("g", "node", "root").distinct()
 
 
-def _blocks(family: DataFrame, block: int) -> DataFrame:
-    """Each family dealt into blocks: side 0 has the nodes outside its component g, side 1 all of them."""
-    sizes = family.groupBy("g").agg(F.ceil(F.count_if(F.col("root") != F.col("g")) / block).alias("n_l"), F.ceil(F.count("*") / block).alias("n_r"))
+def _blocks(family: DataFrame, block: int, shingles: int) -> DataFrame:
+    """Each family (g, node, root, n_shingles) dealt into blocks: side 0 has the nodes outside its component g, side 1 all of them."""
+    outside = F.col("root") != F.col("g")
+    parts = lambda n, held: F.greatest(F.ceil(n / block), F.ceil(held / shingles))
+    left = parts(F.count_if(outside), F.coalesce(F.sum(F.when(outside, F.col("n_shingles"))), F.lit(0)))
+    sizes = family.groupBy("g").agg(left.alias("n_l"), parts(F.count("*"), F.sum("n_shingles")).alias("n_r"))
     f = family.join(sizes, "g").where("n_l > 0")
     own = lambda n: F.pmod(F.xxhash64("node"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -167,7 +170,7 @@ def _blocks(family: DataFrame, block: int) -> DataFrame:
     return left.unionByName(right)
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id, kept, and text_key, row_kept.
 
     Letters A-Z are lower-cased; words are parted by space and \\x09 to \\x0D. Null and empty texts
@@ -193,7 +196,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     full = _stars(buckets).join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
     links = saved(full.sortWithinPartitions("a").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
     roots = saved(components(links), "roots")
-    blocks = _blocks(saved(_families(buckets, roots), "families"), block)
+    sized = _families(buckets, roots).join(nodes.select("node", "n_shingles"), "node")
+    blocks = _blocks(saved(sized, "families"), block, shingles)
     place = ["g", "lb", "rb"]
     dealt = blocks.join(texts, "node").repartition(*place).sortWithinPartitions(*place, "side")
     more = saved(dealt.select(*place, "side", "node", "root", "text").mapInArrow(_family_links(words, percent), "a long, b long"), "links")
