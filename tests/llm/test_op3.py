@@ -32,7 +32,7 @@ def test_supplied_long_texts_are_cut_and_joined(spark):
     rows = docs.collect()
     assert sum(len(r.text or "") > CHUNK for r in rows) > 10
     base = rows[0].text or "a b"
-    edges = [(10**9 + k, (base * (2 * CHUNK // len(base) + 2))[: CHUNK + k]) for k in (-1, 0, 1, 511, 512, 513)]
+    edges = [(10**9 + k, (base * (2 * CHUNK // len(base) + 2))[: CHUNK + k]) for k in (-1, 0, 1, 255, 256, 257)]
     edges += [(2 * 10**9, "x" * (CHUNK + 5)), (2 * 10**9 + 1, " " * (3 * CHUNK)), (2 * 10**9 + 2, "y" * 2 * CHUNK + base * 40)]  # never resynchronise
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(edges, "doc_id long, text string"))
     got = {r.doc_id: tuple(r)[1:] for r in encode(df).collect()}

@@ -29,7 +29,7 @@ ORACLE_SQL = None  # byte-pair merges are beyond SQL; tests compare with whole-t
 
 #: Characters of a chunk, and by how many the next chunk is overlapped.
 CHUNK = 1 << 13
-OVERLAP = 1 << 9
+OVERLAP = 1 << 8
 #: Matches that end closer than this to a chunk's end may depend on what follows.
 MARGIN = 16
 
@@ -113,13 +113,14 @@ def _boundaries(path: str, pattern: str, chunk: int, overlap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        kind = pa.list_(pa.int16() if overlap < 1 << 15 else pa.int32())
         for batch in batches:
             head, tail = [], []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = own.ends(text, 1, len(text) - MARGIN)
                 head.append([e for e in found if e <= overlap - MARGIN] if k else [])
                 tail.append([e - chunk for e in found if e > chunk])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["row", "k", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(head, kind), pa.array(tail, kind)], names=["row", "k", "head", "tail"])
 
     return run
 
@@ -171,10 +172,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     last = F.floor((F.length("text") - 1) / chunk)
     chunks = long.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
     chunks = chunks.select("doc_id", "row", "k", F.expr(f"substring(text, int(k * {chunk}) + 1, {chunk + overlap})").alias("text"))
-    found = saved(chunks.select("row", "k", "text").mapInArrow(_boundaries(path, pattern, chunk, overlap), "row long, k long, head array<int>, tail array<int>"), "boundaries")
+    kind = "smallint" if overlap < 1 << 15 else "int"
+    found = saved(chunks.select("row", "k", "text").mapInArrow(_boundaries(path, pattern, chunk, overlap), f"row long, k long, head array<{kind}>, tail array<{kind}>"), "boundaries")
     # where chunk k and the next one agree first; null after the last chunk
     after = found.select("row", (F.col("k") - 1).alias("k"), F.col("head").alias("next"))
-    cuts = found.join(after, ["row", "k"], "left").select("row", "k", F.col("next").isNull().alias("ends"), F.array_min(F.array_intersect("tail", "next")).alias("cut"))
+    cuts = found.join(after, ["row", "k"], "left").select("row", "k", F.col("next").isNull().alias("ends"), F.array_min(F.array_intersect("tail", "next")).cast("int").alias("cut"))
     lost = cuts.where(F.col("cut").isNull() & ~F.col("ends")).select("row").distinct()
     starts = cuts.select("row", (F.col("k") + 1).alias("k"), F.col("cut").alias("from"))
     spans = cuts.join(lost, "row", "left_anti").join(starts, ["row", "k"], "left")
