@@ -32,6 +32,8 @@ CHUNK = 1 << 13
 OVERLAP = 1 << 8
 #: Matches that end closer than this to a chunk's end may depend on what follows.
 MARGIN = 16
+#: Row numbers of texts that never resynchronise are broadcast up to so many (1.6 MB).
+FEW = 100_000
 
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -177,7 +179,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     # where chunk k and the next one agree first; null after the last chunk
     after = found.select("row", (F.col("k") - 1).alias("k"), F.col("head").alias("next"))
     cuts = found.join(after, ["row", "k"], "left").select("row", "k", F.col("next").isNull().alias("ends"), F.array_min(F.array_intersect("tail", "next")).cast("int").alias("cut"))
-    lost = cuts.where(F.col("cut").isNull() & ~F.col("ends")).select("row").distinct()
+    lost = saved(cuts.where(F.col("cut").isNull() & ~F.col("ends")).select("row").distinct(), "lost")
+    n_lost = lost.count()
     starts = cuts.select("row", (F.col("k") + 1).alias("k"), F.col("cut").alias("from"))
     spans = cuts.join(lost, "row", "left_anti").join(starts, ["row", "k"], "left")
     at = F.coalesce("from", F.lit(0))
@@ -186,8 +189,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     parts = pieces.mapInArrow(_encode_pieces(path, pattern), "doc_id long, row long, k long, ids binary").groupBy("row")
     parts = parts.agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = parts.select("doc_id", "parts").mapInArrow(_joined(path, pattern), _OUT)
-    whole = long.join(lost, "row", "left_semi").select("doc_id", "text").mapInArrow(_digests(path, pattern), _OUT)
-    return short.unionByName(joined).unionByName(whole)
+    out = short.unionByName(joined)
+    if not n_lost:
+        return out
+    # the longer texts stay where they are if the rows looked for are few
+    found_whole = long.join(F.broadcast(lost) if n_lost <= FEW else lost, "row", "left_semi")
+    return out.unionByName(found_whole.select("doc_id", "text").mapInArrow(_digests(path, pattern), _OUT))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
