@@ -236,3 +236,31 @@ def fingerprint(df: DataFrame, keys: list[str], order: list[str], columns: list[
     join = lambda c, at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, c))), lambda x: x[c]), ""), 256)
     blocks = rows.groupBy(*keys, "_b").agg(join("_h", "_i").alias("_d"), F.count("*").alias("_n"))
     return blocks.groupBy(*keys).agg(F.sum("_n").alias("rows"), join("_d", "_b").alias("fingerprint"))
+
+
+def performance(df: DataFrame, keys: list[str], order: list[str], start: float) -> DataFrame:
+    """Per key: span, net, total return, CAGR, return on invested, turnover, trades a month, recovery factor and Calmar ratio.
+
+    ``df`` holds trades (entry_ts_ms, exit_ts_ms, side, qty, entry_price, pnl); the account begins with ``start``.
+    A ratio whose base is not positive is null. Fills are the entry and the exit, whose price the profit tells.
+    """
+    notional = F.abs(F.col("qty") * F.col("entry_price"))
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), ((F.max("exit_ts_ms") - F.min("entry_ts_ms")) / DAY).alias("span_days"), F.sum("pnl").alias("net"), F.sum(notional).alias("invested"),
+        F.sum(notional + F.abs(F.col("qty") * F.col("entry_price") + F.col("side") * F.col("pnl"))).alias("_fills"),
+    )
+    curve = equity_curve(df, keys, order).withColumn("equity", F.col("equity") + start)
+    out = out.join(drawdown(curve, keys, order).select(*keys, "magnitude", "fraction"), keys)
+    years, ending = F.col("span_days") / 365.0, F.lit(start) + F.col("net")
+    cagr = F.when((years > 0) & (F.lit(start) > 0) & (ending > 0), F.pow(ending / start, 1 / years) - 1)
+    return out.withColumn("cagr", cagr).select(
+        *keys, "n", "span_days", "net", (F.col("net") / start).alias("total_return"), "cagr", F.when(F.col("invested") > 0, F.col("net") / F.col("invested")).alias("return_on_invested"),
+        (F.col("_fills") / start).alias("turnover"), F.when(F.col("span_days") > 0, F.col("n") / (F.col("span_days") / 30.4375)).alias("trades_per_month"),
+        F.when(F.col("magnitude") > 0, F.col("net") / F.col("magnitude")).alias("recovery_factor"), F.when(F.col("fraction") > 0, F.col("cagr") / F.col("fraction")).alias("calmar"),
+    )
+
+
+def buy_and_hold(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """Return from the first to the last close of every series; null with fewer than two bars or no positive first close."""
+    out = bars.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by("close", "ts_ms").alias("_a"), F.max_by("close", "ts_ms").alias("_b"))
+    return out.select(*keys, F.when((F.col("_n") >= 2) & (F.col("_a") > 0), F.col("_b") / F.col("_a") - 1).alias("buy_hold_return"))

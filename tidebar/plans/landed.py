@@ -115,14 +115,33 @@ def _(spark, d):
     return files.last_clean(lines, "k")
 
 
-@register("src03_tolerant_scan", "SELECT 'x' AS symbol, 0::BIGINT AS ts_ms WHERE false")
+def _kept(spark, d):
+    """A store of all hourly bars, partitioned by its series key."""
+    from tidebar.operators.upsert import Store
+    from tidebar.schemas import BARS, KEY, conform
+    from tidebar.scratch import scratch_path
+
+    store = Store(spark, scratch_path(spark, "kept"), KEY, BARS)
+    store.write(conform(bars(spark, d), BARS))
+    return store
+
+
+@register("src01_store_scan", f"WITH {bars_sql()} SELECT symbol, ts_ms, open, high, low, close, volume FROM bars WHERE symbol = 'view' AND ts_ms BETWEEN 1704500000000 AND 1706000000000")
+def _(spark, d):
+    """A written store scanned by series and time: the key prunes folders, the range goes to the files."""
+    return _kept(spark, d).scan(1_704_500_000_000, 1_706_000_000_000, symbol="view", timeframe="1h").select("symbol", "ts_ms", "open", "high", "low", "close", "volume")
+
+
+@register("src03_tolerant_scan", f"WITH {bars_sql()} SELECT symbol, ts_ms, close FROM bars WHERE symbol = 'click'")
 def _(spark, d):
-    """A store that was never written reads as an empty frame of its schema."""
+    """A series that is there, one that is not, and a store that was never written: the last two are empty frames of the schema."""
     from tidebar.operators.upsert import Store
     from tidebar.schemas import BARS, KEY
     from tidebar.scratch import scratch_path
 
-    return Store(spark, scratch_path(spark, "nothing"), KEY, BARS).scan(symbol="click").select("symbol", "ts_ms")
+    store = _kept(spark, d)
+    never = Store(spark, scratch_path(spark, "nothing"), KEY, BARS)
+    return store.scan(symbol="click").unionByName(store.scan(symbol="no such")).unionByName(never.scan(symbol="click")).select("symbol", "ts_ms", "close")
 
 
 @register("src06_archive_merge", f"WITH {bars_sql('1h', 'm', 'seq % 2 = 0')}, {more_bars('dd', '1h', 'seq % 3 = 0')}, u AS (SELECT *, 0 AS p FROM m UNION ALL SELECT *, 1 AS p FROM dd) SELECT symbol, ts_ms, {_OHLCV} FROM u WHERE ts_ms BETWEEN 1704500000000 AND 1706000000000 QUALIFY row_number() OVER (PARTITION BY symbol, ts_ms ORDER BY p DESC) = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebar.operators import series, upsert as up
+from tidebar.operators import demand, series, upsert as up
 from tidebar.plans.registry import register
 from tidebar.plans.views import TRADES, TICKS, bars, bars_sql, more_bars, read, tick_bars, ticks, trades
 
@@ -121,16 +121,33 @@ def _(spark, d):
 @register("jn22_demand_diff", "WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0) SELECT 'added' AS change, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'removed', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def _(spark, d):
     e = read(spark, d, "events")
-    a, b = (e.where(f"event_id % {k} = 0").select("user_id", "event_type").distinct() for k in (2, 3))
-    keys = ["user_id", "event_type"]
-    count = lambda x, n: x.agg(F.count("*").alias("n")).select(F.lit(n).alias("change"), "n")
-    return count(b.join(a, keys, "left_anti"), "added").unionByName(count(a.join(b, keys, "left_anti"), "removed"))
+    return demand.changes(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id", "event_type"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@register("jn21_jn23_jn24_demand", "SELECT event_type AS symbol, tf AS timeframe, max(user_id) AS bars FROM events, (SELECT unnest(['1h', '4h']) AS tf) GROUP BY ALL")
+@register("jn21_account_labels", """WITH p AS (SELECT DISTINCT s_nationkey AS bot, s_suppkey AS account FROM supplier UNION SELECT s_nationkey + 1, s_suppkey FROM supplier WHERE s_suppkey % 5 = 0), sole AS (SELECT account, min(bot) AS bot FROM p WHERE account % 7 <> 0 GROUP BY account HAVING count(*) = 1),
+ l AS (SELECT l_suppkey AS account, count(*) AS n FROM lineitem GROUP BY 1) SELECT account, sole.bot, coalesce(n_name, sole.bot::VARCHAR, '\u2014') AS label, n FROM l LEFT JOIN sole USING (account) LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) ON n_nationkey = sole.bot""")
 def _(spark, d):
-    e = read(spark, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.max("user_id").alias("bars"))
-    return e.select("symbol", F.explode(F.array(F.lit("1h"), F.lit("4h"))).alias("timeframe"), "bars").dropDuplicates(["symbol", "timeframe"])
+    """Suppliers are accounts, their nations bots; a fifth of the accounts has a second bot, a seventh none."""
+    s = read(spark, d, "supplier")
+    second = s.where("s_suppkey % 5 = 0").withColumn("s_nationkey", F.col("s_nationkey") + 1)
+    bots = s.unionByName(second).where("s_suppkey % 7 <> 0").groupBy(F.col("s_nationkey").alias("bot")).agg(F.collect_set("s_suppkey").alias("accounts"))
+    catalog = read(spark, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("bot"), F.col("n_name").alias("title"))
+    legs = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("account")).agg(F.count("*").alias("n"))
+    return demand.labelled(legs, demand.account_bots(bots), catalog).select("account", "bot", "label", "n")
+
+
+@register("jn23_history_need", """WITH n AS (SELECT c_nationkey AS bot, count(*) AS bars FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1), q AS (SELECT DISTINCT event_type AS symbol, user_id % 40 AS timeframe, user_id % 25 AS bot FROM events)
+SELECT symbol, timeframe, greatest(50, coalesce(max(bars), 0)) AS bars, count(*) AS bots FROM q LEFT JOIN n USING (bot) GROUP BY symbol, timeframe""")
+def _(spark, d):
+    e = read(spark, d, "events").select(F.col("event_type").alias("symbol"), (F.col("user_id") % 40).alias("timeframe"), (F.col("user_id") % 25).alias("bot"))
+    needs = read(spark, d, "customer").where("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("bot")).agg(F.count("*").alias("bars"))
+    return demand.history_need(e, needs, ["symbol", "timeframe"], 50)
+
+
+@register("jn24_timeframes", "SELECT DISTINCT event_type AS symbol, tf AS timeframe FROM (SELECT event_type, unnest(['1h', '4h', CASE user_id % 2 WHEN 0 THEN '1h' ELSE '15m' END]) AS tf FROM events)")
+def _(spark, d):
+    e = read(spark, d, "events").select(F.col("event_type").alias("symbol"), F.when(F.col("user_id") % 2 == 0, "1h").otherwise("15m").alias("timeframe"))
+    return demand.with_timeframes(e.distinct(), ["1h", "4h"])
 
 
 @register("snk04_replace_series", f"WITH {bars_sql('1h', 'even', 'seq % 2 = 0')}, {_ODD} SELECT symbol, ts_ms, close FROM odd WHERE symbol < 'm' UNION ALL SELECT symbol, ts_ms, close FROM even WHERE symbol NOT IN (SELECT symbol FROM odd WHERE symbol < 'm')")

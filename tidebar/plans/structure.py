@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import RATIOS, RETRACEMENTS, fib_column, fib_label
 from tidebar.operators import structure as st
-from tidebar.plans.registry import register
+from tidebar.plans.registry import ORACLE, register
 from tidebar.plans.views import bars, bars_sql
 
 _K = ["symbol"]
@@ -92,7 +92,19 @@ def _(spark, d):
     return st.nearest_levels(b.select("symbol", "ts_ms", "close"), st.levels(s, _K), _K).select("symbol", "ts_ms", "nearest_support", "nearest_resistance")
 
 
-@register("src04_bar_features")
+_PARTS = ("wn06_last_swings", "wn07_last_label", "wn08_last_leg", "wn09_last_retracement", "jn04_nearest_levels")
+
+
+@register("src04_bar_features", "SELECT * FROM " + " JOIN ".join(f"({ORACLE[n]}) AS p{i}" + (" USING (symbol, ts_ms)" if i else "") for i, n in enumerate(_PARTS)))
 def _(spark, d):
+    """The feature matrix written by series and scanned again; the SQL joins what its parts' queries say."""
+    from tidebar.scratch import scratch_path
+
     b, _ = _prep(spark, d)
-    return st.bar_features(b, keys=_K)
+    path = scratch_path(spark, "features")
+    st.bar_features(b, keys=_K).write.partitionBy("symbol").parquet(path)
+    exact = {"last_sh_price", "last_sl_price", "nearest_support", "nearest_resistance"}
+    scanned = spark.read.parquet(path).where("symbol IS NOT NULL AND ts_ms > 0")
+    dropped = ["close", "dist_support_pct", "dist_resistance_pct", *[f"dist_{fib_column(r)}_pct" for r in RETRACEMENTS if r != 0.618]]
+    out = scanned.drop(*dropped)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in out.dtypes])

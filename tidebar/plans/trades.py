@@ -321,3 +321,23 @@ def _(spark, d):
     # a timeline for every account: days and accounts are dimensions
     grid = t.select("account").distinct().join(F.broadcast(days), how="cross")
     return asof_join(grid, t, ["account"], "ts_ms", "exit_ts_ms", ["equity"], "trade_id").select("account", "ts_ms", F.round(F.coalesce("equity", F.lit(0.0)), 4).alias("equity"))
+
+
+_START_EQ = 1_000_000.0
+
+
+@register("ag15_performance", f"""WITH {TRADES}, eq AS (SELECT *, {_START_EQ}::DOUBLE + sum(pnl) OVER (PARTITION BY account ORDER BY {O} ROWS UNBOUNDED PRECEDING) AS equity FROM trades), p AS (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY {O} ROWS UNBOUNDED PRECEDING) AS peak FROM eq),
+ dd AS (SELECT account, max(peak - equity) AS magnitude, max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END) AS fraction FROM p GROUP BY account),
+ a AS (SELECT account, count(*) AS n, (max(exit_ts_ms) - min(entry_ts_ms)) / 86400000.0::DOUBLE AS span_days, sum(pnl) AS net, sum(abs(qty * entry_price)) AS invested, sum(abs(qty * entry_price) + abs(qty * entry_price + side * pnl)) AS fills FROM trades GROUP BY account),
+ b AS (SELECT a.*, magnitude, fraction, CASE WHEN span_days > 0 AND {_START_EQ} + net > 0 THEN pow(({_START_EQ}::DOUBLE + net) / {_START_EQ}::DOUBLE, 365.0::DOUBLE / span_days) - 1 END AS cagr FROM a JOIN dd USING (account))
+SELECT account, n, round(span_days, 4) AS span_days, round(net, 2) AS net, round(net / {_START_EQ}::DOUBLE, 6) AS total_return, round(cagr, 6) AS cagr, round(CASE WHEN invested > 0 THEN net / invested END, 8) AS return_on_invested, round(fills / {_START_EQ}::DOUBLE, 4) AS turnover,
+ round(CASE WHEN span_days > 0 THEN n / (span_days / 30.4375::DOUBLE) END, 4) AS trades_per_month, round(CASE WHEN magnitude > 0 THEN net / magnitude END, 4) AS recovery_factor, round(CASE WHEN fraction > 0 THEN cagr / fraction END, 4) AS calmar FROM b""")
+def _(spark, d):
+    out = tr.performance(trades(spark, d), A, ORDER, _START_EQ)
+    digits = {"span_days": 4, "net": 2, "total_return": 6, "cagr": 6, "return_on_invested": 8, "turnover": 4, "trades_per_month": 4, "recovery_factor": 4, "calmar": 4}
+    return out.withColumns({c: F.round(c, k) for c, k in digits.items()})
+
+
+@register("ag15_buy_hold", f"WITH {bars_sql()} SELECT symbol, round(CASE WHEN count(*) >= 2 AND arg_min(close, ts_ms) > 0 THEN arg_max(close, ts_ms) / arg_min(close, ts_ms) - 1 END, 6) AS buy_hold_return FROM bars GROUP BY symbol")
+def _(spark, d):
+    return _r(tr.buy_and_hold(bars(spark, d), ["symbol"]), 6)
