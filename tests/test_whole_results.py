@@ -11,7 +11,7 @@ WHOLE = {
     "src19_srt08_run_listing": "SELECT l_suppkey % 7 AS strategy_id, l_suppkey AS run_id, count(*) AS trades, max(epoch_us(l_shipdate) // 1000) AS newest_ms FROM lineitem GROUP BY ALL",
     "wn16_step_equity": f"""WITH {TRADES}, eq AS (SELECT account, trade_id, exit_ts_ms, round(sum(pnl) OVER (PARTITION BY account ORDER BY exit_ts_ms, trade_id ROWS UNBOUNDED PRECEDING), 4) AS equity FROM trades),
  l AS (SELECT account, exit_ts_ms, last(equity ORDER BY trade_id) AS equity FROM eq GROUP BY ALL),
- g AS (SELECT a.account, d.ts_ms FROM (SELECT DISTINCT account FROM trades) a, (SELECT DISTINCT (entry_ts_ms // 86400000) * 86400000 AS ts_ms FROM trades) d)
+ g AS (SELECT account, unnest(generate_series((min(entry_ts_ms) // 86400000) * 86400000, (max(exit_ts_ms) // 86400000) * 86400000, 86400000)) AS ts_ms FROM trades GROUP BY account)
  SELECT g.account, g.ts_ms, round(coalesce(l.equity, 0), 4) AS equity FROM g ASOF LEFT JOIN l ON g.account = l.account AND g.ts_ms >= l.exit_ts_ms""",
 }
 

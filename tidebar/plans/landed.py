@@ -184,7 +184,7 @@ def _(spark, d):
     return files.daily_rows(rows).groupBy("ts_ms").agg(F.round(F.sum(F.col("close").cast("long")) / 100.0, 2).alias("total"), F.count("*").alias("n"))
 
 
-@register("src19_srt08_run_listing", "SELECT l_suppkey % 7 AS strategy_id, l_suppkey AS run_id, count(*) AS trades, max(epoch_us(l_shipdate) // 1000) AS newest_ms FROM lineitem WHERE l_suppkey % 7 = 3 GROUP BY ALL ORDER BY newest_ms DESC, run_id LIMIT 50")
+@register("src19_srt08_run_listing", "SELECT l_suppkey % 7 AS strategy_id, l_suppkey AS run_id, count(*) AS trades, max(epoch_us(l_shipdate) // 1000) AS newest_ms FROM lineitem GROUP BY ALL ORDER BY newest_ms DESC, run_id")
 def _(spark, d):
     from tidebar.functions.scalar import utc_ms
 

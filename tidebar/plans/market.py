@@ -176,7 +176,7 @@ SELECT coalesce(l.symbol, r.symbol) AS symbol, CASE WHEN l.symbol IS NULL THEN '
  WHEN abs(l.high - r.high) > 1e-9 THEN 'high_mismatch' WHEN abs(l.low - r.low) > 1e-9 THEN 'low_mismatch' WHEN abs(l.close - r.close) > 1e-9 THEN 'close_mismatch' ELSE 'ok' END AS reason FROM l FULL JOIN r ON l.symbol = r.symbol""")
 def _(spark, d):
     t = ticks(spark, d)
-    return series.compare_tips(tick_bars(t, "1h").where("symbol <> 'error' OR true"), tick_bars(t.where("seq % 2 = 0"), "1h"), F.lit(NOW), ["timeframe", "symbol"]).drop("timeframe")
+    return series.compare_tips(tick_bars(t, "1h"), tick_bars(t.where("seq % 2 = 0"), "1h"), F.lit(NOW), ["timeframe", "symbol"]).drop("timeframe")
 
 
 @register("jn14_compare_history", f"""WITH {bars_sql()}, {_EVEN}, j AS (SELECT coalesce(l.symbol, r.symbol) AS symbol, coalesce(l.ts_ms, r.ts_ms) AS ts_ms, l.symbol IS NOT NULL AND r.symbol IS NOT NULL AS both_, l.symbol AS ls, r.symbol AS rs,
@@ -299,17 +299,17 @@ def _(spark, d):
 _USERS = f"{TICKS}, e AS (SELECT symbol, ts_ms, seq, price FROM ticks WHERE user_id % 7 = 0)"
 
 
-@register("jn01_asof_backward", f"""WITH {bars_sql()}, e AS (SELECT symbol, ts_ms, last(price ORDER BY seq) AS price, max(seq) AS eseq FROM ticks WHERE user_id % 7 = 0 GROUP BY ALL)
+@register("jn01_asof_backward", f"""WITH {bars_sql()}, e AS (SELECT symbol, ts_ms, last(price ORDER BY seq) AS price, max(seq) AS eseq FROM ticks GROUP BY ALL)
 SELECT b.symbol, b.ts_ms, b.close, e.price, e.eseq FROM bars b ASOF LEFT JOIN e ON b.symbol = e.symbol AND b.ts_ms >= e.ts_ms""")
 def _(spark, d):
-    e = ticks(spark, d).where("user_id % 7 = 0").withColumn("eseq", F.col("seq"))
+    e = ticks(spark, d).withColumn("eseq", F.col("seq"))
     return asof.asof_join(bars(spark, d).select("symbol", "ts_ms", "close"), e, ["symbol"], "ts_ms", "ts_ms", ["price", "eseq"], "seq")
 
 
-@register("jn01_asof_blocks", f"""WITH {bars_sql()}, e AS (SELECT symbol, ts_ms, last(price ORDER BY seq) AS price, max(seq) AS eseq FROM ticks WHERE user_id % 7 = 0 GROUP BY ALL)
+@register("jn01_asof_blocks", f"""WITH {bars_sql()}, e AS (SELECT symbol, ts_ms, last(price ORDER BY seq) AS price, max(seq) AS eseq FROM ticks GROUP BY ALL)
 SELECT b.symbol, b.ts_ms, b.close, e.price, e.eseq FROM bars b ASOF LEFT JOIN e ON b.symbol = e.symbol AND b.ts_ms >= e.ts_ms""")
 def _(spark, d):
-    e = ticks(spark, d).where("user_id % 7 = 0").withColumn("eseq", F.col("seq"))
+    e = ticks(spark, d).withColumn("eseq", F.col("seq"))
     return asof.asof_join(bars(spark, d).select("symbol", "ts_ms", "close"), e, ["symbol"], "ts_ms", "ts_ms", ["price", "eseq"], "seq", block_ms=86_400_000)
 
 
@@ -332,12 +332,12 @@ def _(spark, d):
     return asof.nearest_join(part, dom, ["timeframe"], "ts_ms", ["dominance"], 7_200_000).select("ts_ms", F.round(F.col("close") / (F.col("dominance") / 100), 6).alias("total"))
 
 
-@register("jn26_snap", f"""WITH {bars_sql()}, t AS (SELECT seq, ts_ms FROM ticks WHERE symbol = 'click'), g AS (SELECT ts_ms AS bar_ms FROM bars WHERE symbol = 'click'),
- b AS (SELECT t.*, bar_ms AS tb FROM t ASOF LEFT JOIN g ON t.ts_ms >= g.bar_ms), a AS (SELECT b.*, g.bar_ms AS ta FROM b ASOF LEFT JOIN g ON b.ts_ms <= g.bar_ms)
+@register("jn26_snap", f"""WITH {bars_sql()}, t AS (SELECT symbol, seq, ts_ms FROM ticks), g AS (SELECT symbol, ts_ms AS bar_ms FROM bars),
+ b AS (SELECT t.*, bar_ms AS tb FROM t ASOF LEFT JOIN g ON t.symbol = g.symbol AND t.ts_ms >= g.bar_ms), a AS (SELECT b.*, g.bar_ms AS ta FROM b ASOF LEFT JOIN g ON b.symbol = g.symbol AND b.ts_ms <= g.bar_ms)
 SELECT seq, CASE WHEN tb IS NOT NULL AND (ta IS NULL OR ts_ms - tb < ta - ts_ms) THEN tb ELSE ta END AS bar_ms FROM a""")
 def _(spark, d):
-    t = ticks(spark, d).where("symbol = 'click'").select("symbol", "seq", "ts_ms")
-    g = bars(spark, d).where("symbol = 'click'").select("symbol", "ts_ms", F.col("ts_ms").alias("bar_ms"))
+    t = ticks(spark, d).select("symbol", "seq", "ts_ms")
+    g = bars(spark, d).select("symbol", "ts_ms", F.col("ts_ms").alias("bar_ms"))
     return asof.nearest_join(t, g, ["symbol"], "ts_ms", ["bar_ms"], 1 << 60, later_wins=True).select("seq", "bar_ms")
 
 

@@ -286,7 +286,7 @@ def _(spark, d):
     return u.groupBy("account").agg(F.max(F.struct("ts", "live", "trade_id")).alias("x")).select("account", "x.*")
 
 
-@register("srt09_positions_by_pnl", f"WITH {TRADES} SELECT trade_id, account, pnl FROM trades ORDER BY abs(pnl) DESC, trade_id LIMIT 200")
+@register("srt09_positions_by_pnl", f"WITH {TRADES} SELECT trade_id, account, pnl FROM trades ORDER BY abs(pnl) DESC, trade_id")
 def _(spark, d):
     return trades(spark, d).orderBy(F.abs("pnl").desc(), "trade_id").select("trade_id", "account", "pnl")
 
@@ -310,16 +310,17 @@ def _(spark, d):
     return snap.groupBy("account").agg(F.array_join(F.sort_array(F.collect_set("host")), ",").alias("hosts"), F.max_by("n", F.struct(F.round("equity", 4), "host")).alias("n"))
 
 
-@register("wn16_step_equity", f"""WITH {_EQ}, {"tl AS (SELECT DISTINCT (entry_ts_ms // 86400000) * 86400000 AS ts_ms FROM trades)"},
- l AS (SELECT account, exit_ts_ms, last(equity ORDER BY trade_id) AS equity FROM eq GROUP BY ALL), g AS (SELECT a.account, tl.ts_ms FROM (SELECT DISTINCT account FROM trades WHERE account < 5) a, tl)
+@register("wn16_step_equity", f"""WITH {_EQ}, l AS (SELECT account, exit_ts_ms, last(equity ORDER BY trade_id) AS equity FROM eq GROUP BY ALL), s AS (SELECT account, (min(entry_ts_ms) // 86400000) * 86400000 AS a, (max(exit_ts_ms) // 86400000) * 86400000 AS z FROM trades GROUP BY account),
+ g AS (SELECT account, unnest(generate_series(a, z, 86400000)) AS ts_ms FROM s)
 SELECT g.account, g.ts_ms, round(coalesce(l.equity, 0), 4) AS equity FROM g ASOF LEFT JOIN l ON g.account = l.account AND g.ts_ms >= l.exit_ts_ms""")
 def _(spark, d):
+    """Every account's equity on each of its own days, from its first entry to its last exit."""
     from tidebar.operators.asof import asof_join
 
-    t = eq(spark, d)
-    days = t.select((F.floor(F.col("entry_ts_ms") / 86_400_000) * 86_400_000).cast("long").alias("ts_ms")).distinct()
-    # a timeline for every account: days and accounts are dimensions
-    grid = t.select("account").distinct().join(F.broadcast(days), how="cross")
+    t, day = eq(spark, d), 86_400_000
+    at = lambda c: (F.floor(c / day) * day).cast("long")
+    span = t.groupBy("account").agg(at(F.min("entry_ts_ms")).alias("a"), at(F.max("exit_ts_ms")).alias("z"))
+    grid = span.select("account", F.explode(F.sequence("a", "z", F.lit(day).cast("long"))).alias("ts_ms"))
     return asof_join(grid, t, ["account"], "ts_ms", "exit_ts_ms", ["equity"], "trade_id").select("account", "ts_ms", F.round(F.coalesce("equity", F.lit(0.0)), 4).alias("equity"))
 
 
