@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,26 @@ def test_leaks_are_caught(spark):
     assert not any(c == "ret_1" for k, c in found if k != "forward_corr")
     with pytest.raises(ValueError, match="future_close"):
         leakage.refuse(["future_close", "ret_1"], spark.createDataFrame([("future_close",)], "column string"))
+
+
+def test_round_trips_of_one_hot_price(spark):
+    day = 86_400_000
+    rng = random.Random(3)
+    rows, t = [], 0
+    for i in range(1500):
+        t += rng.choice([0, day // 2, 2 * day, 9 * day if i % 200 == 0 else day])
+        rows.append((i, "X", 1, 100.0, 1.0, 1.0, t))
+    want, first = {}, None
+    for i, *_, at in rows:
+        if first is None or at - first > 7 * day:
+            first = at
+        want[first] = want.get(first, 0) + 1
+    df = spark.createDataFrame(rows, "trade_id long, symbol string, side int, entry_price double, qty double, pnl double, exit_ts_ms long").repartition(4)
+    assert {r.first_ts_ms: r.leg_count for r in trades.round_trips(df, ["symbol"]).collect()} == want
+
+
+def test_bar_features_read_events_in_one_window(spark):
+    rows = [("X", i * 3_600_000, 10.0 + (i * 7) % 13, 9.0 + (i * 5) % 11, 9.5 + (i * 3) % 7) for i in range(80)]
+    b = spark.createDataFrame(rows, "symbol string, ts_ms long, high double, low double, close double")
+    plan = structure.bar_features(b, keys=["symbol"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("last(_retrace") == 1 and plan.count("last(_leg") == 1

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.operators.asof import asof_join
+
 INF = float("inf")
 DAY = 86_400_000
 
@@ -190,9 +192,9 @@ def round_trips(df: DataFrame, keys: list[str], window_ms: int = 7 * DAY, rel: f
     """Partial exits of one entry as one trip: same key, side and entry price, within ``window_ms`` of the first leg.
 
     Entry prices that are nearly equal are first put into one cluster (sorted prices, a new cluster
-    where the step is too large). In a cluster legs are folded in time: a leg past the first one's
-    window starts the next trip. Legs without entry price stay alone. A cluster holds the legs of one
-    price, and only their times and numbers are folded; sums are aggregated afterwards.
+    where the step is too large). A pause longer than the window always ends a trip, so a cluster is
+    cut there into pieces. A piece no longer than the window is one trip. Only longer pieces are
+    folded, over their distinct times, into the starts of their trips. Legs without entry price stay alone.
     """
     own = [*keys, "side"]
     priced = df.where("entry_price IS NOT NULL")
@@ -201,15 +203,23 @@ def round_trips(df: DataFrame, keys: list[str], window_ms: int = 7 * DAY, rel: f
     wide = F.coalesce(step > F.greatest(rel * F.abs("entry_price"), F.lit(1e-8)), F.lit(True)).cast("int")
     cluster = prices.withColumn("_wide", wide).withColumn("_c", F.sum("_wide").over(Window.partitionBy(*own).orderBy("entry_price").rowsBetween(Window.unboundedPreceding, 0))).drop("_wide")
     legs = priced.join(cluster, [*own, "entry_price"])
-    start = F.struct(F.lit(-1).cast("long").alias("first"), F.array().cast(f"array<struct<tie:{dict(df.dtypes)[tie]},first:bigint>>").alias("out"))
-
-    def fold(acc: Column, leg: Column) -> Column:
-        first = F.when((acc["first"] < 0) | (leg["ts"] - acc["first"] > window_ms), leg["ts"]).otherwise(acc["first"])
-        return F.struct(first.alias("first"), F.concat(acc["out"], F.array(F.struct(leg["tie"].alias("tie"), first.alias("first")))).alias("out"))
-
-    times = legs.groupBy(*own, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col("exit_ts_ms").alias("ts"), F.col(tie).alias("tie")))).alias("a"))
-    starts = times.select(*own, "_c", F.explode(F.aggregate("a", start, fold, lambda acc: acc["out"])).alias("x")).select(*own, "_c", F.col("x.tie").alias(tie), F.col("x.first").alias("_first"))
-    grouped = legs.join(starts, [*own, "_c", tie]).groupBy(*own, "_c", "_first")
+    ts, place = F.col("exit_ts_ms"), [*own, "_c", "_p"]
+    order = Window.partitionBy(*own, "_c").orderBy("exit_ts_ms", tie)
+    pause = F.coalesce(ts - F.lag(ts).over(order) > window_ms, F.lit(True)).cast("int")
+    legs = legs.withColumn("_new", pause).withColumn("_p", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    piece = Window.partitionBy(*place)
+    legs = legs.withColumn("_first", F.min(ts).over(piece)).withColumn("_long", F.max(ts).over(piece) - F.col("_first") > window_ms)
+
+    def fold(acc: Column, at: Column) -> Column:
+        starts = (acc["first"] < 0) | (at - acc["first"] > window_ms)
+        return F.struct(F.when(starts, at).otherwise(acc["first"]).alias("first"), F.when(starts, F.concat(acc["out"], F.array(at))).otherwise(acc["out"]).alias("out"))
+
+    folded = legs.where("_long").drop("_first", "_long")
+    none = F.struct(F.lit(-1).cast("long").alias("first"), F.array().cast("array<bigint>").alias("out"))
+    starts = folded.groupBy(*place).agg(F.array_sort(F.collect_set("exit_ts_ms")).alias("a")).select(*place, F.explode(F.aggregate("a", none, fold, lambda acc: acc["out"])).alias("_first"))
+    folded = asof_join(folded, starts.withColumn("_at", F.col("_first")), place, "exit_ts_ms", "_at", ["_first"])
+    single = legs.where("NOT _long").drop("_long")
+    grouped = single.unionByName(folded.select(*single.columns)).groupBy(*own, "_c", "_first")
     out = grouped.agg(F.min_by("entry_price", F.struct("exit_ts_ms", tie)).alias("entry_price"), F.sum("qty").alias("qty"), F.sum("pnl").alias("pnl"), F.count("*").alias("leg_count"), F.max("exit_ts_ms").alias("last_ts_ms"), F.min(F.struct("exit_ts_ms", tie)).alias("_f"))
     out = out.select(*own, "entry_price", "qty", "pnl", "leg_count", F.col("_first").alias("first_ts_ms"), "last_ts_ms", F.col(f"_f.{tie}").alias(f"first_{tie}"))
     lone = df.where("entry_price IS NULL").select(*own, "entry_price", "qty", "pnl", F.lit(1).cast("long").alias("leg_count"), F.col("exit_ts_ms").alias("first_ts_ms"), F.col("exit_ts_ms").alias("last_ts_ms"), F.col(tie).alias(f"first_{tie}"))
