@@ -95,18 +95,40 @@ def limit_price(side: Column, ref: Column, tick: Column, price: Column, offset:
     return F.when(side > 0, round_grid(raw, tick, "floor")).otherwise(round_grid(raw, tick, "ceil"))
 
 
+def limit_would_cross(side: Column, ref: Column, limit: Column) -> Column:
+    """Whether a limit lies beyond the reference, so that it would take liquidity."""
+    return F.when(side > 0, limit > ref + 1e-15).otherwise(limit < ref - 1e-15)
+
+
+def limit_touched(side: Column, high: Column, low: Column, limit: Column) -> Column:
+    """Whether a bar's range reaches a resting limit."""
+    return F.when(side > 0, low <= limit + 1e-12).otherwise(high >= limit - 1e-12)
+
+
 def leverage_from_stop(entry: Column, stop: Column, buffers: float, most: Column) -> Column:
     denom = F.abs(entry - stop) / entry + buffers
     return F.when(denom <= 0, most).otherwise(F.greatest(F.lit(1.0), F.least(F.floor(1 / denom).cast("double"), most)))
 
 
-def liquidation_price(side: Column, entry: Column, qty: Column, margin: Column, mm_rate: Column, deduction: Column, close_fee: Column) -> Column:
-    """Price at which equity meets the maintenance margin; null if price alone cannot get there."""
+def liquidation_price(side: Column, entry: Column, qty: Column, margin: Column, mm_rate: Column, deduction: Column, close_fee: Column, tick: Column | None = None) -> Column:
+    """Price at which equity meets the maintenance margin, on the tick nearer the entry if there is one; null if price alone cannot get there."""
     long_d = qty * (1 - mm_rate - close_fee)
     long_p = F.when(long_d > 0, (qty * entry - margin - deduction) / long_d)
     short_p = (qty * entry + margin + deduction) / (qty * (1 + mm_rate + close_fee))
     p = F.when(side > 0, long_p).otherwise(short_p)
-    return F.when((qty > 0) & (entry > 0) & (p > 0), p)
+    p = F.when((qty > 0) & (entry > 0) & (p > 0), p)
+    if tick is None:
+        return p
+    return F.when(tick > 0, F.when(side > 0, round_grid(p, tick, "ceil")).otherwise(round_grid(p, tick, "floor"))).otherwise(p)
+
+
+def maintenance_margin(qty: Column, price: Column, mm_rate: Column, deduction: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.abs(qty * price) * mm_rate - deduction)
+
+
+def stop_inside_liquidation(side: Column, stop: Column, liquidation: Column) -> Column:
+    """Whether the stop comes before the liquidation price; true where there is no stop or no such price."""
+    return stop.isNull() | liquidation.isNull() | (side * stop > side * liquidation)
 
 
 def tier_lookup(df: DataFrame, tiers: DataFrame, notional: str = "notional") -> DataFrame:
@@ -122,8 +144,16 @@ def tier_lookup(df: DataFrame, tiers: DataFrame, notional: str = "notional") ->
 
 
 def position_view(df: DataFrame) -> DataFrame:
-    """Open positions with their signed distance in % to target and stop, and which is nearer (the target at ties)."""
-    side, mark = F.col("side"), F.col("mark_price")
-    tp, sl = side * (F.col("take_profit") - mark) / mark * 100, side * (F.col("stop_loss") - mark) / mark * 100
+    """Open positions with the way to target and stop in % of the mark, which is nearer, and when this cycle opened.
+
+    Both ways are positive while the price still has to move there, for either side; the target is nearer at ties.
+    Levels and marks that are not positive are missing, a missing mark is the entry price. The opening time is
+    the first positive of open_time and opened_at_ms, where there: created_ms is of the symbol's first position ever.
+    """
+    side = F.col("side")
+    level = lambda c: F.when(F.col(c) > 0, F.col(c))
+    mark = F.coalesce(level("mark_price"), level("entry_price")) if "entry_price" in df.columns else level("mark_price")
+    tp, sl = side * (level("take_profit") - mark) / mark * 100, side * (mark - level("stop_loss")) / mark * 100
     near = F.when(tp.isNull() & sl.isNull(), None).when(sl.isNull() | (F.abs(tp) <= F.abs(sl)), "tp").otherwise("sl")
-    return df.withColumn("tp_pct", tp).withColumn("sl_pct", sl).withColumn("nearer", near)
+    opened = [level(c) for c in ("open_time", "opened_at_ms") if c in df.columns]
+    return df.withColumns({"tp_pct": tp, "sl_pct": sl, "nearer": near, "opened_ms": F.coalesce(*opened) if opened else F.lit(None).cast("long")})

@@ -143,14 +143,23 @@ def freshness(df: DataFrame, now_ms: Column, keys: list[str] = KEY, slack: float
     return out.withColumn("stale", F.col("lag_s") * 1000 > slack * step)
 
 
-def ingest_plan(df: DataFrame, now_ms: Column, wanted_from_ms: Column, overlap_bars: int = 3, slack: float = 2.0) -> DataFrame:
-    """What to fetch per series: nothing if fresh, from the last bars again, or all if history starts late."""
-    step = F.coalesce(step_ms(F.col("timeframe")), F.lit(STEP_MS["1h"]))
+#: Hours within which a series' last bar counts as fresh, by timeframe; 24 for others.
+FRESH_HOURS = {"1m": 2, "5m": 2, "15m": 4, "1h": 6, "4h": 18, "1d": 40, "1w": 192}
+
+
+def ingest_plan(df: DataFrame, now_ms: Column, wanted_from_ms: Column, late_ms: int = 7 * 86_400_000) -> DataFrame:
+    """What to fetch per series: nothing if fresh, from an overlap before the last bar, or all if history starts late.
+
+    A history is late where it starts more than ``late_ms`` after what is wanted. The overlap is six hours of
+    minutes and five days of any other timeframe.
+    """
+    tf, hour = F.col("timeframe"), 3_600_000
     out = coverage(df)
-    late = F.col("min_ts_ms") > wanted_from_ms + step
-    fresh = now_ms - F.col("max_ts_ms") <= slack * step
+    limits = F.create_map(*[F.lit(x) for pair in FRESH_HOURS.items() for x in pair])
+    late = F.col("min_ts_ms") > wanted_from_ms + late_ms
+    fresh = now_ms - F.col("max_ts_ms") <= F.coalesce(F.try_element_at(limits, tf), F.lit(24)) * hour
     action = F.when(late, "restart").when(fresh, "skip").otherwise("append")
-    start = F.when(late, wanted_from_ms).when(~fresh, F.col("max_ts_ms") - overlap_bars * step)
+    start = F.when(late, wanted_from_ms).when(~fresh, F.col("max_ts_ms") - F.when(tf == "1m", 6 * hour).otherwise(120 * hour))
     return out.select(*KEY, action.alias("action"), start.cast("long").alias("start_ms"))
 
 

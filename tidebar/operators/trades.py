@@ -270,6 +270,19 @@ def performance(df: DataFrame, keys: list[str], order: list[str], start: float)
     )
 
 
+def exposure(df: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of the moments of ``grid`` (keys, ts_ms) at which the key has a trade open: entered by then, not yet left.
+
+    Entries and exits of one moment are summed first, so a key's window has a row per distinct time.
+    """
+    ends = F.array(F.struct(F.col("entry_ts_ms").alias("ts"), F.lit(1).alias("d")), F.struct(F.col("exit_ts_ms").alias("ts"), F.lit(-1).alias("d")))
+    e = df.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.ts", "e.d", F.lit(0).alias("seen"))
+    e = e.unionByName(grid.select(*keys, F.col("ts_ms").alias("ts"), F.lit(0).alias("d"), F.lit(1).alias("seen"))).groupBy(*keys, "ts").agg(F.sum("d").alias("d"), F.sum("seen").alias("seen"))
+    e = e.withColumn("_open", F.sum("d").over(Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    seen = F.sum("seen")
+    return e.groupBy(*keys).agg(F.when(seen > 0, F.sum(F.when(F.col("_open") > 0, F.col("seen")).otherwise(0)) / seen).otherwise(0.0).alias("exposure"))
+
+
 def buy_and_hold(bars: DataFrame, keys: list[str]) -> DataFrame:
     """Return from the first to the last close of every series; null with fewer than two bars or no positive first close."""
     out = bars.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by("close", "ts_ms").alias("_a"), F.max_by("close", "ts_ms").alias("_b"))

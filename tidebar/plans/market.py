@@ -67,13 +67,22 @@ def _(spark, d):
 
 
 _FROM = 1_704_067_200_000
+_WANTED = f"CASE WHEN symbol < 'd' THEN {_FROM} - 1728000000 ELSE {_FROM} END"
 
 
-@register("ag06_ingest_plan", f"""WITH {bars_sql('15m')}, c AS (SELECT source, symbol, timeframe, min(ts_ms) AS lo, max(ts_ms) AS hi FROM bars GROUP BY ALL)
-SELECT source, symbol, timeframe, CASE WHEN lo > {_FROM} + 900000 THEN 'restart' WHEN {NOW_MS} - hi <= 1800000 THEN 'skip' ELSE 'append' END AS action,
- CASE WHEN lo > {_FROM} + 900000 THEN {_FROM} WHEN {NOW_MS} - hi > 1800000 THEN hi - 2700000 END AS start_ms FROM c""")
+@register("ag06_ingest_plan", f"""WITH {bars_sql('15m', 'q', "symbol <> 'view'")}, {more_bars('h', '1h')}, {more_bars('dd', '1d')}, {more_bars('m', '1m')},
+ u AS (SELECT * FROM q WHERE ts_ms < 1706680000000 UNION ALL SELECT * FROM h UNION ALL SELECT * FROM dd UNION ALL SELECT * FROM m), c AS (SELECT source, symbol, timeframe, min(ts_ms) AS lo, max(ts_ms) AS hi, {_WANTED} AS w FROM u GROUP BY ALL),
+ l(timeframe, ms) AS (VALUES ('1m', 7200000), ('15m', 14400000), ('1h', 21600000), ('1d', 144000000)), p AS (SELECT c.*, ms, lo > w + 604800000 AS late FROM c JOIN l USING (timeframe))
+SELECT source, symbol, timeframe, CASE WHEN late THEN 'restart' WHEN {NOW_MS} - hi <= ms THEN 'skip' ELSE 'append' END AS action, CASE WHEN late THEN w WHEN {NOW_MS} - hi > ms THEN hi - CASE timeframe WHEN '1m' THEN 21600000 ELSE 432000000 END END AS start_ms FROM p""")
 def _(spark, d):
-    return series.ingest_plan(bars(spark, d, "15m"), F.lit(NOW), F.lit(_FROM))
+    """Series of four timeframes; the quarter hours stop a day early, and some symbols are wanted from 20 days before."""
+    from tidebar.plans.views import tick_bars, ticks
+
+    t = ticks(spark, d)
+    u = tick_bars(t.where("symbol <> 'view'"), "15m").where("ts_ms < 1706680000000")
+    for tf in ("1h", "1d", "1m"):
+        u = u.unionByName(tick_bars(t, tf))
+    return series.ingest_plan(u, F.lit(NOW), F.when(F.col("symbol") < "d", _FROM - 1_728_000_000).otherwise(_FROM))
 
 
 @register("ag07_daily_last", f"""WITH {bars_sql()}, x AS (SELECT source, symbol, (ts_ms // 86400000) * 86400000 AS day, last(close ORDER BY ts_ms) AS v FROM bars GROUP BY ALL)

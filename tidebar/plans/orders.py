@@ -70,13 +70,54 @@ def _(spark, d):
     return od.tier_lookup(t, ladder).select("trade_id", "tier_level")
 
 
-@register("pf11_open_positions", f"""WITH {TRADES}, x AS (SELECT trade_id, side, entry_price * 1.01::DOUBLE AS mark, CASE WHEN trade_id % 3 > 0 THEN entry_price * (1 + side * 0.05::DOUBLE) END AS tp, CASE WHEN trade_id % 3 < 2 THEN entry_price * (1 - side * 0.02::DOUBLE) END AS sl FROM trades),
- y AS (SELECT trade_id, round(side * (tp - mark) / mark * 100, 6) AS tp_pct, round(side * (sl - mark) / mark * 100, 6) AS sl_pct FROM x)
+@register("pf11_open_positions", f"""WITH {TRADES}, x AS (SELECT trade_id, side, CASE WHEN trade_id % 7 = 0 THEN entry_price ELSE entry_price * 1.01::DOUBLE END AS mark, CASE WHEN trade_id % 3 > 0 THEN entry_price * (1 + side * 0.05::DOUBLE) END AS tp, CASE WHEN trade_id % 3 < 2 THEN entry_price * (1 - side * 0.02::DOUBLE) END AS sl,
+  CASE trade_id % 4 WHEN 0 THEN NULL WHEN 1 THEN exit_ts_ms ELSE entry_ts_ms END AS opened_ms FROM trades),
+ y AS (SELECT trade_id, opened_ms, round((CASE WHEN side > 0 THEN tp - mark ELSE mark - tp END) / mark * 100, 6) AS tp_pct, round((CASE WHEN side > 0 THEN mark - sl ELSE sl - mark END) / mark * 100, 6) AS sl_pct FROM x)
 SELECT *, CASE WHEN tp_pct IS NULL AND sl_pct IS NULL THEN NULL WHEN sl_pct IS NULL OR abs(tp_pct) <= abs(sl_pct) THEN 'tp' ELSE 'sl' END AS nearer FROM y""")
 def _(spark, d):
+    c, k, q = F.col, F.col("trade_id") % 3, F.col("trade_id") % 4
+    t = trades(spark, d).select(
+        "trade_id", "side", "entry_price", F.when(c("trade_id") % 7 == 0, 0.0).otherwise(c("entry_price") * 1.01).alias("mark_price"),
+        F.when(k > 0, c("entry_price") * (1 + c("side") * 0.05)).otherwise(0.0).alias("take_profit"), F.when(k < 2, c("entry_price") * (1 - c("side") * 0.02)).alias("stop_loss"),
+        F.when(q >= 2, c("entry_ts_ms")).otherwise(0).alias("open_time"), F.when(q >= 1, c("exit_ts_ms")).alias("opened_at_ms"), F.lit(1).cast("long").alias("created_ms"),
+    )
+    return od.position_view(t).select("trade_id", F.round("tp_pct", 6).alias("tp_pct"), F.round("sl_pct", 6).alias("sl_pct"), "nearer", "opened_ms")
+
+
+_TICK = "({f}({x} / 0.1 {s} 1e-9 * greatest(1, abs({x} / 0.1))) * 0.1::DOUBLE)"
+_DOWN, _UP = _TICK.replace("{f}", "floor").replace("{s}", "+"), _TICK.replace("{f}", "ceil").replace("{s}", "-")
+
+
+@register("pf15_limit_entries", f"""WITH {TRADES}, x AS (SELECT *, CASE trade_id % 3 WHEN 0 THEN entry_price * 1.02::DOUBLE WHEN 1 THEN entry_price * (1 - side * 0.01::DOUBLE) ELSE entry_price END AS raw FROM trades),
+ y AS (SELECT *, round(CASE WHEN side > 0 THEN {_DOWN.format(x='raw')} ELSE {_UP.format(x='raw')} END, 6) AS lim FROM x)
+SELECT trade_id, lim AS limit_price, CASE WHEN side > 0 THEN lim > entry_price + 1e-15 ELSE lim < entry_price - 1e-15 END AS would_cross, CASE WHEN side > 0 THEN entry_price * 0.995::DOUBLE <= lim + 1e-12 ELSE entry_price * 1.005::DOUBLE >= lim - 1e-12 END AS touched FROM y""")
+def _(spark, d):
+    """Limits of an absolute price, of an offset on the passive side, and of neither, against the bar of the entry."""
     c, k = F.col, F.col("trade_id") % 3
-    t = trades(spark, d).select("trade_id", "side", (c("entry_price") * 1.01).alias("mark_price"), F.when(k > 0, c("entry_price") * (1 + c("side") * 0.05)).alias("take_profit"), F.when(k < 2, c("entry_price") * (1 - c("side") * 0.02)).alias("stop_loss"))
-    return od.position_view(t).select("trade_id", F.round("tp_pct", 6).alias("tp_pct"), F.round("sl_pct", 6).alias("sl_pct"), "nearer")
+    lim = od.limit_price(c("side"), c("entry_price"), F.lit(0.1), F.when(k == 0, c("entry_price") * 1.02), F.when(k == 1, F.lit(-0.01)))
+    t = trades(spark, d).withColumn("limit_price", F.round(lim, 6))
+    crossing, touched = od.limit_would_cross(c("side"), c("entry_price"), c("limit_price")), od.limit_touched(c("side"), c("entry_price") * 1.005, c("entry_price") * 0.995, c("limit_price"))
+    return t.select("trade_id", "limit_price", crossing.alias("would_cross"), touched.alias("touched"))
+
+
+@register("pf16_maintenance", f"""WITH {TRADES}, x AS (SELECT *, qty * entry_price AS notional, qty * entry_price / (5 + trade_id % 60) AS margin, CASE WHEN qty * entry_price >= 20000 THEN 0.01 ELSE 0.005 END::DOUBLE AS mm, CASE WHEN qty * entry_price >= 20000 THEN 100 ELSE 0 END::DOUBLE AS ded FROM trades),
+ y AS (SELECT *, CASE WHEN side > 0 THEN (notional - margin - ded) / (qty * (1 - mm - 0.0006::DOUBLE)) ELSE (notional + margin + ded) / (qty * (1 + mm + 0.0006::DOUBLE)) END AS p FROM x),
+ z AS (SELECT *, CASE WHEN p > 0 THEN round(CASE WHEN side > 0 THEN {_UP.format(x='p')} ELSE {_DOWN.format(x='p')} END, 6) END AS liq FROM y)
+SELECT trade_id, liq AS liquidation, round(greatest(0.0::DOUBLE, notional * mm - ded), 5) AS maintenance, trade_id % 10 = 0 OR liq IS NULL OR (CASE WHEN side > 0 THEN entry_price * 0.97::DOUBLE > liq ELSE -(entry_price * 1.03::DOUBLE) > -liq END) AS stop_first FROM z""")
+def _(spark, d):
+    """Maintenance by the tier of a position's notional, and whether its stop comes before the liquidation."""
+    c = F.col
+    t = trades(spark, d).withColumn("notional", c("qty") * c("entry_price"))
+    ladder = t.select("symbol").distinct().select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(m).alias("mm"), F.lit(k).alias("ded")) for f, m, k in ((0.0, 0.005, 0.0), (20_000.0, 0.01, 100.0))])).alias("x")).select("symbol", "x.*")
+    t = od.tier_lookup(t, ladder)
+    liq = od.liquidation_price(c("side"), c("entry_price"), c("qty"), c("notional") / (5 + c("trade_id") % 60), c("tier_mm"), c("tier_ded"), F.lit(0.0006), F.lit(0.1))
+    t = t.withColumn("liquidation", F.round(liq, 6)).withColumn("stop", F.when(c("trade_id") % 10 > 0, c("entry_price") * F.when(c("side") > 0, 0.97).otherwise(1.03)))
+    return t.select("trade_id", "liquidation", F.round(od.maintenance_margin(c("qty"), c("entry_price"), c("tier_mm"), c("tier_ded")), 5).alias("maintenance"), od.stop_inside_liquidation(c("side"), c("stop"), c("liquidation")).alias("stop_first"))
+
+
+@register("ag20_skip_counts", f"WITH {_OSQL} SELECT symbol, skip, count(*) AS n FROM n WHERE skip IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    return od.normalise_order(_orders(spark, d).drop("qty"), max_risk=0.01).where("skip IS NOT NULL").groupBy("symbol", "skip").agg(F.count("*").alias("n"))
 
 
 @register("fn15_cost_share", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_tax + 2 * l_discount, 6) AS cost FROM lineitem")

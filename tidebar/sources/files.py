@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import epoch_ms, safe_double
-from tidebar.operators.series import last_per_key
+from tidebar.operators.series import drop_junk, last_per_key
 
 TIMEFRAME_IN_NAME = r"(?i)(?:^|[^0-9a-z])(1m|5m|15m|1h|4h|1d|1w)(?:[^0-9a-z]|$)"
 
@@ -38,14 +38,19 @@ def read_klines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_kline_archive(spark: SparkSession, monthly: list[str], daily: list[str], tail: DataFrame | None, start_ms: int, end_ms: int) -> DataFrame:
-    """Monthly and daily archives and a recent tail; later ones win; clipped to the range."""
+    """Monthly and daily archives and a recent tail; later ones win, junk goes, clipped to the range.
+
+    Archives in folders ``symbol=...`` carry that column, and times settle within a symbol.
+    """
     parts = [read_klines(spark, p).withColumn("_p", F.lit(k)) for k, p in enumerate((monthly, daily)) if p]
     if tail is not None:
         parts.append(tail.withColumn("_p", F.lit(2)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return last_per_key(out, ["ts_ms"], "_p").drop("_p", "file", "file_path").where(F.col("ts_ms").between(start_ms, end_ms))
+    keys = [c for c in ("symbol", "timeframe", "source") if c in parts[0].columns]
+    out = out.where(F.col("ts_ms").between(start_ms, end_ms))
+    return drop_junk(last_per_key(out, [*keys, "ts_ms"], "_p").drop("_p", "file", "file_path"))
 
 
 def by_header(rows: DataFrame, wanted: dict[str, tuple[str, ...]], n: int, key: str = "file_path") -> DataFrame:
@@ -163,11 +168,15 @@ def decisions(log: DataFrame, body: str = "payload") -> DataFrame:
 
 
 def instruments(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Dimension of tradable USDT perpetuals."""
-    item = "struct<symbol:string,contractType:string,quoteCoin:string,status:string,priceFilter:struct<tickSize:string>,lotSizeFilter:struct<qtyStep:string,minOrderQty:string,maxOrderQty:string,minNotionalValue:string>,leverageFilter:struct<maxLeverage:string>>"
-    r = pages.select(F.explode(F.from_json(F.get_json_object(body, "$.result.list"), f"array<{item}>")).alias("r")).where("r.contractType = 'LinearPerpetual' AND r.quoteCoin = 'USDT'")
-    d = lambda c, n: safe_double(F.col(f"r.{c}")).alias(n)
-    return r.select("r.symbol", d("priceFilter.tickSize", "tick"), d("lotSizeFilter.qtyStep", "qty_step"), d("lotSizeFilter.minOrderQty", "min_qty"), d("lotSizeFilter.maxOrderQty", "max_qty"), d("lotSizeFilter.minNotionalValue", "min_notional"), d("leverageFilter.maxLeverage", "max_leverage"))
+    """Dimension of tradable USDT perpetuals; a number that the venue leaves out has a cautious stand-in."""
+    item = "struct<symbol:string,contractType:string,status:string,priceFilter:struct<tickSize:string>,lotSizeFilter:struct<qtyStep:string,minOrderQty:string,maxOrderQty:string,minNotionalValue:string,minOrderAmt:string>,leverageFilter:struct<maxLeverage:string>>"
+    kind = F.lower(F.coalesce("r.contractType", F.lit("")))
+    r = pages.select(F.explode(F.from_json(F.get_json_object(body, "$.result.list"), f"array<{item}>")).alias("r")).where(F.endswith("r.symbol", F.lit("USDT")) & ((kind == "") | kind.contains("perpetual")))
+    d = lambda n, other, *names: F.coalesce(*[safe_double(F.col(f"r.{c}")) for c in names], F.lit(other)).alias(n)
+    return r.select(
+        F.upper("r.symbol").alias("symbol"), d("tick", 0.01, "priceFilter.tickSize"), d("qty_step", 0.001, "lotSizeFilter.qtyStep"), d("min_qty", 0.001, "lotSizeFilter.minOrderQty"), d("max_qty", 1e9, "lotSizeFilter.maxOrderQty"),
+        d("min_notional", 0.0, "lotSizeFilter.minNotionalValue", "lotSizeFilter.minOrderAmt"), d("max_leverage", 100.0, "leverageFilter.maxLeverage"), F.coalesce("r.status", F.lit("")).alias("status"),
+    )
 
 
 def risk_tiers(rows: DataFrame) -> DataFrame:
