@@ -7,14 +7,16 @@
 3. Components of the confirmed links. A bucket that still holds several components may hide a link
    that its star could not see. All nodes of such buckets whose largest component is the same one form
    a family. Within a family every node outside that component is compared with every node of
-   another component, by counting common shingles over an inverted index. Families are cut into
-   blocks of a bounded size, and only links leave a block, never pairs.
+   another component that is not too large or too small to be similar, by counting common shingles
+   over an inverted index. Families are cut into ranges of set sizes and into blocks of a bounded
+   size, and only links leave a block, never pairs.
 
 The bands find a pair at the threshold with a probability of 1 - (1 - 0.8**5)**32, over 0.999997.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,18 +108,18 @@ def _block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tu
 
 
 def _family_links(words: int, percent: int):
-    """Rows (g, lb, rb, side, node, root, text), ordered by block and side, to the blocks' links."""
+    """Rows (g, span, lb, rb, side, node, root, text), ordered by block and side, to the blocks' links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
         for batch in _and_end(batches):
-            rows = [] if batch is None else zip(*(batch.column(c).to_pylist() for c in ("g", "lb", "rb", "side", "node", "root")), shingle_sets([t.encode() for t in batch.column("text").to_pylist()], words), strict=True)
+            rows = [] if batch is None else zip(*(batch.column(c).to_pylist() for c in ("g", "span", "lb", "rb", "side", "node", "root")), shingle_sets([t.encode() for t in batch.column("text").to_pylist()], words), strict=True)
             found: list[tuple[int, int]] = []
-            for g, lb, rb, side, node, root, s in rows:
-                if (g, lb, rb) != now:
+            for *at, side, node, root, s in rows:
+                if at != now:
                     if sides[0] and sides[1]:
                         found += _block_links(*sides, percent)
-                    now, sides = (g, lb, rb), ([], [])
+                    now, sides = at, ([], [])
                 sides[side].append((node, root, s))
             if batch is None and sides[0] and sides[1]:
                 found += _block_links(*sides, percent)
@@ -156,17 +158,22 @@ def _families(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return held.join(mixed, "key").select("g", "node", "root").distinct()
 
 
-def _blocks(family: DataFrame, block: int, shingles: int) -> DataFrame:
-    """Each family (g, node, root, n_shingles) dealt into blocks: side 0 has the nodes outside its component g, side 1 all of them."""
-    outside = F.col("root") != F.col("g")
-    parts = lambda n, held: F.greatest(F.ceil(n / block), F.ceil(held / shingles))
-    left = parts(F.count_if(outside), F.coalesce(F.sum(F.when(outside, F.col("n_shingles"))), F.lit(0)))
-    sizes = family.groupBy("g").agg(left.alias("n_l"), parts(F.count("*"), F.sum("n_shingles")).alias("n_r"))
-    f = family.join(sizes, "g").where("n_l > 0")
+def _blocks(family: DataFrame, block: int, shingles: int, percent: int) -> DataFrame:
+    """Each family (g, node, root, n_shingles) dealt into blocks: side 0 has the nodes outside its component g, side 1 all that may be similar to one.
+
+    Similar sets differ in size by the factor 100 / percent at most, so nodes are put into ranges of a slightly
+    larger factor and meet only those of their own range and of the two next to it.
+    """
+    span = F.floor(F.log("n_shingles") / math.log(100.0 / percent * 1.001)).cast("long")
+    cell = ["g", "span"]
+    outside = family.where("root <> g").withColumn("span", span)
+    inside = family.withColumn("span", F.explode(F.array(span - 1, span, span + 1)))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / shingles))
+    sizes = outside.groupBy(*cell).agg(parts.alias("n_l")).join(inside.groupBy(*cell).agg(parts.alias("n_r")), cell)
     own = lambda n: F.pmod(F.xxhash64("node"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = f.where("root <> g").select("g", own(F.col("n_l")).alias("lb"), every("n_r").alias("rb"), F.lit(0).alias("side"), "node", "root")
-    right = f.select("g", every("n_l").alias("lb"), own(F.col("n_r")).alias("rb"), F.lit(1).alias("side"), "node", "root")
+    left = outside.join(sizes, cell).select(*cell, own(F.col("n_l")).alias("lb"), every("n_r").alias("rb"), F.lit(0).alias("side"), "node", "root")
+    right = inside.join(sizes, cell).select(*cell, every("n_l").alias("lb"), own(F.col("n_r")).alias("rb"), F.lit(1).alias("side"), "node", "root")
     return left.unionByName(right)
 
 
@@ -197,8 +204,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     links = saved(full.sortWithinPartitions("a").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
     roots = saved(components(links), "roots")
     sized = _families(buckets, roots).join(nodes.select("node", "n_shingles"), "node")
-    blocks = _blocks(saved(sized, "families"), block, shingles)
-    place = ["g", "lb", "rb"]
+    blocks = _blocks(saved(sized, "families"), block, shingles, percent)
+    place = ["g", "span", "lb", "rb"]
     dealt = blocks.join(texts, "node").repartition(*place).sortWithinPartitions(*place, "side")
     more = saved(dealt.select(*place, "side", "node", "root", "text").mapInArrow(_family_links(words, percent), "a long, b long"), "links")
     if not more.isEmpty():
