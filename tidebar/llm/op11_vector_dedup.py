@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.llm.blocks import bounds, whole_groups
 from tidebar.llm.common import drop_saved, saved, table
 from tidebar.llm.components import components
 
@@ -142,46 +143,13 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows that come ordered by ``keys``, in tables that hold whole groups: many small ones or one large one."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = [np.asarray(batch.column(k)) for k in keys]
-        if held:
-            last = [held[-1].column(k)[-1].as_py() for k in keys]
-            other = np.flatnonzero(np.logical_or.reduce([c != x for c, x in zip(own, last, strict=True)]))
-            if not len(other):
-                held.append(batch)
-                continue
-            if other[0]:
-                held.append(batch.slice(0, other[0]))
-            yield pa.Table.from_batches(held)
-            held, batch = [], batch.slice(other[0])
-            own = [c[other[0] :] for c in own]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in own]))
-        if len(change):
-            yield pa.Table.from_batches([batch.slice(0, change[-1] + 1)])
-            batch = batch.slice(change[-1] + 1)
-        held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(*columns: np.ndarray) -> np.ndarray:
-    """Where groups of equal neighbours start, and the end."""
-    change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-    return np.concatenate(([0], change, [len(columns[0])]))
-
-
 def _bucket_edges(radius: int):
     """Rows (key, node, s0, s1), ordered by key, to edges between nodes whose sketches are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["key"]):
+        for rows in whole_groups(batches, ["key"]):
             node, s = rows.column("node").to_numpy(), np.column_stack([rows.column("s0").to_numpy(), rows.column("s1").to_numpy()]).view(np.uint64)
-            at = _bounds(rows.column("key").to_numpy())
+            at = bounds(rows.column("key").to_numpy())
             two = at[:-1][np.diff(at) == 2]
             two = two[np.bitwise_count(s[two] ^ s[two + 1]).sum(axis=1) <= radius]
             a, b = [node[two]], [node[two + 1]]
@@ -201,12 +169,12 @@ def _family_links(cosine: float):
     """Rows (family, i, j, side, node, copies, v), ordered by block, to (node, links) and edges (node, other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["family", "i", "j"]):
+        for rows in whole_groups(batches, ["family", "i", "j"]):
             node, copies, side = (rows.column(c).to_numpy() for c in ("node", "copies", "side"))
             v = rows.column("v").combine_chunks()
             flat, ends = np.asarray(v.flatten(), float), np.asarray(v.offsets)
             own = [rows.column(c).to_numpy() for c in ("family", "i", "j")]
-            at, blocks = _bounds(*own), own[1] == own[2]
+            at, blocks = bounds(*own), own[1] == own[2]
             nodes, links, others = [], [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 x = _scaled(flat[ends[lo] - ends[0] : ends[hi] - ends[0]].reshape(hi - lo, -1))
