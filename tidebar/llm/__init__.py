@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of the numbered operators, in their order.
-MODULES = ("op1_ann", "op2_packing", "op3_bpe", "op4_sharding", "op5_exact_dedup", "op6_chat", "op7_licenses", "op8_near_dedup", "op9_quality", "op10_toxicity", "op11_vector_dedup", "op12_spelling")
+MODULES = ("op1_ann", "op2_packing", "op3_bpe", "op4_sharding", "op5_exact_dedup", "op6_chat", "op7_licenses", "op8_near_dedup", "op9_quality", "op10_toxicity", "op11_vector_dedup", "op12_spelling", "op13_alignment")
 
 
 def queries() -> dict:
