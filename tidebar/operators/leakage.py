@@ -85,11 +85,28 @@ def responsiveness(bars: DataFrame, build, keys: list[str], tip: int = 40, tol:
     return _finding(out.where((F.col("_bad") == F.col("_all")) | (F.col("_bad") >= F.greatest(F.lit(3), F.col("_all") * 0.5))), "responsiveness", severity, "does not move with the last bars")
 
 
+def _texts(df: DataFrame, keys: list[str]) -> list[str]:
+    return [c for c, t in df.dtypes if c not in keys and t == "string"]
+
+
 def streaming_tip(batch: DataFrame, stream: DataFrame, keys: list[str], tol: float = 1e-9) -> DataFrame:
-    """Columns that a bar-by-bar run and a batch run give differently at the last common bar."""
-    last = batch.groupBy(*keys).agg(F.max("ts_ms").alias("ts_ms"))
-    d = frame_diff(batch.join(last, [*keys, "ts_ms"], "left_semi"), stream, [*keys, "ts_ms"])
-    return _finding(d.where((F.col("max_diff") > tol) | (F.col("null_mismatch") > 0)), "streaming_tip", "HARD", "stream and batch disagree")
+    """Columns that a bar-by-bar run and a batch run give differently at the run's last bar that both have.
+
+    Numbers are compared within ``tol``, text as it stands; null on one side only is a difference. A series without
+    a common bar is one finding on all columns. The run may end before the batch does, so that
+    columns that need later bars differ.
+    """
+    at = [*keys, "ts_ms"]
+    last = stream.select(*at).join(batch.select(*at), at).groupBy(*keys).agg(F.max("ts_ms").alias("ts_ms"))
+    b, s = (df.join(last, at, "left_semi") for df in (batch, stream))
+    d = frame_diff(b, s, at).where((F.col("max_diff") > tol) | (F.col("null_mismatch") > 0)).select("column")
+    if texts := [c for c in _texts(b, at) if c in s.columns]:
+        long = lambda df, name: df.select(*at, *texts).unpivot(at, texts, "column", name)
+        told = long(b, "a").join(long(s, "b"), [*at, "column"]).where(~F.col("a").eqNullSafe(F.col("b")))
+        d = d.unionByName(told.select("column").distinct())
+    missing = batch.select(*keys).distinct().join(last.select(*keys), keys, "left_anti").select(F.lit("*").alias("column")).distinct()
+    out = _finding(d, "streaming_tip", "HARD", "stream and batch disagree")
+    return out.unionByName(_finding(missing, "streaming_tip", "HARD", "the stream has no bar of the batch"))
 
 
 def forward_correlation(features: DataFrame, bars: DataFrame, keys: list[str], horizons: list[int], hard: float = 0.5, advisory: float = 0.2, least_rows: int = 100, least_finite: int = 50, check: str = "forward_corr") -> DataFrame:
@@ -121,32 +138,53 @@ PUBLICATION_RULES = {
 }
 
 
-def known_times(events: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, record, known_ms): from when each kind of record is known for the first time."""
-    first = lambda df, record, time: df.groupBy(*keys).agg(F.min(time).alias("known_ms")).select(*keys, F.lit(record).alias("record"), "known_ms")
-    out = first(events, "event", "confirm_ts_ms").unionByName(first(events, "level", "confirm_ts_ms"))
-    for kind in ("high", "low"):
-        out = out.unionByName(first(events.where(F.col("kind") == kind), f"swing_{kind}", "confirm_ts_ms"))
-    return out.unionByName(first(made, "leg", "known_ts_ms")).unionByName(first(made.where("retrace_pct IS NOT NULL"), "successor_leg", "retrace_known_ms"))
+#: Ruled columns that show a record's own value, and how it follows from the record; the others are made with the close.
+_SHOWN = {
+    "swing_high": {"last_sh_price": "price"}, "swing_low": {"last_sl_price": "price"},
+    "support": {"nearest_support": "price"}, "resistance": {"nearest_resistance": "price"},
+    "event": {"structure_bias": "bias", "last_structure_label": "label"},
+    "leg": {"last_leg_dir": "direction", "last_leg_kind": "leg_kind", "last_leg_len_pct": "length_pct", "fib_0000": "end_price", "fib_1000": "end_price - 1D * (end_price - start_price)"},
+    "successor_leg": {"last_retrace_pct": "retrace_pct", "last_retrace_fib": "fib_label"},
+}
+_MADE = {"swing_high": ("dist_last_sh_pct",), "swing_low": ("dist_last_sl_pct",), "support": ("dist_support_pct",), "resistance": ("dist_resistance_pct",)}
+
+
+def known_records(events: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, column, value, known_ms): from when a value may stand in a ruled column; ``*`` for any value of it."""
+    high = F.col("kind") == "high"
+    rows = {"swing_high": events.where(high), "swing_low": events.where(~high), "support": events.where(~high), "resistance": events.where(high), "event": events, "leg": made, "successor_leg": made.where("retrace_known_ms IS NOT NULL")}
+    time = {"leg": "known_ts_ms", "successor_leg": "retrace_known_ms"}
+    out = None
+    for record, df in rows.items():
+        values = [F.struct(F.lit(c).alias("column"), F.expr(v).cast("string").alias("value")) for c, v in _SHOWN[record].items()]
+        values += [F.struct(F.lit(c).alias("column"), F.lit("*").alias("value")) for c in _MADE.get(record, ())]
+        part = df.select(*keys, F.explode(F.array(*values)).alias("x"), F.col(time.get(record, "confirm_ts_ms")).alias("known_ms"))
+        part = part.groupBy(*keys, "x.column", "x.value").agg(F.min("known_ms").alias("known_ms"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def publication(features: DataFrame, known: DataFrame, keys: list[str], rules: dict[str, str] = PUBLICATION_RULES) -> DataFrame:
-    """Per series and ruled column: its first visible time against its record's first known time, and a verdict.
+    """Per series and ruled column: how many of its values stand before a record with them is known, and a verdict.
 
-    missing: the feature table has no such column. early: a value other than null (of the bias, other
-    than 0) stands before its record is known; a record that never becomes known makes any value early. ok: else.
+    missing: the feature table has no such column. early: a value other than null (of the bias, other than 0) stands at a
+    bar before any record of that value is known, be it the first record or a later one; a value that no
+    record has is early wherever it stands. ok: else. ``known`` is what ``known_records`` gives.
     """
     there = [c for c in rules if c in features.columns]
-    shown = lambda c: (F.col(c) != 0) if c == "structure_bias" else F.col(c).isNotNull()
-    first = features.groupBy(*keys).agg(*[F.min(F.when(shown(c), F.col("ts_ms"))).alias(c) for c in there])
-    spark = features.sparkSession
-    told = spark.createDataFrame(list(rules.items()), "column string, record string")
+    made = {c for columns in _MADE.values() for c in columns}
     series = features.select(*keys).distinct()
-    seen = first.unpivot(keys, there, "column", "visible_ms") if there else series.select(*keys, F.lit("").alias("column"), F.lit(None).cast("long").alias("visible_ms"))
+    told = features.sparkSession.createDataFrame(list(rules.items()), "column string, record string")
     every = series.join(F.broadcast(told))  # the rules are a fixed short list
-    out = every.join(seen, [*keys, "column"], "left").join(known, [*keys, "record"], "left")
-    verdict = F.when(~F.col("column").isin(there), "missing").when(F.col("visible_ms").isNotNull() & (F.col("known_ms").isNull() | (F.col("visible_ms") < F.col("known_ms"))), "early").otherwise("ok")
-    return out.select(*keys, "column", "record", "visible_ms", "known_ms", verdict.alias("verdict"))
+    if not there:
+        return every.select(*keys, "column", "record", F.lit(0).cast("long").alias("early_values"), F.lit("missing").alias("verdict"))
+    own = lambda c: F.when(F.col(c).isNotNull(), F.lit("*")) if c in made else F.when(F.col(c) != 0, F.col(c).cast("string")) if c == "structure_bias" else F.col(c).cast("string")
+    shown = features.select(*keys, "ts_ms", *[own(c).alias(c) for c in there]).unpivot([*keys, "ts_ms"], there, "column", "value").where("value IS NOT NULL")
+    first = shown.groupBy(*keys, "column", "value").agg(F.min("ts_ms").alias("visible_ms")).join(known, [*keys, "column", "value"], "left")
+    early = first.groupBy(*keys, "column").agg(F.count_if(F.col("known_ms").isNull() | (F.col("visible_ms") < F.col("known_ms"))).alias("early_values"))
+    out = every.join(early, [*keys, "column"], "left").withColumn("early_values", F.coalesce("early_values", F.lit(0)))
+    verdict = F.when(~F.col("column").isin(there), "missing").when(F.col("early_values") > 0, "early").otherwise("ok")
+    return out.select(*keys, "column", "record", "early_values", verdict.alias("verdict"))
 
 
 def name_scan(names: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -190,6 +228,20 @@ def audit(bars: DataFrame, build, keys: list[str], horizons: list[int], stream:
     return out.unionByName(split_geometry(train, test, min_gap_ms).drop("common"))
 
 
+def audit_verdict(findings: DataFrame) -> DataFrame:
+    """One row: ok (nothing HARD), numbers of HARD and ADVISORY findings, and the columns with leakage potential in order."""
+    hard = F.col("severity") == "HARD"
+    columns = F.array_sort(F.collect_set(F.when(hard & (F.col("column") != "*"), F.col("column"))))
+    return findings.agg((F.count_if(hard) == 0).alias("ok"), F.count_if(hard).alias("hard"), F.count_if(~hard).alias("advisory"), columns.alias("potential"))
+
+
+def registry_marks(findings: DataFrame, seen_ms: int, symbol: str, timeframe: str) -> DataFrame:
+    """What ``upsert.merge_registry`` takes up of an audit: its HARD findings on columns, in the order of checks and messages."""
+    own = findings.where("severity = 'HARD' AND column <> '*'").select("column", F.concat_ws(": ", "check", "message").alias("reason")).distinct()
+    number = F.row_number().over(Window.partitionBy("column").orderBy("reason")).cast("long")
+    return own.select("column", number.alias("seq"), "reason", F.lit(seen_ms).cast("long").alias("seen"), F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"))
+
+
 def marked(columns: DataFrame, registry: DataFrame) -> DataFrame:
     """``columns`` (column) with ``refused`` and the registry's reasons: those with leakage potential."""
     known = registry.groupBy("column").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
