@@ -77,16 +77,52 @@ def test_a_key_repeated_in_a_batch_gives_one_row(spark):
     assert sorted((r.k, r.v, r.w) for r in coalescing(old.withColumn("w", F.lit(1.0)), two, ["k"], ["v"], ["w"], "seq").collect()) == [(1, 5.0, 5.0), (2, None, 9.0)]
 
 
-def test_a_batch_reads_only_its_series_folders_and_purge_empties_them(spark, tmp_path):
+MONTH_MS = 31 * 86_400_000
+
+
+def test_a_batch_reads_and_writes_only_its_months(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/pruned", KEY, BARS)
-    rows = [("s", x, "1h", t, 1.0, 1.0, 1.0, float(t), 1.0) for x in ("A", "B", "C") for t in (1, 2)]
+    rows = [("s", x, "1h", t, 1.0, 1.0, 1.0, float(t), 1.0) for x in ("A", "B", "C") for t in (1, 2, MONTH_MS, 2 * MONTH_MS)]
     store.write(spark.createDataFrame(rows, BARS))
     plan = store._touched(spark.createDataFrame(rows[:1], BARS))._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters:") :].split("\n")[0]
-    assert "A" in filters and "symbol" in filters.split("PushedFilters")[0]
-    gone = store.purge((F.col("symbol") == "B") | (F.col("ts_ms") == 2)).collect()
-    assert {(r.symbol, r.deleted) for r in gone} == {("A", 1), ("B", 2), ("C", 1)}
-    assert sorted((r.symbol, r.ts_ms) for r in store.read().collect()) == [("A", 1), ("C", 1)]
+    filters = plan[plan.index("PartitionFilters:") :].split("PushedFilters")[0]
+    assert "symbol" in filters and "A" in filters and "month_" in filters and "197001" in filters
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "pruned").rglob("*.parquet")}
+    store.upsert(spark.createDataFrame([("s", "B", "1h", MONTH_MS, 1.0, 1.0, 1.0, 77.0, 1.0)], BARS))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "pruned").rglob("*.parquet")}
+    gone, new = set(before) - set(after), set(after) - set(before)
+    assert len(gone) == len(new) == 1 and "symbol=B" in str(*new) and "month_=197002" in str(*new)
+    assert all(after[p] == before[p] for p in set(before) & set(after))
+    assert [r.close for r in store.scan(MONTH_MS, MONTH_MS, symbol="B").collect()] == [77.0]
+    plan = store.scan(2 * MONTH_MS, symbol="B")._jdf.queryExecution().executedPlan().toString()
+    assert "month_" in plan[plan.index("PartitionFilters:") :].split("PushedFilters")[0] and "ts_ms" in plan[plan.index("PushedFilters:") :]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("pruned.")]  # nothing stays beside the store
+    assert store.read().count() == len(rows)
+
+
+def test_purge_empties_folders_of_any_name(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/purged", KEY, BARS)
+    names = ("A", "A:B", "A/B", "AB", "50%", "a b=c", "ä#?", None, "C")
+    store.write(spark.createDataFrame([("s", x, "1h", t, 1.0, 1.0, 1.0, float(t), 1.0) for x in names for t in (1, 2, MONTH_MS)], BARS))
+    gone = store.purge(F.col("symbol").isNull() | ~F.col("symbol").isin("A", "AB", "C") | (F.col("ts_ms") == 2)).collect()
+    assert {(r.symbol, r.deleted) for r in gone} == {(x, 1 if x in ("A", "AB", "C") else 3) for x in names}
+    assert sorted((r.symbol, r.ts_ms) for r in store.read().collect()) == [(x, t) for x in ("A", "AB", "C") for t in (1, MONTH_MS)]
+    assert store.purge(F.col("ts_ms") == 2).count() == 0
+    assert store.purge_series(symbol="C").collect()[0].deleted == 2
+    assert Store(spark, f"file://{tmp_path}/none", KEY, BARS).purge(F.lit(True)).count() == 0
+
+
+def test_null_keys_are_series_too(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/null", KEY, BARS)
+    row = lambda c: spark.createDataFrame([("s", None, "1h", 1, 1.0, 1.0, 1.0, c, 1.0)], BARS)
+    store.upsert(row(1.0))
+    store.upsert(row(2.0))
+    assert [r.close for r in store.read().collect()] == [2.0]
+
+
+def test_frames_are_parsed_once(spark):
+    plan = closed_frames(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2, plan
 
 
 def test_online_resample_equals_batch(spark, tmp_path):

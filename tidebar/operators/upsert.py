@@ -4,17 +4,20 @@ batch touches, settles each key, and overwrites just these partitions."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebar.operators.series import last_per_key
 from tidebar.scratch import written
 
-#: Series of a batch that are looked up by a folder filter; more are joined.
+#: Months of series of a batch that are looked up by a folder filter; more are joined.
 PRUNED = 200
-#: Time that one task writes of a series: 400 days.
-FILE_MS = 400 * 86_400_000
+#: The partition column beside the key.
+MONTH = "month_"
 
 
 def overwrite(old: DataFrame, new: DataFrame, pk: list[str], seq: str | None = None) -> DataFrame:
@@ -99,81 +102,124 @@ def migrate(df: DataFrame, constants: dict[str, dict[str, object]], by: str = "s
     return df
 
 
+def month(ts_ms: Column) -> Column:
+    """Month of a time in UTC, as the number yyyymm, whatever the session's zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts_ms / 86_400_000).cast("int"))
+    return F.year(day) * 100 + F.month(day)
+
+
 class Store:
-    """A Parquet folder partitioned by its series key, with keyed writes."""
+    """A Parquet folder partitioned by series key and month, with keyed writes.
+
+    A write costs what the months of its batch hold, not what the series do. One writer at a time; folders
+    are swapped by Spark's writer one by one, so a reader meanwhile may see some of a batch's months new and others old.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], schema) -> None:
-        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+    def __init__(self, spark: SparkSession, path: str, key: list[str], schema, time: str = "ts_ms") -> None:
+        self.spark, self.path, self.key, self.schema, self.time = spark, path, key, schema, time
+        self.columns = [f.name for f in schema.fields]
+        self.place = [*key, MONTH]
 
-    def read(self) -> DataFrame:
-        """All rows; an empty frame of the schema before the first write. Columns that old files lack are null."""
+    def _all(self) -> DataFrame:
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+            return self.spark.createDataFrame([], self.schema).withColumn(MONTH, F.lit(None).cast("int"))
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(MONTH, T.IntegerType())])).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        """All rows; an empty frame of the schema before the first write. Columns that old files lack are null."""
+        return self._all().select(*self.columns)
 
     def scan(self, start_ms: int | None = None, end_ms: int | None = None, **key: str) -> DataFrame:
-        """Rows of the series asked for, in time; the key prunes folders, the range is pushed to the files."""
-        out = self.read()
+        """Rows of the series asked for, in time; key and range prune folders, the range is pushed to the files too."""
+        out = self._all()
         for k, v in key.items():
             out = out.where(F.col(k) == v)
         if start_ms is not None:
-            out = out.where(F.col("ts_ms") >= start_ms)
+            out = out.where((F.col(self.time) >= start_ms) & (F.col(MONTH) >= month(F.lit(start_ms))))
         if end_ms is not None:
-            out = out.where(F.col("ts_ms") <= end_ms)
-        return out.orderBy(*self.key, "ts_ms")
+            out = out.where((F.col(self.time) <= end_ms) & (F.col(MONTH) <= month(F.lit(end_ms))))
+        return out.select(*self.columns).orderBy(*self.key, self.time)
+
+    def _same(self, one: DataFrame, other: DataFrame) -> Column:
+        """Both of one partition; a null key is one too."""
+        out = F.lit(True)
+        for k in self.place:
+            out = out & one[k].eqNullSafe(other[k])
+        return out
 
     def _touched(self, batch: DataFrame) -> DataFrame:
-        """The store's rows of the batch's series. Few series prune folders by a filter; many are joined."""
-        series = batch.select(*self.key).distinct()
-        few = series.limit(PRUNED + 1).collect()
-        if not few or len(few) > PRUNED:
-            return self.read().join(series, self.key, "left_semi")
+        """The store's rows of the months that the batch has of each series. Few prune folders by a filter; many are joined."""
+        places = batch.select(*self.key, month(F.col(self.time)).alias(MONTH)).distinct()
+        few = places.limit(PRUNED + 1).collect()
+        whole = self._all()
+        if len(few) > PRUNED:
+            return whole.join(places, self._same(whole, places), "left_semi").select(*self.columns)
         wanted = F.lit(False)
         for row in few:
             own = F.lit(True)
-            for k in self.key:
+            for k in self.place:
                 own = own & F.col(k).eqNullSafe(F.lit(row[k]))
             wanted = wanted | own
-        return self.read().where(wanted)
+        return whole.where(wanted).select(*self.columns)
+
+    @contextmanager
+    def _kept(self, rows: DataFrame, name: str) -> Iterator[DataFrame]:
+        """``rows`` as a table beside the store while it is needed: computed once, and safe from what the store becomes."""
+        path = f"{self.path}.{name}-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self._delete(path)
 
     def write(self, rows: DataFrame) -> None:
-        """Overwrite the partitions that ``rows`` has. It is written aside first, as it may come from here.
-
-        A series goes to files by blocks of time, so that a long one is many tasks' work. Folders are
-        swapped by Spark's writer one by one: one writer at a time, and a reader meanwhile may see
-        some of the batch's series new and others old.
-        """
-        aside = f"{self.path}.aside-{uuid.uuid4().hex}"
-        rows.select(*[f.name for f in self.schema.fields]).write.parquet(aside)
-        out = self.spark.read.schema(self.schema).parquet(aside)
-        dealt = out.repartition(*self.key, F.floor(F.col("ts_ms") / FILE_MS)).sortWithinPartitions(*self.key, "ts_ms")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.key).parquet(self.path)
-        self._delete(aside)
+        """Overwrite the months that ``rows`` has of each series, by these rows."""
+        with self._kept(rows.select(*self.columns), "aside") as out:
+            dealt = out.withColumn(MONTH, month(F.col(self.time))).repartition(*self.place).sortWithinPartitions(*self.place, self.time)
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.place).parquet(self.path)
 
     def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(path) if "%" in path else path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def purge(self, gone: Column) -> DataFrame:
-        """Delete the rows for which ``gone`` holds; rows deleted per series. Series without rows lose their folder."""
+        """Delete the rows for which ``gone`` holds; rows deleted per series. Months without rows lose their folder."""
         where = F.coalesce(gone, F.lit(False))
-        counts = written(self.read().groupBy(*self.key).agg(F.count_if(where).alias("deleted"), F.count_if(~where).alias("left")).where("deleted > 0"), "purged")
-        left = self.read().join(counts.where("left > 0").select(*self.key), self.key, "left_semi").where(~where)
-        if not counts.where("left > 0").isEmpty():
-            self.write(left)
-        for row in counts.where("left = 0").select(*self.key).toLocalIterator():  # folder names
-            self._delete(self.path + "".join(f"/{k}={row[k]}" for k in self.key))
-        return counts.select(*self.key, "deleted")
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")  # named as Spark has named it, with its escapes
+        whole = self._all()
+        if not whole.inputFiles():
+            return self.spark.createDataFrame([], T.StructType([*[f for f in self.schema.fields if f.name in self.key], T.StructField("deleted", T.LongType())]))
+        counts = whole.groupBy(*self.place, folder.alias("folder")).agg(F.count_if(where).alias("deleted"), F.count_if(~where).alias("left")).where("deleted > 0")
+        counts = written(counts, "purged")
+        some = counts.where("left > 0")
+        if not some.isEmpty():
+            self.write(whole.join(some, self._same(whole, some), "left_semi").where(~where))
+        for row in counts.where("left = 0").select("folder").toLocalIterator():
+            self._delete(row["folder"])
+        return counts.groupBy(*self.key).agg(F.sum("deleted").alias("deleted"))
+
+    def purge_series(self, **key: str) -> DataFrame:
+        """Delete whole series, such as all of a timeframe; rows deleted per series."""
+        gone = F.lit(True)
+        for k, v in key.items():
+            gone = gone & (F.col(k) == v)
+        return self.purge(gone)
+
+    def _merge(self, batch: DataFrame, settle: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """The batch is computed once, whatever it comes from, and settled with the months that it touches."""
+        with self._kept(batch, "batch") as rows:
+            self.write(settle(self._touched(rows), rows))
 
     def upsert(self, batch: DataFrame, seq: str | None = None) -> None:
-        self.write(overwrite(self._touched(batch), batch.drop(*(set(batch.columns) - {f.name for f in self.schema.fields} - {seq})), [*self.key, "ts_ms"], seq).select(*[f.name for f in self.schema.fields]))
+        own = batch.drop(*(set(batch.columns) - {*self.columns, seq}))
+        self._merge(own, lambda old, new: overwrite(old, new, [*self.key, self.time], seq))
 
     def upsert_changed(self, batch: DataFrame, values: list[str], optional: list[str], stamp: str, now: Column, seq: str | None = None) -> None:
-        self.write(change_detecting(self._touched(batch), batch, [*self.key, "ts_ms"], values, optional, stamp, now, seq))
+        self._merge(batch, lambda old, new: change_detecting(old, new, [*self.key, self.time], values, optional, stamp, now, seq))
 
     def upsert_coalescing(self, batch: DataFrame, replaced: list[str], kept: list[str], seq: str | None = None) -> None:
-        self.write(coalescing(self._touched(batch), batch, [*self.key, "ts_ms"], replaced, kept, seq))
+        self._merge(batch, lambda old, new: coalescing(old, new, [*self.key, self.time], replaced, kept, seq))
 
 
 def latest_events(df: DataFrame, pk: list[str], at: str) -> DataFrame:

@@ -46,9 +46,20 @@ def _(spark, d):
     return up.latest_by_key(read(spark, d, "events").select(F.col("event_type").alias("key"), "value", F.col("event_id").alias("updated_at")), "key", "value", "updated_at")
 
 
-@register("snk08_purge_counts", f"WITH {bars_sql()} SELECT symbol, timeframe, count(*) AS deleted FROM bars WHERE symbol < 'm' GROUP BY ALL")
+_H4 = more_bars("h4", "4h")
+
+
+@register("snk08_purge_counts", f"WITH {bars_sql()}, {_H4}, purged AS (SELECT symbol, count(*) AS deleted FROM h4 GROUP BY symbol), kept AS (SELECT symbol, count(*) AS left_1h FROM bars GROUP BY symbol) SELECT symbol, '4h' AS timeframe, deleted, left_1h, 0::BIGINT AS left_4h FROM purged JOIN kept USING (symbol)")
 def _(spark, d):
-    return bars(spark, d).where("symbol < 'm'").groupBy("symbol", "timeframe").agg(F.count("*").alias("deleted"))
+    """A store of two timeframes, of which one is purged: rows deleted per series, and what the store holds then."""
+    from tidebar.schemas import BARS, KEY
+    from tidebar.scratch import scratch_path
+
+    store = up.Store(spark, scratch_path(spark, "two-frames"), KEY, BARS)
+    store.write(bars(spark, d).unionByName(tick_bars(ticks(spark, d), "4h")).select(*store.columns))
+    gone = store.purge_series(timeframe="4h")
+    left = store.read().groupBy("symbol").agg(F.count_if(F.col("timeframe") == "1h").alias("left_1h"), F.count_if(F.col("timeframe") == "4h").alias("left_4h"))
+    return gone.join(left, "symbol").select("symbol", "timeframe", "deleted", "left_1h", "left_4h")
 
 
 @register("snk07_purge_forming", f"WITH {bars_sql()} SELECT count(*) FILTER (WHERE ts_ms + 3600000 <= 1705278600000) AS kept, count(*) FILTER (WHERE ts_ms + 3600000 > 1705278600000) AS deleted FROM bars")

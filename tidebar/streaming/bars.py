@@ -16,11 +16,14 @@ def closed_frames(frames: DataFrame, body: str = "value", keep: tuple[str, ...]
     """
     one = "struct<e:string,k:struct<t:bigint,s:string,i:string,o:string,h:string,l:string,c:string,v:string,x:boolean>>"
     two = "struct<topic:string,data:array<struct<start:bigint,interval:string,open:string,high:string,low:string,close:string,volume:string,confirm:boolean>>>"
-    a, b = F.from_json(body, one), F.from_json(body, two)
-    first = F.when(a["k"]["x"], F.array(F.struct(F.lit("a").alias("exchange"), a["k"]["s"].alias("symbol"), a["k"]["i"].alias("timeframe"), a["k"]["t"].alias("ts_ms"), *[safe_double(a["k"][k]).alias(n) for k, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)])))
+    read = frames.select(*keep, F.from_json(body, one).alias("a"), F.from_json(body, two).alias("b"))  # each parsed once
+    a, b = F.col("a"), F.col("b")
+    names = ("open", "high", "low", "close", "volume")
+    first = F.when(a["k"]["x"], F.array(F.struct(F.lit("a").alias("exchange"), a["k"]["s"].alias("symbol"), a["k"]["i"].alias("timeframe"), a["k"]["t"].alias("ts_ms"), *[a["k"][k].alias(n) for k, n in zip("ohlcv", names, strict=True)])))
     closed = F.filter(b["data"], lambda x: F.coalesce(x["confirm"], F.lit(False)))
-    second = F.transform(closed, lambda x: F.struct(F.lit("b").alias("exchange"), F.element_at(F.split(b["topic"], r"\."), -1).alias("symbol"), x["interval"].alias("timeframe"), x["start"].alias("ts_ms"), *[safe_double(x[n]).alias(n) for n in ("open", "high", "low", "close", "volume")]))
-    return frames.select(*keep, F.explode(F.coalesce(first, second)).alias("r")).select(*keep, "r.*")
+    second = F.transform(closed, lambda x: F.struct(F.lit("b").alias("exchange"), F.element_at(F.split(b["topic"], r"\."), -1).alias("symbol"), x["interval"].alias("timeframe"), x["start"].alias("ts_ms"), *[x[n].alias(n) for n in names]))
+    rows = read.select(*keep, F.explode(F.coalesce(first, second)).alias("r"))
+    return rows.select(*keep, "r.exchange", "r.symbol", "r.timeframe", "r.ts_ms", *[safe_double(F.col(f"r.{n}")).alias(n) for n in names])
 
 
 def upsert_stream(stream: DataFrame, store, checkpoint: str, values: list[str], optional: list[str], arrival: str, stamp: str = "updated_at_ms"):
@@ -30,8 +33,7 @@ def upsert_stream(stream: DataFrame, store, checkpoint: str, values: list[str],
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            store.upsert_changed(batch, values, optional, stamp, F.unix_millis(F.current_timestamp()), arrival)
+        store.upsert_changed(batch, values, optional, stamp, F.unix_millis(F.current_timestamp()), arrival)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
