@@ -30,14 +30,14 @@ def swings(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str] = KEY
 
 
 def label_events(found: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Each swing's label against the last of its kind (HH, LH, HL, LL, first SH or SL) and the bias after it."""
+    """Each swing's label against the last of its kind (HH, LH, HL, LL, first SH or SL) and the bias after it, with the sum that it is the sign of."""
     prev = Window.partitionBy(*keys, "kind").orderBy("swing_id")
     last, last_id = F.lag("price").over(prev), F.lag("swing_id").over(prev)
     label = F.when(F.col("kind") == "high", F.when(last.isNull(), "SH").when(F.col("price") > last, "HH").otherwise("LH")).otherwise(F.when(last.isNull(), "SL").when(F.col("price") > last, "HL").otherwise("LL"))
     out = found.select(*keys, "swing_id", "kind", "price", "pivot_i", "pivot_ts_ms", "confirm_ts_ms", label.alias("label"), last_id.alias("prev_swing_id"))
     step = F.when(F.col("label").isin("HH", "HL"), 1).when(F.col("label").isin("LH", "LL"), -1).otherwise(0)
     upto = Window.partitionBy(*keys).orderBy("swing_id").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("bias", F.signum(F.sum(step).over(upto)).cast("int"))
+    return out.withColumn("bias_sum", F.sum(step).over(upto).cast("long")).withColumn("bias", F.signum("bias_sum").cast("int"))
 
 
 def legs(events: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -113,6 +113,12 @@ def bar_features(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str]
     """
     events = written(label_events(swings(bars, left, right, keys), keys), "events")
     made = legs(events, keys)
+    out = known_at_bars(bars, events, made, keys)
+    return nearest_levels(out, levels(events, keys), keys, ("_supports", "_resistances")).drop("_supports", "_resistances")
+
+
+def known_at_bars(bars: DataFrame, events: DataFrame, made: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """What was known of swings, labels and legs at every bar, and of how many supports and resistances."""
     high = F.col("kind") == "high"
     price = F.struct(F.col("price"), F.col("pivot_ts_ms").alias("ts"))
     leg = F.struct(F.col("direction"), F.col("leg_kind"), F.col("length_pct"), F.col("start_price"), F.col("end_price"))
@@ -128,7 +134,7 @@ def bar_features(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str]
     at = every.select(*keys, "ts_ms", "close", "_bar", *last, *counts).where("_bar = 1")
     c = F.col("close")
     price = {r: fib_price(F.col("_leg.start_price"), F.col("_leg.end_price"), r) for r in RATIOS}
-    out = at.select(
+    return at.select(
         *keys, "ts_ms", "close",
         *[x for n in ("sh", "sl") for x in (F.col(f"_{n}.price").alias(f"last_{n}_price"), F.col(f"_{n}.ts").alias(f"last_{n}_ts_ms"), ((c - F.col(f"_{n}.price")) / c).alias(f"dist_last_{n}_pct"))],
         F.col("_label.label").alias("last_structure_label"), F.coalesce("_label.bias", F.lit(0)).alias("structure_bias"),
@@ -136,4 +142,3 @@ def bar_features(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str]
         *[p.alias(fib_column(r)) for r, p in price.items()], *[((price[r] - c) / c).alias(f"dist_{fib_column(r)}_pct") for r in RETRACEMENTS],
         F.col("_retrace.retrace_pct").alias("last_retrace_pct"), F.col("_retrace.fib_label").alias("last_retrace_fib"), "_supports", "_resistances",
     )
-    return nearest_levels(out, levels(events, keys), keys, ("_supports", "_resistances")).drop("_supports", "_resistances")

@@ -115,8 +115,8 @@ class Store:
     are swapped by Spark's writer one by one, so a reader meanwhile may see some of a batch's months new and others old.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], schema, time: str = "ts_ms") -> None:
-        self.spark, self.path, self.key, self.schema, self.time = spark, path, key, schema, time
+    def __init__(self, spark: SparkSession, path: str, key: list[str], schema, time: str = "ts_ms", pk: list[str] | None = None) -> None:
+        self.spark, self.path, self.key, self.schema, self.time, self.pk = spark, path, key, schema, time, pk or [*key, time]
         self.columns = [f.name for f in schema.fields]
         self.place = [*key, MONTH]
 
@@ -199,6 +199,22 @@ class Store:
             self._delete(row["folder"])
         return counts.groupBy(*self.key).agg(F.sum("deleted").alias("deleted"))
 
+    def replace(self, rows: DataFrame, series: DataFrame) -> None:
+        """The rows of ``series`` (key columns) become ``rows``: their months are overwritten, and months that they no longer have go."""
+        places = written(rows.select(*self.key, month(F.col(self.time)).alias(MONTH)).distinct(), "places")
+        whole = self._all()
+        stale: list[str] = []
+        if whole.inputFiles():
+            folders = whole.select(*self.place, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")).distinct()
+            own = F.lit(True)
+            for k in self.key:
+                own = own & folders[k].eqNullSafe(series[k])
+            old = folders.join(series, own, "left_semi")
+            stale = [r["folder"] for r in old.join(places, self._same(old, places), "left_anti").select("folder").toLocalIterator()]  # folder names
+        self.write(rows)
+        for folder in stale:
+            self._delete(folder)
+
     def purge_series(self, **key: str) -> DataFrame:
         """Delete whole series, such as all of a timeframe; rows deleted per series."""
         gone = F.lit(True)
@@ -213,13 +229,13 @@ class Store:
 
     def upsert(self, batch: DataFrame, seq: str | None = None) -> None:
         own = batch.drop(*(set(batch.columns) - {*self.columns, seq}))
-        self._merge(own, lambda old, new: overwrite(old, new, [*self.key, self.time], seq))
+        self._merge(own, lambda old, new: overwrite(old, new, self.pk, seq))
 
     def upsert_changed(self, batch: DataFrame, values: list[str], optional: list[str], stamp: str, now: Column, seq: str | None = None) -> None:
-        self._merge(batch, lambda old, new: change_detecting(old, new, [*self.key, self.time], values, optional, stamp, now, seq))
+        self._merge(batch, lambda old, new: change_detecting(old, new, self.pk, values, optional, stamp, now, seq))
 
     def upsert_coalescing(self, batch: DataFrame, replaced: list[str], kept: list[str], seq: str | None = None) -> None:
-        self._merge(batch, lambda old, new: coalescing(old, new, [*self.key, self.time], replaced, kept, seq))
+        self._merge(batch, lambda old, new: coalescing(old, new, self.pk, replaced, kept, seq))
 
 
 def latest_events(df: DataFrame, pk: list[str], at: str) -> DataFrame:

@@ -108,3 +108,41 @@ def _(spark, d):
     dropped = ["close", "dist_support_pct", "dist_resistance_pct", *[f"dist_{fib_column(r)}_pct" for r in RETRACEMENTS if r != 0.618]]
     out = scanned.drop(*dropped)
     return out.select(*[F.round(c, 6).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in out.dtypes])
+
+
+@register("src04_indicator_update", ORACLE["src04_bar_features"])
+def _(spark, d):
+    """The indicator store filled with the first half of the bars and carried on with the rest; its features scanned by key and time."""
+    from tidebar.operators.indicators import IndicatorStore
+    from tidebar.scratch import scratch_path, written
+
+    b = written(_prep(spark, d)[0], "bars")
+    store = IndicatorStore(spark, scratch_path(spark, "indicators"), _K)
+    store.replace(b.where(F.col("ts_ms") < 1_705_276_800_000))
+    store.update(b)
+    exact = {"last_sh_price", "last_sl_price", "nearest_support", "nearest_resistance"}
+    out = store.scan("bar_features", 0, 1 << 41).drop("close", "dist_support_pct", "dist_resistance_pct", *[f"dist_{fib_column(r)}_pct" for r in RETRACEMENTS if r != 0.618])
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in out.dtypes])
+
+
+_SIX = "symbol < 'm' AND seq % 2 = 0 AND ts_ms < 1705276800000 OR symbol >= 'm'"
+
+
+@register("snk04_indicator_tables", f"""WITH {_LG.replace(bars_sql(), bars_sql('1h', 'bars', _SIX))}, t AS (SELECT symbol, 'swings' AS name, count(*) AS n, min(confirm_ts_ms) AS from_ms, max(confirm_ts_ms) AS to_ms FROM swings GROUP BY symbol UNION ALL SELECT symbol, 'structure_events', count(*), min(confirm_ts_ms), max(confirm_ts_ms) FROM events_ GROUP BY symbol
+ UNION ALL SELECT symbol, 'levels', count(*), min(confirm_ts_ms), max(confirm_ts_ms) FROM swings GROUP BY symbol UNION ALL SELECT symbol, 'legs', count(*), min(known_ts_ms), max(known_ts_ms) FROM legs GROUP BY symbol
+ UNION ALL SELECT symbol, 'bar_features', count(*), min(ts_ms), max(ts_ms) FROM bars GROUP BY symbol UNION ALL SELECT symbol, 'series', 1, min(ts_ms), min(ts_ms) FROM bars GROUP BY symbol) SELECT * FROM t""")
+def _(spark, d):
+    """Six tables of all series, then replaced for some of them by a run over half the time and every other event: what each table holds."""
+    from tidebar.operators.indicators import IndicatorStore
+    from tidebar.plans.views import tick_bars, ticks
+    from tidebar.scratch import scratch_path
+
+    t = ticks(spark, d)
+    store = IndicatorStore(spark, scratch_path(spark, "indicators"), _K)
+    store.replace(tick_bars(t, "1h"))
+    store.replace(tick_bars(t.where("symbol < 'm' AND seq % 2 = 0 AND ts_ms < 1705276800000"), "1h"))
+    out = None
+    for name, table in store.tables.items():
+        part = table.read().groupBy("symbol").agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min(table.time).alias("from_ms"), F.max(table.time).alias("to_ms"))
+        out = part if out is None else out.unionByName(part)
+    return out
