@@ -17,6 +17,13 @@ def normalize_symbol(text: Column, keep_underscore: bool = False) -> Column:
     return F.regexp_replace(F.upper(F.trim(F.coalesce(text, F.lit("")))), "[/\\-]" if keep_underscore else "[/\\-_]", "")
 
 
+def normalize_side(text: Column) -> Column:
+    """Buy or Sell by the first letter, long and short, 1 and -1 too; other text as it stands, null empty."""
+    plain = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    buy, sell = plain.isin("long", "1") | plain.startswith("b"), plain.isin("short", "-1") | plain.startswith("s")
+    return F.when(buy, "Buy").when(sell, "Sell").otherwise(F.coalesce(text, F.lit("")))
+
+
 def epoch_ms(text: Column) -> Column:
     """Date, ISO time, with Z or offset or none (UTC), to milliseconds; null if it is no time."""
     plain = F.regexp_replace(F.trim(text), "Z$", "+00:00")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators.asof import asof_join, interval_join
+from tidebar.operators.scan import block_scan
 
 
 def index_bars(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,11 +86,14 @@ def funding(holdings: DataFrame, settlements: DataFrame, bars: DataFrame, width:
     return j.withColumn("charge", -F.col("side") * F.abs("qty") * F.col("mark") * F.col("rate"))
 
 
-def mark_equity(trades: DataFrame, bars: DataFrame, width: int, start: float = 0.0) -> DataFrame:
-    """Per symbol and bar: realised result so far, open result at the close, and their sum."""
+def mark_equity(trades: DataFrame, bars: DataFrame, width: int, start: float = 0.0, block_ms: int | None = None) -> DataFrame:
+    """Per symbol and bar: realised result so far, open result at the close, and their sum. With ``block_ms`` in blocks of time."""
     real = trades.groupBy("symbol", "exit_ts_ms").agg(F.sum("pnl").alias("p"))
-    real = real.withColumn("realised", F.sum("p").over(Window.partitionBy("symbol").orderBy("exit_ts_ms").rowsBetween(Window.unboundedPreceding, 0)))
-    b = asof_join(bars.select("symbol", "ts_ms", "close"), real, ["symbol"], "ts_ms", "exit_ts_ms", ["realised"])
+    if block_ms:
+        real = block_scan(real, ["symbol"], "exit_ts_ms", [], block_ms, {"realised": ("sum", F.col("p"))})
+    else:
+        real = real.withColumn("realised", F.sum("p").over(Window.partitionBy("symbol").orderBy("exit_ts_ms").rowsBetween(Window.unboundedPreceding, 0)))
+    b = asof_join(bars.select("symbol", "ts_ms", "close"), real, ["symbol"], "ts_ms", "exit_ts_ms", ["realised"], block_ms=block_ms)
     open_ = interval_join(bars.select("symbol", "ts_ms", "close"), trades.select("symbol", "side", "qty", "entry_price", "entry_ts_ms", "exit_ts_ms"), ["symbol"], "ts_ms", "entry_ts_ms", "exit_ts_ms", width)
     live: Column = F.sum(F.col("side") * (F.col("close") - F.col("entry_price")) * F.col("qty"))
     u = open_.groupBy("symbol", "ts_ms").agg(live.alias("unrealised"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.operators.scan import block_scan
 from tidebar.schemas import BAR_VALUES, BARS, KEY, conform
 from tidebar.timeframes import MONDAY_MS, STEP_MS, bucket, step_ms
 
@@ -163,10 +164,13 @@ def ingest_plan(df: DataFrame, now_ms: Column, wanted_from_ms: Column, late_ms:
     return out.select(*KEY, action.alias("action"), start.cast("long").alias("start_ms"))
 
 
-def gaps(df: DataFrame, step: int, keys: list[str] = KEY) -> DataFrame:
-    """Missing ranges (start_ms, end_ms, missing) with the bars at their edges (before_ms, after_ms)."""
-    nxt = F.lead("ts_ms").over(Window.partitionBy(*keys).orderBy("ts_ms"))
-    out = df.select(*keys, "ts_ms", nxt.alias("next")).where(F.col("next") - F.col("ts_ms") > step)
+def gaps(df: DataFrame, step: int, keys: list[str] = KEY, block_ms: int | None = None) -> DataFrame:
+    """Missing ranges (start_ms, end_ms, missing) with the bars at their edges (before_ms, after_ms). With ``block_ms`` in blocks of time."""
+    if block_ms:
+        out = block_scan(df.select(*keys, "ts_ms"), keys, "ts_ms", [], block_ms, {"next": ("lead", F.col("ts_ms"))})
+    else:
+        out = df.select(*keys, "ts_ms", F.lead("ts_ms").over(Window.partitionBy(*keys).orderBy("ts_ms")).alias("next"))
+    out = out.where(F.col("next") - F.col("ts_ms") > step)
     return out.select(
         *keys, F.col("ts_ms").alias("before_ms"), F.col("next").alias("after_ms"),
         (F.col("ts_ms") + step).alias("start_ms"), (F.col("next") - step).alias("end_ms"), ((F.col("next") - F.col("ts_ms")) / step - 1).cast("long").alias("missing"),

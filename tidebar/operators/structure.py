@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import RATIOS, RETRACEMENTS, fib_column, fib_price, nearest_ratio, retracement
 from tidebar.operators.asof import asof_join, prefix_nearest
+from tidebar.operators.scan import block_scan
 from tidebar.schemas import KEY
 from tidebar.scratch import written
 
@@ -29,15 +30,25 @@ def swings(bars: DataFrame, left: int = 2, right: int = 2, keys: list[str] = KEY
     return rows.withColumn("swing_id", number)
 
 
-def label_events(found: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Each swing's label against the last of its kind (HH, LH, HL, LL, first SH or SL) and the bias after it, with the sum that it is the sign of."""
-    prev = Window.partitionBy(*keys, "kind").orderBy("swing_id")
-    last, last_id = F.lag("price").over(prev), F.lag("swing_id").over(prev)
+def label_events(found: DataFrame, keys: list[str] = KEY, block_ms: int | None = None) -> DataFrame:
+    """Each swing's label against the last of its kind (HH, LH, HL, LL, first SH or SL) and the bias after it, with the sum that it is the sign of.
+
+    With ``block_ms`` in blocks of the time from which swings are known.
+    """
+    before = {"_last": F.col("price"), "prev_swing_id": F.col("swing_id")}
+    if block_ms:
+        e = block_scan(found, [*keys, "kind"], "confirm_ts_ms", ["swing_id"], block_ms, {n: ("lag", c) for n, c in before.items()})
+    else:
+        e = found.withColumns({n: F.lag(c).over(Window.partitionBy(*keys, "kind").orderBy("swing_id")) for n, c in before.items()})
+    last = F.col("_last")
     label = F.when(F.col("kind") == "high", F.when(last.isNull(), "SH").when(F.col("price") > last, "HH").otherwise("LH")).otherwise(F.when(last.isNull(), "SL").when(F.col("price") > last, "HL").otherwise("LL"))
-    out = found.select(*keys, "swing_id", "kind", "price", "pivot_i", "pivot_ts_ms", "confirm_ts_ms", label.alias("label"), last_id.alias("prev_swing_id"))
+    out = e.select(*keys, "swing_id", "kind", "price", "pivot_i", "pivot_ts_ms", "confirm_ts_ms", label.alias("label"), "prev_swing_id")
     step = F.when(F.col("label").isin("HH", "HL"), 1).when(F.col("label").isin("LH", "LL"), -1).otherwise(0)
-    upto = Window.partitionBy(*keys).orderBy("swing_id").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("bias_sum", F.sum(step).over(upto).cast("long")).withColumn("bias", F.signum("bias_sum").cast("int"))
+    if block_ms:
+        out = block_scan(out, keys, "confirm_ts_ms", ["swing_id"], block_ms, {"bias_sum": ("sum", step)})
+    else:
+        out = out.withColumn("bias_sum", F.sum(step).over(Window.partitionBy(*keys).orderBy("swing_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return out.withColumn("bias_sum", F.col("bias_sum").cast("long")).withColumn("bias", F.signum("bias_sum").cast("int"))
 
 
 def legs(events: DataFrame, keys: list[str] = KEY) -> DataFrame:

@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators.asof import asof_join
+from tidebar.operators.scan import block_scan, global_rank
+from tidebar.scratch import written
 
 INF = float("inf")
 DAY = 86_400_000
 
 
-def equity_curve(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl") -> DataFrame:
-    """Running realised sum per key."""
+def equity_curve(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl", block_ms: int | None = None) -> DataFrame:
+    """Running realised sum per key. With ``block_ms`` in blocks of the first order column's time."""
+    if block_ms:
+        return block_scan(df, keys, order[0], order[1:], block_ms, {"equity": ("sum", F.col(pnl))})
     return df.withColumn("equity", F.sum(pnl).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -34,15 +38,25 @@ def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
 
 
-def drawdown(df: DataFrame, keys: list[str], order: list[str], equity: str = "equity") -> DataFrame:
-    """Per key: largest drop, largest share of the peak, longest run under water, and the means of the runs."""
+def drawdown(df: DataFrame, keys: list[str], order: list[str], equity: str = "equity", block_ms: int | None = None) -> DataFrame:
+    """Per key: largest drop, largest share of the peak, longest run under water, and the means of the runs.
+
+    With ``block_ms`` peaks and runs are found in blocks of the first order column's time.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    e = df.where(F.col(equity).isNotNull() & ~F.isnan(equity) & (F.abs(equity) < INF)).withColumn("_peak", F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("_drop", F.col("_peak") - F.col(equity)).withColumn("_frac", F.when(F.col("_peak") > 0, (F.col("_peak") - F.col(equity)) / F.col("_peak")).otherwise(0.0))
-    e = e.withColumn("_abs", (F.col(equity) < F.col("_peak") - 1e-12).cast("int")).withColumn("_rel", (F.col("_frac") > 1e-12).cast("int"))
-    n = F.row_number().over(w)
-    e = e.withColumn("_ga", n - F.sum("_abs").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_gr", n - F.sum("_rel").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    e = df.where(F.col(equity).isNotNull() & ~F.isnan(equity) & (F.abs(equity) < INF)).select(*keys, *order, F.col(equity).alias("_e"))
+    if block_ms:
+        e = written(e, "equity")  # three passes read it
+    scan = lambda d, scans: block_scan(d, keys, order[0], order[1:], block_ms, scans)
+    e = scan(e, {"_peak": ("max", F.col("_e"))}) if block_ms else e.withColumn("_peak", F.max("_e").over(upto))
+    e = e.withColumn("_drop", F.col("_peak") - F.col("_e")).withColumn("_frac", F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("_e")) / F.col("_peak")).otherwise(0.0))
+    e = e.withColumn("_abs", (F.col("_e") < F.col("_peak") - 1e-12).cast("int")).withColumn("_rel", (F.col("_frac") > 1e-12).cast("int"))
     # rows of one run share the number of rows above water before them
+    above = {"_ga": 1 - F.col("_abs"), "_gr": 1 - F.col("_rel")}
+    e = scan(e, {n: ("sum", c) for n, c in above.items()}) if block_ms else e.withColumns({n: F.sum(c).over(upto) for n, c in above.items()})
+    if block_ms:
+        e = written(e.select(*keys, "_drop", "_frac", "_abs", "_rel", "_ga", "_gr"), "drops")  # three aggregates read it
     longest = e.where("_abs = 1").groupBy(*keys, "_ga").count().groupBy(*keys).agg(F.max("count").alias("duration"))
     runs = e.where("_rel = 1").groupBy(*keys, "_gr").count().groupBy(*keys).agg(F.avg("count").alias("avg_length"))
     top = e.groupBy(*keys).agg(F.max("_drop").alias("magnitude"), F.max("_frac").alias("fraction"), F.coalesce(F.avg(F.when(F.col("_rel") == 1, F.col("_frac"))), F.lit(0.0)).alias("avg_fraction"))
@@ -50,11 +64,16 @@ def drawdown(df: DataFrame, keys: list[str], order: list[str], equity: str = "eq
     return out.withColumn("duration", F.coalesce("duration", F.lit(0)).cast("long")).withColumn("avg_length", F.coalesce("avg_length", F.lit(0.0)))
 
 
-def streaks(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl") -> DataFrame:
-    """Longest runs of wins and of losses; a zero ends both."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    s = df.withColumn("_s", F.signum(pnl))
-    s = s.withColumn("_g", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order)))
+def streaks(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl", block_ms: int | None = None) -> DataFrame:
+    """Longest runs of wins and of losses; a zero or a null ends both. With ``block_ms`` in blocks of the first order column's time."""
+    s = df.select(*keys, *order, F.signum(pnl).alias("_s"))
+    if block_ms:
+        s = block_scan(s, keys, order[0], order[1:], block_ms, {"_before": ("lag", F.col("_s"))})
+        s = s.withColumn("_new", (~F.col("_s").eqNullSafe(F.col("_before"))).cast("int"))
+        s = block_scan(s, keys, order[0], order[1:], block_ms, {"_g": ("sum", F.col("_new"))})
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        s = s.withColumn("_g", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order)))
     runs = s.groupBy(*keys, "_s", "_g").count()
     pick = lambda v: F.coalesce(F.max(F.when(F.col("_s") == v, F.col("count"))), F.lit(0)).cast("long")
     return runs.groupBy(*keys).agg(pick(1).alias("wins"), pick(-1).alias("losses"))
@@ -185,7 +204,7 @@ def ranked(df: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     pf = F.col("profit_factor")
     tier = F.when(pf.isNull() | F.isnan(pf), 3).when(pf == INF, F.when(F.col("n_trades") >= least, 0).otherwise(2)).otherwise(1)
     value = F.when(tier == 1, -pf).otherwise(0.0)
-    return df.withColumn("place", F.row_number().over(Window.orderBy(tier, value, F.desc("n_trades"), F.desc("realized_pnl"), *keys)))
+    return global_rank(df, [tier, value, F.desc("n_trades"), F.desc("realized_pnl"), *[F.col(k) for k in keys]])
 
 
 def round_trips(df: DataFrame, keys: list[str], window_ms: int = 7 * DAY, rel: float = 1e-8, tie: str = "trade_id") -> DataFrame:

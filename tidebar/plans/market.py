@@ -153,7 +153,7 @@ def _(spark, d):
 @register("wn10_gaps", f"""WITH {bars_sql('15m')}, x AS (SELECT source, symbol, timeframe, ts_ms, lead(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms) AS nxt FROM bars)
 SELECT source, symbol, timeframe, ts_ms AS before_ms, nxt AS after_ms, ts_ms + 900000 AS start_ms, nxt - 900000 AS end_ms, (nxt - ts_ms) // 900000 - 1 AS missing FROM x WHERE nxt - ts_ms > 900000""")
 def _(spark, d):
-    return series.gaps(bars(spark, d, "15m"), 900_000)
+    return series.gaps(bars(spark, d, "15m"), 900_000, block_ms=7 * 86_400_000)
 
 
 _EVEN = more_bars("even", "1h", "seq % 2 = 0")

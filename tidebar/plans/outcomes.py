@@ -84,5 +84,5 @@ def _(spark, d):
  u AS (SELECT b.symbol, b.ts_ms, sum(side * (close - entry_price) * qty) AS unrealised FROM bars b JOIN h ON h.symbol = b.symbol AND b.ts_ms >= entry_ts_ms AND b.ts_ms < exit_ts_ms GROUP BY ALL)
 SELECT b.symbol, b.ts_ms, round(coalesce(r.realised, 0), 4) AS realised, round(coalesce(u.unrealised, 0), 4) AS unrealised FROM bars b ASOF LEFT JOIN r ON r.symbol = b.symbol AND b.ts_ms >= r.exit_ts_ms LEFT JOIN u ON u.symbol = b.symbol AND u.ts_ms = b.ts_ms""")
 def _(spark, d):
-    out = oc.mark_equity(_holdings(spark, d), bars(spark, d), 40 * H)
+    out = oc.mark_equity(_holdings(spark, d), bars(spark, d), 40 * H, block_ms=7 * 24 * H)
     return out.select("symbol", "ts_ms", F.round("realised", 4).alias("realised"), F.round("unrealised", 4).alias("unrealised"))

@@ -115,9 +115,40 @@ def _(spark, d):
     return soft_match(t.where("seq % 3 = 1").withColumnRenamed("seq", "trade_id").select("trade_id", "symbol", "ts_ms", "price"), t.where("seq % 3 = 0").withColumnRenamed("seq", "decide_id").select("decide_id", "symbol", "ts_ms", "price"), 0.02)
 
 
-@register("jn19_newest_decision", f"WITH {TICKS} SELECT symbol, seq % 2 AS side, max(ts_ms) AS bar_ts, arg_max(seq, ts_ms) AS decide_id FROM ticks GROUP BY ALL")
+@register("jn15_tolerance", f"""WITH {TICKS}, x AS (SELECT DISTINCT (ts_ms // 600000) AS slot, seq FROM ticks), l AS (SELECT slot * 600000 AS t, min(seq) AS id FROM x WHERE seq % 2 = 0 GROUP BY slot), r AS (SELECT slot * 600000 + CASE WHEN slot % 3 = 0 THEN 400000 ELSE 1000 * (slot % 7) END AS t, min(seq) AS id FROM x WHERE seq % 3 = 0 GROUP BY slot)
+SELECT l.id AS left_id, r.id AS right_id, CASE WHEN r.id IS NULL THEN 'only_left' WHEN l.id IS NULL THEN 'only_right' WHEN l.id <> r.id THEN 'qty' ELSE 'same' END AS outcome FROM l FULL JOIN r ON abs(l.t - r.t) <= 60000""")
 def _(spark, d):
-    return ticks(spark, d).groupBy("symbol", (F.col("seq") % 2).alias("side")).agg(F.max("ts_ms").alias("bar_ts"), F.max_by("seq", "ts_ms").alias("decide_id"))
+    """Two sides of one trade a slot of ten minutes, the right ones later by seconds, or by far more than the window in a third of the slots."""
+    from tidebar.operators.parity import diff_trades
+
+    t = ticks(spark, d).withColumn("slot", F.floor(F.col("ts_ms") / 600_000))
+    side = lambda m, at: t.where(F.col("seq") % m == 0).groupBy("slot").agg(F.min("seq").alias("trade_id")).select("trade_id", at.cast("long").alias("entry_ts_ms"), F.col("trade_id").cast("double").alias("qty"))
+    start = F.col("slot") * 600_000
+    late = F.when(F.col("slot") % 3 == 0, 400_000).otherwise(1000 * (F.col("slot") % 7))
+    return diff_trades(side(2, start), side(3, start + late), ["qty"], window_ms=60_000, block_ms=7 * 86_400_000)
+
+
+_DECIDED = """p AS (SELECT (l_orderkey * 10 + l_linenumber) * 10000000000 + l_partkey * 10000 + l_suppkey AS position_id, l_returnflag AS symbol, CASE WHEN l_linestatus = 'O' THEN 'Buy' WHEN l_linenumber = 7 THEN '' ELSE 'Sell' END AS side, l_quantity + CASE WHEN l_linenumber = 1 THEN 45 ELSE 0 END AS qty FROM lineitem WHERE l_linenumber IN (1, 4, 7)),
+ d AS (SELECT o_orderkey AS decide_id, CASE o_orderstatus WHEN 'O' THEN 'N' WHEN 'F' THEN 'R' ELSE '' END AS symbol, CASE WHEN o_orderpriority < '3' THEN 'Buy' ELSE 'Sell' END AS side, (o_custkey % 80)::DOUBLE AS qty, epoch_ms(o_orderdate) AS bar_ms FROM orders)"""
+
+
+@register("jn19_newest_decision", f"""WITH {_DECIDED}, ds AS (SELECT symbol, side, qty, max({{'b': bar_ms, 'i': -decide_id}}) AS best FROM d GROUP BY ALL), ps AS (SELECT DISTINCT symbol, side, qty FROM p),
+ found AS (SELECT ps.symbol, ps.side, ps.qty, max({{'b': best.b, 'l': -ds.qty, 'i': best.i}}) AS m FROM ps JOIN ds ON (ds.symbol = ps.symbol OR ds.symbol = '') AND (ds.side = ps.side OR ps.side = '') AND ps.qty <= ds.qty + greatest(1e-9, ds.qty * 1e-4) GROUP BY ALL)
+SELECT position_id, p.symbol, p.side, p.qty, -(found.m.i) AS decide_id, found.m.b AS bar_ms FROM p LEFT JOIN found ON found.symbol = p.symbol AND found.side = p.side AND found.qty = p.qty""")
+def _(spark, d):
+    """Line items are positions, orders decisions; some have no side or no symbol, and some positions are larger than any decision."""
+    from tidebar.functions.scalar import normalize_side, utc_ms
+    from tidebar.operators.parity import newest_decision
+
+    li, o = read(spark, d, "lineitem").where("l_linenumber IN (1, 4, 7)"), read(spark, d, "orders")
+    side = F.when(F.col("l_linestatus") == "O", "long").when(F.col("l_linenumber") == 7, "").otherwise("-1")
+    qty = F.col("l_quantity") + F.when(F.col("l_linenumber") == 1, 45).otherwise(0)
+    ident = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    p = li.select(ident.alias("position_id"), F.col("l_returnflag").alias("symbol"), normalize_side(side).alias("side"), qty.cast("double").alias("qty"))
+    symbol = F.when(F.col("o_orderstatus") == "O", "N").when(F.col("o_orderstatus") == "F", "R").otherwise("")
+    decided = normalize_side(F.when(F.col("o_orderpriority") < "3", "BUY ").otherwise("short"))
+    bar = utc_ms(F.col("o_orderdate"), dict(o.dtypes)["o_orderdate"] == "timestamp_ntz")
+    return newest_decision(p, o.select(F.col("o_orderkey").alias("decide_id"), symbol.alias("symbol"), decided.alias("side"), (F.col("o_custkey") % 80).cast("double").alias("qty"), bar.alias("bar_ms")))
 
 
 @register("jn17_key_join", f"""WITH {TICKS}, d AS (SELECT seq AS decide_id, [seq, seq + 1, seq + 2] AS ids, CASE WHEN seq % 2 = 0 THEN price END AS confidence FROM ticks WHERE seq % 2 = 0 OR seq % 5 = 0), e AS (SELECT unnest(ids) AS order_id, decide_id, confidence FROM d)

@@ -41,7 +41,7 @@ def _(spark, d):
 
 @register("wn02_wn03_labels", f"WITH {_EV} SELECT symbol, swing_id, label, prev_swing_id, bias, price, confirm_ts_ms FROM events_")
 def _(spark, d):
-    return st.label_events(_prep(spark, d)[1], _K).select("symbol", "swing_id", "label", "prev_swing_id", "bias", "price", "confirm_ts_ms")
+    return st.label_events(_prep(spark, d)[1], _K, 7 * 86_400_000).select("symbol", "swing_id", "label", "prev_swing_id", "bias", "price", "confirm_ts_ms")
 
 
 @register("wn04_wn05_legs", f"WITH {_LG} SELECT symbol, leg_id, direction, leg_kind, start_swing_id, end_swing_id, start_ts_ms, end_ts_ms, known_ts_ms, retrace_known_ms, round(length_abs, 6) AS length_abs, round(length_pct, 6) AS length_pct, round(retrace_pct, 6) AS retrace_pct, fib_label FROM legs")

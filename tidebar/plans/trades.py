@@ -17,9 +17,12 @@ _EQ = f"{TRADES}, eq AS (SELECT *, round(sum(pnl) OVER (PARTITION BY account ORD
 def _r(df, digits=4, skip=()):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
+#: Time of a block of running values: two years.
+BLOCK = 730 * 86_400_000
+
 
 def eq(spark, d):
-    return tr.equity_curve(trades(spark, d), A, ORDER).withColumn("equity", F.round("equity", 4))
+    return tr.equity_curve(trades(spark, d), A, ORDER, block_ms=BLOCK).withColumn("equity", F.round("equity", 4))
 
 
 @register("wn15_equity_curve", f"WITH {_EQ} SELECT account, trade_id, exit_ts_ms, round(equity, 4) AS equity FROM eq")
@@ -29,7 +32,7 @@ def _(spark, d):
 
 @register("wn15_equity_by_symbol", f"WITH {TRADES} SELECT account, symbol, trade_id, round(sum(pnl) OVER (PARTITION BY account, symbol ORDER BY {O} ROWS UNBOUNDED PRECEDING), 4) AS equity FROM trades")
 def _(spark, d):
-    return tr.equity_curve(trades(spark, d), ["account", "symbol"], ORDER).select("account", "symbol", "trade_id", F.round("equity", 4).alias("equity"))
+    return tr.equity_curve(trades(spark, d), ["account", "symbol"], ORDER, block_ms=BLOCK).select("account", "symbol", "trade_id", F.round("equity", 4).alias("equity"))
 
 
 _DD = f"""{_EQ}, p AS (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY {O} ROWS UNBOUNDED PRECEDING) AS peak, row_number() OVER (PARTITION BY account ORDER BY {O}) AS i FROM eq),
@@ -40,7 +43,7 @@ _DD = f"""{_EQ}, p AS (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY
 
 @register("wn11_wn12_drawdown", f"WITH {_DD} SELECT q.account, round(max(dr), 4) AS magnitude, round(max(fr), 4) AS fraction, round(coalesce(avg(fr) FILTER (WHERE fr > 1e-12), 0), 4) AS avg_fraction, coalesce(max(duration), 0) AS duration, round(coalesce(max(avg_length), 0), 4) AS avg_length FROM q LEFT JOIN la ON q.account = la.account LEFT JOIN lr ON q.account = lr.account GROUP BY q.account")
 def _(spark, d):
-    return _r(tr.drawdown(eq(spark, d).withColumn("equity", F.col("equity")), A, ORDER))
+    return _r(tr.drawdown(eq(spark, d), A, ORDER, block_ms=BLOCK))
 
 
 _STREAK = f"{TRADES}, s AS (SELECT account, sign(pnl) AS s, row_number() OVER (PARTITION BY account ORDER BY {O}) - row_number() OVER (PARTITION BY account, sign(pnl) ORDER BY {O}) AS g FROM trades), n AS (SELECT account, s, g, count(*) AS n FROM s GROUP BY ALL)"
@@ -48,7 +51,7 @@ _STREAK = f"{TRADES}, s AS (SELECT account, sign(pnl) AS s, row_number() OVER (P
 
 @register("wn13_streaks", f"WITH {_STREAK} SELECT account, coalesce(max(n) FILTER (WHERE s = 1), 0) AS wins, coalesce(max(n) FILTER (WHERE s = -1), 0) AS losses FROM n GROUP BY account")
 def _(spark, d):
-    return tr.streaks(trades(spark, d), A, ORDER)
+    return tr.streaks(trades(spark, d), A, ORDER, block_ms=BLOCK)
 
 
 _START = 100_000.0
