@@ -96,6 +96,27 @@ def test_only_saved_runs_are_replaced(spark, tmp_path):
         ru.stored(spark, root, "other", keys)
 
 
+def test_runs_are_ranges_of_rows_in_few_folders(spark, tmp_path):
+    root, n = f"file://{tmp_path}/many", 300
+    runs = spark.range(n).select((F.col("id") % 7).alias("strategy_id"), F.col("id").alias("run_id"), F.lit(1.0).alias("starting_equity"))
+    trades = runs.select("strategy_id", "run_id", F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("trade_id"), F.lit(2.0).alias("pnl"))
+    curve = runs.select("strategy_id", "run_id", F.lit(1.0).alias("equity"))
+    bars = spark.createDataFrame([("X", 1, 1.0)], "symbol string, ts_ms long, close double")
+    ru.save_runs(root, runs, trades, curve, bars, buckets=8)
+    assert len(list((tmp_path / "many/trades").glob("bucket_=*"))) == 8
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "many/trades").rglob("*.parquet")}
+    ru.save_runs(root, runs.where("run_id = 5"), trades.where("run_id = 5 AND trade_id = 1"), curve.where("false"), bars, buckets=8)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "many/trades").rglob("*.parquet")}
+    assert len({p.parent for p in set(before) ^ set(after)}) == 1
+    schema = "strategy_id long, run_id long, trade_id long, pnl double"
+    own = ru.one_run(spark, root, "trades", schema, 5, 5, buckets=8)
+    assert own.count() == 1 and ru.stored(spark, root, "trades", schema).count() == 2 * n - 1
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "bucket_" in plan[plan.index("PartitionFilters:") :].split("PushedFilters")[0] and "EqualTo(run_id,5)" in plan
+    assert ru.stored(spark, root, "equity", "strategy_id long, run_id long, equity double").count() == n - 1
+    assert ru.stored(spark, root, "bars", "symbol string, ts_ms long, close double").count() == 1
+
+
 def test_reports_hold_infinities_as_text(spark, tmp_path):
     root = f"file://{tmp_path}/reports"
     m = spark.createDataFrame([(1, 1, float("inf")), (1, 2, float("nan")), (1, 3, 1.5)], "strategy_id long, run_id long, pf double")

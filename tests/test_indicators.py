@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import structure as st
 from tidebar.operators.indicators import IndicatorStore
 
+pytestmark = pytest.mark.usefixtures("small_plans")
 HOUR, DAY = 3_600_000, 86_400_000
 KEYS = ["symbol"]
 
@@ -27,7 +28,7 @@ def rows_of(store, name):
 
 
 @pytest.fixture(scope="module")
-def whole(spark, tmp_path_factory):
+def whole(spark, small_plans, tmp_path_factory):
     at = tmp_path_factory.mktemp("indicators")
     store = IndicatorStore(spark, f"file://{at}/whole", KEYS)
     store.replace(walk(spark))

@@ -1,34 +1,69 @@
-"""Stored runs: tables partitioned by strategy and run, a catalog of summaries, and report folders.
+"""Stored runs: tables in hashed buckets sorted by run, a catalog of summaries, and report folders.
 
-A writer spreads a run's rows by a rebalance, which adaptive execution splits where one run holds much of the
-input, so neither a run's size nor the number of runs decides what one task writes.
+A run is a range of rows in its bucket's files, not a folder, so that files grow with the data and not with the
+number of runs. Bars are kept once by symbol; runs say which symbol they used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.scratch import written
+
 KEY = ["strategy_id", "run_id"]
-#: Folders of a run store.
-TABLES = ("runs", "trades", "equity", "bars")
+#: Tables of a run store that are kept by run.
+TABLES = ("runs", "trades", "equity")
+#: Folders of a table, and the column that names them.
+BUCKETS, BUCKET = 64, "bucket_"
+
+
+def bucket_of(strategy: Column, run: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(strategy.cast("long"), run.cast("long")), F.lit(buckets)).cast("int")
 
 
-def save_runs(root: str, runs: DataFrame, trades: DataFrame, equity: DataFrame, bars: DataFrame) -> None:
-    """Writes four tables under ``root``; only the strategies and runs that a table holds are replaced in it.
+def save_runs(root: str, runs: DataFrame, trades: DataFrame, equity: DataFrame, bars: DataFrame, buckets: int = BUCKETS) -> None:
+    """Writes the tables under ``root``: runs, trades and equity carry strategy_id and run_id, bars a symbol.
 
-    All carry strategy_id and run_id, in folders of which a scan for one run reads one.
+    What a run had in a table is replaced by the batch's rows of it; other runs of its bucket are written again, other buckets stay.
+    A bucket's rows are spread by a rebalance, which adaptive execution splits where one run holds much of the input.
+    A store keeps its number of buckets. Bars of the batch's symbols are replaced, of others kept.
     """
-    for name, df in zip(TABLES, (runs, trades, equity, bars), strict=True):
-        out = df.hint("rebalance", *KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        out.partitionBy(*KEY).parquet(f"{root}/{name}")
+    spark = runs.sparkSession
+    saved = written(runs.select(*KEY).distinct(), "saved-runs")
+    for name, df in zip(TABLES, (runs, trades, equity), strict=True):
+        out = df.withColumn(BUCKET, bucket_of(F.col("strategy_id"), F.col("run_id"), buckets))
+        if _exists(spark, f"{root}/{name}"):
+            out = written(out, "run-batch")
+            touched = [r[0] for r in saved.select(bucket_of(F.col("strategy_id"), F.col("run_id"), buckets)).distinct().collect()]  # at most ``buckets``
+            old = spark.read.schema(out.schema).parquet(f"{root}/{name}").where(F.col(BUCKET).isin(touched))
+            out = written(old.join(saved, KEY, "left_anti").unionByName(out), "run-buckets")
+        order = [BUCKET, *KEY]
+        _overwrite(out.hint("rebalance", BUCKET).sortWithinPartitions(*order), f"{root}/{name}", BUCKET)
+    _overwrite(bars.hint("rebalance", "symbol").sortWithinPartitions("symbol", "ts_ms"), f"{root}/bars", "symbol")
+
+
+def _overwrite(df: DataFrame, path: str, by: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """A table of the store, ``schema`` being that of its files and keys."""
-    if name not in TABLES:
+    """A table of the store, ``schema`` (DDL) being that of its rows."""
+    if name not in (*TABLES, "bars"):
         raise ValueError(f"no such table: {name}")
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+    by = "" if name == "bars" else f", {BUCKET} int"
+    return spark.read.schema(schema + by).parquet(f"{root}/{name}").drop(BUCKET)
+
+
+def one_run(spark: SparkSession, root: str, name: str, schema: str, strategy: int, run: int, buckets: int = BUCKETS) -> DataFrame:
+    """A run's rows of a table: one folder is listed, and files and row groups are skipped by the run's place in their order."""
+    rows = spark.read.schema(f"{schema}, {BUCKET} int").parquet(f"{root}/{name}")
+    return rows.where((F.col(BUCKET) == bucket_of(F.lit(strategy), F.lit(run), buckets)) & (F.col("strategy_id") == strategy) & (F.col("run_id") == run)).drop(BUCKET)
 
 
 def catalog(runs: DataFrame, trades: DataFrame, equity: DataFrame) -> DataFrame:
@@ -52,9 +87,11 @@ def listing(runs: DataFrame, strategy: int | None = None) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("newest_ms"), "run_id")
 
 
-def write_reports(root: str, trades: DataFrame, equity: DataFrame, metrics: DataFrame) -> None:
-    """Report folders by run: trades and equity as CSV with a header, metrics as JSON with infinities and NaN as texts."""
+def write_reports(root: str, trades: DataFrame, equity: DataFrame, metrics: DataFrame, strategy: DataFrame | None = None, meta: DataFrame | None = None) -> None:
+    """Report folders by run: trades and equity as CSV with a header; metrics, strategy and meta as JSON with infinities and NaN as texts."""
     for name, df in (("trades", trades), ("equity", equity)):
         df.hint("rebalance", *KEY).write.mode("overwrite").partitionBy(*KEY).option("header", True).csv(f"{root}/{name}")
-    safe = {c: F.when(F.isnan(c), None).when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise(F.col(c).cast("string")) for c, t in metrics.dtypes if t == "double"}
-    metrics.withColumns(safe).hint("rebalance", *KEY).write.mode("overwrite").partitionBy(*KEY).json(f"{root}/metrics")
+    for name, df in (("metrics", metrics), ("strategy", strategy), ("meta", meta)):
+        if df is not None:
+            safe = {c: F.when(F.isnan(c), None).when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise(F.col(c).cast("string")) for c, t in df.dtypes if t == "double"}
+            df.withColumns(safe).hint("rebalance", *KEY).write.mode("overwrite").partitionBy(*KEY).json(f"{root}/{name}")

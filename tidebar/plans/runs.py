@@ -16,10 +16,10 @@ from tidebar.sources import files
 _START = 1_000_000.0
 _KEYS = "strategy_id bigint, run_id bigint"
 _SCHEMAS = {
-    "runs": f"starting_equity double, {_KEYS}",
+    "runs": f"starting_equity double, symbol string, {_KEYS}",
     "trades": f"trade_id bigint, symbol string, side int, qty double, entry_price double, pnl double, entry_ts_ms bigint, exit_ts_ms bigint, {_KEYS}",
     "equity": f"trade_id bigint, ts_ms bigint, equity double, {_KEYS}",
-    "bars": f"symbol string, ts_ms bigint, open double, high double, low double, close double, volume double, {_KEYS}",
+    "bars": "symbol string, ts_ms bigint, open double, high double, low double, close double, volume double",
 }
 _EVERY = "SELECT s_suppkey % 5 AS strategy_id, s_suppkey AS run_id FROM supplier"
 
@@ -33,29 +33,28 @@ def _parts(spark, d):
     own = [f.split()[0] for f in _SCHEMAS["trades"].split(", ")[:-2]]
     eq = tr.equity_curve(t, ["account"], ["exit_ts_ms", "trade_id"])
     s = read(spark, d, "supplier").select(*_run_keys(F.col("s_suppkey")))
-    kinds = bars(spark, d, "1d").drop("source", "timeframe")
-    used = s.withColumn("symbol", F.when(F.col("run_id") % 2 == 0, "click").otherwise("view")).join(kinds, "symbol")
     return {
-        "runs": s.withColumn("starting_equity", F.lit(_START)),
+        "runs": s.select(F.lit(_START).alias("starting_equity"), F.when(F.col("run_id") % 2 == 0, "click").otherwise("view").alias("symbol"), *ru.KEY),
         "trades": t.select(*[F.col(c) for c in own], *_run_keys(F.col("account"))),
         "equity": eq.select("trade_id", F.col("exit_ts_ms").alias("ts_ms"), (F.round("equity", 4) + _START).alias("equity"), *_run_keys(F.col("account"))),
-        "bars": used,
+        "bars": bars(spark, d, "1d").drop("source", "timeframe"),
     }
 
 
 def _saved(spark, d):
     root, parts = scratch_path(spark, "runs"), _parts(spark, d)
-    ru.save_runs(root, *[parts[n] for n in ru.TABLES])
-    return {n: ru.stored(spark, root, n, _SCHEMAS[n]) for n in ru.TABLES}
+    ru.save_runs(root, *[parts[n] for n in ru.TABLES], parts["bars"])
+    return {n: ru.stored(spark, root, n, _SCHEMAS[n]) for n in (*ru.TABLES, "bars")}
 
 
 @register("snk11_run_tables", f"""WITH {TRADES}, {bars_sql('1d')}, r AS ({_EVERY})
 SELECT 'runs' AS kind, strategy_id, count(*) AS n, sum(run_id)::BIGINT AS check_sum FROM r GROUP BY 2 UNION ALL SELECT 'trades', account % 5, count(*), sum(account)::BIGINT FROM trades GROUP BY 2
 UNION ALL SELECT 'equity', account % 5, count(*), sum(account)::BIGINT FROM trades GROUP BY 2 UNION ALL SELECT 'bars', strategy_id, count(*), sum(run_id)::BIGINT FROM r JOIN bars ON symbol = CASE WHEN run_id % 2 = 0 THEN 'click' ELSE 'view' END GROUP BY 2""")
 def _(spark, d):
-    """Four tables written by strategy and run, and counted from what was stored."""
-    out = None
-    for name, t in _saved(spark, d).items():
+    """Tables by run, bars by symbol, counted from what was stored; a run's bars are found by its symbol."""
+    out, stored = None, _saved(spark, d)
+    stored["bars"] = stored["runs"].join(stored["bars"], "symbol")
+    for name, t in stored.items():
         part = t.groupBy("strategy_id").agg(F.lit(name).alias("kind"), F.count("*").alias("n"), F.sum("run_id").alias("check_sum"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -66,24 +65,29 @@ SELECT r.strategy_id, r.run_id, {_START}::DOUBLE AS starting_equity, coalesce(n_
 def _(spark, d):
     """The catalog of every stored run from its files, newest first."""
     t = _saved(spark, d)
-    out = ru.catalog(t["runs"], t["trades"], t["equity"])
+    out = ru.catalog(t["runs"].drop("symbol"), t["trades"], t["equity"])
     return ru.listing(out.withColumns({c: F.round(c, 4) for c in ("net", "ending_equity")}))
 
 
-@register("snk12_report_folders", f"""WITH {TRADES}, m AS (SELECT account, count(*) AS trade_rows, round(sum(pnl), 4) AS pnl, round(arg_max(entry_price, trade_id), 6) AS last_entry, sum(pnl) FILTER (WHERE pnl > 0) AS g, -sum(pnl) FILTER (WHERE pnl < 0) AS l FROM trades GROUP BY account)
-SELECT account AS run_id, trade_rows, pnl, last_entry, trade_rows AS equity_rows, round(pnl + {_START}::DOUBLE, 4) AS ending_equity, CASE WHEN coalesce(l, 0) > 0 THEN round(coalesce(g, 0) / l, 4) END AS profit_factor, coalesce(l, 0) = 0 AND coalesce(g, 0) > 0 AS unbounded FROM m""")
+@register("snk12_report_folders", f"""WITH {TRADES}, m AS (SELECT account, count(*) AS trade_rows, min(entry_ts_ms) AS first_ms, max(exit_ts_ms) AS last_ms, round(sum(pnl), 4) AS pnl, round(arg_max(entry_price, trade_id), 6) AS last_entry, sum(pnl) FILTER (WHERE pnl > 0) AS g, -sum(pnl) FILTER (WHERE pnl < 0) AS l FROM trades GROUP BY account)
+SELECT account AS run_id, account % 5 AS strategy_id, 's' || (account % 5) AS strategy, CASE WHEN account % 5 > 0 THEN round(100.0 / (account % 5), 6) ELSE NULL END AS risk, first_ms, last_ms, trade_rows, pnl, last_entry, trade_rows AS equity_rows, round(pnl + {_START}::DOUBLE, 4) AS ending_equity, CASE WHEN coalesce(l, 0) > 0 THEN round(coalesce(g, 0) / l, 4) END AS profit_factor, coalesce(l, 0) = 0 AND coalesce(g, 0) > 0 AS unbounded FROM m""")
 def _(spark, d):
-    """Every run's trades.csv, equity.csv and metrics.json, read back with their headers' names."""
+    """Every run's trades.csv, equity.csv, metrics.json, strategy.json and meta.json, read back with their names."""
     root, parts = scratch_path(spark, "reports"), _parts(spark, d)
     metrics = parts["trades"].groupBy(*ru.KEY).agg(F.count("*").alias("n_trades"), tr.profit_factor(F.col("pnl")).alias("profit_factor"))
-    ru.write_reports(root, parts["trades"], parts["equity"], metrics)
+    key = F.col("strategy_id")
+    strategy = parts["runs"].select(F.concat(F.lit("s"), key).alias("strategy"), F.when(key > 0, 100.0 / key).otherwise(float("inf")).alias("risk"), *ru.KEY)
+    meta = parts["trades"].groupBy(*ru.KEY).agg(F.min("entry_ts_ms").alias("first_ms"), F.max("exit_ts_ms").alias("last_ms"))
+    ru.write_reports(root, parts["trades"], parts["equity"], metrics, strategy, meta)
     csv = lambda n: spark.read.schema(_SCHEMAS[n]).option("header", True).option("enforceSchema", False).csv(f"{root}/{n}")
     t = csv("trades").groupBy("run_id").agg(F.count("*").alias("trade_rows"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.max_by("entry_price", "trade_id"), 6).alias("last_entry"))
     e = csv("equity").groupBy("run_id").agg(F.count("*").alias("equity_rows"), F.round(F.max_by("equity", F.struct("ts_ms", "trade_id")), 4).alias("ending_equity"))
     m = spark.read.schema(f"n_trades bigint, profit_factor string, {_KEYS}").json(f"{root}/metrics")
     pf = F.col("profit_factor")
     m = m.select("run_id", F.round(F.when(pf != "inf", pf).try_cast("double"), 4).alias("profit_factor"), F.coalesce(pf == "inf", F.lit(False)).alias("unbounded"))
-    return t.join(e, "run_id").join(m, "run_id")
+    told = spark.read.schema(f"strategy string, risk string, {_KEYS}").json(f"{root}/strategy").select("run_id", "strategy_id", "strategy", F.round(F.when(F.col("risk") != "inf", F.col("risk")).try_cast("double"), 6).alias("risk"))
+    span = spark.read.schema(f"first_ms bigint, last_ms bigint, {_KEYS}").json(f"{root}/meta").select("run_id", "first_ms", "last_ms")
+    return t.join(e, "run_id").join(m, "run_id").join(told, "run_id").join(span, "run_id")
 
 
 _OHLCV = "open, high, low, close, volume"
