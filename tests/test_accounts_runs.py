@@ -99,7 +99,7 @@ def test_only_saved_runs_are_replaced(spark, tmp_path):
 def test_runs_are_ranges_of_rows_in_few_folders(spark, tmp_path):
     root, n = f"file://{tmp_path}/many", 300
     runs = spark.range(n).select((F.col("id") % 7).alias("strategy_id"), F.col("id").alias("run_id"), F.lit(1.0).alias("starting_equity"))
-    trades = runs.select("strategy_id", "run_id", F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("trade_id"), F.lit(2.0).alias("pnl"))
+    trades = runs.select("strategy_id", "run_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("trade_id"), F.lit(2.0).alias("pnl"))
     curve = runs.select("strategy_id", "run_id", F.lit(1.0).alias("equity"))
     bars = spark.createDataFrame([("X", 1, 1.0)], "symbol string, ts_ms long, close double")
     ru.save_runs(root, runs, trades, curve, bars, buckets=8)
