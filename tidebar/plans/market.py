@@ -305,7 +305,6 @@ def _(spark, d):
     return ticks(spark, d).select("seq", S.clock_skew(F.lit(_MID), F.col("ts_ms"), F.lit(_MID + 86_400_000)).alias("skew"))
 
 
-_USERS = f"{TICKS}, e AS (SELECT symbol, ts_ms, seq, price FROM ticks WHERE user_id % 7 = 0)"
 
 
 @register("jn01_asof_backward", f"""WITH {bars_sql()}, e AS (SELECT symbol, ts_ms, last(price ORDER BY seq) AS price, max(seq) AS eseq FROM ticks GROUP BY ALL)
