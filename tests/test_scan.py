@@ -77,3 +77,10 @@ def test_newest_decision_equals_a_loop(spark):
         want.add((i, min(fits)[2] if fits else None))
     assert got == want
     assert len({d for _, d in got}) > 5
+
+
+def test_a_null_key_and_a_null_time_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1, 1), (None, 1, 2), (None, 50, 3), ("a", None, 4), ("a", 99, 5)], "k string, t long, v int")
+    got = block_scan(df, ["k"], "t", ["v"], 10, {"total": ("sum", F.col("v")), "prev": ("lag", F.col("v"))})
+    assert sorted(map(tuple, got.where("k IS NULL").collect())) == [(None, 1, 2, 2, None), (None, 50, 3, 5, 2)]
+    assert got.count() == 5

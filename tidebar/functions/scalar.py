@@ -108,6 +108,26 @@ def show_percent(v: Column, digits: int = 2, signed: bool = False) -> Column:
     return F.when(v.isNull() | F.isnan(v), "—").otherwise(F.format_string(f"%{'+' if signed else ''}.{digits}f%%", v))
 
 
+def show_number(v: Column, digits: int = 4) -> Column:
+    """Plain number: a dash for null, inf and -inf and nan by name."""
+    return F.when(v.isNull(), "-").when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).otherwise(F.format_string(f"%.{digits}f", v))
+
+
+def symbols_in_text(text: Column, quote: str = "USDT") -> Column:
+    """Distinct upper-cased tokens of letters and digits that end in ``quote``, in the order of their first mention."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i)([A-Za-z0-9]+{quote})"), F.lit(1)), F.upper))
+
+
+def flag_values(text: Column, flag: str) -> Column:
+    """Values of ``--flag value`` and ``--flag=value``, in order."""
+    return F.regexp_extract_all(text, F.lit(rf"(?i)--{flag}(?:\s+|=)(\S+)"), F.lit(1))
+
+
+def symbols_of_flags(text: Column, flag: str = "symbol") -> Column:
+    """Distinct normalised symbols of the flag; empty ones are left out."""
+    return F.array_distinct(F.filter(F.transform(flag_values(text, flag), lambda s: normalize_symbol(s)), lambda s: s != ""))
+
+
 def show_utc(ts_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ts_ms), "yyyy-MM-dd HH:mm")
 

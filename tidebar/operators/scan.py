@@ -50,7 +50,11 @@ def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block
     for n, (kind, _) in scans.items():
         v = F.col(f"_v_{n}")
         own[f"_v_{n}"] = _KINDS[kind][0](v).over(upto) if kind in _KINDS else F.last(v, ignorenulls=True).over(upto) if kind == "last" else F.lag(v).over(within) if kind == "lag" else F.lead(v).over(within)
-    found = rows.withColumns(own).join(blocks, block) if keys else rows.withColumns(own).join(blocks, "_block")
+    known = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in block], *carry)
+    same = F.lit(True)
+    for k in block:  # a null key is a series too, and a row without time has a block
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    found = rows.withColumns(own).join(known, same)
     out = {}
     for n, (kind, _) in scans.items():
         v, c = F.col(f"_v_{n}"), F.col(f"_c_{n}")

@@ -188,6 +188,28 @@ def repair_gaps(df: DataFrame, candidates: DataFrame, step: int, tolerance: floa
     return candidates.join(wanted, [*KEY, "ts_ms"], "left_semi")
 
 
+def ordered_union(parts: list[DataFrame], keys: list[str], place: str) -> DataFrame:
+    """Rows of all parts once a key, with ``part`` and ``place`` of the first mention, which order them.
+
+    ``place``: the column that orders a part's rows. A key counts where an earlier part has it first.
+    """
+    both = parts[0].withColumn("part", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        both = both.unionByName(p.withColumn("part", F.lit(i)))
+    first = both.groupBy(*keys).agg(F.min(F.struct("part", F.col(place).alias("place"))).alias("x"))
+    return first.select(*keys, "x.part", "x.place")
+
+
+def export_coverage(df: DataFrame, path: str) -> DataFrame:
+    """Coverage of every series as one CSV file with a header, in the order of the key; returns what is in it.
+
+    A row a series, so one task writes it.
+    """
+    out = coverage(df)
+    out.repartition(1).sortWithinPartitions(*KEY).write.mode("overwrite").option("header", True).csv(path)
+    return df.sparkSession.read.schema(out.schema).option("header", True).csv(path)
+
+
 def daily_last(df: DataFrame, value: str = "close") -> DataFrame:
     """One bar a UTC day of the last non-null value, as open, high, low and close."""
     day = bucket(F.col("ts_ms"), STEP_MS["1d"])

@@ -72,6 +72,21 @@ def flags(log: DataFrame, key: list[str]) -> DataFrame:
     return log.groupBy(*key).agg(F.max_by(F.struct("action", "reason"), "seq").alias("x")).where("x.action = 'set'").select(*key, "x.reason")
 
 
+def listed_flags(meta: DataFrame, prefix: str = "data_unsafe:") -> DataFrame:
+    """Flags of a key-value table (key, value as JSON): key, ok, reason, raw.
+
+    Text that is no JSON, null too, is told apart from a flag without a reason: ok false, the reason META_PARSE_FAIL
+    and the first 200 characters of the text.
+    """
+    parsed = F.try_parse_json("value")
+    bad = parsed.isNull()
+    field = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind)
+    return meta.where(F.col("key").startswith(prefix)).select(
+        "key", F.when(bad, False).otherwise(field("ok", "boolean")).alias("ok"),
+        F.when(bad, "META_PARSE_FAIL").otherwise(field("reason", "string")).alias("reason"), F.when(bad, F.substring("value", 1, 200)).alias("raw"),
+    )
+
+
 def purge_except(df: DataFrame, keep: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows of the series to keep, rows deleted per other series)."""
     return df.join(keep, key, "left_semi"), df.join(keep, key, "left_anti").groupBy(*key).agg(F.count("*").alias("deleted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("market", "structure", "trades", "orders", "outcomes", "leaks", "stores", "landed", "streams", "accounts", "runs")
+MODULES = ("market", "structure", "trades", "orders", "outcomes", "leaks", "stores", "landed", "streams", "accounts", "runs", "records")
 
 
 def load() -> tuple[dict, dict]:

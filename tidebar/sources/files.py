@@ -90,12 +90,28 @@ CHART_ALIASES = {"time": ("time", "date", "datetime", "timestamp"), "open": ("op
 
 
 def read_chart_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Chart exports; the timeframe is in the file name (else 1d); open, high and low default to the close."""
+    """Chart exports; the timeframe is in the file name (else 1d); open, high and low default to the close.
+
+    A file whose header names no close has it in its last column of numbers (empty cells are numbers).
+    """
     return chart_rows(_csv(spark, paths, 8), 8)
 
 
+def _with_close(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with a further column c<n>: in files whose header names no close, the last column of numbers, headed "close"."""
+    known = [a.lower() for names in CHART_ALIASES.values() for a in names]
+    cells = [F.lower(F.trim(F.coalesce(f"c{i}", F.lit("")))) for i in range(n)]
+    head, named = F.exists(F.array(*cells), lambda c: c.isin(known)), F.exists(F.array(*cells), lambda c: c.isin(*CHART_ALIASES["close"]))
+    marked = rows.withColumns({"_head": head, "_named": head & named})
+    whole = [F.every(F.col("_head") | (cells[i] == "") | cells[i].try_cast("double").isNotNull()) & F.max(~F.col("_head") & (cells[i] != "")) for i in range(n)]
+    last = F.greatest(F.lit(-1), *[F.when(w, i).otherwise(-1) for i, w in enumerate(whole)])
+    files = marked.groupBy("file_path").agg(last.alias("_at"), F.max("_named").alias("_has")).where("NOT _has AND _at >= 0").select("file_path", "_at")
+    own = F.when(F.col("_at").isNotNull(), F.when(F.col("_head"), "close").otherwise(F.get(F.array(*[F.col(f"c{i}") for i in range(n)]), F.col("_at"))))
+    return marked.join(files, "file_path", "left").withColumn(f"c{n}", own).drop("_head", "_named", "_at")
+
+
 def chart_rows(rows: DataFrame, n: int) -> DataFrame:
-    out = by_header(rows, CHART_ALIASES, n)
+    out = by_header(_with_close(rows, n), CHART_ALIASES, n + 1)
     raw = any_time(F.col("time"))
     ts = F.when(raw < 10_000_000_000, raw * 1000).otherwise(raw)
     close = safe_double(F.col("close"))
