@@ -113,3 +113,54 @@ def test_query_reaches_calls_results_and_problems(spark):
             waits += len(answers)
             assert all(p < r.position for p in answers)
     assert waits > 5
+
+
+def places(rows):
+    """(at, step) of every call by following its needs, by hand; None: it waits for itself or for such a call."""
+    turn = {c: t for c, t, _, _ in rows}
+    needs = {c: n for c, _, n, _ in rows}
+    reply = {c: r for c, _, _, r in rows}
+    now = {c: (t, 0) for c, t in turn.items()}
+    for k in range(3 * len(rows) + 3):
+        then = {c: max([now[c], *((reply[d], 1) if reply[d] is not None and reply[d] > now[d][0] else (now[d][0], now[d][1] + 2) for d in needs[c] if d in now)]) for c in now}
+        if k > len(rows) + 1:
+            endless = {c for c in now if then[c] != now[c]}
+        now = then
+    return {c: None if c in endless else v for c, v in now.items()}
+
+
+def test_places_equal_those_by_hand(spark, small_plans):
+    from pyspark.sql import functions as F
+
+    from tidebar.llm.op6_chat import _placed
+
+    rng = random.Random(11)
+    graphs = []
+    for g in range(14):
+        n = rng.randint(1, 14)
+        several = g % 3 == 0
+        rows = []
+        for i in range(n):
+            k = rng.randint(0, 3) if several else rng.choice([0, 1, 1, 1])
+            pool = range(i) if g % 2 else range(n)  # even ones may have cycles
+            rows.append((f"c{i}", rng.randint(0, 12), sorted({f"c{rng.choice(pool)}" for _ in range(k)} if pool else set()), rng.choice([None, rng.randint(0, 20)])))
+        graphs.append(rows)
+    own = spark.createDataFrame([(g, c, t) for g, rows in enumerate(graphs) for c, t, _, _ in rows], "conv_id long, call_id string, turn long").select("conv_id", "call_id", F.struct(F.col("turn").alias("at"), F.lit(0).cast("long").alias("step")).alias("own"))
+    needs = spark.createDataFrame([(g, c, d) for g, rows in enumerate(graphs) for c, _, n, _ in rows for d in n], "conv_id long, call_id string, need string")
+    replies = spark.createDataFrame([(g, c, r) for g, rows in enumerate(graphs) for c, _, _, r in rows if r is not None], "conv_id long, need string, reply long")
+    got = {(r.conv_id, r.call_id): None if r.step < 0 else (r["at"], r.step) for r in _placed(own, needs, replies).collect()}
+    want = {(g, c): v for g, rows in enumerate(graphs) for c, v in places(rows).items()}
+    print(sum(v is None for v in want.values()), len(want))
+    assert got == want and None in want.values()
+
+
+def test_a_chain_of_a_thousand_calls_takes_few_rounds(spark, small_plans, monkeypatch):
+    from tidebar.llm import op6_chat
+
+    rounds, real = [], op6_chat.saved
+    monkeypatch.setattr(op6_chat, "saved", lambda df, name: (rounds.append(name), real(df, name))[1])
+    rows = [(1, i, "assistant", call(f"c{i}", **({"x": {"$result": f"c{i + 1}"}} if i < 999 else {}))) for i in range(1000)]
+    out = sorted(op6_chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.position)
+    print(rounds.count("jumps"))
+    assert [r.call_id for r in out] == [f"c{i}" for i in reversed(range(1000))]
+    assert rounds.count("jumps") <= 12 + 2  # the first table, and the one without cycles

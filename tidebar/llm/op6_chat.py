@@ -25,6 +25,8 @@ TYPES = {"string": '^"', "number": r"^-?\d", "integer": r"^-?\d+$", "boolean": "
 SCHEMAS = {"measure": {"chars": "integer"}, "count": {"of": "integer?", "words": "integer"}}
 #: Turns of a conversation that are numbered in one task.
 TURNS = 256
+#: The step of calls that wait for one another, and a place before all turns.
+ENDLESS, NEVER = 1 << 40, -(1 << 62)
 
 ORACLE_SQL = r"""
 WITH a AS (
@@ -122,6 +124,74 @@ def _line(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(fields.items())]), {"ignoreNullFields": "false"})
 
 
+def _later(v: Column, links: Column | int) -> Column:
+    """A place ``links`` links of calls and results after ``v``."""
+    return F.struct(v["at"].alias("at"), (v["step"] + 2 * links).alias("step"))
+
+
+def _placed(own: DataFrame, needs: DataFrame, replies: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, step): where every call stands after the results that it names; step -1: calls wait for one another.
+
+    A call's place is the greatest of its own, of the places of its results (step 1) and of those of the calls that it
+    needs, two steps on. That is a maximum over paths, so calls that need one other are cut short by pointer doubling:
+    a chain of n calls takes log2(n) rounds. What is left are calls that need several; they move on by a round for
+    each of them on the longest path. What never ends is a cycle.
+    """
+    on = ["conv_id", "call_id"]
+    known = own.select("conv_id", F.col("call_id").alias("need"))
+    edges = needs.join(known, ["conv_id", "need"]).join(replies, ["conv_id", "need"], "left").select(*on, "need", F.struct(F.col("reply").alias("at"), F.lit(1).cast("long").alias("step")).alias("reply"))
+    edges = saved(edges.join(edges.groupBy(*on).agg(F.count("*").alias("n")), on), "edges")
+    one = saved(edges.where("n = 1").join(own, on).select(*on, F.col("need").alias("to"), F.lit(1).cast("long").alias("hops"), F.greatest("own", "reply").alias("v")), "jumps")
+    most = one.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length() + 1 if most else 0):
+        beyond = one.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to_"), F.col("hops").alias("hops_"), F.col("v").alias("v_"))
+        more = F.col("to_").isNotNull()
+        new = saved(one.join(beyond, ["conv_id", "to"], "left").select(*on, F.coalesce("to_", "to").alias("to"), (F.col("hops") + F.coalesce("hops_", F.lit(0))).alias("hops"), F.when(more, F.greatest(F.col("v"), _later(F.col("v_"), F.col("hops")))).otherwise(F.col("v")).alias("v"), more.alias("more")), "jumps")
+        drop_saved(one)
+        one = new
+        if one.where("more").isEmpty():
+            break
+    # what still points at a call that needs one other leads into a cycle; all places of the cycle are in ``v`` there
+    cycle = one.select("conv_id", F.col("call_id").alias("to"), F.coalesce("v.at", F.lit(NEVER)).alias("latest"))
+    free = F.coalesce("v.at", F.lit(NEVER)) > F.col("latest")
+    one = saved(one.join(cycle, ["conv_id", "to"], "left").select(*on, F.when(F.col("latest").isNull(), F.col("to")).alias("to"), "hops", F.when(F.col("latest").isNull() | free, F.col("v")).otherwise(F.struct("v.at", F.lit(ENDLESS).alias("step"))).alias("v")), "jumps")
+    several = edges.where("n > 1").select(*on).distinct()
+    ends = own.join(one, on, "left_anti").join(several, on, "left_anti").select(*on, F.col("own").alias("v"))
+    if not several.isEmpty():
+        ends = saved(ends.unionByName(_relaxed(own, edges, one, several)), "ends")
+    last = ends.select("conv_id", F.col("call_id").alias("to"), F.col("v").alias("end"))
+    reached = F.when(F.col("end").isNull(), F.col("v")).otherwise(F.greatest(F.col("v"), _later(F.col("end"), F.col("hops"))))
+    out = ends.unionByName(one.join(last, ["conv_id", "to"], "left").select(*on, reached.alias("v")))
+    return saved(out.select(*on, "v.at", F.when(F.col("v.step") >= ENDLESS, -1).otherwise(F.col("v.step")).alias("step")), "at")
+
+
+def _relaxed(own: DataFrame, edges: DataFrame, one: DataFrame, several: DataFrame) -> DataFrame:
+    """(conv_id, call_id, v): places of the calls that need several, whose needs are followed over chains of calls that need one."""
+    on = ["conv_id", "call_id"]
+    chains = one.select("conv_id", F.col("call_id").alias("need"), "to", "hops", "v")
+    met = edges.where("n > 1").join(chains, ["conv_id", "need"], "left")
+    whence, links = F.when(F.col("hops").isNull(), F.col("need")).otherwise(F.col("to")), F.coalesce("hops", F.lit(0)) + 1
+    met = met.select(*on, "reply", F.when(F.col("hops").isNotNull(), _later(F.col("v"), 1)).alias("chain"), whence.alias("whence"), links.alias("links"))
+    there = several.select("conv_id", F.col("call_id").alias("whence"), F.lit(True).alias("open"))
+    met = saved(met.join(there, ["conv_id", "whence"], "left").join(own.select("conv_id", F.col("call_id").alias("whence"), F.col("own").alias("start")), ["conv_id", "whence"], "left"), "met")
+    fixed = met.groupBy(*on).agg(F.max(F.greatest("reply", "chain", F.when(F.col("start").isNotNull(), _later(F.col("start"), F.col("links"))))).alias("fixed"))
+    now = saved(own.join(fixed, on).select(*on, F.greatest("own", "fixed").alias("v"), F.lit(False).alias("stuck")), "several")
+    links = saved(met.where("open").select(*on, "whence", "links"), "links")
+    # a path is no longer than its conversation's links
+    longest = links.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for k in range(2 * longest + 3 if longest else 0):
+        moves = links.join(now.select("conv_id", F.col("call_id").alias("whence"), "v"), ["conv_id", "whence"]).groupBy(*on).agg(F.max(_later(F.col("v"), F.col("links"))).alias("later"))
+        moved = now.join(moves, on, "left").withColumn("then", F.greatest("v", "later"))
+        stuck = F.col("stuck") | (F.lit(k > longest) & (F.col("then") != F.col("v")))
+        new = saved(moved.select(*on, F.col("then").alias("v"), stuck.alias("stuck")), "several")  # what still moves after the longest path is a cycle or waits for one
+        settled = new.exceptAll(now).isEmpty()
+        drop_saved(now)
+        now = new
+        if settled:
+            break
+    return now.select(*on, F.when(F.col("stuck"), F.struct("v.at", F.lit(ENDLESS).alias("step"))).otherwise(F.col("v")).alias("v"))
+
+
 def _linked(tools: DataFrame, schemas: dict[str, dict[str, str]] | None) -> DataFrame:
     first = Window.partitionBy("conv_id", "call_id").orderBy(F.col("turn").asc_nulls_last(), "row")
     calls = tools.where("kind = 'call'").withColumn("nth", F.row_number().over(first))
@@ -130,25 +200,9 @@ def _linked(tools: DataFrame, schemas: dict[str, dict[str, str]] | None) -> Data
     results = tools.where("kind = 'result'").select("conv_id", "call_id", "turn", "role", "text", "row", F.get_json_object("doc", "$.content").alias("content"))
     # effective turn and depth of every call: after the results that its arguments name
     needs = calls.where("nth = 1").select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(r'\{"\$result":"((?:[^"\\]|\\.)*)"\}'))).alias("need")).distinct()
-    at = calls.where("nth = 1").select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("step"), F.lit(False).alias("stuck"))
-    needs, at = saved(needs, "needs"), saved(at, "at")
+    own = calls.where("nth = 1").select("conv_id", "call_id", F.struct(F.col("turn").alias("at"), F.lit(0).cast("long").alias("step")).alias("own"))
     replies = results.groupBy("conv_id", F.col("call_id").alias("need")).agg(F.min("turn").alias("reply"))
-    # a chain is no longer than its conversation's references
-    most = needs.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    for k in range(2 * most + 3 if most else 0):
-        met = needs.join(at.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).join(replies, ["conv_id", "need"], "left")
-        where = F.when(F.col("reply") > F.col("at"), F.struct(F.col("reply").alias("at"), F.lit(1).alias("step"))).otherwise(F.struct(F.col("at"), (F.col("step") + 2).alias("step")))
-        after = met.groupBy("conv_id", "call_id").agg(F.max(where).alias("later"))
-        moved = at.join(after, ["conv_id", "call_id"], "left").withColumn("now", F.greatest(F.struct("at", "step"), "later"))
-        stuck = F.col("stuck") | (F.lit(k > most) & (F.col("now") != F.struct("at", "step")))
-        moved = moved.select("conv_id", "call_id", F.col("now.at").alias("at"), F.col("now.step").alias("step"), stuck.alias("stuck"))
-        new = saved(moved, "at")  # what still moves after the longest chain is a cycle or waits for one
-        settled = new.exceptAll(at).isEmpty()
-        drop_saved(at)
-        at = new
-        if settled:
-            break
-    at = at.withColumn("step", F.when(F.col("stuck"), -1).otherwise(F.col("step"))).drop("stuck")
+    at = _placed(saved(own, "own"), needs, replies)
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     calls = calls.join(at, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
     wrong = _problem(F.col("name"), F.col("arguments"), schemas) if schemas is not None else F.lit(None).cast("string")
