@@ -107,3 +107,10 @@ def test_short_toxic_words_are_caught_and_kept_marks_the_rest(spark):
     # the same scores whatever the partitions
     again = {r.doc_id: r.score for r in toxicity_scores(df.coalesce(1), ls).collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in rows)
+
+
+def test_the_floor_of_stems_is_an_argument(spark):
+    texts = lambda n, word: spark.createDataFrame([(f"plain talk of {word if i < n else 'weather'} number{i}",) for i in range(40)], "text string")
+    ordinary = texts(0, "")
+    held = lambda **kw: b" pathetic" in dictionaries(texts(4, "pathetic"), ordinary, 1.5, **kw)[0]
+    assert held() and held(least_texts=4) and not held(least_texts=5) and not held(one_in=8)

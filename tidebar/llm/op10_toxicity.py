@@ -37,6 +37,8 @@ ORACLE_SQL = None  # a fitted classifier; tests hold it against held-out labels
 TOXIC_DOCS, ORDINARY_DOCS = 3000, 12000
 #: Entries of a dictionary.
 ENTRIES = 400
+#: Toxic texts of the sample that a stem must stand in: this many at least, and one of every so many.
+LEAST_TEXTS, ONE_IN = 3, 200
 #: How many times oftener a toxic entry must stand in toxic text: what is tried on the labelled sample.
 CONTRASTS = (4.0, 8.0, 16.0, 32.0)
 #: Characters of a word's beginnings.
@@ -98,13 +100,16 @@ def _ordinary_stems(wanted: frozenset[str]):
 
 
 class Counts:
-    """What bounded samples of toxic and ordinary documents with distinct texts say of stems."""
+    """What bounded samples of toxic and ordinary documents with distinct texts say of stems.
 
-    def __init__(self, toxic: DataFrame, ordinary: DataFrame, entries: int = ENTRIES) -> None:
+    A stem counts if it stands in ``least_texts`` toxic texts at least, and in one of every ``one_in`` of the sample.
+    """
+
+    def __init__(self, toxic: DataFrame, ordinary: DataFrame, entries: int = ENTRIES, least_texts: int = LEAST_TEXTS, one_in: int = ONE_IN) -> None:
         n1, self.entries = toxic.count(), entries
         seen = toxic.select("text").mapInArrow(_toxic_stems, "stem string, n long, times long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
-        # stems of a bounded sample, each in at least every 200th of its texts
-        seen = seen.where((F.col("n") >= max(3, n1 // 200)) | (F.col("stem") == "")).collect()
+        # stems of a bounded sample
+        seen = seen.where((F.col("n") >= max(least_texts, n1 // one_in)) | (F.col("stem") == "")).collect()
         times = {r["stem"]: r["times"] for r in seen}
         words1 = times.pop("", 0)
         self.texts = {r["stem"]: r["n"] for r in seen if r["stem"]}
@@ -131,9 +136,9 @@ class Counts:
         return spell(chosen), spell(plain)
 
 
-def dictionaries(toxic: DataFrame, ordinary: DataFrame, least: float, entries: int = ENTRIES) -> tuple[bytes, bytes]:
+def dictionaries(toxic: DataFrame, ordinary: DataFrame, least: float, entries: int = ENTRIES, least_texts: int = LEAST_TEXTS, one_in: int = ONE_IN) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary, from bounded samples with distinct texts."""
-    return Counts(toxic, ordinary, entries).dictionaries(least)
+    return Counts(toxic, ordinary, entries, least_texts, one_in).dictionaries(least)
 
 
 def _loss(x: np.ndarray, y: np.ndarray) -> float:
@@ -146,7 +151,7 @@ def _loss(x: np.ndarray, y: np.ndarray) -> float:
     return out / len(y)
 
 
-def calibrated(sample: DataFrame, share: float, entries: int = ENTRIES) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def calibrated(sample: DataFrame, share: float, entries: int = ENTRIES, least_texts: int = LEAST_TEXTS, one_in: int = ONE_IN) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(contrast, fitted score) by cross-fitting over a bounded sample (doc_id, text_key, text, y).
 
     ``share``: the share of toxic documents that the score is to expect.
@@ -156,7 +161,7 @@ def calibrated(sample: DataFrame, share: float, entries: int = ENTRIES) -> tuple
     x: dict[float, list] = {c: [] for c in CONTRASTS}
     for k in (0, 1):
         rest, own = sample.where(half != k), sample.where(half == k)
-        counts = Counts(rest.where("y = 1"), rest.where("y = 0"), entries)
+        counts = Counts(rest.where("y = 1"), rest.where("y = 0"), entries, least_texts, one_in)
         pairs = {c: counts.dictionaries(c) for c in CONTRASTS}
         distinct = list(dict.fromkeys(pairs.values()))
         found = own.mapInArrow(_measure(distinct, "y"), "text_key long, y int, x array<array<double>>")
@@ -252,11 +257,12 @@ def _some(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, entries: int = ENTRIES) -> DataFrame:
+def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, entries: int = ENTRIES, least_texts: int = LEAST_TEXTS, one_in: int = ONE_IN) -> DataFrame:
     """Per row of ``df``: doc_id, held_out, score, predicted, kept (not predicted toxic), text_key.
 
     Labels are learned only from documents whose crc32(doc_id as text) mod 5 is not 0; at most
-    ``toxic_docs`` and ``ordinary_docs`` of them, chosen by a hash, are looked at. Null and empty
+    ``toxic_docs`` and ``ordinary_docs`` of them, chosen by a hash, are looked at, and dictionaries are made of stems
+    in at least ``least_texts`` of the toxic ones and in one of every ``one_in``. Null and empty
     texts have no windows and get the score of that. Rows without identifier are scored, never
     learned from; repeated rows get equal scores; of several labels of one document the largest
     counts. With labels of one class only, its share decides. An empty table gives no rows. Columns
@@ -268,8 +274,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     # both are bounded samples of identifiers, so they are broadcast
     chosen = saved(_some(known.where("y = 1"), toxic_docs).unionByName(_some(known.where("y = 0"), ordinary_docs)), "sample")
     sample = saved(docs.join(F.broadcast(chosen), "doc_id").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("y").alias("y")), "sampled")
-    contrast, model = calibrated(sample, share, entries)
-    pair = dictionaries(sample.where("y = 1"), sample.where("y = 0"), contrast, entries)
+    contrast, model = calibrated(sample, share, entries, least_texts, one_in)
+    pair = dictionaries(sample.where("y = 1"), sample.where("y = 0"), contrast, entries, least_texts, one_in)
     out = docs.mapInArrow(_score(pair, *model), "doc_id long, text_key long, score double")
     predicted = (F.col("score") >= 0.5).cast("int")
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", predicted.alias("predicted"), (predicted == 0).alias("kept"), "text_key")
