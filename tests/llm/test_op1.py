@@ -51,3 +51,14 @@ def test_recall_with_spread_norms_and_an_outlier(spark):
             products[q] = -np.inf
             recall.append(len(got[q] & set(np.argsort(-products)[:20].tolist())) / 20)
         assert np.mean(recall) >= 0.95 and min(recall) >= 0.7, (np.mean(recall), min(recall))
+
+
+def test_a_repeated_query_is_asked_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[10], rows[20], rows[20]], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 10 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(0, 60, 10))
+    assert all([rank for rank, _ in found] == [1, 2, 3, 4, 5] and q not in [v for _, v in found] for q, found in got.items())
