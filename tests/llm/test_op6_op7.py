@@ -164,3 +164,14 @@ def test_a_chain_of_a_thousand_calls_takes_few_rounds(spark, small_plans, monkey
     print(rounds.count("jumps"))
     assert [r.call_id for r in out] == [f"c{i}" for i in reversed(range(1000))]
     assert rounds.count("jumps") <= 12 + 2  # the first table, and the one without cycles
+
+
+def test_turns_that_are_null_or_equal_and_columns_that_clash(spark, small_plans):
+    texts = [f"m{i:03}" for i in range(60)]
+    said = [(1, None, "user", t) for t in texts] + [(2, 7, "user", t) for t in texts] + [(3, None, "assistant", call("a", city="B")), (3, None, "tool", result("a"))]
+    df = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in reversed(said)], "conv_id long, turn long, role string, text string, kind string, call_id string, at int, step int").repartition(4)
+    out = sorted(format_chat(df, {"get": {"city": "string"}}).collect(), key=lambda r: (r.conv_id, r.position))
+    for c in (1, 2):
+        one = [r for r in out if r.conv_id == c]
+        assert [r.position for r in one] == list(range(60)) and [json.loads(r.line)["content"] for r in one] == texts
+    assert [(r.position, r.kind, r.call_id, r.problem) for r in out if r.conv_id == 3] == [(0, "call", "a", None), (1, "result", "a", None)]
