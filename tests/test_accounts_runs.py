@@ -125,3 +125,18 @@ def test_reports_hold_infinities_as_text(spark, tmp_path):
     assert {r.run_id: r.pf for r in spark.read.schema("pf string, strategy_id long, run_id long").json(f"{root}/metrics").collect()} == {1: "inf", 2: None, 3: "1.5"}
     one = list((tmp_path / "reports/trades/strategy_id=1/run_id=1").glob("*.csv"))
     assert len(one) == 1 and one[0].read_text().splitlines()[0] == "note,pnl"
+
+
+def test_reports_of_many_runs_share_folders(spark, tmp_path):
+    root, n = f"file://{tmp_path}/many", 200
+    runs = spark.range(n).select((F.col("id") % 7).alias("strategy_id"), F.col("id").alias("run_id"))
+    t = runs.select(F.lit('a "b", c').alias("note"), F.when(F.col("run_id") == 5, float("inf")).otherwise(2.5).alias("pnl"), *ru.KEY)
+    ru.write_reports(root, t, t, t.drop("note"), buckets=8)
+    for name, kind in (("trades", "csv"), ("equity", "csv"), ("metrics", "json")):
+        assert 1 < len(list((tmp_path / "many" / name).rglob(f"*.{kind}"))) <= 16, name
+    keys = "strategy_id long, run_id long"
+    assert ru.reports(spark, root, "trades", f"note string, pnl double, {keys}").select("run_id").distinct().count() == n
+    own = ru.one_report(spark, root, "equity", f"note string, pnl double, {keys}", 5, 5, buckets=8)
+    assert [tuple(r) for r in own.collect()] == [('a "b", c', float("inf"), 5, 5)]
+    assert ru.one_report(spark, root, "metrics", f"pnl string, {keys}", 5, 5, buckets=8).first().pnl == "inf"
+    assert "bucket_" in own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("PushedFilters")[0]

@@ -1,4 +1,4 @@
-"""Stored runs: tables in hashed buckets sorted by run, a catalog of summaries, and report folders.
+"""Stored runs: tables in hashed buckets sorted by run, a catalog of summaries, and reports.
 
 A run is a range of rows in its bucket's files, not a folder, so that files grow with the data and not with the
 number of runs. Bars are kept once by symbol; runs say which symbol they used.
@@ -87,11 +87,36 @@ def listing(runs: DataFrame, strategy: int | None = None) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("newest_ms"), "run_id")
 
 
-def write_reports(root: str, trades: DataFrame, equity: DataFrame, metrics: DataFrame, strategy: DataFrame | None = None, meta: DataFrame | None = None) -> None:
-    """Report folders by run: trades and equity as CSV with a header; metrics, strategy and meta as JSON with infinities and NaN as texts."""
+def write_reports(root: str, trades: DataFrame, equity: DataFrame, metrics: DataFrame, strategy: DataFrame | None = None, meta: DataFrame | None = None, buckets: int | None = None) -> None:
+    """Reports by run: trades and equity as CSV with a header; metrics, strategy and meta as JSON with infinities and NaN as texts.
+
+    Every run gets a folder of its own under each name, which suits a few runs. With ``buckets`` the runs of a hashed bucket share
+    a folder, in the order of runs and with their keys as columns, so that files grow with the data and not with the
+    number of runs; ``one_report`` reads a run's part.
+    """
+
+    def save(df: DataFrame, name: str, kind: str) -> None:
+        if buckets:
+            df = df.withColumn(BUCKET, bucket_of(F.col("strategy_id"), F.col("run_id"), buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *KEY)
+        else:
+            df = df.hint("rebalance", *KEY)
+        df.write.mode("overwrite").partitionBy(*([BUCKET] if buckets else KEY)).option("header", True).format(kind).save(f"{root}/{name}")
+
     for name, df in (("trades", trades), ("equity", equity)):
-        df.hint("rebalance", *KEY).write.mode("overwrite").partitionBy(*KEY).option("header", True).csv(f"{root}/{name}")
+        save(df, name, "csv")
     for name, df in (("metrics", metrics), ("strategy", strategy), ("meta", meta)):
         if df is not None:
             safe = {c: F.when(F.isnan(c), None).when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise(F.col(c).cast("string")) for c, t in df.dtypes if t == "double"}
-            df.withColumns(safe).hint("rebalance", *KEY).write.mode("overwrite").partitionBy(*KEY).json(f"{root}/{name}")
+            save(df.withColumns(safe), name, "json")
+
+
+def reports(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """All runs' rows of one file of the reports that ``write_reports`` put into buckets, ``schema`` (DDL) being that of its rows."""
+    rows = spark.read.schema(f"{schema}, {BUCKET} int")
+    return (rows.option("header", True).option("enforceSchema", False).csv if name in ("trades", "equity") else rows.json)(f"{root}/{name}")
+
+
+def one_report(spark: SparkSession, root: str, name: str, schema: str, strategy: int, run: int, buckets: int = BUCKETS) -> DataFrame:
+    """A run's rows of one file of its report: one folder is read."""
+    own = (F.col(BUCKET) == bucket_of(F.lit(strategy), F.lit(run), buckets)) & (F.col("strategy_id") == strategy) & (F.col("run_id") == run)
+    return reports(spark, root, name, schema).where(own).drop(BUCKET)
