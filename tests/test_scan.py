@@ -84,3 +84,12 @@ def test_a_null_key_and_a_null_time_keep_their_rows(spark):
     got = block_scan(df, ["k"], "t", ["v"], 10, {"total": ("sum", F.col("v")), "prev": ("lag", F.col("v"))})
     assert sorted(map(tuple, got.where("k IS NULL").collect())) == [(None, 1, 2, 2, None), (None, 50, 3, 5, 2)]
     assert got.count() == 5
+
+
+def test_newest_decision_sorts_distinct_quantities_in_ranges(spark):
+    p = spark.range(400).select(F.col("id").alias("position_id"), F.lit("X").alias("symbol"), F.lit("Buy").alias("side"), (F.col("id") % 4).cast("double").alias("qty"))
+    d = spark.range(300).select(F.col("id").alias("decide_id"), F.lit("X").alias("symbol"), F.lit("Buy").alias("side"), (F.col("id") % 3).cast("double").alias("qty"), (F.col("id") % 50 + 1).alias("bar_ms"))
+    out = newest_decision(p, d)
+    assert {(int(r.qty), r.decide_id, r.bar_ms) for r in out.collect()} == {(0, 99, 50), (1, 49, 50), (2, 149, 50), (3, None, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and out.count() == 400
