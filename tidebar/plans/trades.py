@@ -346,10 +346,7 @@ def _(spark, d):
  o AS (SELECT DISTINCT g.account, g.ts_ms FROM g JOIN trades t ON t.account = g.account AND t.entry_ts_ms <= g.ts_ms AND t.exit_ts_ms > g.ts_ms)
 SELECT g.account, round(count(o.ts_ms) / count(*)::DOUBLE, 6) AS exposure FROM g LEFT JOIN o ON o.account = g.account AND o.ts_ms = g.ts_ms GROUP BY g.account""")
 def _(spark, d):
-    t, day = trades(spark, d), 86_400_000
-    span = t.groupBy("account").agg((F.floor(F.min("entry_ts_ms") / day) * day).cast("long").alias("a"), F.max("exit_ts_ms").alias("z"))
-    grid = span.select("account", F.explode(F.sequence("a", "z", F.lit(day).cast("long"))).alias("ts_ms"))
-    return _r(tr.exposure(t, grid, A), 6)
+    return _r(tr.step_exposure(trades(spark, d), A), 6)
 
 
 @register("ag15_buy_hold", f"WITH {bars_sql()} SELECT symbol, round(CASE WHEN count(*) >= 2 AND arg_min(close, ts_ms) > 0 THEN arg_max(close, ts_ms) / arg_min(close, ts_ms) - 1 END, 6) AS buy_hold_return FROM bars GROUP BY symbol")
