@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 import pytest
@@ -140,3 +141,33 @@ def test_reports_of_many_runs_share_folders(spark, tmp_path):
     assert [tuple(r) for r in own.collect()] == [('a "b", c', float("inf"), 5, 5)]
     assert ru.one_report(spark, root, "metrics", f"pnl string, {keys}", 5, 5, buckets=8).first().pnl == "inf"
     assert "bucket_" in own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
+def test_step_exposure_equals_a_grid(spark):
+    rng = random.Random(6)
+    data = [(rng.choice("ab"), t, t + rng.choice((0, 3, 10, 25, 90))) for t in (rng.randrange(3, 900) for _ in range(60))] + [("a", 40, 40), ("c", 20, 20), ("d", 21, 22), ("e", 17, 20)]
+    t = spark.createDataFrame(data, "k string, entry_ts_ms long, exit_ts_ms long")
+    grid = t.groupBy("k").agg((F.floor(F.min("entry_ts_ms") / 10) * 10).alias("a"), F.max("exit_ts_ms").alias("z")).select("k", F.explode(F.sequence("a", "z", F.lit(10).cast("long"))).alias("ts_ms"))
+    got = tr.step_exposure(t, ["k"], 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tr.exposure(t, grid, ["k"]).collect()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_tier_and_a_skip_cost_no_task_a_symbol(spark):
+    plan = lambda n: QUERIES[n](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for n in ("pf16_maintenance", "jn20_tier_lookup"):
+        assert "strategy=broadcast" in plan(n) and plan(n).count("Join") == 2, n
+    assert not [line for line in plan("ag20_skip_counts").split("\n") if "Filter" in line and "qty_rounds_to_zero" in line]
+
+
+def test_stored_strategies_are_split(spark):
+    from tidebar.plans import stores
+
+    made = []
+    frame = type(spark.range(1))
+    hint, repartition = frame.hint, frame.repartition
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(frame, "hint", lambda self, *a: made.append(a) or hint(self, *a))
+        m.setattr(frame, "repartition", lambda self, *a: made.append(a) or repartition(self, *a))
+        assert stores and QUERIES["snk11_snk12_run_store"](spark, SF).count() > 0
+    assert made == [("rebalance", "strategy_id")]
