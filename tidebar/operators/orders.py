@@ -138,7 +138,7 @@ def tier_lookup(df: DataFrame, tiers: DataFrame, notional: str = "notional") ->
     """
     own = [c for c in tiers.columns if c != "symbol"]
     ladder = tiers.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("floor", *[c for c in own if c != "floor"]))).alias("_t"))
-    out = df.join(ladder, "symbol", "left")
+    out = df.join(F.broadcast(ladder), "symbol", "left")  # by symbol alone, a symbol would be one task
     hit = F.coalesce(F.try_element_at(F.filter("_t", lambda t: t["floor"] <= F.col(notional)), F.lit(-1)), F.try_element_at("_t", F.lit(1)))
     return out.withColumn("_h", hit).select(*df.columns, *[F.col(f"_h.{c}").alias(f"tier_{c}") for c in own])
 
