@@ -16,6 +16,11 @@ def _orders(spark, d):
     return t.select("trade_id", "symbol", "side", (c("qty") / 7).alias("raw_qty"), c("entry_price").alias("price"), (c("entry_price") * (1 - c("side") * 0.02)).alias("stop_price"), F.lit(50_000.0).alias("equity"), F.lit(0.5).alias("min_qty"), F.lit(6.0).alias("max_qty"), F.lit(900.0).alias("min_notional"), F.lit(0.25).alias("qty_step"), "qty")
 
 
+def _symbols(spark, d):
+    """The symbols that lines have, without the join that makes trades of them."""
+    return read(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct()
+
+
 _STEP = "(floor({x} / 0.25 + 1e-9 * greatest(1, abs({x} / 0.25))) * 0.25)"
 _OSQL = f"""{TRADES}, o AS (SELECT trade_id, symbol, side, qty, qty / 7 AS raw_qty, entry_price AS price, entry_price * (1 - side * 0.02::DOUBLE) AS stop_price FROM trades),
  s AS (SELECT *, abs(price - stop_price) AS risk, ceil(greatest(0.5, 900 / price) / 0.25 - 1e-9 * greatest(1, abs(greatest(0.5, 900 / price) / 0.25))) * 0.25 AS least_, {_STEP.format(x='raw_qty')} AS fl FROM o),
@@ -66,7 +71,7 @@ def _(spark, d):
 @register("jn20_tier_lookup", f"""WITH {TRADES} SELECT trade_id, CASE WHEN qty * entry_price >= 60000 THEN 3 WHEN qty * entry_price >= 20000 THEN 2 ELSE 1 END AS tier_level FROM trades""")
 def _(spark, d):
     t = trades(spark, d).withColumn("notional", F.col("qty") * F.col("entry_price"))
-    ladder = t.select("symbol").distinct().select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(k).alias("level")) for k, f in ((1, 1000.0), (2, 20_000.0), (3, 60_000.0))])).alias("x")).select("symbol", "x.*")
+    ladder = _symbols(spark, d).select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(k).alias("level")) for k, f in ((1, 1000.0), (2, 20_000.0), (3, 60_000.0))])).alias("x")).select("symbol", "x.*")
     return od.tier_lookup(t, ladder).select("trade_id", "tier_level")
 
 
@@ -108,7 +113,7 @@ def _(spark, d):
     """Maintenance by the tier of a position's notional, and whether its stop comes before the liquidation."""
     c = F.col
     t = trades(spark, d).withColumn("notional", c("qty") * c("entry_price"))
-    ladder = t.select("symbol").distinct().select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(m).alias("mm"), F.lit(k).alias("ded")) for f, m, k in ((0.0, 0.005, 0.0), (20_000.0, 0.01, 100.0))])).alias("x")).select("symbol", "x.*")
+    ladder = _symbols(spark, d).select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(m).alias("mm"), F.lit(k).alias("ded")) for f, m, k in ((0.0, 0.005, 0.0), (20_000.0, 0.01, 100.0))])).alias("x")).select("symbol", "x.*")
     t = od.tier_lookup(t, ladder)
     liq = od.liquidation_price(c("side"), c("entry_price"), c("qty"), c("notional") / (5 + c("trade_id") % 60), c("tier_mm"), c("tier_ded"), F.lit(0.0006), F.lit(0.1))
     t = t.withColumn("liquidation", F.round(liq, 6)).withColumn("stop", F.when(c("trade_id") % 10 > 0, c("entry_price") * F.when(c("side") > 0, 0.97).otherwise(1.03)))
@@ -117,7 +122,8 @@ def _(spark, d):
 
 @register("ag20_skip_counts", f"WITH {_OSQL} SELECT symbol, skip, count(*) AS n FROM n WHERE skip IS NOT NULL GROUP BY ALL")
 def _(spark, d):
-    return od.normalise_order(_orders(spark, d).drop("qty"), max_risk=0.01).where("skip IS NOT NULL").groupBy("symbol", "skip").agg(F.count("*").alias("n"))
+    # orders without a skip count as 0: a filter on it would be pushed below its columns, which are then worked out many times a row
+    return od.normalise_order(_orders(spark, d).drop("qty"), max_risk=0.01).groupBy("symbol", "skip").agg(F.count("skip").alias("n")).where("n > 0")
 
 
 @register("fn15_cost_share", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_tax + 2 * l_discount, 6) AS cost FROM lineitem")
