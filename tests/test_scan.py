@@ -93,3 +93,38 @@ def test_newest_decision_sorts_distinct_quantities_in_ranges(spark):
     assert {(int(r.qty), r.decide_id, r.bar_ms) for r in out.collect()} == {(0, 99, 50), (1, 49, 50), (2, 149, 50), (3, None, None)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and out.count() == 400
+
+
+def test_scans_shuffle_rows_once(spark):
+    df = rows(spark).withColumn("v", F.coalesce("v", F.lit(0.0)))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    scan = block_scan(df, ["k"], "t", ["i"], 700, {"s": ("sum", F.col("v")), "before": ("lag", F.col("v")), "hi": ("max_before", F.col("v"))})
+    assert "Join" not in plan(scan) and "Join" not in plan(tr.streaks(df, ["k"], ["t", "i"], "v", 300))
+    e = tr.equity_curve(df, ["k"], ["t", "i"], "v")
+    out = tr.drawdown(e, ["k"], ["t", "i"], block_ms=300)
+    assert "Join" not in plan(out) and "_peak" not in plan(out)  # rows are done with, what is left is a table of blocks
+    w = Window.partitionBy("k").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r.i: r.m for r in df.withColumn("m", F.max("v").over(w)).collect()}
+    assert {r.i: r.hi for r in scan.collect()} == want
+
+
+def test_runs_go_on_over_block_borders(spark):
+    signs = [1, 1, 1, 1, -1, 1, 1, 0, 0, -1, -1, -1, -1, -1, -1, 1]
+    df = spark.createDataFrame([("a", i, i, float(s)) for i, s in enumerate(signs)] + [("b", 5, 0, None), ("b", 50, 1, None)], "k string, t long, i long, v double")
+    for size in (1, 2, 3, 5, 100, None):
+        assert {r.k: (r.wins, r.losses) for r in tr.streaks(df, ["k"], ["t", "i"], "v", size).collect()} == {"a": (4, 6), "b": (0, 0)}, size
+
+
+def test_step_equity_equals_a_lookup(spark):
+    rng = random.Random(9)
+    data = [(rng.choice("ab"), rng.randrange(15, 300), i, rng.choice((None, 1.0, 2.5, -3.0))) for i in range(60)] + [("c", 25, 99, 7.0), ("d", 40, 98, 1.0)]
+    curve = spark.createDataFrame(data, "k string, t long, i long, equity double")
+    ends = {k: (0 if k in "ab" else 20 if k == "c" else 40, max(r[1] for r in data if r[0] == k) // 10 * 10) for k in "abcd"}
+    span = spark.createDataFrame([(k, a, z) for k, (a, z) in ends.items()], "k string, a long, z long")
+    want = []
+    for k, (a, z) in ends.items():
+        for t in range(a, z + 1, 10):
+            seen = max((r for r in data if r[0] == k and r[1] <= t), key=lambda r: r[1:3], default=None)
+            want.append((k, t, (seen[3] if seen else None) or 0.0))
+    got = tr.step_equity(curve, span, ["k"], ["t", "i"], 10)
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from tidebar.scratch import written
 from tidebar.timeframes import bucket
 
-#: kind -> (value within a block up to the row, value of a whole block, how blocks add up, how both add up)
+#: kind -> (value within a block up to the row, value of a whole block, how blocks add up)
 _KINDS = {
-    "sum": (F.sum, F.sum, F.sum, lambda carry, own: F.coalesce(carry + own, carry, own)),
-    "max": (F.max, F.max, F.max, F.greatest),
-    "min": (F.min, F.min, F.min, F.least),
+    "sum": (F.sum, F.sum, F.sum),
+    "max": (F.max, F.max, F.max),
+    "max_before": (F.max, F.max, F.max),
+    "min": (F.min, F.min, F.min),
 }
 
 
-def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block_ms: int, scans: dict[str, tuple[str, Column]]) -> DataFrame:
+def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block_ms: int, scans: dict[str, tuple[str, Column]], keep_block: bool = False) -> DataFrame:
     """``df`` with running values per key in the order of ``time`` and ``ties``, which must be total within a time.
 
     ``scans``: name -> (kind, value). ``sum``, ``max`` and ``min`` run over the rows up to and with a row and ignore nulls;
     ``last`` is the last value that is not null; ``lag`` and ``lead`` are the value of the row before and after, null as it is.
 
+    ``max_before`` is the largest value of the rows before a row.
+
     A row looks within its block of time; what lies before (for ``lead`` after) the block comes from a table of one row
-    per block, over which alone the key's window runs. Rows of one block are one task's sort.
+    per block, over which alone the key's window runs. It joins the block's rows as a row of its own at the block's
+    edge, so that rows are shuffled once; with ``keep_block`` a plan that goes on by key and ``_block`` does not shuffle
+    them again. Rows of one block are one task's sort.
     """
     order = [time, *ties]
     block = [*keys, "_block"]
@@ -44,22 +49,23 @@ def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block
             whole.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(c))
             carry[c] = F.last(c, ignorenulls=True).over(before)
     blocks = written(rows.groupBy(*block).agg(*whole).withColumns(carry), "blocks")
-    within = Window.partitionBy(*block).orderBy(*order)
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    own = {}
-    for n, (kind, _) in scans.items():
-        v = F.col(f"_v_{n}")
-        own[f"_v_{n}"] = _KINDS[kind][0](v).over(upto) if kind in _KINDS else F.last(v, ignorenulls=True).over(upto) if kind == "last" else F.lag(v).over(within) if kind == "lag" else F.lead(v).over(within)
-    known = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in block], *carry)
-    same = F.lit(True)
-    for k in block:  # a null key is a series too, and a row without time has a block
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    found = rows.withColumns(own).join(known, same)
+    edges = rows.withColumn("_edge", F.lit(0))
+    for edge, has in ((-1, lambda k: k != "lead"), (1, lambda k: k == "lead")):
+        own = [n for n, (kind, _) in scans.items() if has(kind)]
+        if own:
+            edges = edges.unionByName(blocks.select(*block, F.lit(edge).alias("_edge"), *[F.col(f"_c_{n}").alias(f"_v_{n}") for n in own]), allowMissingColumns=True)
+    within = Window.partitionBy(*block).orderBy("_edge", *order)
+    upto, past = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
     out = {}
     for n, (kind, _) in scans.items():
-        v, c = F.col(f"_v_{n}"), F.col(f"_c_{n}")
-        out[n] = _KINDS[kind][3](c, v) if kind in _KINDS else F.coalesce(v, c) if kind == "last" else F.coalesce(v, c)["v"]
-    return found.select(*df.columns, *[v.alias(n) for n, v in out.items()])
+        v = F.col(f"_v_{n}")
+        if kind == "lag":
+            out[n] = F.lag(v).over(within)["v"]
+        elif kind == "lead":
+            out[n] = F.lead(v).over(within)["v"]
+        else:
+            out[n] = F.max(v).over(past) if kind == "max_before" else F.last(v, ignorenulls=True).over(upto) if kind == "last" else _KINDS[kind][0](v).over(upto)
+    return edges.withColumns(out).where("_edge = 0").select(*df.columns, *out, *(["_block"] if keep_block else []))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
