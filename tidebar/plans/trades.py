@@ -322,9 +322,8 @@ def _(spark, d):
 
     t, day = eq(spark, d), 86_400_000
     at = lambda c: (F.floor(c / day) * day).cast("long")
-    span = t.groupBy("account").agg(at(F.min("entry_ts_ms")).alias("a"), at(F.max("exit_ts_ms")).alias("z"))
-    grid = span.select("account", F.explode(F.sequence("a", "z", F.lit(day).cast("long"))).alias("ts_ms"))
-    return asof_join(grid, t, ["account"], "ts_ms", "exit_ts_ms", ["equity"], "trade_id").select("account", "ts_ms", F.round(F.coalesce("equity", F.lit(0.0)), 4).alias("equity"))
+    span = trades(spark, d).groupBy("account").agg(at(F.min("entry_ts_ms")).alias("a"), at(F.max("exit_ts_ms")).alias("z"))
+    return _r(tr.step_equity(eq(spark, d), span, A, ORDER))
 
 
 _START_EQ = 1_000_000.0
