@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidebar.functions import scalar as S
 from tidebar.operators import series, trades as tr
 from tidebar.plans.registry import register
-from tidebar.plans.views import TRADES, bars, bars_sql, trades
+from tidebar.plans.views import TRADES, bars, bars_sql, read, trades
+from tidebar.scratch import written
 
 A, ORDER, O = ["account"], ["exit_ts_ms", "trade_id"], "exit_ts_ms, trade_id"
 _EQ = f"{TRADES}, eq AS (SELECT *, round(sum(pnl) OVER (PARTITION BY account ORDER BY {O} ROWS UNBOUNDED PRECEDING), 4) AS equity FROM trades)"
@@ -236,9 +237,10 @@ def _(spark, d):
 SELECT t.account, t.symbol, count(*) AS n, round(sum(pnl), 4) AS pnl, min(exit_ts_ms) AS earliest_ms FROM trades t JOIN fl ON fl.account = t.account LEFT JOIN fs ON fs.account = t.account AND fs.symbol = t.symbol WHERE exit_ts_ms >= greatest(a, coalesce(s, a)) GROUP BY ALL""")
 def _(spark, d):
     t = trades(spark, d)
-    fl = t.select("account").distinct().select("account", F.lit(None).cast("string").alias("symbol"), (852_076_800_000 + F.col("account") * 86_400_000).alias("since_ms"))
-    fs = t.where("symbol = 'R'").select("account", "symbol").distinct().withColumn("since_ms", F.lit(867_715_200_000))
-    return _r(tr.since_filter(t, fl.unionByName(fs)).groupBy("account", "symbol").agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"), F.min("exit_ts_ms").alias("earliest_ms")), 4)
+    lines = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("account"), F.col("l_returnflag").alias("symbol"))  # dates need no trades
+    fl = lines.select("account").distinct().select("account", F.lit(None).cast("string").alias("symbol"), (852_076_800_000 + F.col("account") * 86_400_000).alias("since_ms"))
+    fs = lines.where("symbol = 'R'").distinct().withColumn("since_ms", F.lit(867_715_200_000))
+    return _r(tr.since_filter(t, written(fl.unionByName(fs), "floors")).groupBy("account", "symbol").agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"), F.min("exit_ts_ms").alias("earliest_ms")), 4)
 
 
 @register("pf10_live_symbols", f"WITH {TRADES} SELECT trade_id FROM trades WHERE symbol IN (SELECT symbol FROM trades GROUP BY symbol HAVING sum(pnl) <= 0 OR symbol <> 'N')")
@@ -270,8 +272,6 @@ def _(spark, d):
 
 @register("pf20_hidden_accounts", f"WITH {TRADES} SELECT account, count(*) AS n FROM trades WHERE account NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY account")
 def _(spark, d):
-    from tidebar.plans.views import read
-
     hidden = read(spark, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("account"))
     return trades(spark, d).join(hidden, "account", "left_anti").groupBy("account").agg(F.count("*").alias("n"))
 
