@@ -21,10 +21,11 @@ def united(intervals: DataFrame, keys: list[str], block_ms: int = 365 * DAY) ->
     """
     ends = F.array(F.struct(F.col("from_ms").alias("at"), F.lit(1).alias("opens"), F.lit(0).alias("closes")), F.struct(F.col("to_ms").alias("at"), F.lit(0).alias("opens"), F.lit(1).alias("closes")))
     times = intervals.where("from_ms <= to_ms").select(*keys, F.explode(ends).alias("e")).groupBy(*keys, "e.at").agg(F.sum("e.opens").alias("opens"), F.sum("e.closes").alias("closes"))
+    times = written(times, "times")  # a scan reads its rows twice
     open_ = block_scan(times, keys, "at", [], block_ms, {"after": ("sum", F.col("opens") - F.col("closes"))})
     first, last = F.col("after") - F.col("opens") + F.col("closes") == 0, F.col("after") == 0
     edges = open_.select(*keys, "at", first.alias("first"), last.alias("last")).where("first OR last")
-    paired = block_scan(edges, keys, "at", [], block_ms, {"next": ("lead", F.col("at"))})  # starts and ends take turns
+    paired = block_scan(written(edges, "edges"), keys, "at", [], block_ms, {"next": ("lead", F.col("at"))})  # starts and ends take turns
     return paired.where("first").select(*keys, F.col("at").alias("from_ms"), F.when(F.col("last"), F.col("at")).otherwise(F.col("next")).alias("to_ms"))
 
 
