@@ -318,9 +318,7 @@ def _(spark, d):
 SELECT g.account, g.ts_ms, round(coalesce(l.equity, 0), 4) AS equity FROM g ASOF LEFT JOIN l ON g.account = l.account AND g.ts_ms >= l.exit_ts_ms""")
 def _(spark, d):
     """Every account's equity on each of its own days, from its first entry to its last exit."""
-    from tidebar.operators.asof import asof_join
-
-    t, day = eq(spark, d), 86_400_000
+    day = 86_400_000
     at = lambda c: (F.floor(c / day) * day).cast("long")
     span = trades(spark, d).groupBy("account").agg(at(F.min("entry_ts_ms")).alias("a"), at(F.max("exit_ts_ms")).alias("z"))
     return _r(tr.step_equity(eq(spark, d), span, A, ORDER))
