@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.functions.scalar import safe_double
+from tidebar.functions.scalar import finite
 
 NONE = "—"
 #: Which fields tell one trade of an account from another.
@@ -24,10 +24,13 @@ def normalised_trades(rows: DataFrame, body: str = "body") -> DataFrame:
     """
     names = ["orderId", "order_id", "symbol", "side", "qty", "closedSize", "closed_size", "avgEntryPrice", "entry", "avgExitPrice", "exit", "closedPnl", "pnl", "leverage", "orderType", "execType",
              "openFee", "cumEntryFee", "closeFee", "cumExitFee", "fillCount", "createdTime", "created_ms", "updatedTime", "updated_ms", "leg_count"]
+    words = {"orderId", "order_id", "symbol", "side", "orderType", "execType"}
     rows = rows.withColumn("_j", F.from_json(body, ", ".join(f"{n} string" for n in names)))
+    # every number is read once, in a column of its own, as several of the stable names ask for it
+    rows = rows.withColumns({f"_n_{n}": F.col(f"_j.{n}").try_cast("double") for n in names if n not in words}).withColumns({f"_n_{n}": finite(F.col(f"_n_{n}")) for n in names if n not in words})
     text = lambda *names: F.coalesce(*[F.col(f"_j.{n}") for n in names])
-    number = lambda *names: F.coalesce(*[safe_double(F.col(f"_j.{n}")) for n in names])
-    some = lambda *names: F.coalesce(*[F.nullif(safe_double(F.col(f"_j.{n}")), F.lit(0.0)) for n in names])
+    number = lambda *names: F.coalesce(*[F.col(f"_n_{n}") for n in names])
+    some = lambda *names: F.coalesce(*[F.nullif(F.col(f"_n_{n}"), F.lit(0.0)) for n in names])
     when = lambda *names: some(*names).cast("long")
     columns = {
         "order_id": text("orderId", "order_id"),
@@ -48,7 +51,7 @@ def normalised_trades(rows: DataFrame, body: str = "body") -> DataFrame:
         "updated_ms": F.nullif(number("updatedTime", "updated_ms", "createdTime", "created_ms").cast("long"), F.lit(0).cast("long")),
         "leg_count": F.coalesce(when("leg_count"), F.lit(1).cast("long")),
     }
-    return rows.select(*[c for c in rows.columns if c not in columns and c not in (body, "_j")], *[v.alias(c) for c, v in columns.items()])
+    return rows.select(*[c for c in rows.columns if c not in columns and c not in (body, "_j") and not c.startswith("_n_")], *[v.alias(c) for c, v in columns.items()])
 
 
 def merge_accounts(snaps: DataFrame, wallet: list[str], seq: str = "snap_seq") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import accounts as ac
 from tidebar.plans.registry import register
 from tidebar.plans.views import TRADES, trades
+from tidebar.scratch import written
 
 
 @register("pf12_closed_rows", f"""WITH {TRADES} SELECT account, trade_id::VARCHAR AS order_id, symbol, CASE WHEN side > 0 THEN 'Buy' ELSE 'Sell' END AS side, qty, qty AS closed_size, entry_price AS entry, CASE WHEN trade_id % 5 > 0 THEN entry_price * 2 END AS exit, pnl,
@@ -27,7 +28,8 @@ def _(spark, d):
         F.when(k(2) == 0, c("entry_ts_ms").cast("string")).otherwise("0").alias("createdTime"), F.when(k(7) > 0, c("exit_ts_ms")).alias("updatedTime"), F.when(k(6) == 0, 2).alias("leg_count"),
     )
     rows = trades(spark, d).select("account", F.to_json(page).alias("body"))
-    return ac.normalised_trades(rows).orderBy(F.desc_nulls_last("updated_ms"), "order_id")
+    # written first: a sort draws its ranges from a sample, for which all texts would be read a further time
+    return written(ac.normalised_trades(rows), "normalised").orderBy(F.desc_nulls_last("updated_ms"), "order_id")
 
 
 _SNAPS = f"""{TRADES}, snaps AS (SELECT account, symbol AS host, CASE symbol WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS snap_seq, CASE WHEN count(*) % 5 > 0 THEN round(sum(pnl), 4) END AS equity, 'b' || (account % 7)::VARCHAR AS b1, 'b' || (count(*) % 3)::VARCHAR AS b2,
