@@ -171,3 +171,18 @@ def test_stored_strategies_are_split(spark):
         m.setattr(frame, "repartition", lambda self, *a: made.append(a) or repartition(self, *a))
         assert stores and QUERIES["snk11_snk12_run_store"](spark, SF).count() > 0
     assert made == [("rebalance", "strategy_id")]
+
+
+def test_equity_is_made_of_the_stored_trades(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+    make = lambda rows, schema: spark.createDataFrame(rows, f"strategy_id long, run_id long, {schema}")
+    seen = []
+
+    def curve(t):
+        seen.append((sorted((r.run_id, r.pnl) for r in t.collect()), t.inputFiles()))
+        return tr.equity_curve(t, ru.KEY, ["trade_id"]).select(*ru.KEY, "equity")
+
+    for runs, pnls in (([1, 2], [(1, 1, 1, 2.0), (1, 1, 2, 3.0), (1, 2, 1, 4.0)]), ([2], [(1, 2, 1, 9.0)])):
+        ru.save_runs(root, make([(1, r, 1.0) for r in runs], "starting_equity double"), make(pnls, "trade_id long, pnl double"), curve, make([], "symbol string, ts_ms long"), buckets=4)
+    assert [s[0] for s in seen] == [[(1, 2.0), (1, 3.0), (2, 4.0)], [(2, 9.0)]] and all("/runs/trades/" in f for f in seen[0][1] if "saved-runs" not in f)
+    assert sorted((r.run_id, r.equity) for r in ru.stored(spark, root, "equity", "equity double, strategy_id long, run_id long").collect()) == [(1, 2.0), (1, 5.0), (2, 9.0)]

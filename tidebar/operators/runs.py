@@ -6,6 +6,8 @@ number of runs. Bars are kept once by symbol; runs say which symbol they used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,19 @@ def bucket_of(strategy: Column, run: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(strategy.cast("long"), run.cast("long")), F.lit(buckets)).cast("int")
 
 
-def save_runs(root: str, runs: DataFrame, trades: DataFrame, equity: DataFrame, bars: DataFrame, buckets: int = BUCKETS) -> None:
+def save_runs(root: str, runs: DataFrame, trades: DataFrame, equity: DataFrame | Callable[[DataFrame], DataFrame], bars: DataFrame, buckets: int = BUCKETS) -> None:
     """Writes the tables under ``root``: runs, trades and equity carry strategy_id and run_id, bars a symbol.
 
     What a run had in a table is replaced by the batch's rows of it; other runs of its bucket are written again, other buckets stay.
     A bucket's rows are spread by a rebalance, which adaptive execution splits where one run holds much of the input.
+    ``equity`` may be a function of the batch's trades, which gets them as they were stored, so that they are worked out once.
     A store keeps its number of buckets. Bars of the batch's symbols are replaced, of others kept.
     """
     spark = runs.sparkSession
     saved = written(runs.select(*KEY).distinct(), "saved-runs")
     for name, df in zip(TABLES, (runs, trades, equity), strict=True):
+        if callable(df):
+            df = df(spark.read.schema(trades.schema).parquet(f"{root}/trades").join(saved, KEY, "left_semi").select(*trades.columns))
         out = df.withColumn(BUCKET, bucket_of(F.col("strategy_id"), F.col("run_id"), buckets))
         if _exists(spark, f"{root}/{name}"):
             out = written(out, "run-batch")
