@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tidebar.operators import structure as st
 from tidebar.operators import trades as tr
 from tidebar.operators.parity import diff_trades, newest_decision
@@ -128,3 +129,43 @@ def test_step_equity_equals_a_lookup(spark):
             want.append((k, t, (seen[3] if seen else None) or 0.0))
     got = tr.step_equity(curve, span, ["k"], ["t", "i"], 10)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_equity_shares_the_shuffles_of_a_join(spark):
+    data = rows(spark).withColumn("v", F.coalesce("v", F.lit(0.0)))
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        joined = data.select("k", "i", "v").join(data.select(F.col("i").alias("j"), "t"), F.col("i") == F.col("j")).select("k", "t", "i", "v")
+        out = tr.equity_curve(joined, ["k"], ["t", "i"], "v", 300)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") == 2, plan  # both sides of the join, which rows and blocks are made of
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, tr.equity_curve(data.select("k", "t", "i", "v"), ["k"], ["t", "i"], "v").collect()))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("name", ["ag31_ruin"])
+def test_account_queries_shuffle_lines_and_orders_once(spark, name):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert plan.count("ReusedExchange") == 2, plan
+
+
+def test_a_shared_scan_equals_a_written_one(spark):
+    df = spark.createDataFrame([("a", 1, 1), (None, 1, 2), (None, 50, 3), ("a", None, 4), ("a", 99, 5), ("b", 5, None)], "k string, t long, v int")
+    v = F.col("v")
+    scans = {"s": ("sum", v), "hi": ("max", v), "lo": ("min", v), "last_": ("last", v), "before": ("lag", v), "after": ("lead", v), "past": ("max_before", v)}
+    for d in (df, df.where("false"), rows(spark).select("k", "t", F.col("i").cast("int").alias("v"))):
+        got, want = (sorted(map(str, block_scan(d, ["k"], "t", ["v"], 10, scans, shared=x).collect())) for x in (True, False))
+        assert got == want

@@ -17,7 +17,7 @@ _KINDS = {
 }
 
 
-def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block_ms: int, scans: dict[str, tuple[str, Column]], keep_block: bool = False) -> DataFrame:
+def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block_ms: int, scans: dict[str, tuple[str, Column]], keep_block: bool = False, shared: bool = False) -> DataFrame:
     """``df`` with running values per key in the order of ``time`` and ``ties``, which must be total within a time.
 
     ``scans``: name -> (kind, value). ``sum``, ``max`` and ``min`` run over the rows up to and with a row and ignore nulls;
@@ -29,6 +29,9 @@ def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block
     per block, over which alone the key's window runs. It joins the block's rows as a row of its own at the block's
     edge, so that rows are shuffled once; with ``keep_block`` a plan that goes on by key and ``_block`` does not shuffle
     them again. Rows of one block are one task's sort.
+
+    ``df`` is read twice. With ``shared`` both readings stand in one plan and read the same columns, so that Spark makes
+    the shuffles below ``df``, as those of a join, once; else the table of blocks is written, which keeps scans over scans small.
     """
     order = [time, *ties]
     block = [*keys, "_block"]
@@ -48,7 +51,11 @@ def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block
         else:
             whole.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(c))
             carry[c] = F.last(c, ignorenulls=True).over(before)
-    blocks = written(rows.groupBy(*block).agg(*whole).withColumns(carry), "blocks")
+    if shared:
+        # ties, which the blocks do not need, are read too: shuffles that differ by a column are not shared
+        blocks = rows.groupBy(*block).agg(*whole, F.max(F.hash(*order)).alias("_read")).where("_read IS NOT NULL").withColumns(carry)
+    else:
+        blocks = written(rows.groupBy(*block).agg(*whole).withColumns(carry), "blocks")
     edges = rows.withColumn("_edge", F.lit(0))
     for edge, has in ((-1, lambda k: k != "lead"), (1, lambda k: k == "lead")):
         own = [n for n, (kind, _) in scans.items() if has(kind)]
