@@ -148,7 +148,7 @@ def test_equity_shares_the_shuffles_of_a_join(spark):
             spark.conf.set(n, v)
 
 
-@pytest.mark.parametrize("name", ["ag31_ruin"])
+@pytest.mark.parametrize("name", ["ag31_ruin", "wn15_equity_by_symbol"])
 def test_account_queries_shuffle_lines_and_orders_once(spark, name):
     names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     before = {n: spark.conf.get(n) for n in names}

@@ -52,8 +52,8 @@ def block_scan(df: DataFrame, keys: list[str], time: str, ties: list[str], block
             whole.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(c))
             carry[c] = F.last(c, ignorenulls=True).over(before)
     if shared:
-        # ties, which the blocks do not need, are read too: shuffles that differ by a column are not shared
-        blocks = rows.groupBy(*block).agg(*whole, F.max(F.hash(*order)).alias("_read")).where("_read IS NOT NULL").withColumns(carry)
+        # ties, which the blocks do not need, are read too, as a 0: shuffles that differ by a column are not shared
+        blocks = rows.groupBy(*block).agg(*whole, F.max(F.hash(*order) % 1).alias("_read")).where("_read IS NOT NULL").withColumns(carry)
     else:
         blocks = written(rows.groupBy(*block).agg(*whole).withColumns(carry), "blocks")
     edges = rows.withColumn("_edge", F.lit(0))
